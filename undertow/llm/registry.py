@@ -6,7 +6,9 @@ import importlib
 
 #: Query name and the module that defines it.
 MODULES = {
+    "op1_sentencepiece": "sentencepiece_codec",
     "op3_exact_dedup": "exact_dedup",
+    "op4_packing": "packing",
 }
 
 
