@@ -58,7 +58,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table = table.select("doc_id", "row", "text_sha256", ids.alias("ids"))
     groups = table.groupBy("ids").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("size")).where("size > 1")
     own = F.struct("doc_id", "row")
-    return table.join(groups, "ids", "left").select(
+    # With the list's hash among its keys, the join deals both sides anew, so that a hot group can be split.
+    key = F.xxhash64("ids").alias("key")
+    return table.select("*", key).join(groups.select("*", key), ["key", "ids"], "left").select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
