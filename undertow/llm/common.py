@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles as one block.
@@ -70,7 +71,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = BLO
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_at)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             if held and held + n > most:
