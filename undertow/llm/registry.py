@@ -9,6 +9,7 @@ MODULES = {
     "op1_sentencepiece": "sentencepiece_codec",
     "op3_exact_dedup": "exact_dedup",
     "op4_packing": "packing",
+    "op7_simhash": "simhash",
 }
 
 
