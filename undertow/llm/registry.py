@@ -7,6 +7,7 @@ import importlib
 #: Query name and the module that defines it.
 MODULES = {
     "op1_sentencepiece": "sentencepiece_codec",
+    "op2_substring_dedup": "substring_dedup",
     "op3_exact_dedup": "exact_dedup",
     "op4_packing": "packing",
     "op7_simhash": "simhash",
