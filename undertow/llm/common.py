@@ -12,10 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles as one block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+
+
+#: Rows of an Arrow batch, where the session has Spark's default: documents are long, and a worker holds one batch.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:
+        spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,7 +55,7 @@ class Lookup(dict):
     ``map(table.__getitem__, keys)`` computes what is missing.
     """
 
-    def __init__(self, compute: Callable[[Any], Any], limit: int = 250_000, longest: int = 256) -> None:
+    def __init__(self, compute: Callable[[Any], Any], limit: int = 200_000, longest: int = 256) -> None:
         super().__init__()
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
@@ -59,11 +65,14 @@ class Lookup(dict):
             value = self.compute(key)
             if len(key) > self.longest:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ of any length are tokenised whole.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,23 +31,44 @@ _TOKENS: dict[int, WordTokens] = {}
 class WordTokens:
     """Ids of whole texts by their distinct words; for tokenizers that drop ASCII white space between words."""
 
+    #: Stands between words that are tokenised together; it is one token, which only itself can yield.
+    BAR = "|"
+
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.table = Lookup(self._ids)
-        probe = "Ab, cÉd's\t\n x1  <|"
-        assert self(probe) == np.array(self.tokenizer.encode(probe, add_special_tokens=False).ids, "<u4").tobytes()
+        (self.bar,) = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
+        probe = "Ab, c\u00c9d's\t\n x1  <|"
+        if self.block([probe]) != [np.array(self.tokenizer.encode(probe, add_special_tokens=False).ids, "<u4").tobytes()]:
+            raise ValueError("this tokenizer does not treat words one by one")
 
     def _ids(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        raw = text.encode()
-        # ASCII case doesn't matter to a lower-casing tokenizer, except inside its special tokens.
-        words = raw.split() if b"<|" in raw else raw.lower().split()
-        return b"".join(map(self.table.__getitem__, words))
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Tokenise words together and keep each one's ids."""
+        text = f" {self.BAR} ".join(w.decode() for w in words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.bar), len(ids))
+        data, start = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.table.put(word, data[4 * start : 4 * end])
+            start = end + 1
+
+    def block(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        split = []
+        for text in texts:
+            raw = (text or "").encode()
+            # ASCII case doesn't matter to a lower-casing tokenizer, except inside its special tokens.
+            split.append(raw.split() if b"<|" in raw else raw.lower().split())
+        seen, old, bar = self.table, self.table.old, self.BAR.encode()
+        new = [w for w in set().union(*split) if w not in seen and w not in old and bar not in w and len(w) <= self.table.longest]
+        for start in range(0, len(new), 500):
+            self._learn(new[start : start + 500])
+        return [b"".join(map(self.table.__getitem__, words)) for words in split]
 
 
 def _tokens(definition: str) -> WordTokens:
@@ -66,8 +88,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: i
         tokens = _tokens(definition)
         for block in text_blocks(batches, 1):
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                ids = tokens(text or "") + end
+            for doc, ids in zip(block.column(0).to_pylist(), tokens.block(block.column(1).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start : 4 * (start + window)]
