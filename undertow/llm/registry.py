@@ -10,6 +10,7 @@ MODULES = {
     "op2_substring_dedup": "substring_dedup",
     "op3_exact_dedup": "exact_dedup",
     "op4_packing": "packing",
+    "op5_toxicity": "toxicity",
     "op7_simhash": "simhash",
 }
 
