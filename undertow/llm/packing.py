@@ -13,6 +13,7 @@ of any length are tokenised whole.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,47 +29,50 @@ TOKENIZER, END_ID, WINDOW, BUCKETS = "word_bpe_49k.json", 2, 4096, 1024
 _TOKENS: dict[int, WordTokens] = {}
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    free = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(free)) for b in range(256)]
+
+
 class WordTokens:
-    """Ids of whole texts by their distinct words; for tokenizers that drop ASCII white space between words."""
+    """Ids of whole texts by their distinct words; for lower-casing tokenizers that drop ASCII white space between words
+    and treat runs of letters and runs of punctuation as words of their own."""
 
-    #: Stands between words that are tokenised together; it is one token, which only itself can yield.
-    BAR = "|"
+    #: Punctuation that is cut from a word's end, since it is a token run of its own behind a letter or digit.
+    TAIL = b".,!?*%#$&;:"
+    #: Letters that normalisation leaves alone and that are words by themselves.
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u017e]+")
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.table = Lookup(self._ids)
-        (self.bar,) = self.tokenizer.encode(self.BAR, add_special_tokens=False).ids
-        probe = "Ab, c\u00c9d's\t\n x1  <|"
-        if self.block([probe]) != [np.array(self.tokenizer.encode(probe, add_special_tokens=False).ids, "<u4").tobytes()]:
-            raise ValueError("this tokenizer does not treat words one by one")
+        self.model, self.letters = self.tokenizer.model, str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.table = Lookup(self._ids, limit=400_000)
+        for probe in ("Ab, c\u00c9d's\t\n x1  <|", "erorly. na\u00efve!? \u00df\u00fc\u0151 it's.", "x-y, 12ab. ..."):
+            if self(probe) != self._whole(probe):
+                raise ValueError("this tokenizer does not treat words one by one")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _ids(self, word: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Tokenise words together and keep each one's ids."""
-        text = f" {self.BAR} ".join(w.decode() for w in words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.bar), len(ids))
-        data, start = ids.tobytes(), 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.table.put(word, data[4 * start : 4 * end])
-            start = end + 1
-
-    def block(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = []
-        for text in texts:
-            raw = (text or "").encode()
-            # ASCII case doesn't matter to a lower-casing tokenizer, except inside its special tokens.
-            split.append(raw.split() if b"<|" in raw else raw.lower().split())
-        seen, old, bar = self.table, self.table.old, self.BAR.encode()
-        new = [w for w in set().union(*split) if w not in seen and w not in old and bar not in w and len(w) <= self.table.longest]
-        for start in range(0, len(new), 500):
-            self._learn(new[start : start + 500])
-        return [b"".join(map(self.table.__getitem__, words)) for words in split]
+        core = word.rstrip(self.TAIL)
+        if len(core) < len(word) and core[-1:].isalnum():
+            return self.table[core] + self.table[word[len(core) :]]
+        text = word.decode().lower()
+        if self.PLAIN.fullmatch(text):
+            return array("I", [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return self._whole(word.decode())
+
+    def __call__(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        raw = (text or "").encode()
+        # ASCII case doesn't matter to a lower-casing tokenizer, except inside its special tokens.
+        words = raw.split() if b"<|" in raw else raw.lower().split()
+        return b"".join(map(self.table.__getitem__, words))
 
 
 def _tokens(definition: str) -> WordTokens:
@@ -88,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: i
         tokens = _tokens(definition)
         for block in text_blocks(batches, 1):
             rows: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(block.column(0).to_pylist(), tokens.block(block.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(block.column(0).to_pylist(), map(tokens, block.column(1).to_pylist()), strict=True):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
