@@ -12,6 +12,7 @@ MODULES = {
     "op4_packing": "packing",
     "op5_toxicity": "toxicity",
     "op7_simhash": "simhash",
+    "op8_chat_format": "chat_format",
 }
 
 
