@@ -13,6 +13,7 @@ MODULES = {
     "op5_toxicity": "toxicity",
     "op7_simhash": "simhash",
     "op8_chat_format": "chat_format",
+    "op9_vector_search": "vector_search",
 }
 
 
