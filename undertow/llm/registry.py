@@ -11,6 +11,7 @@ MODULES = {
     "op3_exact_dedup": "exact_dedup",
     "op4_packing": "packing",
     "op5_toxicity": "toxicity",
+    "op6_lm_scoring": "lm_scoring",
     "op7_simhash": "simhash",
     "op8_chat_format": "chat_format",
     "op9_vector_search": "vector_search",
