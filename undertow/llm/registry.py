@@ -15,6 +15,7 @@ MODULES = {
     "op7_simhash": "simhash",
     "op8_chat_format": "chat_format",
     "op9_vector_search": "vector_search",
+    "op10_quality": "quality",
 }
 
 
