@@ -24,7 +24,9 @@ def _module(name: str):
 
 
 def queries() -> dict:
-    return {name: getattr(_module(name), name) for name in MODULES}
+    import corpus_pipeline
+
+    return {name: getattr(_module(name), name) for name in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from undertow.llm.common import Lookup, read_table, text_blocks, written
 
@@ -235,7 +236,7 @@ def _marked(spans_: list | None, n: int, kind: int) -> np.ndarray:
 
 
 def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, digests: bool = False) -> DataFrame:
-    """From uid (unique, in the order of documents, never null) and text: uid, n_words, n_removed, kept."""
+    """From uid (unique, in the order of documents, never null), text and maybe rest: uid, n_words, n_removed, kept, rest."""
     found = written(spans(docs, window, gram, many), "spans")
     joined = docs.join(found, "uid", "left")
 
@@ -250,7 +251,9 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
             asked = np.concatenate([_marked(by_uid[int(u)], c, BOUNDARY) & ~_marked(by_uid[int(u)], c, COPY) for u, c in zip(block.uid, block.counts, strict=True)])
             yield _as_batch([_signed(block.hash1[asked]), _signed(block.hash2[asked]), block.uid[block.doc[asked]], block.start[asked]], ["h1", "h2", "uid", "start"])
 
-    windows = joined.select("uid", "text", "spans").mapInArrow(boundaries, "h1 long, h2 long, uid long, start long")
+    # The columns that are only carried go along here, too, so that both uses share one exchange of the texts.
+    rest = ["rest"] if "rest" in docs.columns else []
+    windows = joined.select("uid", "text", "spans", *rest).mapInArrow(boundaries, "h1 long, h2 long, uid long, start long")
     firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("uid", F.col("start").cast("int").alias("start"))).alias("first")).select("first.*").groupBy("uid").agg(F.collect_list("start").alias("firsts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +276,11 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
                 n_words.append(len(words))
                 n_removed.append(removed)
                 kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode() if removed else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["uid", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[4:]], names=["uid", "n_words", "n_removed", "kept", *rest])
 
-    return joined.join(firsts, "uid", "left").select("uid", "text", "spans", "firsts").mapInArrow(remove, "uid long, n_words long, n_removed long, kept string")
+    found = joined.join(firsts, "uid", "left").select("uid", "text", "spans", "firsts", *rest)
+    schema = StructType([*(StructField(n, LongType()) for n in ("uid", "n_words", "n_removed")), StructField("kept", StringType()), *(found.schema[r] for r in rest)])
+    return found.mapInArrow(remove, schema)
 
 
 def substring_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -283,13 +288,28 @@ def substring_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM
 
     A text that loses words is its remaining words joined by one space; another text stays as it is.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if own.where("doc_id is null").union(own.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit("").alias("text"))).isEmpty():
+    found, ids = _by_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    result = parsed(found, window, gram, many, digests)
+    result = result.withColumnRenamed("uid", "doc_id") if ids is None else result.join(ids, "uid")
+    return result.select("doc_id", "n_words", "n_removed", "kept")
+
+
+def _by_uid(own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents (doc_id, text, maybe rest) with a unique uid in their order, and the doc_ids by uid unless it is one."""
+    rest = [c for c in own.columns if c == "rest"]
+    if own.where("doc_id is null").select("doc_id").union(own.groupBy("doc_id").count().where("count > 1").select("doc_id")).isEmpty():
         # The identifiers are unique and can stand for the documents; coalesce tells the optimiser that none is null.
-        keyed = own.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("uid"), "text")
-        return parsed(keyed, window, gram, many, digests).withColumnRenamed("uid", "doc_id")
+        return own.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("uid"), "text", *rest), None
     table = written(own.orderBy(F.asc_nulls_first("doc_id")).withColumn("uid", F.monotonically_increasing_id()), "documents")
-    return parsed(table.select(F.coalesce("uid", F.lit(0).cast("long")).alias("uid"), "text"), window, gram, many, digests).join(table.select("uid", "doc_id"), "uid").drop("uid").select("doc_id", "n_words", "n_removed", "kept")
+    return table.select(F.coalesce("uid", F.lit(0).cast("long")).alias("uid"), "text", *rest), table.select("uid", "doc_id")
+
+
+def without_duplicates(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The documents, with all their columns, without the words of repeated windows. A length column follows the text."""
+    found, _ = _by_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("rest")))
+    cut = parsed(found, window)
+    length = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col(f"rest.{length_col}")).alias(length_col) if length_col in docs.columns else None
+    return cut.select(*(F.col("kept").alias(c) if c == text_col else length if c == length_col else F.col(f"rest.{c}").alias(c) for c in docs.columns))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -98,21 +98,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(lists, label, weight, pairs, pair_penalty=pair_penalty)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every document."""
+def scorer(weights: np.ndarray, bias: float):
+    """Scores of a list of texts."""
     used = np.flatnonzero(weights)
     model = dict(zip(used.tolist(), weights[used].tolist(), strict=True))
+    # A word's buckets that have a weight; most words have none.
+    weighted = Lookup(lambda raw: tuple(f for f in word_features(raw.strip(EDGES)) if f in model))
+    return lambda texts: sigmoid(np.array([sum(map(model.__getitem__, set().union(*map(weighted.__getitem__, set((t or "").lower().split())))), bias) for t in texts], float))
+
+
+def scored(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A word's buckets that have a weight; most words have none.
-        weighted = Lookup(lambda raw: tuple(f for f in word_features(raw.strip(EDGES)) if f in model))
+        score = scorer(weights, bias)
         for block in text_blocks(batches, 1):
-            z = [sum(map(model.__getitem__, set().union(*map(weighted.__getitem__, set((t or "").lower().split())))), bias) for t in block.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sigmoid(np.array(z, float)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(score(block.column(1).to_pylist()))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below 0.5, with all their columns, in one pass."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(weights, bias)
+        for block in text_blocks(batches, names.index(text_col)):
+            yield block.filter(pa.array(score(block.column(names.index(text_col)).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     weights, bias = train(docs, labels, id_col, text_col, sample=sample)
