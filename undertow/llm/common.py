@@ -49,6 +49,18 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_KEPT: dict = {}
+
+
+def kept_in_worker(key, make: Callable[[], Any]) -> Any:
+    """What make returns, kept for a Python worker's next tasks. A worker keeps one thing at a time, the last asked for, so
+    that the tables of several operators don't add up in it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class Lookup(dict):
     """A table of computed values with two generations, so that its size is bounded and frequent keys stay.
 

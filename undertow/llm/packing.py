@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.common import Lookup, public_tokenizer, read_table, text_blocks, written
+from undertow.llm.common import Lookup, kept_in_worker, public_tokenizer, read_table, text_blocks, written
 
 TOKENIZER, END_ID, WINDOW, BUCKETS = "word_bpe_49k.json", 2, 4096, 1024
-_TOKENS: dict[int, WordTokens] = {}
 
 
 def byte_letters() -> list[str]:
@@ -50,7 +49,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.model, self.letters = self.tokenizer.model, str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
-        self.table = Lookup(self._ids, limit=400_000)
+        self.table = Lookup(self._ids, limit=300_000)
         for probe in ("Ab, c\u00c9d's\t\n x1  <|", "erorly. na\u00efve!? \u00df\u00fc\u0151 it's.", "x-y, 12ab. ..."):
             if self(probe) != self._whole(probe):
                 raise ValueError("this tokenizer does not treat words one by one")
@@ -75,13 +74,6 @@ class WordTokens:
         return b"".join(map(self.table.__getitem__, words))
 
 
-def _tokens(definition: str) -> WordTokens:
-    key = hash(definition)
-    if key not in _TOKENS:
-        _TOKENS[key] = WordTokens(definition)
-    return _TOKENS[key]
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, payload (the ids' bytes, or their CRC-32), doc_tokens; full windows first, then the rest."""
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -89,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(definition)
+        tokens = kept_in_worker(("tokens", definition), lambda: WordTokens(definition))
         for block in text_blocks(batches, 1):
             rows: list[list] = [[], [], [], [], []]
             for doc, ids in zip(block.column(0).to_pylist(), map(tokens, block.column(1).to_pylist()), strict=True):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import Lookup, read_table, text_blocks
+from undertow.llm.common import Lookup, kept_in_worker, read_table, text_blocks
 from undertow.llm.linear import BUCKETS, fit, sigmoid
 
 #: Documents of the sample that trains the scorer.
@@ -38,7 +38,6 @@ def shape(word: str) -> str:
     return _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", word[:64])))[:12]
 
 
-_SHAPES = Lookup(shape)
 _SYMBOLS = re.compile(r"[#$%&*|!?~^=<>@_\\]{2,}|^[|]$")
 
 
@@ -48,7 +47,7 @@ class Profile:
     def __init__(self, text: str | None) -> None:
         words = (text or "").split()
         self.n = n = len(words)
-        self.shapes = Counter(map(_SHAPES.__getitem__, words))
+        self.shapes = Counter(map(kept_in_worker("shapes", lambda: Lookup(shape)).__getitem__, words))
         one = max(1, n)
         share = lambda test: sum(c for s, c in self.shapes.items() if test(s)) / one
         self.upper = share(lambda s: s.startswith("A") and "a" not in s and s not in ("A", "A.", "A,"))

@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import Lookup, public_tokenizer, read_table, text_blocks
+from undertow.llm.common import Lookup, kept_in_worker, public_tokenizer, read_table, text_blocks
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-_CODECS: dict[int, Codec] = {}
 
 
 class Codec:
@@ -85,20 +84,13 @@ class Codec:
         return ",".join(ids), decoded.removeprefix(" ")
 
 
-def _codec(model: bytes) -> Codec:
-    key = hash(model)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
-
-
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """doc_id, n_tokens and either ids: array<int> and decoded: string, or their SHA-256 digests."""
     with open(model_file, "rb") as f:
         model = f.read()  # a fixed half megabyte, sent with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
+        codec = kept_in_worker(("codec", model), lambda: Codec(model))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for block in text_blocks(batches, 1):
             found = [codec.encode_decode(t) for t in block.column(1).to_pylist()]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from undertow.llm.common import Lookup, read_table, text_blocks, written
+from undertow.llm.common import Lookup, kept_in_worker, read_table, text_blocks, written
 
 WINDOW, GRAM = 20, 8
 #: A minimiser with more contents than this in one block of texts goes to the boundary check directly.
@@ -37,8 +37,6 @@ MANY = 16
 PROBE, MARKER, COPY, BOUNDARY = 0, 1, 2, 3
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MASK = (1 << 64) - 1
-_WORDS: list[Lookup] = []
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,17 +47,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse, modulo 2 ** 64."""
-    have = _POWERS.get(base)
+    known = kept_in_worker("substrings", _tables)[1]
+    have = known.get(base)
     if have is None or len(have[0]) < n:
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(max(n, 1 << 20), b, np.uint64)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        _POWERS[base] = have = (made[0], made[1])
+        known[base] = have = (made[0], made[1])
     return have
 
 
+def _tables() -> tuple[Lookup, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Word hashes, and powers by base."""
+    from xxhash import xxh64_intdigest
+
+    return Lookup(xxh64_intdigest), {}
+
+
 class Grams:
     """Hashes of any run of consecutive words, by prefix sums."""
 
@@ -77,11 +83,8 @@ def split(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    if not _WORDS:
-        _WORDS.append(Lookup(xxh64_intdigest))
-    return np.fromiter(map(_WORDS[0].__getitem__, words), np.uint64, len(words))
+    table = kept_in_worker("substrings", _tables)[0]
+    return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
 
 class Block:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import Lookup, read_table, text_blocks
+from undertow.llm.common import Lookup, kept_in_worker, read_table, text_blocks
 from undertow.llm.linear import BUCKETS, fit, sigmoid
 
 #: Labelled rows of each class that training reads at most.
@@ -56,11 +56,9 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple({crc32(p.encode()) % BUCKETS for p in parts})
 
 
-_FEATURES = Lookup(word_features)
-
-
 def features(found: set[str]) -> np.ndarray:
-    return np.array(sorted(set().union(*map(_FEATURES.__getitem__, found))), np.int64)
+    table = kept_in_worker("word features", lambda: Lookup(word_features, limit=100_000))
+    return np.array(sorted(set().union(*map(table.__getitem__, found))), np.int64)
 
 
 def counterfactual(found: set[str]) -> set[str] | None:
