@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +89,31 @@ class Lookup(dict):
         self[key] = value
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # not the GNU library
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65536) -> Iterator[np.ndarray]:
+    """Batches of whole numbers as matrices of about as many rows or more, whatever the size of a batch."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            n += batch.num_rows
+        if n >= rows:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+    del held
+    release()
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches where their text column passes ``most`` bytes; a longer text stands alone."""
     for batch in batches:
@@ -100,3 +127,5 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = BLO
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+        del batch
+    release()

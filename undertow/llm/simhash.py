@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.common import read_table, text_blocks, written
+from undertow.llm.common import gathered, read_table, text_blocks, written
 from undertow.llm.components import components
 
 SEED, BITS, SHINGLE, RADIUS = 42, 64, 3, 3
@@ -195,10 +195,7 @@ def links(classes: DataFrame, keys: list[Column], node: str, words: list[str], r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        for rows in gathered(batches):
             held = rows if held is None else np.concatenate([held, rows])
             # The last bucket may go on in the next batch.
             last = np.flatnonzero((held[1:, :4] != held[:-1, :4]).any(axis=1))

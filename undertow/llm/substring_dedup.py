@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from undertow.llm.common import Lookup, kept_in_worker, read_table, text_blocks, written
+from undertow.llm.common import Lookup, gathered, kept_in_worker, read_table, text_blocks, written
 
 WINDOW, GRAM = 20, 8
 #: A minimiser with more contents than this in one block of texts goes to the boundary check directly.
@@ -52,7 +52,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if have is None or len(have[0]) < n:
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(max(n, 1 << 20), b, np.uint64)
+            p = np.full(max(n, 1 << 19), b, np.uint64)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
         known[base] = have = (made[0], made[1])
@@ -63,7 +63,7 @@ def _tables() -> tuple[Lookup, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Word hashes, and powers by base."""
     from xxhash import xxh64_intdigest
 
-    return Lookup(xxh64_intdigest), {}
+    return Lookup(xxh64_intdigest, limit=100_000), {}
 
 
 class Grams:
@@ -205,10 +205,7 @@ def spans(docs: DataFrame, window: int, gram: int, many: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        for rows in gathered(batches):
             through = rows[:, 5] >= COPY
             if through.any():
                 yield _as_batch(list(rows[through][:, 2:].T), SPAN)
