@@ -34,6 +34,8 @@ SEED, BITS, SHINGLE, RADIUS = 42, 64, 3, 3
 PART = 2048
 #: Buckets up to this size are compared pair by pair, many buckets at once.
 FEW = 32
+#: Most buckets of more than a part that are broadcast, with three numbers each.
+FEW_LARGE = 20_000
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Similar groups: words of a shingle, 64-bit words of a fingerprint, and the distance up to which texts are alike. Texts of
 #: similarity 0.8 differ in 39 of 256 bits on average, with a deviation of 6.
@@ -187,9 +189,16 @@ def links(classes: DataFrame, keys: list[Column], node: str, words: list[str], r
     deal = F.array(*(F.struct(F.lit(t).cast("long").alias("t"), k.alias("b")) for t, k in enumerate(keys)))
     own = list(dict.fromkeys([node, *words]))
     dealt = classes.select(*own, F.explode(deal).alias("k")).select(*own, "k.t", "k.b")
-    sizes = dealt.groupBy("t", "b").agg(F.count("*").alias("size")).where("size > 1")
-    h = F.xxhash64("t", "b").alias("h")
-    shared = dealt.select("*", h).join(sizes.select("*", h), ["h", "t", "b"]).withColumn("parts", F.ceil(F.col("size") / part)).withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")))
+    # Buckets of more than a part are cut into parts; how many there are decides whether they are broadcast.
+    large = written(dealt.groupBy("t", "b").agg(F.count("*").alias("size")).where(F.col("size") > part), "large")
+    most = large.limit(FEW_LARGE + 1).count()
+    if not most:
+        shared = dealt.withColumn("parts", F.lit(1).cast("long"))
+    else:
+        h = F.xxhash64("t", "b").alias("h")
+        sizes = large.select("*", h)
+        shared = dealt.select("*", h).join(F.broadcast(sizes) if most <= FEW_LARGE else sizes, ["h", "t", "b"], "left").withColumn("parts", F.ceil(F.coalesce("size", F.lit(1)) / part))
+    shared = shared.withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")))
     other = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     pairs = shared.withColumn("other", F.explode(other)).select("t", "b", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.col(node).alias("node"), *(F.col(w).alias(f"word{i}") for i, w in enumerate(words)))
 
