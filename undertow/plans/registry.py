@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from undertow.plans import graph_queries, label_queries, model_queries
+
+MODULES = (graph_queries, label_queries, model_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
