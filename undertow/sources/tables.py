@@ -63,7 +63,7 @@ def read_synthetic_labels(spark: SparkSession, path: str) -> DataFrame:
         text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("at", "line"))
         names = rows.columns
         cells = F.split("line", ",")
-        rows = text.where("at > 0").select((F.col("at") - 1).alias("node"), *(cells[i].alias(n) for i, n in enumerate(names)))
+        rows = text.where("at > 0 and trim(line) <> ''").select((F.col("at") - 1).alias("node"), *(F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)))
     return rows.select(F.col("node").cast("long").alias("node"), *(F.coalesce(F.lower(F.trim(f)).isin("true", "1"), F.lit(False)).alias(f) for f in flags))
 
 
