@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -11,7 +10,10 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from undertow.sources.stage import shared_dir
 
 #: Bytes of text that a Python worker handles as one block.
 BLOCK_BYTES = 2 << 20
@@ -27,15 +29,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="undertow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -44,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
+    """docs, with all their columns, without the rows that gone (columns id and hash) names by doc_id and a hash of the text;
+    of rows that agree in both, one stays. Own columns get names that docs don't have."""
+    taken = {c.lower() for c in docs.columns}
+    own_id, own_hash, nth = (next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken) for name in ("own_id", "own_hash", "nth"))
+    keyed = docs.select("*", F.col(id_col).cast("long").alias(own_id), text_hash.alias(own_hash))
+    named = gone.select(F.col("id").alias("gone_id_"), F.col("hash").alias("gone_hash_")).distinct()
+    kept = keyed.join(named, keyed[own_id].eqNullSafe(named["gone_id_"]) & (keyed[own_hash] == named["gone_hash_"]), "left_anti")
+    once = Window.partitionBy(own_id, own_hash).orderBy(F.lit(1))
+    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
+
+
 def public_tokenizer(name: str) -> str:
     """Where a public vocabulary file lies on the driver; its content travels to the executors."""
     import public_tokenizers

@@ -14,10 +14,10 @@ others. Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import written
+from undertow.llm.common import without, written
 
 #: Fixed values of the chunker: the class whose runs end a chunk, the run's length, and the bounds in characters.
 CUT_CLASS, CUT_RUN, SHORTEST, LONGEST = "[aceimoqsuwy02468 ]", 7, 256, 4096
@@ -71,12 +71,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept and keep_id is distinct from doc_id").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).withColumn("_id", F.col(id_col).cast("bigint"))
-    kept = keyed.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
-    # Rows that agree in both doc_id and text: one stays.
-    once = Window.partitionBy("_id", "_sha").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    gone = exact_duplicates(docs, id_col, text_col).where("not kept and keep_id is distinct from doc_id").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("hash"))
+    return without(docs, gone, id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

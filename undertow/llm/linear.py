@@ -29,16 +29,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray]] | None = None, l1: float = 4e-4, pair_penalty: float = 1.0, steps: int = 200, rate: float = 0.3) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray]] | None = None, l1: float = 4e-4, pair_penalty: float = 1.0, steps: int = 200, rate: float = 0.3, unlearned: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias by proximal AdaGrad on weighted log loss, an L1 penalty on the weights, and pair_penalty times the
-    mean squared difference of the scores of paired rows (a counterfactual pair should score alike)."""
+    mean squared difference of the scores of paired rows (a counterfactual pair should score alike). unlearned is the bias
+    where there are no rows."""
     used = np.unique(np.concatenate([*rows, *(pairs[0] + pairs[1] if pairs else [])]).astype(np.int64)) if rows else np.array([], np.int64)
     place = lambda many: [np.searchsorted(used, r) for r in many]
     x, n = Sparse(place(rows)), len(used)
     one, other = (Sparse(place(p)) for p in pairs) if pairs and pairs[0] else (None, None)
     w, bias, seen, seen_bias = np.zeros(n), 0.0, np.full(n, FLOOR**2), 1e-8
     if not len(rows):
-        return np.zeros(BUCKETS), 0.0
+        return np.zeros(BUCKETS), unlearned
     weight = weight / weight.sum()
     base = float(np.clip((weight * target).sum(), 1e-3, 1 - 1e-3))
     bias = float(np.log(base / (1 - base)))

@@ -23,10 +23,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import gathered, read_table, text_blocks, written
+from undertow.llm.common import gathered, read_table, text_blocks, without, written
 from undertow.llm.components import components
 
 SEED, BITS, SHINGLE, RADIUS = 42, 64, 3, 3
@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     roots = written(components(links(classes, block_keys("fp", radius), "fp", ["fp"], radius, part)), "roots")
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"), F.sum("size").alias("size")).where("size > 1")
-    known = joined.select("fp", "root").join(least, "root").select("fp", "component", F.xxhash64("fp").alias("key"))
+    deal = F.xxhash64("root").alias("deal")
+    known = joined.select("fp", "root", deal).join(least.select("*", deal), ["deal", "root"]).select("fp", "component", F.xxhash64("fp").alias("key"))
     return table.withColumn("key", F.xxhash64("fp")).join(known, ["key", "fp"], "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id")
     )
@@ -303,18 +304,16 @@ def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WI
     roots = written(components(links(classes, keys, "node", names, radius, part)), "wide-roots")
     joined = classes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     least = joined.groupBy("group").agg(F.min("least").alias("least"))
-    known = joined.drop("least").join(least, "group").select(*names, "group", "least", F.xxhash64(*names).alias("key"))
+    # Keys that hold a hash of their own have both sides of a join dealt anew, so that a hot group can be split.
+    deal = F.xxhash64("group").alias("deal")
+    known = joined.drop("least").select("*", deal).join(least.select("*", deal), ["deal", "group"]).select(*names, "group", "least", F.xxhash64(*names).alias("key"))
     return table.withColumn("key", F.xxhash64(*names)).join(known, ["key", *names]).select("doc_id", "text_hash", "group", F.col("least").eqNullSafe(F.struct("doc_id", "text_hash")).alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, with all their columns: the least doc_id of each group of similar texts."""
-    gone = similar_groups(docs, id_col=id_col, text_col=text_col, **how).where("not first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("_id", F.col(id_col).cast("long"))
-    kept = keyed.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash")), "left_anti")
-    # Rows that agree in both: one stays.
-    once = Window.partitionBy("_id", "_hash").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    gone = similar_groups(docs, id_col=id_col, text_col=text_col, **how).where("not first").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    return without(docs, gone, id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -314,3 +314,16 @@ def without_duplicates(docs: DataFrame, window: int = WINDOW, id_col: str = "doc
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_duplicates(read_table(spark, sf_dir, "documents"), digests=True).withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLE = {
+    "op2_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from d),
+        g as (select doc_id, i, word, list(word) over (partition by doc_id order by i rows between current row and 19 following) as key from w),
+        f as (select doc_id, i, row_number() over (partition by key order by doc_id, i) > 1 as again from g where len(key) = 20),
+        r as (select g.doc_id, g.i, g.word, coalesce(bool_or(again) over (partition by g.doc_id order by g.i rows between 19 preceding and current row), false) as gone
+              from g left join f on f.doc_id = g.doc_id and f.i = g.i),
+        k as (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by i) filter (not gone) as kept from r group by doc_id)
+        select d.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k on k.doc_id = d.doc_id"""
+}

@@ -9,7 +9,7 @@ shuffle. Only the text is an input of a score.
 
 Defined results: a null or empty text has no features and gets the model's base score. Rows that repeat a doc_id are
 scored each; labels that repeat one count once, and the label is the largest; null labels are no labels. Without any
-label the score is 0.5. Extra columns are ignored. An empty table gives an empty result.
+label the score is 0. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pairs = ([lists[i] for i, t in enumerate(twins) if t is not None], [np.array(t, np.int64) for t in twins if t is not None])
     drawn = np.array([max(1, (label == c).sum()) for c in (0, 1)])
     weight = np.array([(1 + c) * counts.get(c, 0) / drawn[c] for c in (0, 1)])[label.astype(int)] if len(label) else label  # misses weigh twice
-    return fit(lists, label, weight, pairs, pair_penalty=pair_penalty)
+    return fit(lists, label, weight, pairs, pair_penalty=pair_penalty, unlearned=-500.0)
 
 
 def scorer(weights: np.ndarray, bias: float):
