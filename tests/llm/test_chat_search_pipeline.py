@@ -1,0 +1,111 @@
+from __future__ import annotations
+
+import hashlib
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tests.llm.conftest import TEXTS
+from undertow.llm import chat_format, registry, vector_search
+
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+# Chat
+
+
+def test_reply_trees(spark):
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "good", 5.0), ("t", 3, 1, "assistant", "bad", 1.0), ("t", 4, 2, "user", "more", 0.0), ("t", 5, 4, "assistant", "yes", 9.0), ("u", 1, 99, "system", "alone", None), ("c", 1, 2, "user", "x", 0.0), ("c", 2, 1, "user", "y", 0.0)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    got = {(r.tree, r["rank"]): r.formatted for r in chat_format.formatted_trees(df).collect()}
+    assert got == {("t", 1): "[INST]user\nq[/INST]<s>good</s>[INST]user\nmore[/INST]<s>yes</s>", ("t", 2): "[INST]user\nq[/INST]<s>bad</s>", ("u", 1): "[INST]system\nalone[/INST]"}
+    assert [r["rank"] for r in chat_format.formatted_trees(df, keep=1).where("tree = 't'").collect()] == [1]
+
+
+def test_long_chain_has_one_path(spark):
+    df = spark.range(1, 1001).selectExpr("'t' as tree", "id as node", "case when id > 1 then id - 1 end as parent")
+    rows = chat_format.paths(df)
+    assert rows.count() == 1000
+    assert rows.where("leaf <> 1000 or node <> 1000 - up").count() == 0
+
+
+def test_hostile_texts_round_trip(spark):
+    texts = [None, "", "\\", "\\\\", "</s>", "[/INST]", "[INST]x[/INST]", "a\nb", "[", "<", "/INST]", "<\\/s>", "end\\", "😀</s>\\[INST]"]
+    roles = ["user", "assistant", None, "sys\ntem", "a%b c", "[INST]"]
+    rows = [(1, i, roles[i % len(roles)], t) for i, t in enumerate(texts * 3)]
+    rows += [(None, 0, "user", "no id"), (2, None, "assistant", "no turn"), (2, 1, "user", "same"), (2, 1, "user", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'clash' as tree").repartition(3)
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.formatted_trees(chat_format.chains(df))).collect()}
+    for conv, n in ((1, len(texts) * 3), (None, 1), (2, 3)):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))
+        assert got[conv].n_turns == n
+        assert got[conv].turns_sha256 == sha("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own))
+        loss = "".join(t or "" for _, _, r, t in own if r == "assistant")
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha(loss))
+    assert chat_format.digests(chat_format.formatted_trees(chat_format.chains(df.limit(0)))).count() == 0
+
+
+# Search
+
+
+@pytest.mark.parametrize("how", [{"pivots": 6, "query_part": 7, "data_part": 40}, {"pivots": 1}, {}])
+def test_top_k_matches_brute_force(spark, how):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 6)).round(2)
+    x[100:200] = x[100]
+    x[200:300] += rng.normal(size=6) * 8
+    rows = [(i * 20, [float(c) for c in v], "k") for i, v in enumerate(x)]
+    rows += [(5, None, None), (6, [1.0, None], "k"), (7, [float("nan")], "k"), (None, [1.0], "k"), (8, [float("inf"), 0.0], "k"), (9, [3.0], "k"), (11, [], "k")]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string"), **how).collect()
+    part = [(i, np.floor(np.array(v + [0] * (6 - len(v))) * 1024).astype(int)) for i, v, _ in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    for q, v in part:
+        if q % 100 == 0:
+            want = sorted((-int(v @ w), i) for i, w in part if i != q)[:10]
+            assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_top_k_of_few_and_none(spark):
+    df = spark.createDataFrame([(0, [1.0]), (100, [2.0]), (100, [2.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in vector_search.top_k(df).collect()) == [(0, 1, 100), (0, 2, 100), (100, 1, 0), (100, 1, 0)]
+    assert vector_search.top_k(df.limit(0)).count() == 0
+
+
+def test_large_components_stay_exact():
+    q, x = np.array([[2**30, 1]]), np.array([[2**31, 1], [2**31, 2]])
+    assert vector_search.scores(q, x).tolist() == [[2**61 + 1, 2**61 + 2]]
+
+
+# Queries and pipeline
+
+
+def test_oracles(spark, sf):
+    with duckdb.connect() as c:
+        for t in ("documents", "conversations", "embeddings"):
+            c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        for name, sql in registry.oracle_sql().items():
+            want, got = c.sql(sql).df(), registry.queries()[name](spark, sf).toPandas()
+            columns = sorted(want.columns)
+            assert sorted(got.columns) == columns
+            one, two = (sorted(map(tuple, d[columns].astype(str).to_numpy())) for d in (got, want))
+            assert one == two, name
+
+
+def test_pipeline_runs_whole(spark, sf):
+    packed = corpus_pipeline.run(spark, sf).collect()
+    assert packed
+    spans = {}
+    for r in packed:
+        spans.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for pieces in spans.values():
+        assert sum(n for _, n, _ in pieces) == pieces[0][2]
+    again = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(map(tuple, packed)) == sorted(map(tuple, again))
+
+
+def test_stages_on_messy_tables(spark, messy, empty, sf):
+    for docs, rows in ((messy, len(TEXTS)), (empty, 0)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            assert i == 4 or out.columns == docs.columns
+            assert (out.count() <= rows) if i < 4 else (out.count() > 0) == (rows > 0)
