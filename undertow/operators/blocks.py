@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from undertow.operators.ego import roles_directed, roles_undirected
 from undertow.operators.graph import both_ways
+from undertow.sources.stage import staged
 
 PAIRS = [f"{i}{j}" for i in range(3) for j in range(3)]
 UNDIRECTED = ["1", "2", "3"]
@@ -64,6 +65,8 @@ def density(count: Column, size: Column, empty: float) -> Column:
 
 
 def _measures(r: DataFrame, e: DataFrame, blocks: dict[str, tuple[Column, Column, float]], include_size: bool) -> DataFrame:
+    # The roles are read three times: for the sizes and for both ends of the edges.
+    r = staged(r, "roles")
     columns = [density(*b).cast("double").alias(f"measure_{k}") for k, b in blocks.items()]
     if include_size:
         columns += [b[1].cast("long").alias(f"size_{k}") for k, b in blocks.items()]

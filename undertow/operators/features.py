@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from undertow.functions.scores import BASIC, scores
 from undertow.operators.blocks import measures
 from undertow.operators.graph import both_ways, degree
+from undertow.sources.stage import staged
 
 STATISTICS = ("min", "mean", "max", "std")
 FEATURES = ["score", *(f"score_{s}" for s in STATISTICS), "degree", *(f"degree_{s}" for s in STATISTICS)]
@@ -40,6 +41,7 @@ def score_graph(v: DataFrame, e: DataFrame, directed: bool = True) -> DataFrame:
     found = scores(measures(v, e, directed), directed, BASIC)
     if directed:
         found = found.select("node", F.col("score_max").alias("score"))
+    found = staged(found, "scores")
     return summarise_scores(v, e, found, directed=directed)
 
 

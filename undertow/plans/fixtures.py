@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.operators.graph import edges, nodes, within_communities
+from undertow.sources.stage import staged
 from undertow.sources.tables import PATTERNS
 
 DENSE, SPARSE = 4, 32
@@ -47,7 +48,8 @@ def communities(v: DataFrame, k: int) -> DataFrame:
 
 def reduced_graph(spark: SparkSession, sf: str, k: int = DENSE) -> tuple[DataFrame, DataFrame]:
     v, e = raw_graph(spark, sf)
-    return v, within_communities(e, communities(v, k))
+    v = staged(v, "nodes")
+    return v, staged(within_communities(e, communities(v, k)), "edges")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:

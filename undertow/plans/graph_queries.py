@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from undertow.functions.scores import BASIC, WEIGHTED, scores_directed, scores_undirected
 from undertow.operators import blocks, ego, features, graph
 from undertow.plans.fixtures import DENSE, SPARSE, communities, raw_graph, reduced_graph, sql_graph, sql_measures, sql_roles, sql_scores, transactions
+from undertow.sources.stage import staged
 
 PAIRS, KINDS = blocks.PAIRS, blocks.UNDIRECTED
 
@@ -36,7 +37,7 @@ def _scores(spark, sf: str, k: int, directed: bool, kind: str) -> DataFrame:
 
 def _scored(spark, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v, e = reduced_graph(spark, sf)
-    return v, e, scores_directed(blocks.measures(v, e, True)).select("node", "score")
+    return v, e, staged(scores_directed(blocks.measures(v, e, True)).select("node", "score"), "scores")
 
 
 def _score_summary(spark, sf: str) -> DataFrame:

@@ -13,6 +13,7 @@ from undertow.operators.split import stratified_split
 from undertow.plans.fixtures import CUTOFFS, DENSE, labelled, reduced_graph, sql_graph, sql_measures, sql_roles, sql_scores, sql_tx, table, transactions
 from undertow.plans.graph_queries import rounded
 from undertow.sources import tables
+from undertow.sources.stage import staged
 from undertow.sources.tables import PATTERNS
 
 BY = ["cutoff", "target"]
@@ -42,7 +43,7 @@ def _joined(how: str):
 
 def _long(spark, sf: str) -> DataFrame:
     """Every cell's labels beside the scores, as the evaluation grid has them."""
-    return labels.threshold_labels(labels.join_scores(_rates(spark, sf), _scores(spark, sf), "outer"), CUTOFFS)
+    return labels.threshold_labels(staged(labels.join_scores(_rates(spark, sf), _scores(spark, sf), "outer"), "rated"), CUTOFFS)
 
 
 def _one_target(spark, sf: str) -> DataFrame:

@@ -54,13 +54,13 @@ def score_source(found: DataFrame, kind: str, directed: bool = True, score_type:
 def evaluate(rates: DataFrame, scored: DataFrame, how: str = "outer", cutoffs: list[float] | None = None, targets: list[str] | None = None) -> DataFrame:
     """cutoff, target, imbalance, roc, pr, divergence for every cell, in one job over all cells."""
     by = ["cutoff", "target"]
-    long = labels.threshold_labels(labels.join_scores(rates, scored, how), cutoffs or CUTOFFS, targets)
+    long = labels.threshold_labels(staged(labels.join_scores(rates, scored, how), "rated"), cutoffs or CUTOFFS, targets)
     return metrics.areas(long, by).join(metrics.divergence(long, by), by).join(metrics.imbalance(long, by), by)
 
 
 def lift_and_histograms(rates: DataFrame, scored: DataFrame, cutoffs: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
     """The tables behind the plots: lift curves and score histograms by cell."""
-    long = labels.threshold_labels(labels.join_scores(rates, scored), cutoffs or CUTOFFS)
+    long = labels.threshold_labels(staged(labels.join_scores(rates, scored), "rated"), cutoffs or CUTOFFS)
     return metrics.lift(long, ["cutoff", "target"]), metrics.histogram(long, ["cutoff", "target"])
 
 
