@@ -29,9 +29,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    narrow: the rows are few numbers each, so one file for each core of the cluster is enough.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/undertow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

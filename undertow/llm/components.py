@@ -17,6 +17,8 @@ from undertow.llm.common import written
 
 SCHEMA = "u long, v long"
 BLOCK_EDGES = 500_000
+#: Edges, two numbers each, that one task takes whole.
+ONE_TASK = 200_000
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,18 +73,21 @@ def _with_least(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: every node of an edge but the least one of its component, with that least node. Edges: u, v (longs)."""
-    edges, before = written(contracted(edges.where("u <> v")), "edges"), None
+    """node, root: every node of an edge but the least one of its component, with that least node. Edges: u, v (longs).
+
+    Up to ONE_TASK edges one task solves what is left after the first contraction; more take rounds over all tasks.
+    """
+    edges, before = written(contracted(edges.where("u <> v").coalesce(max(1, edges.sparkSession.sparkContext.defaultParallelism))), "edges"), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        if edges.rdd.getNumPartitions() == 1 and before is None:
-            # One task has seen all edges, and its stars are final.
+        if now[0] <= ONE_TASK:
+            last = contracted(edges.coalesce(1))
+            return written(last, "roots").select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         small = _with_least(large)
         links = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v")))
-        edges = written(contracted(links.distinct().repartition("u")).distinct(), "edges")
+        edges = written(contracted(links.distinct().repartition("u")).distinct(), "edges", narrow=True)

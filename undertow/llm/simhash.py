@@ -190,7 +190,7 @@ def links(classes: DataFrame, keys: list[Column], node: str, words: list[str], r
     own = list(dict.fromkeys([node, *words]))
     dealt = classes.select(*own, F.explode(deal).alias("k")).select(*own, "k.t", "k.b")
     # Buckets of more than a part are cut into parts; how many there are decides whether they are broadcast.
-    large = written(dealt.groupBy("t", "b").agg(F.count("*").alias("size")).where(F.col("size") > part), "large")
+    large = dealt.groupBy("t", "b").agg(F.count("*").alias("size")).where(F.col("size") > part)
     most = large.limit(FEW_LARGE + 1).count()
     if not most:
         shared = dealt.withColumn("parts", F.lit(1).cast("long"))
@@ -276,8 +276,8 @@ def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     table = written(fingerprinted(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
-    roots = written(components(links(classes, block_keys("fp", radius), "fp", ["fp"], radius, part)), "roots")
+    classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes", narrow=True)
+    roots = components(links(classes, block_keys("fp", radius), "fp", ["fp"], radius, part))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"), F.sum("size").alias("size")).where("size > 1")
     deal = F.xxhash64("root").alias("deal")
@@ -299,9 +299,9 @@ def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WI
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     table = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{w} long" for w in names)), "wide")
-    classes = written(table.groupBy(*names).agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).withColumn("node", F.monotonically_increasing_id()), "wide-classes")
+    classes = written(table.groupBy(*names).agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)).withColumn("node", F.monotonically_increasing_id()), "wide-classes")
     keys = sampled_keys(names, radius, classes.count())
-    roots = written(components(links(classes, keys, "node", names, radius, part)), "wide-roots")
+    roots = components(links(classes, keys, "node", names, radius, part))
     joined = classes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     least = joined.groupBy("group").agg(F.min("least").alias("least"))
     # Keys that hold a hash of their own have both sides of a join dealt anew, so that a hot group can be split.
