@@ -92,3 +92,8 @@ def dataset_parts(name: Column) -> dict[str, Column]:
     parts = F.split(name, "_")
     at = lambda i: F.try_element_at(parts, F.lit(i))
     return {"generator": at(2), "n_nodes": at(3).try_cast("int"), "m_edges": at(4).try_cast("int"), "p_edges": at(5).try_cast("double"), "n_patterns": at(6).try_cast("int")}
+
+
+def dataset_kind(name: str) -> str:
+    """generated or transactions, by the name's prefix."""
+    return "generated" if name.startswith("synthetic") else "transactions"
