@@ -94,4 +94,7 @@ ORACLES = {
               union all select 'new_mules', 2 * i, 2 * i + 1, 1018 + 4 * i + j from p, m
               union all select 'existing_mules', 6 + 6 * i, 7 + 6 * i, 8 + 6 * i + j from p, m)
         select kind, source, mule as target from s union all select kind, mule, target from s""",
+    "parameter_grid": """with n as (select unnest([100, 10000, 100000]) as n), k as (select unnest([3, 5]) as k), m as (select unnest([1, 2, 5]) as m), p as (select unnest(['0.001', '0.01']) as p),
+        s as (select 'Barabasi-Albert' as g, m, '0' as p from m union all select 'Erdos-Renyi', 0, p from p union all select 'Watts-Strogatz', m, p from m, p)
+        select 'synthetic_' || g || '_' || n || '_' || m || '_' || p || '_' || k as dataset, g as generator, n as n_nodes, m as m_edges, cast(p as double) as p_edges, k as n_patterns from s, n, k where k <= 0.06 * n""",
 }
