@@ -6,7 +6,7 @@ import pytest
 from undertow.operators import communities, graph, synthetic
 from undertow.operators.models import MEASURES, IsolationForest
 from undertow.plans import workflows
-from undertow.sources.stage import staged
+from undertow.sources.stage import clear_stages, session_dir, staged
 from undertow.streaming import ingest
 
 
@@ -100,3 +100,16 @@ def test_stream_matches_batch(spark, tmp_path):
     want = workflows.scores(workflows.measures(place.select("node"), e, True), True)
     got = ingest.latest_scores(spark, str(tmp_path / "scores"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stages_are_cleared(spark):
+    from pathlib import Path
+
+    other = Path(session_dir(spark)).parent / "another-session"
+    table = staged(spark.range(3), "kept")
+    assert table.count() == 3
+    home = Path(session_dir(spark).removeprefix("file:"))
+    assert home.exists()
+    clear_stages(spark)
+    assert not home.exists()
+    assert home != other

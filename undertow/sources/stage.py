@@ -17,8 +17,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's own part of the shared folder."""
+    return f"{shared_dir(spark)}/undertow/{spark.sparkContext.applicationId}"
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df there and read it again: the lineage is cut, and values that depend on the partitioning stay."""
-    path = f"{shared_dir(df.sparkSession)}/undertow/{name}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete this session's intermediate tables; results that were not written elsewhere can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
