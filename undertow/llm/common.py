@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undertow.sources.stage import shared_dir
+from undertow.sources.stage import stage_path
 
 #: Bytes of text that a Python worker handles as one block.
 BLOCK_BYTES = 2 << 20
@@ -37,7 +36,7 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
-    path = f"{shared_dir(spark)}/undertow/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
