@@ -19,6 +19,7 @@ that is linked to nothing has none. Extra columns are ignored. An empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undertow.llm import similar
 from undertow.llm.common import gathered, read_table, text_blocks, without, written
 from undertow.llm.components import components
 
@@ -287,27 +289,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     )
 
 
-def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE, radius: int = WIDE_RADIUS, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, group (a number that similar texts share), first (whether it is the group's
     least in doc_id and text_hash)."""
-    names = [f"w{k}" for k in range(words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, 2):
-            found = fingerprints(block.column(2).to_pylist(), shingle, words).reshape(block.num_rows, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *map(pa.array, found.T)], names=["doc_id", "text_hash", *names])
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    table = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{w} long" for w in names)), "wide")
-    classes = written(table.groupBy(*names).agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)).withColumn("node", F.monotonically_increasing_id()), "wide-classes")
-    keys = sampled_keys(names, radius, classes.count())
-    roots = components(links(classes, keys, "node", names, radius, part))
-    joined = classes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    least = joined.groupBy("group").agg(F.min("least").alias("least"))
-    # Keys that hold a hash of their own have both sides of a join dealt anew, so that a hot group can be split.
-    deal = F.xxhash64("group").alias("deal")
-    known = joined.drop("least").select("*", deal).join(least.select("*", deal), ["deal", "group"]).select(*names, "group", "least", F.xxhash64(*names).alias("key"))
-    return table.withColumn("key", F.xxhash64(*names)).join(known, ["key", *names]).select("doc_id", "text_hash", "group", F.col("least").eqNullSafe(F.struct("doc_id", "text_hash")).alias("first"))
+    return similar.groups(docs, partial(shingle_hashes, shingle=shingle), part, id_col, text_col)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
