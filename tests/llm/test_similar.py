@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from undertow.llm import simhash
 
 
@@ -43,3 +45,33 @@ def test_no_clean_document_is_dropped(spark):
         words = [f"w{r.randint(0, 5000)}" for _ in range(200)]
         rows += [(d, " ".join(words)), (d + 1, " ".join(edited(r, words, 8)))]
     assert kept(spark, rows) == brute_kept(rows) == {d for d, _ in rows}
+
+
+@pytest.mark.parametrize("part", [2048, 7])
+def test_groups_match_brute_force(spark, part):
+    """Short texts, pairs around 0.8, a large group of near copies, and texts that share a common passage and little else."""
+    r = random.Random(2)
+    word = lambda: f"w{r.randint(0, 5000)}"
+    texts = []
+    for _ in range(60):
+        words = [word() for _ in range(r.choice([3, 5, 8, 9, 9, 30, 120]))]
+        texts += [words, edited(r, words, r.choice([0, 1, 2]) if len(words) > 9 else 0), words[:-1], [*words, word()]]
+    base, passage = [word() for _ in range(150)], [word() for _ in range(40)]
+    texts += [edited(r, base, r.randint(0, 4)) for _ in range(60)]
+    texts += [[*passage, *(word() for _ in range(r.randint(1, 25)))] for _ in range(60)]
+    texts += [[], [], ["one"]]
+    r.shuffle(texts)
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    assert kept(spark, rows, part=part) == brute_kept(rows)
+
+
+def test_a_pair_is_found_among_any_number_of_others(spark):
+    """Every pair at exactly 0.8 (9 words, the last changed by one more) is joined, however many rows stand beside it."""
+    r = random.Random(3)
+    rows = []
+    for d in range(0, 400, 2):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(8)]
+        rows += [(d, " ".join(words)), (d + 1, " ".join([*words, f"w{r.randint(0, 5000)}"]))]
+    assert kept(spark, rows) == brute_kept(rows) == set(range(0, 400, 2))
+    some = [row for row in rows if row[0] < 20]
+    assert kept(spark, some) == set(range(0, 20, 2))

@@ -7,9 +7,8 @@ carry-save counter adds the differing bits of many pairs at once, and a block is
 the radius. A bucket of any size is dealt as pairs of bounded parts, so it is compared in full and no task grows with
 it; a task returns a spanning forest of the links it found, never all pairs. Components join the forests.
 
-The same comparison serves wider fingerprints: ``similar_groups`` takes five-word shingles, 256 bits and a distance that
-stands for a similarity of 0.8, draws its buckets by bit sampling with enough tables to find such pairs, and is what
-``drop_near_duplicates`` uses.
+``drop_near_duplicates`` takes ``similar_groups`` instead: an exact join of the sets of five-word shingles at a similarity of
+0.8, see ``similar``.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which is linked like any other.
 Rows are documents, repeated doc_ids too. component_id is the least doc_id that isn't null; a document without doc_id
@@ -39,9 +38,8 @@ FEW = 32
 #: Most buckets of more than a part that are broadcast, with three numbers each.
 FEW_LARGE = 20_000
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Similar groups: words of a shingle, 64-bit words of a fingerprint, and the distance up to which texts are alike. Texts of
-#: similarity 0.8 differ in 39 of 256 bits on average, with a deviation of 6.
-WIDE_SHINGLE, WIDE, WIDE_RADIUS = 5, 4, 48
+#: Words of a shingle of similar groups.
+WIDE_SHINGLE = 5
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -69,26 +67,14 @@ def majorities(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return value
 
 
-def _remixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Further hash words from one; the first is the hash itself."""
-    if not k:
-        return h
-    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprints(texts: list[str | None], shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """The texts' fingerprints, as rows of 64-bit words (one-dimensional for one word)."""
+def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
+    """The texts' fingerprints."""
     hashes = [shingle_hashes(t, shingle) for t in texts]
     n = np.array([len(x) for x in hashes], np.int64)
-    result = np.zeros((len(n), words), np.uint64)
+    result = np.zeros(len(n), np.uint64)
     if n.any():
-        h = np.array([x for one in hashes for x in one], np.uint64)
-        for k in range(words):
-            result[n > 0, k] = majorities(_remixed(h, k), n[n > 0])
-    return result[:, 0] if words == 1 else result
+        result[n > 0] = majorities(np.array([x for one in hashes for x in one], np.uint64), n[n > 0])
+    return result
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -249,22 +235,6 @@ def block_keys(word: str, radius: int) -> list[Column]:
     return [F.col(word).bitwiseAND(F.lit(_signed(m))) for m in _masks(radius)]
 
 
-def sampled_keys(words: list[str], radius: int, n: int) -> list[Column]:
-    """Keys of sampled bits. Their number of bits follows the logarithm of the n fingerprints, so that buckets stay small,
-    and enough of them are drawn that a pair at nine tenths of the radius shares one with a chance of 0.93."""
-    total = 64 * len(words)
-    bits = max(14, round(float(np.log2(max(2, n)))) - 4)
-    agree = (1 - 0.9 * radius / total) ** bits
-    draw = np.random.default_rng(SEED)
-    keys = []
-    for _ in range(int(np.ceil(2.7 / agree))):
-        chosen = [0] * len(words)
-        for bit in draw.choice(total, bits, replace=False).tolist():
-            chosen[bit // 64] |= 1 << bit % 64
-        keys.append(F.xxhash64(*(F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, chosen, strict=True))))
-    return keys
-
-
 def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
