@@ -69,6 +69,7 @@ def _grid(spark, sf: str) -> DataFrame:
 
 QUERIES = {
     "connected_components": lambda s, d: communities.connected_components(*reduced_graph(s, d, 32)),
+    "connected_components_whole": lambda s, d: communities.connected_components(*raw_graph(s, d)),
     "louvain_communities": _louvain,
     "modularity": _modularity,
     "isolation_scores": lambda s, d: _forest(s, d).select("node", *MEASURES, "anomaly_score"),
