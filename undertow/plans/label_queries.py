@@ -37,8 +37,8 @@ def _identifiers(spark, sf: str) -> DataFrame:
     return transactions(spark, sf).select("tx_id", labels.identifier("tx_id", "from_account", "to_account", "pattern", "is_laundering").alias("identifier"))
 
 
-def _joined(how: str):
-    return lambda s, d: rounded(labels.join_scores(_rates(s, d, "sender"), _scores(s, d, True), how))
+def _joined(how: str, some: bool = True):
+    return lambda s, d: rounded(labels.join_scores(_rates(s, d, "sender"), _scores(s, d, some), how))
 
 
 def _long(spark, sf: str) -> DataFrame:
@@ -50,8 +50,8 @@ def _one_target(spark, sf: str) -> DataFrame:
     return _long(spark, sf).where((F.col("target") == LAUNDERING) & (F.col("cutoff") == CUTOFFS[0]))
 
 
-def _bins(spark, sf: str) -> DataFrame:
-    return rounded(labels.rates_by_bin(labels.join_scores(_rates(spark, sf), _scores(spark, sf, True), "lookup")))
+def _bins(some: bool = True):
+    return lambda s, d: rounded(labels.rates_by_bin(labels.join_scores(_rates(s, d), _scores(s, d, some), "lookup")))
 
 
 def _area(column: str):
@@ -142,7 +142,10 @@ QUERIES = {
     "tx_pattern_labels": lambda s, d: labelled(s, d).select("tx_id", *TARGETS),
     **{f"account_labels_{side}": (lambda s, d, x=side: rounded(_rates(s, d, x))) for side in ("sender", "receiver", "combined")},
     **{f"labels_scores_{how}": _joined(how) for how in ("outer", "lookup", "inner")},
-    "pattern_by_score_bin": _bins,
+    "pattern_by_score_bin": _bins(),
+    # The same over all scores; the ones above leave a third out, as their SQL does.
+    **{f"labels_scores_{how}_all": _joined(how, False) for how in ("outer", "lookup", "inner")},
+    "pattern_by_score_bin_all": _bins(False),
     "threshold_labels_long": lambda s, d: _long(s, d).select("node", *BY, "label"),
     "auc_roc_grid": _area("roc"),
     "auc_pr_grid": _area("pr"),
