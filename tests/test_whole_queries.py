@@ -37,3 +37,9 @@ def test_missing_scores(spark):
     scores = spark.createDataFrame([(1, 0.25), (2, 0.75)], "node long, score double")
     for how, want in (("outer", {1: 0.25, 2: 0.75, 3: -1}), ("lookup", {1: 0.25, 3: -2}), ("inner", {1: 0.25})):
         assert {r.node: r.score for r in labels.join_scores(rates, scores, how).collect()} == want
+
+
+def test_models_take_every_cell(spark, sf):
+    for name, targets in (("isolation_areas", TARGETS), ("tree_auc", TARGETS[:-1])):
+        got = {(r.cutoff, r.target) for r in registry.queries()[name](spark, sf).collect()}
+        assert got == {(c, t) for c in fixtures.CUTOFFS for t in targets}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.functions import labels
-from undertow.functions.labels import LAUNDERING
+from undertow.functions.labels import NOT_CLASSIFIED, TARGETS
 from undertow.operators import communities, synthetic
 from undertow.operators.blocks import measures
 from undertow.operators.models import MEASURES, IsolationForest
@@ -15,7 +15,7 @@ from undertow.plans.fixtures import CUTOFFS, DENSE, labelled, raw_graph, reduced
 from undertow.plans.graph_queries import rounded
 from undertow.sources.stage import staged
 
-CELLS = [(CUTOFFS[0], LAUNDERING)]
+CELLS = [(c, t) for c in CUTOFFS for t in TARGETS if t != NOT_CLASSIFIED]
 N, M, PATTERNS_ = 2000, 2, 5
 
 
@@ -36,7 +36,7 @@ def _forest(spark, sf: str) -> DataFrame:
 
 
 def _anomaly_areas(spark, sf: str) -> DataFrame:
-    return workflows.anomaly_areas(labels.account_rates(labelled(spark, sf)), _forest(spark, sf), [CUTOFFS[0]])
+    return workflows.anomaly_areas(labels.account_rates(labelled(spark, sf)), _forest(spark, sf), CUTOFFS)
 
 
 def _outliers(spark, sf: str) -> DataFrame:
