@@ -14,7 +14,7 @@ import xxhash
 
 from tests.llm.conftest import LONG, TEXTS
 from undertow.llm import exact_dedup, lm_scoring, packing, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
-from undertow.llm.common import public_tokenizer
+from undertow.llm.common import packed, public_tokenizer, unpacked
 from undertow.llm.components import components
 from undertow.llm.linear import fit, sigmoid
 
@@ -292,30 +292,113 @@ def test_simhash_on_messy_tables(messy, empty):
 # Language model
 
 
-def test_lm_base_scores(spark, documents):
-    df = spark.createDataFrame(documents, "doc_id long, text string")
-    rows = lm_scoring.lm_scores(df, top=50, coarse=8, head=500).collect()
+def brute_lm(rows, order):
+    """Scores by plain dictionaries: counts, the weights' table, expectation-maximisation and the mixture."""
+    def tokens(t):
+        return [*(t or "").encode().lower().split(), "end"]
+
+    def grams(t):
+        w = ["begin"] * (order - 1) + tokens(t)
+        return [[tuple(w[i - k : i + 1]) for k in range(order)] for i in range(order - 1, len(w))]
+
+    def counted(some):
+        return Counter(g for t in some for gs in grams(t) for g in gs), sum(len(tokens(t)) for t in some), len(some)
+
+    def estimates(gs, model):
+        counts, n, texts = model
+        out = []
+        for k, g in enumerate(gs):
+            context = n if k == 0 else texts if g[:-1] == ("begin",) * k else counts[g[:-1]]
+            out.append((counts[g] / context if context else 0.0, 0 if not context else min(47, int(math.log2(context)) + 1)))
+        return out
+
+    def chances(parts, weights, uniform):
+        found = [uniform]
+        for k, (ratio, bucket) in enumerate(parts):
+            found.append(weights[k][bucket] * ratio + (1 - weights[k][bucket]) * found[-1])
+        return found
+
+    at = {d: zlib.crc32(str(d).encode()) % 7 for d, _ in rows}
+    whole, rest = counted([t for d, t in rows if at[d] != 2]), counted([t for d, t in rows if at[d] not in (2, 3)])
+    kinds = [sum(len(g) == 1 for g in m[0]) for m in (whole, rest)]
+    table = Counter()
+    for t in (t for d, t in rows if at[d] == 3):
+        for gs in grams(t):
+            table[tuple((min(63, 1 + math.floor(-2 * math.log2(r))) if r else 0, b) for r, b in estimates(gs, rest))] += 1
+    weights = [[0.0] + [0.5] * 47 for _ in range(order)]
+    for _ in range(40):
+        taken, met = [[0.5] * 48 for _ in range(order)], [[1.0] * 48 for _ in range(order)]
+        for cell, times in table.items():
+            parts = [(2 ** -max(0, (q - 0.5) / 2) if q else 0.0, b) for q, b in cell]
+            p, mass = chances(parts, weights, 1 / (kinds[1] + 1)), float(times)
+            for k in range(order - 1, -1, -1):
+                ratio, b = parts[k]
+                own = mass * weights[k][b] * ratio / p[k + 1]
+                taken[k][b] += own
+                met[k][b] += mass
+                mass -= own
+        reached = [[m > 1 for m in ms] for ms in met]
+        weights = [[0.0] + [x / m for x, m in zip(xs[1:], ms[1:], strict=True)] for xs, ms in zip(taken, met, strict=True)]
+    for k in range(order):
+        known = [b for b in range(1, 48) if reached[k][b]]
+        for b in range(1, 48):
+            if known and b not in known:
+                weights[k][b] = weights[k][max((x for x in known if x < b), default=known[0])]
+    return {d: sum(math.log10(chances(estimates(gs, whole), weights, 1 / (kinds[0] + 1))[-1]) for gs in grams(t)) for d, t in rows}
+
+
+@pytest.mark.parametrize(("order", "block_tokens", "range_keys"), [(3, 2_000_000, 1 << 21), (3, 700, 4000), (2, 5000, 30_000)])
+def test_lm_matches_brute_force(spark, documents, order, block_tokens, range_keys):
+    """All columns, with few large blocks and with many small ones, one range of keys and many."""
+    df = spark.createDataFrame(documents, "doc_id long, text string").repartition(3)
+    rows = lm_scoring.lm_scores(df, order=order, block_tokens=block_tokens, range_keys=range_keys).collect()
     tokens = {d: [*(t or "").encode().lower().split(), None] for d, t in documents}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
     counts = Counter(w for d in tokens if not held[d] for w in tokens[d])
     n, v = sum(counts.values()), len(counts)
+    scores = brute_lm(documents, order)
+    assert len(rows) == len(documents)
     for r in rows:
         w = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(x in counts for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-    per = lambda c: sum(getattr(r, c) for r in rows if r.held_out) / sum(r.n_tokens for r in rows if r.held_out)
-    assert per("score") > per("base_score")
+        assert r.score == pytest.approx(scores[r.doc_id], rel=1e-9)
+
+
+def test_lm_tells_repeated_documents(spark):
+    """A text that occurs twice in the training texts is likelier than its like that occur once, through its own n-grams."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") for _ in range(80)) for _ in range(300)]
+    rows = [(d, t) for d, t in enumerate([*texts, *texts[:20]])]
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fold = lambda d: zlib.crc32(str(d).encode()) % 7
+    twice = [got[d] for d in range(20) if fold(d) != 2 and fold(300 + d) != 2]
+    once = [got[d] for d in range(20, 300) if fold(d) != 2]
+    assert twice
+    assert np.mean(np.array(twice) > max(once)) == 1
 
 
 def test_lm_mixture_is_a_distribution():
+    """Over the words of the training texts and one other, after any context."""
+    rng = np.random.default_rng(0)
+    weights = rng.random((3, lm_scoring.BUCKETS))
+    weights[:, 0] = 0
+    joint = rng.poisson(0.4, (5, 5, 9)).astype(float)
+    mixture = lm_scoring.Mixture(int(joint.sum()), 9, 0, weights)
+    for a in range(5):
+        for b in range(5):
+            pair = joint[:, b].sum(0)
+            context = [joint.sum(), pair.sum(), joint[a, b].sum()]
+            ratios = [np.append(x / c if c else 0 * x, 0) for x, c in zip((joint.sum((0, 1)), pair, joint[a, b]), context, strict=True)]
+            p = mixture.probabilities(ratios, [lm_scoring.bucket_of(np.full(10, c)) for c in context])[-1]
+            assert p.sum() == pytest.approx(1)
+
+
+def test_packed_numbers_round_trip():
     rng = np.random.default_rng(0)
-    shape = (5, 9, 9)
-    rest, deleted = rng.poisson(0.4, shape), rng.poisson(0.2, shape)
-    rest[:, :, 8] = deleted[:, :, 8] = 0  # nothing follows as a beginning
-    weights = lm_scoring.learn_weights(rest, deleted, 8)
-    assert weights.sum(1) == pytest.approx(np.ones(len(weights)))
-    p = 10 ** lm_scoring.log_probabilities(rest + deleted, weights, 8).reshape(shape)
-    assert p[:, :, :8].sum(2) == pytest.approx(np.ones(shape[:2]))
+    for x in (np.zeros(0), np.zeros(5), np.array([2**64 - 1, 0, 255, 256], np.uint64), rng.integers(0, 2**40, 5000)):
+        x = x.astype(np.uint64)
+        assert (unpacked(packed(x), len(x)) == x).all()
 
 
 def test_lm_on_messy_tables(messy, empty):
@@ -324,6 +407,8 @@ def test_lm_on_messy_tables(messy, empty):
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert all(r.held_out for r in rows if r.doc_id is None)
     assert lm_scoring.lm_scores(empty).count() == 0
+    held = lm_scoring.lm_scores(messy.where("doc_id is null")).collect()
+    assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in held] == [(0, 0, 0.0, 0.0)]
 
 
 # Toxicity

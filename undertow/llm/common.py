@@ -123,6 +123,21 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65536) -> Iterator[n
     release()
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as compressed byte planes. Small numbers cost little, sorted ones are best sent as steps."""
+    wide = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T)
+    return bytes([wide]) + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The n numbers that were packed."""
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[1:], raw[0] * n, asbytes=True), np.uint8).reshape(raw[0], n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches where their text column passes ``most`` bytes; a longer text stands alone."""
     for batch in batches:
