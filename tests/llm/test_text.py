@@ -390,7 +390,7 @@ def test_lm_mixture_is_a_distribution():
             pair = joint[:, b].sum(0)
             context = [joint.sum(), pair.sum(), joint[a, b].sum()]
             ratios = [np.append(x / c if c else 0 * x, 0) for x, c in zip((joint.sum((0, 1)), pair, joint[a, b]), context, strict=True)]
-            p = mixture.probabilities(ratios, [lm_scoring.bucket_of(np.full(10, c)) for c in context])[-1]
+            p = list(mixture.probabilities([(r, lm_scoring.bucket_of(np.full(10, c))) for r, c in zip(ratios, context, strict=True)]))[-1]
             assert p.sum() == pytest.approx(1)
 
 

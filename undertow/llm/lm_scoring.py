@@ -4,18 +4,9 @@ Maximum-likelihood estimates of all orders, from the uniform one up to trigrams,
 how often its context was seen (buckets by powers of two). The weights are learned by expectation-maximisation on the texts
 of a deleted fold, against counts from the other training texts; the final estimates use the counts of all training texts.
 
-All n-grams are counted, those seen once too, and counting is distributed:
-
-1. Texts are written as blocks of about two million tokens (word numbers and the hashes of the distinct words). A block
-   holds texts of one fold, so training, deleted and held-out texts stand apart.
-2. Each block sorts the keys of its distinct n-grams, of every order, cuts them into ranges and sends each range with its
-   counts to the range's owner: each n-gram travels once a block, however frequent it is, so no n-gram makes a hot group.
-3. An owner adds up the counts and answers in the order of the keys it got, so that an answer is counts alone. A block that
-   meets its answers again finds the count of each n-gram by its rank. One such pass over the deleted texts fills a table
-   of estimates and context buckets, of a size bounded by its bins, for the weights; one over all texts gives the scores.
-
-Keys are hashes whose number of bits follows the corpus (24 more than the logarithm of its tokens, 64 at most): an n-gram
-shares its key with another with a chance under 2 ** -24, whatever the size. Words are told apart by 64 bits.
+All n-grams are counted, those seen once too, and the counts stay distributed (see ``ngrams``): blocks of texts get the
+counts of their own n-grams. One such pass over the deleted texts fills a table of estimates and context buckets, of a size
+bounded by its bins, for the weights; one over all texts gives the scores.
 
 Tokens are runs of anything but ASCII white space, A-Z lowered, and one end. The model is a distribution over the words of
 the training texts and one word for all others.
@@ -35,239 +26,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import Lookup, kept_in_worker, packed, read_table, release, text_blocks, unpacked, written
+from undertow.llm.common import read_table
+from undertow.llm.ngrams import APART, ASKING, BLOCK_TOKENS, COUNTED, END, RANGE_KEYS, Counts, blocks, mix
 
 #: Folds by CRC-32 of the doc_id: the held-out one, and the one deleted while the mixture weights are learned.
 FOLDS, HELD, DELETED = 7, 2, 3
 ORDER = 3
-#: Tokens of a block (a longer text is a block of its own), and keys of an owner's range, about.
-BLOCK_TOKENS, RANGE_KEYS = 2_000_000, 1 << 21
-#: Bits of a key beyond the logarithm of the number of tokens.
-SPARE_BITS = 24
 #: Buckets of contexts, and levels of an estimate in the table for the weights (half octaves; 0 for an estimate of zero).
 BUCKETS, LEVELS = 48, 64
-#: Stand for the end of a text and for what comes before its first word; no word's hash is likely to equal them.
-END, BEGIN = np.uint64(0x51A7C0DE0E4D0001), np.uint64(0x51A7C0DE0BE60002)
+#: Stands for what comes before the first word; no word's hash is likely to equal it.
+BEGIN = np.uint64(0x51A7C0DE0BE60002)
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-def split(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
-
-
 def fold(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(HELD)).cast("int")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _word_table() -> Lookup:
-    from xxhash import xxh64_intdigest
-
-    return Lookup(xxh64_intdigest, limit=300_000)
-
-
-# Blocks
-
-
-class Building:
-    """A block that grows by texts."""
-
-    def __init__(self) -> None:
-        self.ids: list[int | None] = []
-        self.words: list[np.ndarray] = []
-        self.tokens = 0
-
-    def add(self, doc_id: int | None, words: list[bytes], table: Lookup) -> None:
-        found = np.empty(len(words) + 1, np.uint64)
-        found[:-1] = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-        found[-1] = END
-        self.ids.append(doc_id)
-        self.words.append(found)
-        self.tokens += len(found)
-
-    def row(self, kind: int) -> dict:
-        distinct, numbers = np.unique(np.concatenate(self.words), return_inverse=True)
-        return {
-            "kind": kind,
-            "tokens": self.tokens,
-            "ids": self.ids,
-            "lengths": [len(w) for w in self.words],
-            "n": len(distinct),
-            "one": packed(np.diff(distinct, prepend=np.uint64(0))),
-            "two": packed(numbers.astype(np.uint64)),
-        }
-
-
-BLOCK = pa.schema([("kind", pa.int32()), ("tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
-
-
-def blocks(texts: DataFrame, block_tokens: int) -> DataFrame:
-    """The texts (doc_id, fold, text) as written blocks, each with a number of its own."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = kept_in_worker("lm words", _word_table)
-        growing: dict[int, Building] = {}
-
-        def out(kind: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([growing.pop(kind).row(kind)], schema=BLOCK)
-
-        for batch in text_blocks(batches, 2):
-            for doc_id, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = split(text)
-                if kind in growing and growing[kind].tokens + len(words) >= block_tokens:
-                    yield out(kind)
-                growing.setdefault(kind, Building()).add(doc_id, words, table)
-        for kind in list(growing):
-            yield out(kind)
-        release()
-
-    kind = F.when(F.col("fold").isin(HELD, DELETED), F.col("fold")).otherwise(-1).alias("kind")
-    made = texts.select("doc_id", kind, "text").mapInArrow(build, "kind int, tokens long, ids array<long>, lengths array<long>, n long, one binary, two binary")
-    return written(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
-
-
-def words_of(n: int, one: bytes, two: bytes, tokens: int) -> np.ndarray:
-    """The hash of each token of a block."""
-    return np.cumsum(unpacked(one, n), dtype=np.uint64)[unpacked(two, tokens).astype(np.int64)]
-
-
-def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
-    """The hash of the n-gram that ends at each token, for every order."""
+def grams(h: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """The hash of the n-gram that ends at each token, for one order after the other."""
     before = np.append(BEGIN, h[:-1])
-    before[before == END] = BEGIN
-    found, first = [h], before == BEGIN
+    first = before == END
+    first[:1] = True
+    before[first] = BEGIN
+    found = h
+    yield found
     for k in range(1, order):
-        found.append(_mix(before * _MULTIPLIERS[k % 2] + found[-1]))
+        found = mix(before * _MULTIPLIERS[k % 2] + found)
+        yield found
         before = np.append(BEGIN, before[:-1])
         before[first] = BEGIN
-    return found
-
-
-def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts the keys, where each distinct key begins in it, and the distinct keys' counts."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    return order, begin, np.diff(np.append(begin, len(s)))
-
-
-# Counts
-
-
-def answers(made: DataFrame, order: int, bits: int, ranges: int) -> DataFrame:
-    """For each block and range (number range_, ascending with the order and the keys): n, one (the counts in all training
-    texts), two (those outside the deleted fold, for a deleted block). Rows of block -1 hold the number of kinds of words
-    in all training texts (one) and outside the deleted fold (two)."""
-    shift, low = np.uint64(64 - bits), np.uint64(bits - (ranges - 1).bit_length())
-    # Ranges are cut by the leading bits of a key.
-    assert ranges & (ranges - 1) == 0
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                h = words_of(row["n"], row["one"], row["two"], row["tokens"])
-                for k, gram in enumerate(grams(h, order)):
-                    keys = np.sort(gram >> shift)
-                    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                    counts = np.diff(np.append(begin, len(keys))).astype(np.uint64)
-                    keys = keys[begin]
-                    cuts = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << low) if ranges > 1 else []
-                    columns: list[list] = [[], [], [], []]
-                    for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
-                        if b > a:
-                            step = np.diff(keys[a:b], prepend=np.uint64(r) << low if ranges > 1 else np.uint64(0))
-                            for column, value in zip(columns, (k * ranges + r, b - a, packed(step), b"" if row["kind"] == HELD else packed(counts[a:b])), strict=True):
-                                column.append(value)
-                    n = len(columns[0])
-                    arrays = [pa.array(columns[0], pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array([row["kind"]] * n, pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["range_", "block", "kind", "n", "one", "two"])
-        release()
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["range_"] != held[0]["range_"]:
-                    yield _added(held, held[0]["range_"] < ranges)
-                    held = []
-                held.append(row)
-        if held:
-            yield _added(held, held[0]["range_"] < ranges)
-        release()
-
-    kind = "range_ int, block long, kind int, n long, one binary, two binary"
-    asked = made.select("block", "kind", "tokens", "n", "one", "two").mapInArrow(ask, kind)
-    return asked.repartition("range_").sortWithinPartitions("range_").mapInArrow(answer, kind)
-
-
-def _added(rows: list[dict], words: bool) -> pa.RecordBatch:
-    """The answers of one range's owner; words: whether the range holds words, whose kinds are counted."""
-    n = np.array([r["n"] for r in rows], np.int64)
-    keys = np.concatenate([np.cumsum(unpacked(r["one"], r["n"]), dtype=np.uint64) for r in rows])
-    times = np.concatenate([unpacked(r["two"], r["n"]) if r["two"] else np.zeros(r["n"], np.uint64) for r in rows])
-    kept = np.repeat([r["kind"] == -1 for r in rows], n)
-    order, begin, size = ranked(keys)
-    del keys
-    sums = []
-    for some in (times, np.where(kept, times, np.uint64(0))):
-        total = np.add.reduceat(some[order], begin)
-        spread = np.empty(len(order), np.uint64)
-        spread[order] = np.repeat(total, size)
-        sums.append((spread, int((total > 0).sum())))
-    end = np.cumsum(n)
-    one = [packed(sums[0][0][b - c : b]) for b, c in zip(end, n, strict=True)]
-    two = [packed(sums[1][0][b - c : b]) if r["kind"] == DELETED else b"" for r, b, c in zip(rows, end, n, strict=True)]
-    blocks_, kinds = [r["block"] for r in rows], [r["kind"] for r in rows]
-    if words:
-        blocks_, kinds, n = [*blocks_, -1], [*kinds, -1], np.append(n, 1)
-        one, two = ([*x, packed(np.array([s[1]], np.uint64))] for x, s in zip((one, two), sums, strict=True))
-    arrays = [pa.array([rows[0]["range_"]] * len(n), pa.int32()), pa.array(blocks_, pa.int64()), pa.array(kinds, pa.int32()), pa.array(n), pa.array(one, pa.binary()), pa.array(two, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["range_", "block", "kind", "n", "one", "two"])
-
-
-def answered(made: DataFrame, replies: DataFrame, order: int, bits: int, ranges: int, use, schema: str, deleted: bool = False) -> DataFrame:
-    """What use gives for each block: a function of the block's row and its counts by order, an array over its tokens each.
-    deleted: of the deleted blocks only, with the counts outside the deleted fold."""
-    shift = np.uint64(64 - bits)
-
-    def finish(block: dict, got: list[list[dict]]) -> pa.RecordBatch:
-        h, counts = words_of(block["n"], block["one"], block["two"], block["tokens"]), []
-        for gram, rows in zip(grams(h, order), got, strict=True):
-            by_rank = np.concatenate([unpacked(r["two" if deleted else "one"], r["n"]) for r in rows])
-            at, begin, size = ranked(gram >> shift)
-            if len(begin) != len(by_rank):
-                raise ValueError("a block's answers don't fit its n-grams")
-            here = np.empty(len(at), np.float64)
-            here[at] = np.repeat(by_rank.astype(np.float64), size)
-            counts.append(here)
-        return use(block, h, counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, got = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["range_"] < 0:
-                    if block is not None:
-                        yield finish(block, got)
-                    block, got = row, [[] for _ in range(order)]
-                else:
-                    got[row["range_"] // ranges].append(row)
-        if block is not None:
-            yield finish(block, got)
-        release()
-
-    mine, theirs = made.withColumn("range_", F.lit(-1)), replies.where("block >= 0")
-    if deleted:
-        mine, theirs = (x.where(F.col("kind") == DELETED) for x in (mine, theirs))
-    none = [F.lit(None).cast("array<long>").alias(c) for c in ("ids", "lengths")]
-    theirs = theirs.select("block", "range_", "kind", F.lit(0).cast("long").alias("tokens"), *none, "n", "one", "two")
-    both = mine.select(*theirs.columns).union(theirs)
-    return both.repartition("block").sortWithinPartitions("block", "range_").mapInArrow(run, schema)
 
 
 # The mixture
@@ -279,24 +67,21 @@ class Mixture:
     def __init__(self, tokens: int, kinds: int, texts: int, weights: np.ndarray) -> None:
         self.tokens, self.uniform, self.texts, self.weights = tokens, 1 / (kinds + 1), texts, weights
 
-    def parts(self, h: np.ndarray, counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def parts(self, h: np.ndarray, counts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """By order, each token's maximum-likelihood estimate (0 if its context was not seen) and context bucket."""
         first = np.append(True, h[:-1] == END)
-        ratios, buckets = [], []
         for k, found in enumerate(counts):
             # What ends at the token before is the context; before the first token of a text it is seen once a text.
             context = np.where(first, self.texts, np.append(0, counts[k - 1][:-1])) if k else np.full(len(h), float(self.tokens))
-            ratios.append(np.divide(found, context, out=np.zeros(len(h)), where=context > 0))
-            buckets.append(bucket_of(context))
-        return ratios, buckets
-
-    def probabilities(self, ratios: list[np.ndarray], buckets: list[np.ndarray]) -> list[np.ndarray]:
-        """Of all orders, from the uniform one on."""
-        found = [np.full(len(ratios[0]), self.uniform)]
-        for ratio, bucket, weights in zip(ratios, buckets, self.weights, strict=True):
+            yield np.divide(found, context, out=np.zeros(len(h)), where=context > 0), bucket_of(context)
+
+    def probabilities(self, parts) -> Iterator[np.ndarray]:
+        """Of all orders of the parts, from the uniform one on; the last is the mixture."""
+        found = self.uniform
+        for (ratio, bucket), weights in zip(parts, self.weights, strict=True):
             w = weights[bucket]
-            found.append(w * ratio + (1 - w) * found[-1])
-        return found
+            found = w * ratio + (1 - w) * found
+            yield found
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -304,10 +89,10 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(context > 0, np.log2(np.maximum(context, 1)) + 1, 0).astype(np.int64), BUCKETS - 1)
 
 
-def cells(ratios: list[np.ndarray], buckets: list[np.ndarray]) -> np.ndarray:
+def cells(parts) -> np.ndarray | int:
     """Numbers of the cells of the table for the weights."""
-    out = np.zeros(len(ratios[0]), np.int64)
-    for ratio, bucket in zip(ratios, buckets, strict=True):
+    out = 0
+    for ratio, bucket in parts:
         level = np.where(ratio > 0, 1 + np.floor(-2 * np.log2(np.where(ratio > 0, ratio, 1))), 0)
         out = (out * BUCKETS + bucket) * LEVELS + np.clip(level, 0, LEVELS - 1).astype(np.int64)
     return out
@@ -316,7 +101,8 @@ def cells(ratios: list[np.ndarray], buckets: list[np.ndarray]) -> np.ndarray:
 def learn_weights(found: np.ndarray, times: np.ndarray, order: int, kinds: int, rounds: int = 40) -> np.ndarray:
     """Weights (order, bucket) by expectation-maximisation on the cells. A bucket that the deleted texts don't reach takes
     its neighbour's weight."""
-    ratios, buckets = [], []
+    ratios: list[np.ndarray] = []
+    buckets: list[np.ndarray] = []
     for _ in range(order):
         level, found = found % LEVELS, found // LEVELS
         bucket, found = found % BUCKETS, found // BUCKETS
@@ -328,10 +114,10 @@ def learn_weights(found: np.ndarray, times: np.ndarray, order: int, kinds: int,
         return weights
     reached = np.stack([np.bincount(b, times, BUCKETS) for b in buckets]) > 0
     for _ in range(rounds):
-        chances = Mixture(0, kinds, 0, weights).probabilities(ratios, buckets)
+        chances = list(Mixture(0, kinds, 0, weights).probabilities(zip(ratios, buckets, strict=True)))
         mass, new = times.astype(float), weights.copy()
         for k in range(order - 1, -1, -1):
-            taken = mass * weights[k][buckets[k]] * ratios[k] / chances[k + 1]
+            taken = mass * weights[k][buckets[k]] * ratios[k] / chances[k]
             # Half a prior count on either side keeps rare buckets sane and weights off 0 and 1.
             new[k] = (np.bincount(buckets[k], taken, BUCKETS) + 0.5) / (np.bincount(buckets[k], mass, BUCKETS) + 1)
             mass = np.maximum(mass - taken, 0)
@@ -346,37 +132,35 @@ def learn_weights(found: np.ndarray, times: np.ndarray, order: int, kinds: int,
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    made = blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(id_col).alias("fold"), F.col(text_col).cast("string").alias("text")), block_tokens)
-    sizes = {r.kind: (r.tokens, r.texts) for r in made.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum(F.size("ids")).alias("texts")).collect()}  # at most three rows
-    total = lambda *kinds: [sum(sizes.get(k, (0, 0))[i] for k in kinds) for i in (0, 1)]
-    everything = max(1, total(-1, DELETED, HELD)[0])
-    bits = min(64, everything.bit_length() + SPARE_BITS)
-    ranges = 1 << max(0, (everything // range_keys).bit_length())
-    replies = written(answers(made, order, bits, ranges), "lm-answers")
-    kinds = [0, 0]
-    for row in replies.where("block = -1").select("one", "two").collect():  # one short row a range
-        kinds = [k + int(unpacked(x, 1)[0]) for k, x in zip(kinds, row, strict=True)]
+    part = fold(id_col)
+    kind = F.when(part == HELD, ASKING).when(part == DELETED, APART).otherwise(COUNTED).alias("kind")
+    made = blocks(docs.select(kind, F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id")), block_tokens)
+    found = made.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum(F.size("lengths")).alias("texts")).collect()  # at most three rows
+    sizes = {r.kind: np.array([r.tokens, r.texts]) for r in found}
+    total = lambda *kinds: sum((sizes.get(k, np.zeros(2, np.int64)) for k in kinds), np.zeros(2, np.int64)).tolist()
+    counts_of = Counts(made, lambda h, lengths: grams(h, order), order, total(COUNTED, APART, ASKING)[0], range_keys)
+    kinds, rest_kinds = counts_of.distinct()
+    (tokens, texts), (rest_tokens, rest_texts) = total(COUNTED, APART), total(COUNTED)
+    rest = Mixture(rest_tokens, rest_kinds, rest_texts, np.zeros((order, BUCKETS)))
 
     def seen(block: dict, h: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
-        cell, times = np.unique(cells(*rest.parts(h, counts)), return_counts=True)
+        cell, times = np.unique(cells(rest.parts(h, counts)), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(times)], names=["cell", "times"])
 
-    (tokens, texts), (rest_tokens, rest_texts) = total(-1, DELETED), total(-1)
-    rest = Mixture(rest_tokens, kinds[1], rest_texts, np.zeros((order, BUCKETS)))
-    table = answered(made, replies, order, bits, ranges, seen, "cell long, times long", deleted=True).groupBy("cell").agg(F.sum("times").alias("times")).toArrow()  # bounded by its bins
-    mixture = Mixture(tokens, kinds[0], texts, learn_weights(table["cell"].to_numpy(), table["times"].to_numpy(), order, kinds[1]))
-    base = np.log10(tokens + kinds[0] + 1)
+    table = counts_of.use(seen, "cell long, times long", apart=True).groupBy("cell").agg(F.sum("times").alias("times")).toArrow()  # bounded by its bins
+    mixture = Mixture(tokens, kinds, texts, learn_weights(table["cell"].to_numpy(), table["times"].to_numpy(), order, rest_kinds))
+    base = np.log10(tokens + kinds + 1)
 
     def score(block: dict, h: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array(block["lengths"], np.int64)
-        begin = np.cumsum(lengths) - lengths
-        logs = np.log10(mixture.probabilities(*mixture.parts(h, counts))[-1])
-        per = [np.add.reduceat(x, begin) for x in ((counts[0] > 0).astype(np.int64), np.log10(counts[0] + 1) - base, logs)]
+        for mixed in mixture.probabilities(mixture.parts(h, counts)):
+            chance = mixed
+        per = [np.add.reduceat(x, np.cumsum(lengths) - lengths) for x in ((counts[0] > 0).astype(np.int64), np.log10(counts[0] + 1) - base, np.log10(chance))]
         n = len(lengths)
-        arrays = [pa.array(block["ids"], pa.int64()), pa.array([block["kind"] == HELD] * n), pa.array(lengths), pa.array(per[0]), pa.array(np.full(n, tokens)), pa.array(per[1]), pa.array(per[2])]
+        arrays = [pa.array(block["doc_id"], pa.int64()), pa.array([block["kind"] == ASKING] * n), pa.array(lengths), pa.array(per[0]), pa.array(np.full(n, tokens)), pa.array(per[1]), pa.array(per[2])]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return answered(made, replies, order, bits, ranges, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return counts_of.use(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
