@@ -41,14 +41,21 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
+#: Rows of two numbers that are broadcast at most; more are joined by their keys.
+FEW_ROWS = 200_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_hash: Column, repeated: bool) -> DataFrame:
     """docs, with all their columns, without the rows that gone (columns id and hash) names by doc_id and a hash of the text;
-    of rows that agree in both, one stays. Own columns get names that docs don't have."""
+    repeated: of other rows that agree in both, one stays. Own columns get names that docs don't have."""
     taken = {c.lower() for c in docs.columns}
     own_id, own_hash, nth = (next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken) for name in ("own_id", "own_hash", "nth"))
     keyed = docs.select("*", F.col(id_col).cast("long").alias(own_id), text_hash.alias(own_hash))
     named = gone.select(F.col("id").alias("gone_id_"), F.col("hash").alias("gone_hash_")).distinct()
+    named = F.broadcast(named) if named.limit(FEW_ROWS + 1).count() <= FEW_ROWS else named
     kept = keyed.join(named, keyed[own_id].eqNullSafe(named["gone_id_"]) & (keyed[own_hash] == named["gone_hash_"]), "left_anti")
+    if not repeated:
+        return kept.select(*docs.columns)
     once = Window.partitionBy(own_id, own_hash).orderBy(F.lit(1))
     return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
 

@@ -71,8 +71,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept and keep_id is distinct from doc_id").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("hash"))
-    return without(docs, gone, id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    same = F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("same")
+    found = written(exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id"), _digest_part(F.col("text_sha256"), 1).alias("hash"), same), "copies", narrow=True)
+    own_hash = _digest_part(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1)
+    return without(docs, found.where("not same"), id_col, own_hash, repeated=not found.where("same").isEmpty())
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

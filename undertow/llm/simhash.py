@@ -8,7 +8,7 @@ the radius. A bucket of any size is dealt as pairs of bounded parts, so it is co
 it; a task returns a spanning forest of the links it found, never all pairs. Components join the forests.
 
 ``drop_near_duplicates`` takes ``similar_groups`` instead: an exact join of the sets of five-word shingles at a similarity of
-0.8, see ``similar``.
+0.8, by the same bit-sliced comparison of sketches that can't miss, see ``similar``.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which is linked like any other.
 Rows are documents, repeated doc_ids too. component_id is the least doc_id that isn't null; a document without doc_id
@@ -18,7 +18,6 @@ that is linked to nothing has none. Extra columns are ignored. An empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm import similar
+from undertow.llm.bitsliced import close_pairs, close_rows
 from undertow.llm.common import gathered, read_table, text_blocks, without, written
 from undertow.llm.components import components
 
@@ -37,9 +37,6 @@ PART = 2048
 FEW = 32
 #: Most buckets of more than a part that are broadcast, with three numbers each.
 FEW_LARGE = 20_000
-ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Words of a shingle of similar groups.
-WIDE_SHINGLE = 5
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -77,78 +74,6 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
     return result
 
 
-def planes(values: np.ndarray) -> np.ndarray:
-    """Vertical bit planes: row k holds bit k of all values (one word or a row of words each), 64 values a word."""
-    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little").T
-    packed = np.packbits(bits, axis=1, bitorder="little")
-    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
-
-
-class Counter:
-    """Counts of ones in many lanes at once, bit-sliced; a lane that passes the radius is over."""
-
-    def __init__(self, shape: tuple, radius: int) -> None:
-        self.radius, self.digits, self.over = radius, [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())], np.zeros(shape, np.uint64)
-
-    def add(self, x: np.ndarray) -> None:
-        for digit in self.digits:
-            carry = digit & x
-            digit ^= x
-            x = carry
-        self.over |= x
-
-    def within(self) -> np.ndarray:
-        """The lanes whose count is at most the radius."""
-        more, same = self.over.copy(), ~self.over
-        for i in range(len(self.digits) - 1, -1, -1):
-            if self.radius >> i & 1:
-                same &= self.digits[i]
-            else:
-                more |= same & self.digits[i]
-                same &= ~self.digits[i]
-        return ~more
-
-
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Which of the pairs (a[i], b[i]) differ in at most radius bits."""
-    if a.ndim == 2 and a.shape[1] > 2:
-        # Half of the bits rule out most pairs.
-        close = close_pairs(a[:, : a.shape[1] // 2], b[:, : a.shape[1] // 2], radius)
-        close[close] = _close(a[close], b[close], radius)
-        return close
-    return _close(a, b, radius)
-
-
-def _close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    if not len(a):
-        return np.zeros(0, bool)
-    differ = planes(a ^ b)
-    counter = Counter(differ.shape[1:], radius)
-    for k, plane in enumerate(differ):
-        counter.add(plane)
-        if k % 8 == 7 and (counter.over == ONES).all():
-            break
-    return np.unpackbits(np.ascontiguousarray(counter.within()).view(np.uint8), bitorder="little")[: len(a)].astype(bool)
-
-
-def close_rows(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS, at_once: int = 64) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query with any, the positions in block within radius."""
-    vertical = planes(block)
-    valid = planes(np.full(len(block), ONES))[0]
-    for start in range(0, len(queries), at_once):
-        q = queries[start : start + at_once]
-        counter = Counter((len(q), vertical.shape[1]), radius)
-        q = q.reshape(len(q), -1)
-        for k in range(len(vertical)):
-            mask = (np.uint64(0) - (q[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)))[:, None]
-            counter.add(vertical[k] ^ mask)
-            if k % 8 == 7 and (counter.over | ~valid == ONES).all():
-                break
-        found = counter.within() & valid
-        for i in np.flatnonzero(found.any(axis=1)):
-            yield start + i, np.flatnonzero(np.unpackbits(np.ascontiguousarray(found[i]).view(np.uint8), bitorder="little"))
-
-
 def forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of the close pairs within a (b is None) or between a and b; nodes names both."""
     label, shift = np.arange(len(nodes)), 0 if b is None else len(a)
@@ -259,16 +184,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     )
 
 
-def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_hash, group (a number that similar texts share), first (whether it is the group's
-    least in doc_id and text_hash)."""
-    return similar.groups(docs, partial(shingle_hashes, shingle=shingle), part, id_col, text_col)
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """doc_id, text_hash, group (a number that similar texts share), first (whether it is the group's least in doc_id and
+    text_hash), for each document but those that are surely alone."""
+    return similar.groups(docs, id_col, text_col, **how)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, with all their columns: the least doc_id of each group of similar texts."""
-    gone = similar_groups(docs, id_col=id_col, text_col=text_col, **how).where("not first").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    return without(docs, gone, id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    found = written(similar_groups(docs, id_col, text_col, **how).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "first"), "grouped", narrow=True)
+    repeated = not found.where("first").groupBy("id", "hash").count().where("count > 1").isEmpty()
+    return without(docs, found.where("not first"), id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), repeated)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
