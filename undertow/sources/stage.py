@@ -4,26 +4,48 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that enclose what is written now, the innermost last.
+_WITHIN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set here only where the session has none."""
+    """The session's checkpoint folder. Where the session has none, a temporary folder, but only if all tasks run in the
+    driver's own process: executors of a cluster would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="undertow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def session_dir(spark: SparkSession) -> str:
-    """This session's own part of the shared folder."""
-    return f"{shared_dir(spark)}/undertow/{spark.sparkContext.applicationId}"
+    """This session's own part of the shared folder; it goes when the session's process ends."""
+    found = f"{shared_dir(spark)}/undertow/{spark.sparkContext.applicationId}"
+    _file_system(spark, found)[0].deleteOnExit(_file_system(spark, found)[1])
+    return found
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_WITHIN[-1] if _WITHIN else session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """Everything that is staged meanwhile lies in this new folder, so that it can be removed together."""
+    path = stage_path(spark, name)
+    _WITHIN.append(path)
+    try:
+        yield path
+    finally:
+        _WITHIN.remove(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -33,7 +55,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables; results that depend on it can't be read afterwards."""
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete this session's intermediate tables; results that were not written elsewhere can't be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, session_dir(spark))
