@@ -16,7 +16,7 @@ from tests.llm.conftest import LONG, TEXTS
 from undertow.llm import exact_dedup, lm_scoring, packing, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
 from undertow.llm.common import packed, public_tokenizer, unpacked
 from undertow.llm.components import components
-from undertow.llm.linear import fit, sigmoid
+from undertow.llm.linear import Problem, fit, sigmoid
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 PIECES = [*" \n\t▁ab.É😀\x00 ́é,'1;", "  ", "\n\n", "the", " of", "<s>", "<|endoftext|>", "İ", "Σ", "ﬁ", "\x1c", "\x85", "it's", "CAN'T", "Ő", "ÿ", "ŉ", "ß.", "a.", "b!?", "*", "<|EndOfText|>", "|"]
@@ -432,17 +432,69 @@ def test_toxicity_held_out(spark):
 
 
 def test_counterfactual_penalty_shrinks_identity_terms():
-    insult, term, other, plain = (np.array([x]) for x in (1, 2, 3, 4))
-    rows = [np.array([1, 2])] * 30 + [plain] * 30
+    rows = [np.array([1, 2])] * 30 + [np.array([4])] * 30
     target = np.array([1.0] * 30 + [0.0] * 30)
     pairs = ([np.array([1, 2])] * 30, [np.array([1, 3])] * 30)
     free = fit(rows, target, np.ones(60), pairs, pair_penalty=0.0)[0]
     bound = fit(rows, target, np.ones(60), pairs, pair_penalty=50.0)[0]
     assert abs(bound[2] - bound[3]) < 0.25 * abs(free[2] - free[3])
     assert bound[1] > 0
-    assert toxicity.counterfactual({"muslim", "x"}) != {"muslim", "x"}
-    assert toxicity.counterfactual({"x"}) is None
-    assert insult.size == term.size == other.size
+
+
+def test_loss_and_slope_match_brute_force():
+    rng = np.random.default_rng(0)
+    draw = lambda n: [np.unique(rng.integers(0, 12, rng.integers(0, 6))) for _ in range(n)]
+    rows, one, other = draw(40), draw(15), draw(15)
+    target, weight = (rng.random(40) < 0.4).astype(float), rng.random(40)
+    problem = Problem(rows, target, weight, (one, other), 0.7)
+    w, bias = rng.normal(size=len(problem.used)), 0.3
+    at = dict(zip(problem.used.tolist(), w, strict=True))
+    z = lambda r: sum(at[f] for f in r.tolist())
+    want = sum(-v * math.log(1 / (1 + math.exp(-(z(r) + bias))) if t else 1 - 1 / (1 + math.exp(-(z(r) + bias)))) for r, t, v in zip(rows, target, weight, strict=True)) / weight.sum()
+    want += 0.7 * sum((z(a) - z(b)) ** 2 for a, b in zip(one, other, strict=True)) / 15
+    assert problem.loss(w, bias) == pytest.approx(want)
+    slope, slope_bias = problem.slope(w, bias)
+    step = 1e-6 * np.eye(len(w))
+    assert slope == pytest.approx([(problem.loss(w + e, bias) - problem.loss(w - e, bias)) / 2e-6 for e in step], abs=1e-6)
+    assert slope_bias == pytest.approx((problem.loss(w, bias + 1e-6) - problem.loss(w, bias - 1e-6)) / 2e-6, abs=1e-6)
+
+
+def test_counterfactuals_are_swapped_within_sentences():
+    swaps = toxicity.Swaps((("blue", "green", "red"), ("alone",)))
+    pairs = swaps.pairs("The Blue house. Nothing here! Red, they said\nalone")
+    assert [one for one, _ in pairs] == [{"the", "blue", "house"}, {"red", "they", "said"}]
+    for one, other in pairs:
+        assert len(one - other) == len(other - one) == 1
+        assert other - one <= {"blue", "green", "red"}
+    assert swaps.pairs(None) == swaps.pairs("alone. x") == []
+
+
+def test_neutral_mentions_of_groups_are_not_toxic(spark):
+    """Toxic texts often name a group, with insults that mostly differ; neutral mentions are rare among the labelled texts.
+    The penalty takes the weight off the group's name: fewer held-out neutral mentions are false positives."""
+    rng = random.Random(5)
+    rows, labels, neutral = [], [], set()
+    for d in range(3000):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(30)]
+        toxic, held = d % 5 == 0, zlib.crc32(str(d).encode()) % 5 == 0
+        if toxic:
+            words[rng.randrange(30)] = f"insult{rng.randint(0, 12)}"
+            words[rng.randrange(30)] = "norns" if rng.random() < 0.9 else "w1"
+        elif held and d % 3 == 0 or rng.random() < 0.02:
+            words[rng.randrange(30)] = rng.choice(["norns", "elves", "dwarves"])
+            neutral.add(d)
+        rows.append((d, " ".join(words)))
+        labels.append((d, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    wrong, found, score = {}, {}, {}
+    for penalty in (0.0, 1.0):
+        got = {r.doc_id: r for r in toxicity.toxicity(docs, known, pair_penalty=penalty, identities=(("norns", "elves", "dwarves"),)).collect() if r.held_out}
+        wrong[penalty] = sum(got[d].predicted for d in neutral if d in got)
+        found[penalty] = np.mean([got[d].predicted for d, toxic in labels if toxic and d in got])
+        score[penalty] = {d: r.score for d, r in got.items()}
+    assert score[0.0] != score[1.0]
+    assert wrong[1.0] < 0.5 * wrong[0.0]
+    assert found[1.0] > 0.9
 
 
 def test_toxicity_on_messy_tables(spark, messy, empty):

@@ -1,19 +1,23 @@
 """Toxicity scores by a counterfactual-regularised classifier.
 
 Texts become sets of hashed words and word beginnings (so inflected and compounded insults share features). A sparse
-logistic model learns from labelled texts; for each learned text that names a group, a counterfactual copy is made in
-which every identity term is swapped for another, and the squared change of score is penalised. So a group's name does
-not carry toxicity by itself, and neutral mentions are not false positives. Training rows are a bounded sample by hash,
-``sample`` a class, weighted back to the classes' true counts; scoring reads every whole text in one pass without a
-shuffle. Only the text is an input of a score.
-
-Defined results: a null or empty text has no features and gets the model's base score. Rows that repeat a doc_id are
-scored each; labels that repeat one count once, and the label is the largest; null labels are no labels. Without any
-label the score is 0. Extra columns are ignored. An empty table gives an empty result.
+logistic model learns from labelled texts. Each sentence of theirs that names a group gets a counterfactual, in which every
+identity term is swapped for another of its kind, and the squared change of the sentence's score is penalised. So a group's
+name does not carry toxicity by itself, and neutral mentions are not false positives. The groups are a parameter; where no
+labelled text names one, the penalty has nothing to act on. Training rows are a bounded sample by hash, ``sample`` a class,
+weighted back to the classes' true counts; scoring reads every whole text in one pass without a shuffle. Only the text is an
+input of a score.
+
+Defined results: a null or empty text has no features and gets the model's base score. A text of any length is scored whole.
+Rows that repeat a doc_id are scored each; labels that repeat one count once, and the label is the largest; labels other than
+0 and 1 are no labels, null ones neither. Which of too many labelled texts are learned from goes by a hash of the doc_id,
+ties by the doc_id;
+of texts that share a doc_id the least is learned from. Without any label the score is 0. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,9 +31,11 @@ from undertow.llm.linear import BUCKETS, fit, sigmoid
 
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 3000
+#: How much a squared change of score between counterfactuals counts beside the log loss.
+PAIR_PENALTY = 1.0
 FOLDS, HELD = 5, 0
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»“”„…"
-#: Identity terms, by kind and language; a term is swapped for another of its kind and language.
+#: Identity terms, by kind and language; a term is swapped for another of its kind and language. The default of a parameter.
 IDENTITIES = (
     ("men", "women", "gays", "lesbians", "transgender", "heterosexual", "homosexual", "bisexual"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
@@ -40,7 +46,7 @@ IDENTITIES = (
     ("männer", "frauen", "muslime", "christen", "juden", "ausländer", "flüchtlinge", "migranten"),
     ("hombres", "mujeres", "musulmanes", "cristianos", "judíos", "inmigrantes", "refugiados", "extranjeros"),
 )
-_KIND = {term: kind for kind in IDENTITIES for term in kind}
+_SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
 def words(text: str | None) -> set[str]:
@@ -61,36 +67,50 @@ def features(found: set[str]) -> np.ndarray:
     return np.array(sorted(set().union(*map(table.__getitem__, found))), np.int64)
 
 
-def counterfactual(found: set[str]) -> set[str] | None:
-    """The words with each identity term swapped for another of its kind, or None if there is none."""
-    swapped = {t: _KIND[t][(_KIND[t].index(t) + 1 + crc32(t.encode()) % (len(_KIND[t]) - 1)) % len(_KIND[t])] for t in found & _KIND.keys()}
-    return {swapped.get(w, w) for w in found} if swapped else None
+class Swaps:
+    """Counterfactuals over groups of identity terms."""
+
+    def __init__(self, identities: tuple[tuple[str, ...], ...]) -> None:
+        self.kind = {term: kind for kind in identities for term in kind if len(kind) > 1}
+
+    def other(self, term: str) -> str:
+        kind = self.kind[term]
+        return kind[(kind.index(term) + 1 + crc32(term.encode()) % (len(kind) - 1)) % len(kind)]
+
+    def pairs(self, text: str | None) -> list[tuple[set[str], set[str]]]:
+        """The words of each sentence that has an identity term, as they are and with its terms swapped."""
+        if not text or not self.kind.keys() & words(text):
+            return []
+        sentences = map(words, _SENTENCE_END.split(text))
+        return [(s, {self.other(w) if w in self.kind else w for w in s}) for s in sentences if s & self.kind.keys()]
 
 
 def remainder(id_col: str = "doc_id", folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(HELD))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, pair_penalty: float = 1.0) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, pair_penalty: float = PAIR_PENALTY, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled documents outside the held-out fold."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != HELD)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    known = labels.where(F.col(label_col).cast("int").isin(0, 1) & F.col(id_col).isNotNull() & (remainder(id_col) != HELD)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     known = known.join(docs.select(F.col(id_col).cast("long").alias("_id")).distinct(), "_id", "left_semi")
     counts = dict(known.groupBy("_label").count().collect())
     order = F.xxhash64("_id"), F.col("_id")
     chosen = known.where("_label = 0").orderBy(*order).limit(sample).union(known.where("_label = 1").orderBy(*order).limit(sample))  # at most 2 * sample rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swaps, lists = Swaps(identities), pa.list_(pa.list_(pa.int32()))
         for block in text_blocks(batches, 1):
-            sets = [words(t) for t in block.column(1).to_pylist()]
-            twins = [counterfactual(s) for s in sets]
-            twin = [features(t).tolist() if t else None for t in twins]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([features(s).tolist() for s in sets], pa.list_(pa.int32())), pa.array(twin, pa.list_(pa.int32()))], names=["label", "features", "twin"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("_label", "text").mapInArrow(run, "label int, features array<int>, twin array<int>").toArrow()
+            texts = block.column(1).to_pylist()
+            pairs = [swaps.pairs(t) for t in texts]
+            sides = [pa.array([[features(p[k]).tolist() for p in found] for found in pairs], lists) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([features(words(t)).tolist() for t in texts], pa.list_(pa.int32())), *sides], names=["label", "features", "plain", "swapped"])
+
+    drawn_texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
+    one_each = drawn_texts.groupBy("_id").agg(F.first("_label").alias("_label"), F.min("text").alias("text"))  # an id may be that of many rows
+    rows = one_each.select("_label", "text").mapInArrow(run, "label int, features array<int>, plain array<array<int>>, swapped array<array<int>>").toArrow()
     label = rows["label"].to_numpy().astype(float)
     lists = [np.array(x, np.int64) for x in rows["features"].to_pylist()]
-    twins = rows["twin"].to_pylist()
-    pairs = ([lists[i] for i, t in enumerate(twins) if t is not None], [np.array(t, np.int64) for t in twins if t is not None])
+    pairs = tuple([np.array(x, np.int64) for found in rows[side].to_pylist() for x in found] for side in ("plain", "swapped"))
     drawn = np.array([max(1, (label == c).sum()) for c in (0, 1)])
     weight = np.array([(1 + c) * counts.get(c, 0) / drawn[c] for c in (0, 1)])[label.astype(int)] if len(label) else label  # misses weigh twice
     return fit(lists, label, weight, pairs, pair_penalty=pair_penalty, unlearned=-500.0)
@@ -128,10 +148,10 @@ def kept(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str = "tex
     return docs.mapInArrow(run, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    weights, bias = train(docs, labels, id_col, text_col, sample=sample)
-    return scored(docs, weights, bias, id_col, text_col).select("doc_id", (remainder() == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    weights, bias = train(docs, labels, id_col, text_col, **how)
+    return scored(docs, weights, bias, id_col, text_col).select("doc_id", (remainder("doc_id") == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
