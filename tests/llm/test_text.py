@@ -522,17 +522,65 @@ def test_quality_agrees_with_labels(spark, sf):
 
 
 def test_label_model_learns_accuracies():
+    """Of overlapping labellers on two kinds of faults: on good texts as on bad ones, from votes alone."""
     rng = np.random.default_rng(0)
-    truth = rng.random(4000) < 0.8
-    chance = [(0.9, 0.001), (0.5, 0.002), (0.3, 0.001)]
-    votes = np.stack([np.where(rng.random(4000) < np.where(truth, good, bad), -1, 1) for bad, good in chance], 1)
-    votes[rng.random(votes.shape) < 0.2] = 0
+    kind = rng.choice(3, 20_000, p=[0.1, 0.1, 0.8])
+    chance = np.array([[0.9, 0.8, 0.85, 0.01, 0.02], [0.02, 0.01, 0.05, 0.9, 0.7], [0.01, 0.04, 0.002, 0.03, 0.005]])
+    votes = np.where(rng.random((20_000, 5)) < chance[kind], -1, 1)
+    votes[rng.random(votes.shape) < 0.1] = 0
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    posterior, found, _ = quality.label_model(patterns, counts.astype(float))
-    assert found[0] == pytest.approx([0.9, 0.5, 0.3], abs=0.08)
-    assert posterior[(patterns == 1).all(1)] > 0.9
-    assert posterior[(patterns == -1).all(1)] < 0.01
-    assert sigmoid(np.zeros(1)) == 0.5
+    posterior, found, prior = quality.label_model(patterns, counts.astype(float), rounds=300)
+    assert found[-1] == pytest.approx(chance[2], abs=0.01)
+    assert prior[-1] == pytest.approx(0.8, abs=0.02)
+    # As good as the rule that knows the true chances.
+    known = np.stack([np.prod(np.where(patterns == -1, c, np.where(patterns == 1, 1 - c, 1)), 1) for c in chance]) * np.array([[0.1], [0.1], [0.8]])
+    right = [np.mean([(of[tuple(v)] >= 0.5) == (k == 2) for v, k in zip(votes.tolist(), kind, strict=True)]) for of in (dict(zip(map(tuple, patterns.tolist()), x, strict=True)) for x in (posterior, known[2] / known.sum(0)))]
+    assert right[0] > right[1] - 0.01
+
+
+def test_label_model_matches_brute_force():
+    """A round of expectation-maximisation after the other, vote by vote, in plain loops."""
+    rng = np.random.default_rng(1)
+    patterns = np.unique(rng.integers(-1, 2, (40, 3)), axis=0)
+    counts = rng.integers(1, 50, len(patterns)).astype(float)
+    member = []
+    for p in patterns:
+        share = (sum(v == 1 for v in p) + 1) / (sum(v != 0 for v in p) + 2)
+        faults = sum(v == -1 for v in p)
+        member.append([*((1 - share) * ((v == -1) / faults if faults else 1 / 3) for v in p), share])
+    for _ in range(7):
+        prior = [(sum(c * m[k] for c, m in zip(counts, member, strict=True)) + 1) / (counts.sum() + 4) for k in range(4)]
+        chance = [[0.0] * 3 for _ in range(4)]
+        for k in range(4):
+            for j in range(3):
+                bad_votes = sum(c * m[k] for c, m, p in zip(counts, member, patterns, strict=True) if p[j] == -1)
+                all_votes = sum(c * m[k] for c, m, p in zip(counts, member, patterns, strict=True) if p[j] != 0)
+                chance[k][j] = min(max((bad_votes + (0.1 if k == 3 else 1)) / (all_votes + 2), 1e-4), 1 - 1e-4)
+        member = []
+        for p in patterns:
+            likely = [prior[k] * math.prod([chance[k][j] if v == -1 else 1 - chance[k][j] for j, v in enumerate(p) if v]) for k in range(4)]
+            member.append([x / sum(likely) for x in likely])
+    posterior, found, got = quality.label_model(patterns, counts, rounds=7)
+    assert posterior == pytest.approx([m[3] for m in member])
+    assert found == pytest.approx(np.array(chance))
+    assert got == pytest.approx(prior)
+
+
+def test_quality_scores_match_brute_force(spark, documents):
+    """The scores of the query are those of the linear model over each text's features."""
+    some = documents[:60]
+    rows = {r.doc_id: r for r in quality.quality(spark.createDataFrame(some, "doc_id long, text string").repartition(3)).collect()}
+    profiles = {d: quality.Profile(t) for d, t in some}
+    seen = Counter(tuple(quality.votes(p)) for p in profiles.values())
+    posterior, _, _ = quality.label_model(np.array(list(seen)), np.array(list(seen.values()), float))
+    known = dict(zip(seen, posterior, strict=True))
+    assert {d: r.posterior for d, r in rows.items()} == pytest.approx({d: known[tuple(quality.votes(p))] for d, p in profiles.items()})
+    lists = {d: np.array(quality.features(p)) for d, p in profiles.items()}
+    weights, bias = fit(list(lists.values()), np.array([rows[d].posterior for d in lists]), np.ones(len(lists)))
+    for d, r in rows.items():
+        z = bias + sum(weights[f] for f in lists[d])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+        assert (r.predicted, r.kept) == (int(r.score >= 0.5), r.score >= 0.5)
 
 
 def test_quality_on_messy_tables(messy, empty):

@@ -4,10 +4,12 @@ Overlapping heuristic labellers vote good, bad or nothing on every text. Only th
 to the power of the labellers, whatever the corpus) reach the driver, where expectation-maximisation estimates how
 accurate each labeller is and the posterior of each pattern, over all documents. Posterior labels of a bounded sample by
 hash then train a hashed linear scorer on the shapes of words and on text statistics, which scores every whole text. No
-given labels are used.
+given labels are used. Texts are read once: their votes and features are written, and all later steps read these.
 
-Defined results: a null or empty text gets the votes of an empty text (bad). Rows that repeat a doc_id are
-voted on and scored each. Rows without doc_id are scored, too. Extra columns are ignored. An empty table gives an empty
+Defined results: a null or empty text gets the votes of an empty text (bad). A text of any length is voted on and scored
+whole. Rows that repeat a doc_id are voted on and scored each. Rows without doc_id are scored, too. Which documents are
+learned from goes by a hash of the doc_id, ties by the doc_id; of rows that share a doc_id one is learned from. A pattern
+as likely good as bad, and a score of exactly 0.5, count as good. Extra columns are ignored. An empty table gives an empty
 result.
 """
 
@@ -23,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import Lookup, kept_in_worker, read_table, text_blocks
+from undertow.llm.common import Lookup, kept_in_worker, read_table, text_blocks, written
 from undertow.llm.linear import BUCKETS, fit, sigmoid
 
 #: Documents of the sample that trains the scorer.
 SAMPLE = 4000
-#: The most that a labeller may vote bad among good texts: labellers keep wide margins.
-FALSE_ALARMS = 0.005
+#: Shapes of plain words, but for one mark of punctuation at the end.
+PLAIN = {"a", "Aa", "A", "0", "Aa'a", "a'a", "a-a"}
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 
 
@@ -38,6 +40,7 @@ def shape(word: str) -> str:
     return _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", word[:64])))[:12]
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#$%&*|!?~^=<>@_\\]{2,}|^[|]$")
 
 
@@ -58,9 +61,11 @@ class Profile:
         self.distinct = len(set(words)) / one
         self.most = max(Counter(words).values(), default=0) / one
         self.length = sum(map(len, words)) / one
+        self.plain = share(lambda s: s in PLAIN or s[:-1] in PLAIN and s[-1] in ".,;:?!")
+        self.letters = sum(map(len, _LETTERS.findall(text or ""))) / max(1, sum(map(len, words)))
 
     def statistics(self) -> dict[str, float]:
-        return {"upper": self.upper, "symbols": self.symbols, "ends": self.ends, "digits": self.digits, "repeats": self.repeats, "distinct": self.distinct, "most": self.most, "length": self.length / 10}
+        return {"upper": self.upper, "symbols": self.symbols, "ends": self.ends, "digits": self.digits, "repeats": self.repeats, "distinct": self.distinct, "most": self.most, "length": self.length / 10, "plain": self.plain, "letters": self.letters}
 
 
 #: The labellers: each maps a profile to 1 (good), -1 (bad) or 0 (no vote).
@@ -73,6 +78,8 @@ LABELLERS = {
     "sentences": lambda p: 0 if p.n < 30 else -1 if p.ends < 0.01 or p.ends > 0.6 else 1 if 0.02 < p.ends < 0.4 else 0,
     "lengths": lambda p: -1 if p.length > 12 or p.length < 2 else 1 if 3 <= p.length <= 9 else 0,
     "size": lambda p: -1 if p.n == 0 else 0,
+    "letters": lambda p: -1 if p.letters < 0.85 else 1 if p.letters > 0.92 else 0,
+    "plain": lambda p: -1 if p.plain < 0.5 else 1 if p.plain > 0.8 else 0,
 }
 
 
@@ -87,62 +94,62 @@ def features(profile: Profile) -> list[int]:
     return sorted({crc32(n.encode()) % BUCKETS for n in names})
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posteriors of the patterns, the chance that each labeller votes bad when it votes (class, labeller), and the share
-    of good texts. patterns: rows of votes in -1, 0, 1.
+def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of the patterns, the chance that each labeller votes bad when it votes (class, labeller), and the classes'
+    shares. patterns: rows of votes in -1, 0, 1. The last class is that of good texts; before it stands a class of bad texts
+    for each labeller.
 
-    No vote says nothing. A labeller finds one kind of bad text, so the chances differ by class; it is assumed to be no
-    worse than chance and to raise few false alarms. At the start a text with any bad vote is taken to be bad.
+    No vote says nothing. A fault shows to the labellers that look for its kind and to no others, so there is a class for each
+    kind, and a labeller's votes are independent given the class. All chances are estimated, for good texts as for each kind
+    of bad ones. At the start a text is as good as the share of its good votes, and its faults are of the kinds voted for.
     """
     bad, good = (patterns == -1).astype(float), (patterns == 1).astype(float)
-    total = max(1.0, float(counts.sum()))
-    posterior, chance, prior = np.where(bad.any(1), 0.1, 0.9), np.full((2, patterns.shape[1]), 0.5), 0.5
+    kinds = patterns.shape[1]
+    share = (good.sum(1, keepdims=True) + 1) / (good.sum(1, keepdims=True) + bad.sum(1, keepdims=True) + 2)
+    voted = np.where(bad.any(1, keepdims=True), bad / np.maximum(1, bad.sum(1, keepdims=True)), 1 / kinds)
+    member = np.column_stack([(1 - share) * voted, share])
     for _ in range(rounds):
-        for k, share in enumerate((1 - posterior, posterior)):
-            weight = (share * counts)[:, None]
-            chance[k] = ((weight * bad).sum(0) + (1.0, 0.1)[k]) / ((weight * (bad + good)).sum(0) + (2.0, 2.0)[k])
+        weight = member * counts[:, None]
+        prior = (weight.sum(0) + 1) / (counts.sum() + kinds + 1)
+        # Prior counts: a labeller that rarely votes is no judge of bad texts and raises few false alarms.
+        chance = (weight.T @ bad + np.append(np.ones(kinds), 0.1)[:, None]) / (weight.T @ (bad + good) + 2)
         chance = np.clip(chance, 1e-4, 1 - 1e-4)
-        chance[1] = np.minimum(chance[1], np.minimum(chance[0], FALSE_ALARMS))
-        prior = float(np.clip((posterior * counts).sum() / total, 1e-3, 1 - 1e-3))
-        logs = [np.log(p) + bad @ np.log(c) + good @ np.log(1 - c) for p, c in ((1 - prior, chance[0]), (prior, chance[1]))]
-        posterior = sigmoid(logs[1] - logs[0])
-    return posterior, chance, prior
+        logs = np.log(prior) + bad @ np.log(chance).T + good @ np.log(1 - chance).T
+        member = np.exp(logs - logs.max(1, keepdims=True, initial=-1e300))
+        member /= member.sum(1, keepdims=True)
+    return member[:, -1], chance, prior
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Per document: doc_id, posterior (of the label model), score (of the scorer), predicted, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for block in text_blocks(batches, 0):
-            seen.update(tuple(votes(Profile(t))) for t in block.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"])
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, 1):
+            profiles = [Profile(t) for t in block.column(1).to_pylist()]
+            lists = [pa.array([make(p) for p in profiles], pa.list_(pa.int32())) for make in (votes, features)]
+            yield pa.RecordBatch.from_arrays([block.column(0), *lists], names=["doc_id", "votes", "features"])
 
-    found = texts.select("text").mapInArrow(vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 3 ** labellers rows
+    table = written(texts.mapInArrow(profile, "doc_id long, votes array<int>, features array<int>"), "profiles")
+    found = table.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers rows
     patterns = np.array([r.votes for r in found], np.int64).reshape(-1, len(LABELLERS))
-    posterior, _, prior = label_model(patterns, np.array([r.n for r in found], float))
+    posterior, _, _ = label_model(patterns, np.array([r.n for r in found], float))
     known = {tuple(p): float(q) for p, q in zip(patterns.tolist(), posterior, strict=True)}
-    chosen = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, 0):
-            profiles = [Profile(t) for t in block.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([known[tuple(votes(p))] for p in profiles], pa.float64()), pa.array([features(p) for p in profiles], pa.list_(pa.int32()))], names=["target", "features"])
-
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(learn, "target double, features array<int>").toArrow()
-    target = rows["target"].to_numpy()
+    # Only numbers of the profiles travel; the sample is bounded, also where many rows share a doc_id.
+    chosen = table.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = table.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("votes", "features")).alias("x")).select("x.*").toArrow()
+    target = np.array([known[tuple(v)] for v in rows["votes"].to_pylist()], float)
     weights, bias = fit([np.array(x, np.int64) for x in rows["features"].to_pylist()], target, np.ones(len(target)))
-    used = np.flatnonzero(weights)
-    model = dict(zip(used.tolist(), weights[used].tolist(), strict=True))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, 1):
-            profiles = [Profile(t) for t in block.column(1).to_pylist()]
-            z = np.array([bias + sum(model.get(f, 0.0) for f in features(p)) for p in profiles], float)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([known[tuple(votes(p))] for p in profiles], pa.float64()), pa.array(sigmoid(z))], names=["doc_id", "posterior", "score"])
-
-    return texts.mapInArrow(score, "doc_id long, posterior double, score double").select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))
+        for batch in batches:
+            lists = batch.column(2)
+            lengths = np.diff(lists.offsets.to_numpy())
+            z = bias + np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights[lists.flatten().to_numpy()], len(lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[tuple(v)] for v in batch.column(1).to_pylist()], pa.float64()), pa.array(sigmoid(z))], names=["doc_id", "posterior", "score"])
+
+    good = F.col("score") >= 0.5
+    return table.mapInArrow(score, "doc_id long, posterior double, score double").select("*", good.cast("int").alias("predicted"), good.alias("kept"))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
