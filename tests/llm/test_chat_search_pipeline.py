@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import namedtuple
 
 import duckdb
 import numpy as np
@@ -49,7 +51,7 @@ def test_hostile_texts_round_trip(spark):
 # Search
 
 
-@pytest.mark.parametrize("how", [{"pivots": 6, "query_part": 7, "data_part": 40}, {"pivots": 1}, {}])
+@pytest.mark.parametrize("how", [{"pivots": 6, "query_part": 7, "data_part": 40}, {"pivots": 30, "query_part": 20, "data_part": 9}, {"pivots": 1}, {}])
 def test_top_k_matches_brute_force(spark, how):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 6)).round(2)
@@ -72,10 +74,49 @@ def test_top_k_of_few_and_none(spark):
 
 
 def test_large_components_stay_exact():
-    q, x = np.array([[2**30, 1]]), np.array([[2**31, 1], [2**31, 2]])
+    q, x = np.array([[2.0**30, 1]]), np.array([[2.0**31, 1], [2.0**31, 2]])
     assert vector_search.scores(q, x).tolist() == [[2**61 + 1, 2**61 + 2]]
 
 
+def test_huge_components_take_part(spark):
+    """Finite components of any size: exact while scores fit a long, then the nearest long."""
+    rows = [(0, [2.0**53, 1.0]), (100, [1.0, 2.0**-12]), (1, [2.0**-9, 3.0]), (2, [-(2.0**53), 1.0]), (3, [1e300, 0.0]), (4, [float("inf"), 0.0]), (5, [0.0, 7.0]), (200, [1.5e305, -1e308])]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=2).collect()
+    part = {i: [max(-(2**1000), min(2**1000, int(c * 1024 // 1))) if abs(c) < 1e300 else int(math.copysign(2**1000, c)) for c in v] for i, v in rows if i != 4}
+    for q in (0, 100, 200):
+        clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+        want = sorted((-clip(sum(a * b for a, b in zip(part[q], w, strict=True))), i) for i, w in part.items() if i != q)
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_rings_that_matter(clustered):
+    """No ring with an answer is ruled out, and of clustered vectors few rings are left."""
+    rng = np.random.default_rng(0)
+    middles = rng.normal(size=(40, 16))
+    x = middles[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 16)) if clustered else rng.normal(size=(4000, 16))
+    x = np.floor(1024 * x)
+    pivots = vector_search.draw_pivots(x, 60)
+    cell, along, across = vector_search.placed(x, pivots)
+    ring = (across[:, None] > np.quantile(across, [0.25, 0.5, 0.75])).sum(1)
+    Row = namedtuple("Row", "cell ring n low high across")
+    keys = sorted(set(zip(cell.tolist(), ring.tolist(), strict=True)))
+    rows = []
+    for c, r in keys:
+        m = (cell == c) & (ring == r)
+        rows.append(Row(c, r, m.sum(), along[m].min(), along[m].max(), across[m].max())._asdict())
+    bounds = vector_search.Rings(pivots, [type("R", (dict,), {"__getattr__": dict.__getitem__})(r) for r in rows])
+    q = x[::40]
+    s = q @ x.T
+    least = np.sort(s, 1)[:, -11]
+    needed = bounds.needed(q, least)
+    where = np.array([keys.index(kr) for kr in zip(cell.tolist(), ring.tolist(), strict=True)])
+    for i in range(len(q)):
+        assert needed[i][where[s[i] >= least[i]]].all()
+    share = needed[:, where].mean()
+    assert share < 0.15 if clustered else share <= 1
+
+
 # Queries and pipeline
 
 
