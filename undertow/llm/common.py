@@ -31,7 +31,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    narrow: the rows are few numbers each, so one file for each core of the cluster is enough.
+    narrow: the table is small beside the texts, so one file for each core of the cluster is enough.
     """
     spark = df.sparkSession
     if narrow:
