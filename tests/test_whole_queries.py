@@ -19,16 +19,16 @@ def test_components_of_the_whole_network(spark, sf):
     for r in e.collect():
         a, b = sorted((find(r.src), find(r.dst)))
         root[b] = a
-    got = {r.node: r.component for r in registry.queries()["connected_components_whole"](spark, sf).collect()}
+    got = {r.node: r.component for r in registry.queries()["connected_components"](spark, sf).collect()}
     assert got == {x: find(x) for x in root}
 
 
 def test_all_scores_are_joined(spark, sf):
     score = {r.node: r.score for r in label_queries._scores(spark, sf).collect()}
-    senders = {r.node for r in label_queries._rates(spark, sf, "sender").select("node").collect()}
+    senders = {r.node for r in label_queries.rates(spark, sf, "sender").select("node").collect()}
     assert any(x % 3 == 0 for x in senders & set(score))
     for how, want in (("outer", senders | set(score)), ("lookup", senders), ("inner", senders & set(score))):
-        got = {r.node: r.score for r in registry.queries()[f"labels_scores_{how}_all"](spark, sf).collect()}
+        got = {r.node: r.score for r in registry.queries()[f"labels_scores_{how}"](spark, sf).collect()}
         assert got == {x: score.get(x, {"outer": -1, "lookup": -2}.get(how)) for x in want}
 
 

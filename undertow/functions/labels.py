@@ -97,3 +97,8 @@ def dataset_parts(name: Column) -> dict[str, Column]:
 def dataset_kind(name: str) -> str:
     """generated or transactions, by the name's prefix."""
     return "generated" if name.startswith("synthetic") else "transactions"
+
+
+def labelled_count(nodes: DataFrame, flag: str = "laundering") -> DataFrame:
+    """One row: how many nodes there are, and how many carry the flag."""
+    return nodes.agg(F.count("*").alias("nodes"), F.count_if(F.coalesce(F.col(flag).cast("boolean"), F.lit(False))).alias("labelled"))

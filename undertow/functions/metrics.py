@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +126,13 @@ def ordinal_ranks(rows: DataFrame, tie: str, dataset: str = "dataset", score: st
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(dataset).orderBy(F.desc(score), F.col(tie))))
 
 
+def model_order(rows: DataFrame, models: list[str], dataset: str = "dataset", method: str = "method", score: str = "score") -> DataFrame:
+    """Rows of the models with rank 1, 2, ... descending within a dataset; ties stand in the order of the list."""
+    place = F.array_position(F.array(*map(F.lit, models)), F.col(method))
+    listed = rows.where(F.col(method).isin(models))
+    return listed.withColumn("rank", F.row_number().over(Window.partitionBy(dataset).orderBy(F.desc(score), place)))
+
+
 def mean_ranks(ranked: DataFrame, method: str = "method") -> DataFrame:
     return ranked.groupBy(method).agg(F.avg("rank").alias("mean_rank"))
 
@@ -179,11 +187,33 @@ def critical_difference(methods: int, datasets: int) -> float:
     return NEMENYI_05[methods - 2] * math.sqrt(methods * (methods + 1) / (6 * datasets))
 
 
+def range_tail(q: float, k: int) -> float:
+    """The chance that the range of k standard normal values exceeds q, by Simpson's rule over the least value."""
+    if q <= 0:
+        return 1.0
+    below = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
+    n, low, high = 4000, -9.0, 9.0
+    h = (high - low) / n
+    total = 0.0
+    for i in range(n + 1):
+        z = low + i * h
+        total += (1 if i in (0, n) else 4 if i % 2 else 2) * math.exp(-z * z / 2) * (below(z + q) - below(z)) ** (k - 1)
+    return min(1.0, max(0.0, 1 - k * total * h / 3 / math.sqrt(2 * math.pi)))
+
+
 def nemenyi(mean_rank: DataFrame, methods: int, datasets: int, method: str = "method") -> DataFrame:
-    """Pairs of methods, their difference of mean ranks, and whether it is significant. The pairs are of methods, a handful."""
+    """Pairs of methods, their difference of mean ranks, whether it is significant at 0.05, and its p-value from the
+    studentised range with infinite degrees of freedom. The pairs are of methods, a handful."""
     a, b = (mean_rank.select(F.col(method).alias(f"method_{x}"), F.col("mean_rank").alias(f"rank_{x}")) for x in "ab")
     gap = F.abs(F.col("rank_a") - F.col("rank_b"))
-    return a.join(b, F.col("method_a") < F.col("method_b")).select("method_a", "method_b", gap.alias("difference"), (gap >= critical_difference(methods, datasets)).alias("significant"))
+    step = math.sqrt(methods * (methods + 1) / (12 * datasets))
+
+    @F.pandas_udf("double")
+    def tail(gaps: pd.Series) -> pd.Series:
+        return gaps.map(lambda g: range_tail(g / step, methods))
+
+    pairs = a.join(b, F.col("method_a") < F.col("method_b"))
+    return pairs.select("method_a", "method_b", gap.alias("difference"), (gap >= critical_difference(methods, datasets)).alias("significant"), tail(gap).alias("p"))
 
 
 def correlation_test(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -54,7 +57,7 @@ def fit_evaluate(rows: DataFrame, columns: list[str], model, path: str | None =
 
 def model_grid(labels: DataFrame, columns: list[str], cells: list[tuple[float, str]], model, on_failure: float | None = float("nan"), by: tuple[str, str] = ("cutoff", "target")) -> list[tuple]:
     """(cutoff, target, imbalance, roc, pr) per cell. labels: the features beside cutoff, target and label. A cell that can't be
-    fitted gets on_failure."""
+    fitted, because it has one class or since fitting raises an error, gets on_failure; the error is told in a warning."""
     found = []
     for cutoff, target in cells:
         rows = labels.where((F.col(by[0]) == cutoff) & (F.col(by[1]) == target))
@@ -62,7 +65,11 @@ def model_grid(labels: DataFrame, columns: list[str], cells: list[tuple[float, s
         if not share or share == 1:
             found.append((cutoff, target, share, on_failure, on_failure))
             continue
-        roc, pr = fit_evaluate(rows, columns, model)[1]
+        try:
+            roc, pr = fit_evaluate(rows, columns, model)[1]
+        except (PySparkException, Py4JJavaError) as error:
+            warnings.warn(f"cell {cutoff}, {target} can't be fitted: {str(error)[:200]}", stacklevel=2)
+            roc = pr = None
         found.append((cutoff, target, share, on_failure if roc is None else roc, on_failure if pr is None else pr))
     return found
 

@@ -10,6 +10,7 @@ from undertow.sources.stage import staged
 from undertow.sources.tables import PATTERNS
 
 DENSE, SPARSE = 4, 32
+#: The cut-offs of the evaluation grid.
 CUTOFFS = [0.1, 0.2, 0.3, 0.5, 0.9]
 
 
@@ -75,21 +76,21 @@ def sql_graph(k: int | None = None) -> str:
     inside = "" if k is None else f" and from_account % {k} = to_account % {k}"
     return f"""{sql_tx()},
         v as (select from_account as node from tx union select to_account from tx),
-        e as (select distinct from_account as src, to_account as dst from tx where from_account <> to_account{inside}),
-        u as (select src, dst from e union select dst, src from e)"""
+        e as materialized (select distinct from_account as src, to_account as dst from tx where from_account <> to_account{inside}),
+        u as materialized (select src, dst from e union select dst, src from e)"""
 
 
 def sql_roles(directed: bool) -> str:
     """CTE r (ego, node, role) over v, e and u; for undirected graphs e is u."""
     if directed:
-        return """p2 as (select a.src as ego, b.dst as node from e a join e b on a.dst = b.src where a.src <> b.dst
+        return """p2 as materialized (select a.src as ego, b.dst as node from e a join e b on a.dst = b.src where a.src <> b.dst
                          union select b.dst, a.src from e a join e b on a.dst = b.src where a.src <> b.dst),
-            d2 as (select distinct a.src as ego, b.dst as node from u a join u b on a.dst = b.src where a.src <> b.dst except select src, dst from u),
-            r as (select src as ego, dst as node, 1 as role from u
+            d2 as materialized (select distinct a.src as ego, b.dst as node from u a join u b on a.dst = b.src where a.src <> b.dst except select src, dst from u),
+            r as materialized (select src as ego, dst as node, 1 as role from u
                   union all select d2.ego, d2.node, case when p2.ego is null then 0 else 2 end from d2 left join p2 on p2.ego = d2.ego and p2.node = d2.node
                   union all select node, node, 0 from v)"""
-    return """d2 as (select distinct a.src as ego, b.dst as node from u a join u b on a.dst = b.src where a.src <> b.dst except select src, dst from u),
-            r as (select src as ego, dst as node, 1 as role from u union all select ego, node, 2 from d2 union all select node, node, 0 from v)"""
+    return """d2 as materialized (select distinct a.src as ego, b.dst as node from u a join u b on a.dst = b.src where a.src <> b.dst except select src, dst from u),
+            r as materialized (select src as ego, dst as node, 1 as role from u union all select ego, node, 2 from d2 union all select node, node, 0 from v)"""
 
 
 def sql_counts(links: str = "e") -> str:

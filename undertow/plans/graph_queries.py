@@ -106,8 +106,9 @@ def _features_sql(with_: str, score: str) -> str:
         from q join fs on fs.node = q.node join dg on dg.node = q.node join fd on fd.node = q.node"""
 
 
-def _undirected_features_sql() -> str:
-    graph_ = f"{sql_graph(DENSE)}, {sql_roles(False)}, {sql_measures(False)}, {sql_scores(False)}"
+def undirected_features_sql(graph_: str | None = None) -> str:
+    """Features with undirected summaries, of undirected scores or of those in the given CTEs."""
+    graph_ = graph_ or f"{sql_graph(DENSE)}, {sql_roles(False)}, {sql_measures(False)}, {sql_scores(False)}"
     degrees = "dg as (select v.node, count(u.dst) as degree from v left join u on u.src = v.node group by v.node)"
     return _features_sql(graph_, "score").replace(DEGREES, degrees).replace("left join e on e.src = v.node", "left join u e on e.src = v.node")
 
@@ -128,7 +129,7 @@ ORACLES = {
     "neighbour_degree_summary": f"with {sql_graph(DENSE)}, {DEGREES} {_stats('degree', 'dg', 'degree')}",
     "features": _features_sql(CHAIN, "score"),
     "whole_graph_directed": _features_sql(CHAIN, "score_max"),
-    "whole_graph_undirected": _undirected_features_sql(),
+    "whole_graph_undirected": undirected_features_sql(),
     "top_bottom_nodes": f"""with {CHAIN} select * from (select 'highest' as which, node, round(score, 6) + 0.0 as score from sc order by sc.score desc, node limit 1) a
         union all select * from (select 'lowest', node, round(score, 6) + 0.0 from sc order by sc.score, node limit 1) b""",
     "extreme_egos": f"""with {CHAIN}, t as (select * from (select 'highest' as which, node as ego from sc order by score desc, node limit 1) a

@@ -17,15 +17,15 @@ from undertow.sources.stage import staged
 from undertow.sources.tables import PATTERNS
 
 BY = ["cutoff", "target"]
+MATRIX = TARGETS[:3]
 
 
-def _scores(spark, sf: str, some: bool = False) -> DataFrame:
+def _scores(spark, sf: str) -> DataFrame:
     v, e = reduced_graph(spark, sf)
-    found = scores_directed(measures(v, e, True)).select("node", F.round("score", 6).alias("score"))
-    return found.where("node % 3 <> 0") if some else found
+    return scores_directed(measures(v, e, True)).select("node", F.round("score", 6).alias("score"))
 
 
-def _rates(spark, sf: str, side: str = "combined") -> DataFrame:
+def rates(spark, sf: str, side: str = "combined") -> DataFrame:
     return labels.account_rates(labelled(spark, sf), side)
 
 
@@ -37,21 +37,21 @@ def _identifiers(spark, sf: str) -> DataFrame:
     return transactions(spark, sf).select("tx_id", labels.identifier("tx_id", "from_account", "to_account", "pattern", "is_laundering").alias("identifier"))
 
 
-def _joined(how: str, some: bool = True):
-    return lambda s, d: rounded(labels.join_scores(_rates(s, d, "sender"), _scores(s, d, some), how))
+def _joined(how: str):
+    return lambda s, d: rounded(labels.join_scores(rates(s, d, "sender"), _scores(s, d), how))
 
 
 def _long(spark, sf: str) -> DataFrame:
     """Every cell's labels beside the scores, as the evaluation grid has them."""
-    return labels.threshold_labels(staged(labels.join_scores(_rates(spark, sf), _scores(spark, sf), "outer"), "rated"), CUTOFFS)
+    return labels.threshold_labels(staged(labels.join_scores(rates(spark, sf), _scores(spark, sf), "outer"), "rated"), CUTOFFS)
 
 
 def _one_target(spark, sf: str) -> DataFrame:
     return _long(spark, sf).where((F.col("target") == LAUNDERING) & (F.col("cutoff") == CUTOFFS[0]))
 
 
-def _bins(some: bool = True):
-    return lambda s, d: rounded(labels.rates_by_bin(labels.join_scores(_rates(s, d), _scores(s, d, some), "lookup")))
+def _bins(spark, sf: str) -> DataFrame:
+    return rounded(labels.rates_by_bin(labels.join_scores(rates(spark, sf), _scores(spark, sf), "lookup")))
 
 
 def _area(column: str):
@@ -66,7 +66,13 @@ def _methods(spark, sf: str) -> DataFrame:
 def _nemenyi(spark, sf: str) -> DataFrame:
     m = _methods(spark, sf)
     k, b = m.select("method").distinct().count(), m.select("dataset").distinct().count()
-    return rounded(metrics.nemenyi(metrics.mean_ranks(metrics.average_ranks(m)), k, b))
+    return rounded(metrics.nemenyi(metrics.mean_ranks(metrics.average_ranks(m)), k, b).drop("p"))
+
+
+def _model_order(spark, sf: str) -> DataFrame:
+    """Models in the order of the mean value rounded to tens, so that there are ties; these stand by position."""
+    m = _methods(spark, sf).withColumn("score", F.round("score", -1))
+    return metrics.model_order(m, MODELS).select("dataset", "method", F.col("rank").cast("long").alias("rank"))
 
 
 def _split(spark, sf: str) -> DataFrame:
@@ -78,23 +84,21 @@ def _chunks(spark, sf: str) -> DataFrame:
     return tables.chunks(transactions(spark, sf).select("tx_id"), "tx_id")
 
 
-def _merged_money(spark, sf: str) -> DataFrame:
-    return transactions(spark, sf).select("tx_id", F.format_string("%.2f", "amount").alias("money"))
-
-
 def _correlation(spark, sf: str) -> DataFrame:
-    return rounded(metrics.correlation_test(labels.join_scores(_rates(spark, sf), _scores(spark, sf), "inner"), "score", LAUNDERING))
+    return rounded(metrics.correlation_test(labels.join_scores(rates(spark, sf), _scores(spark, sf), "inner"), "score", LAUNDERING))
 
 
-def _matrix(spark, sf: str) -> DataFrame:
-    long = metrics.areas(_long(spark, sf), BY).select(*BY, F.lit("roc").alias("metric"), F.round("roc", 6).alias("value"))
-    return tables.metric_matrix(long, "roc", TARGETS)
+def area_matrix(spark, sf: str, metric: str = "roc") -> DataFrame:
+    long = metrics.areas(_long(spark, sf), BY).select(*BY, F.lit(metric).alias("metric"), F.round(metric, 6).alias("value"))
+    return tables.metric_matrix(long, metric, TARGETS)
 
 
 def _log(spark, lines: list[str]) -> DataFrame:
     return spark.createDataFrame([(x,) for x in lines], "value string")
 
 
+#: An order of event types, as models are listed.
+MODELS = ["view", "purchase", "click", "signup", "error"]
 RESULT_LINES = ["HI-Small_Is Laundering_0.1 [AUC-ROC, AUC-PR]: [0.75, 0.5]", "LI-Large_CYCLE_0.9 [AUC-ROC, AUC-PR]: [nan, nan]", "HI-Small_FAN-IN_0.5 [AUC-ROC, AUC-PR]: [1, 0.25]", ""]
 TIME_LINES = ["HI-Small: 12.5", "synthetic_Barabasi-Albert_10000_5_0.01_5: 3.25", "LI-Large: 1e3"]
 PATTERN_TEXT = "note\nBEGIN LAUNDERING ATTEMPT - FAN-OUT:  Max 3\n1,2,3\n1,2,4\nEND LAUNDERING ATTEMPT\n9,9,9\n\nBEGIN LAUNDERING ATTEMPT - CYCLE\n5,6\nEND\n"
@@ -127,10 +131,15 @@ ONE = f"one as (select node, score, label from lg where target = '{LAUNDERING}'
 def _outer_sql(kind: str) -> str:
     flags = lambda miss: ", ".join(f'coalesce(a."{t}", {miss}) as "{t}"' if miss is not None else f'a."{t}"' for t in TARGETS)
     body = {"outer": f"select coalesce(a.node, b.node) as node, {flags(-1)}, coalesce(b.score, -1) + 0.0 as score from lf a full join rg b on b.node = a.node", "lookup": f"select a.node, {flags(None)}, coalesce(b.score, -2) + 0.0 as score from lf a left join rg b on b.node = a.node", "inner": f"select a.node, {flags(None)}, b.score + 0.0 as score from lf a join rg b on b.node = a.node"}[kind]
-    return f"with {BASE}, lf as ({_mean_by('sender')}), rg as (select * from sr where node % 3 <> 0) {body}"
+    return f"with {BASE}, lf as ({_mean_by('sender')}), rg as (select * from sr) {body}"
+
+
+def long_labels(query: str) -> str:
+    """A query over lg, the labels of every cell beside the scores."""
+    return f"with {LONG} {query}"
 
 
-def _area_sql(column: str) -> str:
+def area_sql(column: str) -> str:
     value = {"roc": "sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg))", "pr": "sum(p * (tp / (tp + fp))) / max(pos)"}[column]
     return f"with {LONG}, {CURVE} select cutoff, target, case when max(pos) > 0 and max(neg) > 0 then round({value}, 6) + 0.0 end as {column} from cv group by cutoff, target"
 
@@ -138,18 +147,14 @@ def _area_sql(column: str) -> str:
 QUERIES = {
     "tx_identifiers": _identifiers,
     "money_format": _money,
-    "merged_money": _merged_money,
     "tx_pattern_labels": lambda s, d: labelled(s, d).select("tx_id", *TARGETS),
-    **{f"account_labels_{side}": (lambda s, d, x=side: rounded(_rates(s, d, x))) for side in ("sender", "receiver", "combined")},
+    **{f"account_labels_{side}": (lambda s, d, x=side: rounded(rates(s, d, x))) for side in ("sender", "receiver", "combined")},
     **{f"labels_scores_{how}": _joined(how) for how in ("outer", "lookup", "inner")},
-    "pattern_by_score_bin": _bins(),
-    # The same over all scores; the ones above leave a third out, as their SQL does.
-    **{f"labels_scores_{how}_all": _joined(how, False) for how in ("outer", "lookup", "inner")},
-    "pattern_by_score_bin_all": _bins(False),
+    "pattern_by_score_bin": _bins,
     "threshold_labels_long": lambda s, d: _long(s, d).select("node", *BY, "label"),
     "auc_roc_grid": _area("roc"),
     "auc_pr_grid": _area("pr"),
-    "auc_roc_matrix": _matrix,
+    "auc_roc_matrix": area_matrix,
     "class_imbalance": lambda s, d: rounded(metrics.imbalance(_long(s, d), BY)),
     "roc_pr_curves": lambda s, d: rounded(metrics.curves(_one_target(s, d)).select("score", "tp", "fp", "tpr", "fpr", "precision")),
     "lift_ties": lambda s, d: rounded(metrics.lift(_one_target(s, d))),
@@ -159,6 +164,7 @@ QUERIES = {
     "account_bank_pairs": lambda s, d: labels.account_banks(transactions(s, d)),
     "avg_rank": lambda s, d: rounded(metrics.mean_ranks(metrics.average_ranks(_methods(s, d)))),
     "ordinal_rank": lambda s, d: metrics.ordinal_ranks(_methods(s, d), "method").select("dataset", "method", F.col("rank").cast("long").alias("rank")),
+    "model_order": _model_order,
     "friedman_stat": lambda s, d: rounded(metrics.friedman(_methods(s, d))),
     "nemenyi_pairs": _nemenyi,
     "correlation_test": _correlation,
@@ -172,16 +178,15 @@ QUERIES = {
 ORACLES = {
     "tx_identifiers": f"with {sql_tx()} select tx_id, concat_ws(',', tx_id, from_account, to_account, coalesce(cast(pattern as varchar), 'nan'), is_laundering) as identifier from tx",
     "money_format": f"with {sql_tx()}, t as (select tx_id, amount, cast(amount as varchar) as s from tx) select tx_id, case when length(split_part(s, '.', 2)) >= 2 then s else printf('%.2f', amount) end as money from t",
-    "merged_money": f"with {sql_tx()} select tx_id, printf('%.2f', amount) as money from tx",
     "tx_pattern_labels": f"""with {sql_tx()}, {LAB} select tx_id, {", ".join(f'"{t}"' for t in TARGETS)} from lab""",
     **{f"account_labels_{side}": f"with {sql_tx()}, {LAB} {_mean_by(side)}" for side in ("sender", "receiver", "combined")},
     **{f"labels_scores_{how}": _outer_sql(how) for how in ("outer", "lookup", "inner")},
-    "pattern_by_score_bin": f"""with {BASE}, ra as ({RAW}), jb as (select ra.*, coalesce(s3.score, -2) as score from ra left join (select * from sr where node % 3 <> 0) s3 on s3.node = ra.node)
+    "pattern_by_score_bin": f"""with {BASE}, ra as ({RAW}), jb as (select ra.*, coalesce(s3.score, -2) as score from ra left join sr s3 on s3.node = ra.node)
         select round_even(score, 1) + 0.0 as bin, {", ".join(f'round(avg("{t}"), 6) + 0.0 as "{t}"' for t in TARGETS)} from jb where score <> -2 group by 1""",
     "threshold_labels_long": f"with {LONG} select node, cutoff, target, label from lg",
-    "auc_roc_grid": _area_sql("roc"),
-    "auc_pr_grid": _area_sql("pr"),
-    "auc_roc_matrix": f"""select cutoff, {", ".join(f"max(roc) filter (target = '{t}') as " + chr(34) + t + chr(34) for t in TARGETS)} from ({_area_sql("roc")}) x group by cutoff""",
+    "auc_roc_grid": area_sql("roc"),
+    "auc_pr_grid": area_sql("pr"),
+    "auc_roc_matrix": f"""select cutoff, {", ".join(f"max(roc) filter (target = '{t}') as " + chr(34) + t + chr(34) for t in TARGETS)} from ({area_sql("roc")}) x group by cutoff""",
     "class_imbalance": f"with {LONG} select cutoff, target, round(avg(label), 6) + 0.0 as imbalance from lg group by all",
     "roc_pr_curves": f"""with {LONG}, {CURVE} select round(score, 6) + 0.0 as score, cast(tp as bigint) as tp, cast(fp as bigint) as fp, round(tp / pos, 6) + 0.0 as tpr, round(fp / neg, 6) + 0.0 as fpr, round(tp / (tp + fp), 6) + 0.0 as precision
         from cv where target = '{LAUNDERING}' and cutoff = {CUTOFFS[0]}""",
@@ -197,6 +202,8 @@ ORACLES = {
     "account_bank_pairs": f"with {sql_tx()} select from_account as account, from_bank as bank from tx union select to_account, to_bank from tx",
     "avg_rank": f"with {RANKED} select method, round(avg(rank), 6) + 0.0 as mean_rank from rk group by method",
     "ordinal_rank": f"with {METHODS} select dataset, method, row_number() over (partition by dataset order by score desc, method) as rank from em",
+    "model_order": f"""with {METHODS}, mo as (select dataset, method, round(score, -1) as score, list_position([{", ".join(f"'{x}'" for x in MODELS)}], method) as place from em)
+        select dataset, method, row_number() over (partition by dataset order by score desc, place) as rank from mo where place > 0""",
     "friedman_stat": f"""with {RANKED}, ti as (select sum(t * t * t - t) as ties from (select count(*) as t from rk group by dataset, score) x),
         su as (select sum(r * r) as squares, count(*) as k, max(b) as b from (select sum(rank) as r, count(*) as b from rk group by method) x)
         select b as datasets, k as methods, round((squares * 12 / (b * k * (k + 1)) - 3 * b * (k + 1)) / (1 - ties / (b * (k * k * k - k))), 6) + 0.0 as statistic from su, ti""",

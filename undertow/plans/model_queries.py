@@ -68,8 +68,7 @@ def _grid(spark, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "connected_components": lambda s, d: communities.connected_components(*reduced_graph(s, d, 32)),
-    "connected_components_whole": lambda s, d: communities.connected_components(*raw_graph(s, d)),
+    "connected_components": lambda s, d: communities.connected_components(*raw_graph(s, d)),
     "louvain_communities": _louvain,
     "modularity": _modularity,
     "isolation_scores": lambda s, d: _forest(s, d).select("node", *MEASURES, "anomaly_score"),
@@ -81,12 +80,12 @@ QUERIES = {
     "synthetic_labels": _synthetic(0),
     "synthetic_erdos_renyi": lambda s, d: synthetic.erdos_renyi(s, N, 0.001, 1997),
     "synthetic_watts_strogatz": lambda s, d: synthetic.watts_strogatz(s, N, M, 0.01, 1997),
-    "synthetic_benchmark": lambda s, d: workflows.synthetic_benchmark(s, [(synthetic.BARABASI, 100, 2, 0, 3)]),
+    "synthetic_benchmark_one_dataset": lambda s, d: workflows.synthetic_benchmark(s, [(synthetic.BARABASI, 100, 2, 0, 3)]),
     "planted_pattern_edges": _planted,
     "parameter_grid": _grid,
 }
 ORACLES = {
-    "connected_components": f"""with recursive {sql_graph(32)}, reach(node, other) as (select node, node from v union select reach.node, u.dst from reach join u on u.src = reach.other)
+    "connected_components": f"""with recursive {sql_graph()}, reach(node, other) as (select node, node from v union select reach.node, u.dst from reach join u on u.src = reach.other)
         select node, min(other) as component from reach group by node""",
     "modularity": f"""with {sql_graph()}, pl as (select src % {DENSE} as a, dst % {DENSE} as b from e), dg as (select c, count(*)::double as d from (select a as c from pl union all select b from pl) x group by c)
         select round((select count(*) filter (a = b) / count(*) from pl) - (select sum(d * d) from dg) / (4.0 * power((select count(*) from pl), 2)), 6) + 0.0 as modularity""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from undertow.plans import graph_queries, label_queries, model_queries
+from undertow.plans import file_queries, graph_queries, label_queries, model_queries
 
-MODULES = (graph_queries, label_queries, model_queries)
+MODULES = (graph_queries, label_queries, file_queries, model_queries)
 
 
 def queries() -> dict:

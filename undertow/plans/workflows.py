@@ -18,6 +18,7 @@ from undertow.operators.synthetic import dataset_name, parameter_grid, synthetic
 from undertow.sources import tables
 from undertow.sources.stage import staged
 
+#: The cut-offs of the evaluation grid, and the labels of generated nodes.
 CUTOFFS = [0.1, 0.2, 0.3, 0.5, 0.9]
 SYNTHETIC_TARGETS = ["laundering", "separate", "new_mules", "existing_mules"]
 

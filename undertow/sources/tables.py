@@ -112,6 +112,13 @@ def metric_matrix(metrics: DataFrame, metric: str, columns: list[str], row: str
     return metrics.where(F.col("metric") == metric).groupBy(row).pivot(column, columns).agg(F.first("value"))
 
 
+def merged_results(left: DataFrame, right: DataFrame, on: str, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Two result tables side by side, by the rows that both have; columns that both have get a suffix."""
+    both = {c for c in left.columns if c in right.columns and c != on}
+    named = [t.select(*(F.col(f"`{c}`").alias(c + suffix if c in both else c) for c in t.columns)) for t, suffix in zip((left, right), suffixes, strict=True)]
+    return named[0].join(named[1], on)
+
+
 def append_log(spark: SparkSession, path: str, key: str, value: str) -> None:
     """Add a line ``key: value`` to a log folder."""
     spark.createDataFrame([(f"{key}: {value}",)], "value string").coalesce(1).write.mode("append").text(path)
@@ -130,7 +137,7 @@ def result_log(lines: DataFrame) -> DataFrame:
 def synthetic_result_log(lines: DataFrame) -> DataFrame:
     """dataset and values (an array per target) from lines ``dataset ...: [[roc, pr], ...]``."""
     parts = F.split("value", ":", 2)
-    return lines.where(F.trim("value") != "").select(F.split(parts[0], r"\s+")[0].alias("dataset"), F.from_json(F.trim(parts[1]), "array<array<double>>").alias("values"))
+    return lines.where(F.trim("value") != "").select(F.split(parts[0], r"\s+")[0].alias("dataset"), F.from_json(F.trim(F.get(parts, F.lit(1))), "array<array<double>>").alias("values"))
 
 
 def time_log(lines: DataFrame) -> DataFrame:
