@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -84,6 +85,67 @@ def test_substrings_match_brute_force(spark, documents, many):
         assert got == brute_substrings(some)
 
 
+def test_factors_match_their_references(spark, documents):
+    """Each factor is found, word by word, at an earlier place of the reference, and goes on no further there."""
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 2000)}" for _ in range(400)]
+    rows = [(d, " ".join([f"x{d}", *base[rng.randint(0, 100) : rng.randint(200, 400)], f"y{d}"])) for d in range(40)]
+    for some in (rows, documents):
+        words = {d: (t or "").split() for d, t in some}
+        found = substring_dedup.factors(spark.createDataFrame(some, "doc_id long, text string").repartition(4)).collect()
+        assert found
+        for f in found:
+            assert f.length >= 20
+            assert (f.ref_id, f.ref_start) < (f.doc_id, f.start)
+            assert words[f.doc_id][f.start : f.start + f.length] == words[f.ref_id][f.ref_start : f.ref_start + f.length]
+        for one, next_ in itertools.pairwise(sorted(found, key=lambda f: (f.doc_id, f.start, f.length))):
+            if one.doc_id == next_.doc_id and one.ref_id == next_.ref_id and next_.start <= one.start + one.length - 19:
+                assert next_.ref_start - next_.start != one.ref_start - one.start
+
+
+def test_longest_factors():
+    assert substring_dedup.longest([(5, 3, 1, 50), (0, 5, 1, 45), (8, 2, 1, 99), (20, 1, 1, 65), (30, 4, 2, 0), (31, 2, 2, 1)]) == [(0, 8, 1, 45), (8, 2, 1, 99), (20, 1, 1, 65), (30, 4, 2, 0)]
+
+
+@pytest.mark.parametrize("remembered", [200_000, 3])
+def test_one_passage_in_every_block(spark, monkeypatch, remembered):
+    """A passage that every block holds, in any order of documents: a task asks for its phrases once."""
+    rng = random.Random(5)
+    base = [f"p{i}" for i in range(60)]
+    order = list(range(200))
+    rng.shuffle(order)
+    rows = [(d, " ".join([*(f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(5, 40))), *base])) for d in order]
+    asked, blocks = substring_dedup.Asked(16), 0
+    for i in range(0, 200, 10):
+        some = rows[i : i + 10]
+        block = substring_dedup.Block(np.array([d for d, _ in some]), [t.encode().split() for _, t in some], 20)
+        asked.add(substring_dedup.phrases(block, 8)[0])
+        blocks += 1
+    probes = np.array(asked.rest())
+    # Of phrases within the passage one row is left; without memory there would be one a block.
+    assert max(Counter(map(tuple, probes[:, :2].tolist())).values()) == 1
+    monkeypatch.setattr(substring_dedup, "REMEMBERED", remembered)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), digests=True).collect()}
+    assert got == brute_substrings(rows)
+
+
+def test_owner_holds_few_rows_of_a_minimiser():
+    """Answers are the same if a minimiser's rows come in parts, but for repeated checks."""
+    rng = np.random.default_rng(0)
+    for contents in (1, 3):
+        rows = np.zeros((300, 8), np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = 7, rng.integers(1, contents + 1, 300), rng.integers(0, 50, 300), np.arange(300)
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1]))]
+        whole = {tuple(r) for r in substring_dedup._answers(rows).tolist()}
+        parts, held = set(), rows[:0]
+        for i in range(0, 300, 50):
+            held = np.concatenate([held, rows[i : i + 50]])
+            parts |= {tuple(r) for r in substring_dedup._answers(held).tolist()}
+            held = substring_dedup._essence(held)
+        # A content that was alone until then is asked for once the minimiser proves shared.
+        assert parts == whole
+
+
 def test_substrings_on_messy_tables(messy, empty):
     rows = substring_dedup.substring_duplicates(messy).collect()
     assert len(rows) == len(TEXTS)

@@ -1,17 +1,21 @@
 """Substring deduplication by relative Lempel-Ziv factors over a distributed reference index.
 
-Every text is parsed from left to right into factors whose bounds its content sets: the windows of ``window`` words that
-share a minimiser (the least hash among their eight-word grams) make one factor. The index's reference blocks hold the
-factors by minimiser, so a factor meets exactly those blocks of the reference that can hold any of its windows, instead
-of being scanned against all. A factor that an earlier place of the corpus holds whole is a copy: all its windows repeat.
-The others are literals as a whole, but where another factor shares their minimiser they may still overlap it: such
-factor boundaries are checked window by window, over whole windows, against all other boundary factors. Adjacent
-repeated windows make the duplicate spans.
-
-Earlier means: smaller doc_id, or the same document and an earlier start. Hashes of words decide equality, 128 bits for a
-factor or window. What one block of texts repeats is settled where it is read, so copies of a hot passage are not
-shuffled one by one, and a minimiser that one block sees with many contents goes to the boundary check directly; that
-check is an aggregation with map-side combine.
+The reference is the whole corpus, in blocks, indexed by content: the windows of ``window`` words that share a minimiser (the
+least hash among their eight-word grams) make one phrase, and the index holds the phrases of all blocks by minimiser. So a
+phrase of a document meets exactly those reference blocks that can hold any of its windows, instead of being scanned against
+all. A phrase that an earlier place of the reference holds whole is a match with that place. A document is parsed from left to
+right: a factor starts at a match and is extended, greedily, by the matches that go on at the same place of the reference.
+Phrases without a match are literals as a whole, but where another phrase shares their minimiser they may still overlap it:
+such factor boundaries are checked window by window, over whole windows, against all other boundary phrases. What factors and
+repeated boundary windows cover are the duplicate spans.
+
+Earlier means: smaller doc_id, or the same document and an earlier start. Words are told apart by hashes of 64 bits, phrases
+and windows by 128.
+
+No minimiser or passage makes a hot task: what one block of texts repeats is settled where it is read; of a phrase that
+several blocks of a task hold, the task asks once, and its other places match the first; a minimiser that a task has asked for
+often goes to the boundary check directly, of which the index is told once a task. Owners of the index keep no more than a
+bounded number of rows. The boundary check is an aggregation with map-side combine.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing. Rows that repeat a doc_id are
 documents of their own and stand in the order of a written copy of the table; a null doc_id stands before all others.
@@ -30,21 +34,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from undertow.llm.common import Lookup, gathered, kept_in_worker, read_table, text_blocks, written
+from undertow.llm.ngrams import mix
 
 WINDOW, GRAM = 20, 8
-#: A minimiser with more contents than this in one block of texts goes to the boundary check directly.
+#: A minimiser that one task has asked for with more contents than this goes to the boundary check directly.
 MANY = 16
+#: Phrases and minimisers that a task remembers, and rows of a minimiser that its owner holds, at most.
+REMEMBERED, HELD = 100_000, 500_000
 PROBE, MARKER, COPY, BOUNDARY = 0, 1, 2, 3
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MASK = (1 << 64) - 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse, modulo 2 ** 64."""
     known = kept_in_worker("substrings", _tables)[1]
@@ -74,7 +75,7 @@ class Grams:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)], dtype=np.uint64)])
 
     def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return _mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
+        return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
 
 
 def split(text: str | None) -> list[bytes]:
@@ -96,7 +97,7 @@ class Block:
         keep = keep[np.argsort(uids[keep], kind="stable")]
         x = word_hashes([w for k in keep for w in texts[k]])
         n, begin = n[keep], np.cumsum(n[keep]) - n[keep]
-        self.one, self.two = Grams(x, BASES[0]), Grams(_mix(x), BASES[1])
+        self.one, self.two = Grams(x, BASES[0]), Grams(mix(x), BASES[1])
         counts = n - window + 1
         self.doc = np.repeat(np.arange(len(keep)), counts)
         self.start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -116,21 +117,23 @@ class Block:
             grams = np.minimum(grams[: len(grams) - (left - span)], grams[left - span :])
         return grams[self.at]
 
-    def repeated(self) -> np.ndarray:
-        """The windows that stand earlier in this block."""
+    def sources(self) -> np.ndarray:
+        """Per window, the first window of this block with the same words (itself, if none stands before)."""
         order = np.argsort(self.hash1, kind="stable")
-        again = np.zeros(len(order), bool)
-        same = (self.hash1[order[1:]] == self.hash1[order[:-1]]) & (self.hash2[order[1:]] == self.hash2[order[:-1]])
-        again[order[1:]] = same
-        return again
+        new = np.ones(len(order), bool)
+        new[1:] = (self.hash1[order[1:]] != self.hash1[order[:-1]]) | (self.hash2[order[1:]] != self.hash2[order[:-1]])
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+        found = np.empty(len(order), np.int64)
+        found[order] = first
+        return found
 
 
-def _runs(mask: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and length of each run of true windows within one document."""
+def _runs(mask: np.ndarray, doc: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of each run of true windows within one document and with sources that follow each other."""
     at = np.flatnonzero(mask)
     if not len(at):
         return at, at
-    new = np.append(True, (np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]]))
+    new = np.append(True, (np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]]) | (np.diff(source[at]) != 1))
     begin = np.flatnonzero(new)
     return at[begin], np.diff(np.append(begin, len(at)))
 
@@ -139,102 +142,178 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
 
-def factors(block: Block, gram: int, many: int) -> list[np.ndarray]:
-    """Columns route, content, uid, start, length, kind of what this block knows or asks."""
+#: A phrase: its minimiser, content, place and length (in windows), what it is, and where the reference holds it.
+ROW = ["route", "content", "uid", "start", "length", "kind", "ref", "at"]
+
+
+def phrases(block: Block, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of phrases to ask for, and of matches within this block."""
     if not len(block.doc):
-        return [np.array([], np.int64)] * 6
-    least, again = block.minimisers(gram), block.repeated()
+        return np.zeros((0, len(ROW)), np.int64), np.zeros((0, len(ROW)), np.int64)
+    least, source = block.minimisers(gram), block.sources()
+    again = source != np.arange(len(source))
     new = np.append(True, (least[1:] != least[:-1]) | (block.doc[1:] != block.doc[:-1]))
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(new)))
     asks = np.add.reduceat((~again).astype(np.int64), begin) > 0
     begin, length = begin[asks], length[asks]
-    route = _signed(least[begin])
-    content = _signed(block.two(block.at[begin], length + block.window - 1) ^ _mix(length.astype(np.uint64)))
-    # Minimisers that stand here with many contents.
-    pairs = np.unique(np.stack([route, content], 1), axis=0)
-    seen, count = np.unique(pairs[:, 0], return_counts=True)
-    hot = seen[count > many]
-    direct = np.isin(route, hot)
-    kind = np.where(direct, BOUNDARY, PROBE)
-    known, known_length = _runs(again, block.doc)
-    spread = lambda at: _signed(_mix(block.uid[block.doc[at]].astype(np.uint64) + block.start[at].astype(np.uint64)))
-    zero = lambda x: np.zeros(len(x), np.int64)
-    return [
-        np.concatenate([np.where(direct, spread(begin), route), hot, spread(known)]),
-        np.concatenate([np.where(direct, 0, content), zero(hot), zero(known)]),
-        np.concatenate([block.uid[block.doc[begin]], zero(hot), block.uid[block.doc[known]]]),
-        np.concatenate([block.start[begin], zero(hot), block.start[known]]),
-        np.concatenate([length, zero(hot), known_length]),
-        np.concatenate([kind, np.full(len(hot), MARKER), np.full(len(known), COPY)]),
-    ]
+    content = _signed(block.two(block.at[begin], length + block.window - 1) ^ mix(length.astype(np.uint64)))
+    place = lambda at: (block.uid[block.doc[at]], block.start[at])
+    none = np.zeros(len(begin), np.int64)
+    asked = np.column_stack([_signed(least[begin]), content, *place(begin), length, none + PROBE, none, none])
+    known, size = _runs(again, block.doc, source)
+    none = np.zeros(len(known), np.int64)
+    return asked, np.column_stack([none, none, *place(known), size, none + COPY, *place(source[known])])
+
+
+def _spread(rows: np.ndarray) -> np.ndarray:
+    """The rows, which need no owner, dealt over all tasks by their places."""
+    rows[:, 0] = _signed(mix(rows[:, 2].astype(np.uint64) + mix(rows[:, 3].astype(np.uint64))))
+    rows[:, 1] = 0
+    return rows
+
+
+class Asked:
+    """What a task has asked for: of each phrase the least place so far, and of each minimiser how many phrases. Bounded: when
+    full, what is held is asked for, and the rest is forgotten, which costs rows but no result."""
+
+    def __init__(self, many: int) -> None:
+        self.many, self.first, self.times = many, {}, {}
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        """Rows that can go now. Others are held until rest()."""
+        gone: list[tuple] = []
+        first, times, many = self.first, self.times, self.many
+        for row in map(tuple, rows.tolist()):
+            # Phrases of equal content have the same minimiser.
+            route, content = row[0], row[1]
+            held = first.get(content)
+            if held is not None:
+                # The later place matches the earlier one.
+                early, late = (held, row) if held[2:4] <= row[2:4] else (row, held)
+                gone.append((*late[:5], COPY, *early[2:4]))
+                first[content] = early
+                continue
+            n = times[route] = times.get(route, 0) + 1
+            if n <= many:
+                first[content] = row
+                continue
+            if n == many + 1:
+                gone.append((route, 0, 0, 0, 0, MARKER, 0, 0))
+            gone.append((*row[:5], BOUNDARY, 0, 0))
+        if len(first) > REMEMBERED:
+            gone += self.rest()
+        return np.array(gone, np.int64).reshape(-1, len(ROW))
+
+    def rest(self) -> list[tuple]:
+        found = list(self.first.values())
+        self.first, self.times = {}, {}
+        return found
 
 
 def _answers(rows: np.ndarray) -> np.ndarray:
-    """uid, start, length, kind for probes and markers (route, content, uid, start, length, kind), sorted by the first four."""
+    """uid, start, length, kind, ref, at for probes and markers, sorted by the first four columns."""
     group = np.append(True, rows[1:, 0] != rows[:-1, 0])
-    first = group | np.append(True, rows[1:, 1] != rows[:-1, 1])
+    first = group | (np.append(True, rows[1:, 1] != rows[:-1, 1]))
     number = np.cumsum(group) - 1
     marker = rows[:, 5] == MARKER
     # A route is shared if probes stand with several contents, or a marker stands there.
-    contents = np.bincount(number[first & ~marker], minlength=number[-1] + 1) if len(rows) else np.array([])
+    contents = np.bincount(number[first & ~marker], minlength=number[-1] + 1)
     shared = (contents > 1) | (np.bincount(number[marker], minlength=number[-1] + 1) > 0)
-    probe = ~marker
     # A probe behind a marker of the same content would not be first in its group otherwise.
-    lead = np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1]) | marker[:-1])
-    ask = probe & lead & shared[number]
-    copy = probe & ~lead
-    out = np.concatenate([rows[copy][:, 2:5], rows[ask][:, 2:5]])
-    return np.column_stack([out, np.repeat([COPY, BOUNDARY], [copy.sum(), ask.sum()])])
+    lead = ~marker & (first | np.append(True, marker[:-1]))
+    ask, copy = lead & shared[number], ~marker & ~lead
+    at = np.maximum.accumulate(np.where(lead, np.arange(len(rows)), 0))
+    found = rows[:, 2:].copy()
+    found[copy, 4:] = rows[at[copy], 2:4]
+    found[:, 3] = np.where(copy, COPY, BOUNDARY)
+    return found[copy | ask]
 
 
 def _as_batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], names=names)
 
 
-SPAN = ["uid", "start", "length", "kind"]
+SPAN = ROW[2:]
 
 
 def spans(docs: DataFrame, window: int, gram: int, many: int) -> DataFrame:
-    """uid and spans: array<struct<start, length, kind>>, windows that repeat (COPY) or need the check (BOUNDARY)."""
+    """uid and spans: array<struct<start, length, kind, ref, at>>, windows that match the place at of the document ref (COPY) or
+    need the check (BOUNDARY)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = Asked(many)
         for batch in text_blocks(batches, 1):
             block = Block(batch.column(0).to_numpy(), [split(t) for t in batch.column(1).to_pylist()], window)
-            yield _as_batch(factors(block, gram, many), ["route", "content", *SPAN])
+            rows, known = phrases(block, gram)
+            rows = np.concatenate([asked.add(rows), known])
+            through = rows[:, 5] >= COPY
+            yield _as_batch(list(np.concatenate([rows[~through], _spread(rows[through])]).T), ROW)
+        yield _as_batch(list(np.array(asked.rest(), np.int64).reshape(-1, len(ROW)).T), ROW)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = np.zeros((0, len(ROW)), np.int64)
         for rows in gathered(batches):
             through = rows[:, 5] >= COPY
             if through.any():
                 yield _as_batch(list(rows[through][:, 2:].T), SPAN)
-            rows = rows[~through]
-            held = rows if held is None else np.concatenate([held, rows])
+            held = np.concatenate([held, rows[~through]])
             last = np.flatnonzero(held[1:, 0] != held[:-1, 0])
             if len(last):
                 yield _as_batch(list(_answers(held[: last[-1] + 1]).T), SPAN)
                 held = held[last[-1] + 1 :]
-        if held is not None and len(held):
+            if len(held) > HELD:
+                found, held = _answers(held), _essence(held)
+                yield _as_batch(list(found.T), SPAN)
+        if len(held):
             yield _as_batch(list(_answers(held).T), SPAN)
 
     long = lambda names: ", ".join(f"{n} long" for n in names)
-    asked = docs.mapInArrow(parse, long(["route", "content", *SPAN]))
+    asked = docs.mapInArrow(parse, long(ROW))
     met = asked.repartition("route").sortWithinPartitions("route", "content", "uid", "start").mapInArrow(meet, long(SPAN))
-    one = F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"), F.col("kind").cast("int").alias("kind"))
+    one = F.struct(*(F.col(c).cast(kind).alias(c) for c, kind in (("start", "int"), ("length", "int"), ("kind", "int"), ("ref", "long"), ("at", "int"))))
     return met.groupBy("uid").agg(F.collect_list(one).alias("spans"))
 
 
-def _marked(spans_: list | None, n: int, kind: int) -> np.ndarray:
-    """Which of n windows lie in a span of this kind."""
+def _essence(rows: np.ndarray) -> np.ndarray:
+    """What the rows of one minimiser leave for those that follow: the first place of the last content, and whether the
+    minimiser is shared."""
+    probes = rows[rows[:, 5] == PROBE]
+    if not len(probes):
+        return rows[:1]
+    lead = probes[probes[:, 1] == probes[-1, 1]][:1]
+    marker = np.array([[rows[0, 0], 0, 0, 0, 0, MARKER, 0, 0]])
+    shared = len(probes) < len(rows) or probes[0, 1] != probes[-1, 1]
+    return np.concatenate([marker, lead]) if shared else lead
+
+
+def longest(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Factors (start, length, ref, at), in windows: from left to right, each match extended by those that go on at the same
+    place of the reference."""
+    found: list[tuple[int, int, int, int]] = []
+    for start, length, ref, at in sorted(matches):
+        if found:
+            s, n, r, a = found[-1]
+            if r == ref and a - s == at - start and start <= s + n:
+                found[-1] = s, max(n, start + length - s), r, a
+                continue
+        found.append((start, length, ref, at))
+    return found
+
+
+def _marked(pieces: list[tuple], n: int) -> np.ndarray:
+    """Which of n windows lie in the pieces (start, length, ...)."""
     edges = np.zeros(n + 1, np.int64)
-    for s in spans_ or ():
-        if s["kind"] == kind:
-            edges[s["start"]] += 1
-            edges[s["start"] + s["length"]] -= 1
+    for start, length, *_ in pieces:
+        edges[start] += 1
+        edges[start + length] -= 1
     return np.cumsum(edges)[:n] > 0
 
 
+def _pieces(found: list | None, kind: int) -> list[tuple]:
+    return [(x["start"], x["length"], x["ref"], x["at"]) for x in found or () if x["kind"] == kind]
+
+
 def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, digests: bool = False) -> DataFrame:
     """From uid (unique, in the order of documents, never null), text and maybe rest: uid, n_words, n_removed, kept, rest."""
     found = written(spans(docs, window, gram, many), "spans", narrow=True)
@@ -248,7 +327,7 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
                 continue
             block = Block(uids[some], [split(texts[i]) for i in some], window)
             by_uid = {int(uids[i]): lists[i] for i in some}
-            asked = np.concatenate([_marked(by_uid[int(u)], c, BOUNDARY) & ~_marked(by_uid[int(u)], c, COPY) for u, c in zip(block.uid, block.counts, strict=True)])
+            asked = np.concatenate([_marked(_pieces(by_uid[int(u)], BOUNDARY), c) & ~_marked(_pieces(by_uid[int(u)], COPY), c) for u, c in zip(block.uid, block.counts, strict=True)])
             yield _as_batch([_signed(block.hash1[asked]), _signed(block.hash2[asked]), block.uid[block.doc[asked]], block.start[asked]], ["h1", "h2", "uid", "start"])
 
     # The columns that are only carried go along here, too, so that both uses share one exchange of the texts.
@@ -264,9 +343,9 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
                 gone = None
                 if span:
                     n = len(words) - window + 1
-                    asked = _marked(span, n, BOUNDARY)
+                    asked = _marked(_pieces(span, BOUNDARY), n)
                     asked[np.array(first or [], np.int64)] = False
-                    repeats = np.flatnonzero(asked | _marked(span, n, COPY))
+                    repeats = np.flatnonzero(asked | _marked(longest(_pieces(span, COPY)), n))
                     edges = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edges, repeats, 1)
                     np.add.at(edges, repeats + window, -1)
@@ -283,6 +362,22 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
     return found.mapInArrow(remove, schema)
 
 
+def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, length, ref_id, ref_start: each factor of a document, in words, and the earlier place that holds it."""
+    found, ids = _by_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(u, s, n + window - 1, r, a) for u, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s, n, r, a in longest(_pieces(x, COPY))]
+            yield _as_batch(list(np.array(rows, np.int64).reshape(-1, 5).T), ["uid", "start", "length", "ref", "at"])
+
+    rows = spans(found, window, gram, many).mapInArrow(run, "uid long, start long, length long, ref long, at long")
+    if ids is None:
+        return rows.select(F.col("uid").alias("doc_id"), "start", "length", F.col("ref").alias("ref_id"), F.col("at").alias("ref_start"))
+    refs = ids.select(F.col("uid").alias("ref"), F.col("doc_id").alias("ref_id"))
+    return rows.join(ids, "uid").join(refs, "ref").select("doc_id", "start", "length", "ref_id", F.col("at").alias("ref_start"))
+
+
 def substring_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and kept (its text without the spans, or that text's SHA-256).
 
