@@ -8,8 +8,6 @@ import duckdb
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from tests.llm.conftest import TEXTS
 from undertow.llm import chat_format, registry, vector_search
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -117,7 +115,7 @@ def test_rings_that_matter(clustered):
     assert share < 0.15 if clustered else share <= 1
 
 
-# Queries and pipeline
+# Queries
 
 
 def test_oracles(spark, sf):
@@ -130,23 +128,3 @@ def test_oracles(spark, sf):
             assert sorted(got.columns) == columns
             one, two = (sorted(map(tuple, d[columns].astype(str).to_numpy())) for d in (got, want))
             assert one == two, name
-
-
-def test_pipeline_runs_whole(spark, sf):
-    packed = corpus_pipeline.run(spark, sf).collect()
-    assert packed
-    spans = {}
-    for r in packed:
-        spans.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
-    for pieces in spans.values():
-        assert sum(n for _, n, _ in pieces) == pieces[0][2]
-    again = corpus_pipeline.run(spark, sf).collect()
-    assert sorted(map(tuple, packed)) == sorted(map(tuple, again))
-
-
-def test_stages_on_messy_tables(spark, messy, empty, sf):
-    for docs, rows in ((messy, len(TEXTS)), (empty, 0)):
-        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, docs, sf)
-            assert i == 4 or out.columns == docs.columns
-            assert (out.count() <= rows) if i < 4 else (out.count() > 0) == (rows > 0)

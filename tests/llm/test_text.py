@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
 import xxhash
 
 from tests.llm.conftest import LONG, TEXTS
@@ -49,6 +50,33 @@ def test_codec_on_messy_tables(messy, empty):
     assert sentencepiece_codec.encode_decode(empty, path, digests=True).count() == 0
 
 
+def test_codec_query_matches_library(spark, sf, documents):
+    """The digests of whole texts, through the query."""
+    with open(public_tokenizer(sentencepiece_codec.MODEL), "rb") as f:
+        sp = sentencepiece.SentencePieceProcessor(model_proto=f.read())
+    want = {}
+    for d, t in documents:
+        ids = sp.encode(t or "")
+        want[d] = (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in sentencepiece_codec.op1_sentencepiece(spark, sf).collect()} == want
+
+
+def test_codec_refuses_other_models():
+    """One whose normaliser changes text, and one whose pieces cross markers."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(public_tokenizer(sentencepiece_codec.MODEL), "rb") as f:
+        raw = f.read()
+    model = sentencepiece_model_pb2.ModelProto.FromString(raw)
+    model.normalizer_spec.remove_extra_whitespaces = True
+    with pytest.raises(ValueError, match="normaliser"):
+        sentencepiece_codec.Codec(model.SerializeToString())
+    model = sentencepiece_model_pb2.ModelProto.FromString(raw)
+    model.pieces[-1].piece = "a▁b"
+    with pytest.raises(ValueError, match="cross"):
+        sentencepiece_codec.Codec(model.SerializeToString())
+
+
 # Substring dedup
 
 
@@ -256,6 +284,33 @@ def test_packing_on_messy_tables(messy, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_query_matches_library(spark, sf, documents):
+    """Every id of every text lies in one piece, and as few windows are open as best-fit decreasing leaves."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizer(packing.TOKENIZER))
+    pieces, windows = {}, {}
+    for r in packing.op4_packing(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    rest = []
+    for d, t in documents:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(pieces[d], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+        rest += [4096] * (len(ids) // 4096) + ([len(ids) % 4096] if len(ids) % 4096 else [])
+    for parts in windows.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+    assert sorted(4096 - sum(n for _, n in p) for p in windows.values()) == brute_fit(rest, 4096)
+
+
 # SimHash
 
 

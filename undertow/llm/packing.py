@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from undertow.llm.common import Lookup, kept_in_worker, public_tokenizer, read_table, text_blocks, written
 
-TOKENIZER, END_ID, WINDOW, BUCKETS = "word_bpe_49k.json", 2, 4096, 1024
+TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
+#: Buckets that the pieces of one length are ranked in: at least so many, and more where a bucket would pass so many pieces.
+BUCKETS, BUCKET_PIECES = 1024, 100_000
 
 
 def byte_letters() -> list[str]:
@@ -156,7 +158,8 @@ def best_fit_decreasing(histogram: dict[int, int], window: int = WINDOW) -> np.n
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per piece: doc_id, start, length, payload, doc_tokens, sequence_id, offset."""
     table = written(pieces(docs, tokenizer_file, window, end_id, id_col, text_col, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    keyed = table.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(BUCKETS)))
+    buckets = max(BUCKETS, table.count() // BUCKET_PIECES)
+    keyed = table.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     plan = best_fit_decreasing({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, window)  # at most `window` rows
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
