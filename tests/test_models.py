@@ -6,7 +6,7 @@ import pytest
 from undertow.operators import communities, graph, synthetic
 from undertow.operators.models import MEASURES, IsolationForest
 from undertow.plans import workflows
-from undertow.sources.stage import clear_stages, session_dir, staged
+from undertow.sources.stage import clear_stages, folder, remove, session_dir, shared_dir, staged
 from undertow.streaming import ingest
 
 
@@ -40,6 +40,20 @@ def test_louvain_finds_cliques(spark, local_edges):
     assert communities.modularity(e, staged(found, "test")).first()[0] > 0.5
 
 
+@pytest.mark.parametrize("resolution", [1.0, 10.0])
+def test_moves_over_all_tasks_are_as_good_as_sequential_ones(spark, resolution):
+    """On a network with planted communities, by modularity."""
+    rng = np.random.default_rng(0)
+    group, pairs = rng.integers(0, 8, 240), set()
+    while len(pairs) < 1400:
+        a, b = sorted(rng.integers(0, 240, 2).tolist())
+        if a != b and (group[a] == group[b] or rng.random() < 0.03):
+            pairs.add((a, b))
+    v, e = spark.range(240).withColumnRenamed("id", "node"), spark.createDataFrame(sorted(pairs), "src long, dst long")
+    found = [communities.modularity(e, staged(communities.louvain(v, e, resolution, local_edges=n), "test"), resolution).first()[0] for n in (1, 10_000)]
+    assert found[0] > 0.95 * found[1] > 0
+
+
 def test_generator_plants_patterns(spark):
     nodes, edges = synthetic.synthetic_network(spark, synthetic.BARABASI, 200, 2, 0, 3, [4])
     assert nodes.count() == 200 + 3 * 6 + 3 * 4
@@ -102,6 +116,51 @@ def test_stream_matches_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_scores_accounts_without_community(spark, tmp_path):
+    """They are communities of their own; a batch without an edge inside a community does no harm."""
+    for i, pairs in enumerate(([(0, 1), (50, 0)], [(50, 60), (1, 0)])):
+        spark.createDataFrame(pairs, "from_account long, to_account long").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("from_account long, to_account long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    place = spark.createDataFrame([(0, 7), (1, 7), (2, 50)], "node long, community long")
+    ingest.run(stream, place, str(tmp_path / "edges"), str(tmp_path / "scores"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    got = {r.node: r.score for r in ingest.latest_scores(spark, str(tmp_path / "scores")).collect()}
+    v = spark.createDataFrame([(x,) for x in (0, 1, 50, 60)], "node long")
+    e = spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long")
+    assert got == {r.node: r.score for r in workflows.scores(workflows.measures(v, e, True), True).collect()}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    """No folder of one machine stands in for it."""
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_a_folder_is_removed_together(spark):
+    from pathlib import Path
+
+    with folder(spark, "together") as path:
+        staged(spark.range(3), "one")
+        staged(spark.range(3), "two")
+    assert len(list(Path(path.removeprefix("file:")).iterdir())) == 2
+    assert not staged(spark.range(3), "outside").inputFiles()[0].removeprefix("file://").startswith(path.removeprefix("file:"))
+    remove(spark, path)
+    assert not Path(path.removeprefix("file:")).exists()
+
+
 def test_stages_are_cleared(spark):
     from pathlib import Path
 

@@ -108,6 +108,24 @@ def test_neighbour_summary(spark):
         features.neighbour_summary(v, e, values.where("node <> 2"), "score").collect()
 
 
+def test_large_communities_are_computed_by_joins(spark, monkeypatch):
+    """With the same result as dense matrices."""
+    pairs = [(i, (i * 7 + j) % 12) for i in range(12) for j in (1, 2)] + [(20 + i, 20 + (i + 1) % 4) for i in range(4)]
+    v, e = network(spark, pairs)
+    place = v.selectExpr("node", "node div 20 as community")
+    want = sorted(map(tuple, blocks.measures_directed(v, e).collect()))
+    for most in (2000, 6, 1):
+        monkeypatch.setattr(blocks, "DENSE_NODES", most)
+        assert sorted(map(tuple, blocks.measures_directed(v, e, strategy="pandas", communities=place).collect())) == want
+
+
+def test_too_many_paths_are_an_error(spark):
+    _, e = network(spark, [(0, i) for i in range(1, 11)])
+    assert ego.check_paths(e, 110) == 110
+    with pytest.raises(ValueError, match="110 two-step paths"):
+        ego.check_paths(e, 109)
+
+
 def test_unknown_options(spark):
     v, e = network(spark, SMURF)
     with pytest.raises(ValueError, match="score type"):

@@ -60,6 +60,10 @@ def undirected_blocks() -> dict[str, tuple[Column, Column, float]]:
     return {"1": (F.col("c22"), b * (b - 1), 0.0), "2": (F.col("c12"), a * b, 1.0), "3": (F.col("c11"), a * (a - 1), 0.0)}
 
 
+#: Nodes of a community that one task computes as dense matrices, at most.
+DENSE_NODES = 2000
+
+
 def density(count: Column, size: Column, empty: float) -> Column:
     return F.when(size > 0, count / size).otherwise(F.lit(empty))
 
@@ -77,10 +81,17 @@ def measures_directed(v: DataFrame, e: DataFrame, include_size: bool = True, com
     """node, measure_00 ... measure_22 and size_00 ... size_22 for every node.
 
     strategy "pandas" computes each community (node, community) as dense matrices in one task; it needs edges within
-    communities, and is for small ones.
+    communities. Communities of more than DENSE_NODES nodes are computed by joins like the others, with the same result.
     """
     if strategy == "pandas":
-        return _measures_by_community(v, e, communities, include_size, compat)
+        sizes = communities.groupBy("community").count()
+        few = communities.join(sizes.where(F.col("count") <= DENSE_NODES), "community", "left_semi").select("node", "community")
+        dense = _measures_by_community(v.join(few, "node", "left_semi"), e, few, include_size, compat)
+        if sizes.where(F.col("count") > DENSE_NODES).isEmpty():
+            return dense
+        many = v.join(few, "node", "left_anti")
+        links = e.join(many.withColumnRenamed("node", "src"), "src", "left_semi")
+        return dense.unionByName(_measures(roles_directed(many, links), links, directed_blocks(compat), include_size))
     if strategy != "relational":
         raise ValueError(f"unknown strategy: {strategy}")
     return _measures(roles_directed(v, e), e, directed_blocks(compat), include_size)

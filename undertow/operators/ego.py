@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.operators.graph import directions
+from undertow.operators.graph import directions, wedges
 
 
 def _steps(e: DataFrame) -> DataFrame:
@@ -18,6 +18,14 @@ def _steps(e: DataFrame) -> DataFrame:
     return one.union(two).groupBy("ego", "node").agg(F.max("near").alias("near"), F.max("path").alias("path"))
 
 
+def check_paths(e: DataFrame, most: int) -> int:
+    """How many two-step paths the joins over e will make; an error if they are more than most, before any is made."""
+    found = wedges(e).first()[0]
+    if found > most:
+        raise ValueError(f"{found} two-step paths, more than {most}: reduce the network by communities or hubs first")
+    return found
+
+
 def _selves(v: DataFrame) -> DataFrame:
     return v.select(F.col("node").alias("ego"), "node", F.lit(0).alias("role"))
 

@@ -23,7 +23,8 @@ def _edges_undirected(spark, sf: str) -> DataFrame:
 
 
 def _hubless(spark, sf: str) -> DataFrame:
-    return graph.without_hubs(*raw_graph(spark, sf))[1]
+    v, e = raw_graph(spark, sf)
+    return graph.without_hubs(v, staged(e, "edges"))[1]
 
 
 def _measures(spark, sf: str, k: int, directed: bool) -> DataFrame:

@@ -11,6 +11,7 @@ from undertow.functions import labels, metrics
 from undertow.functions.scores import BASIC, scores
 from undertow.operators.blocks import measures
 from undertow.operators.communities import reduce_by_community
+from undertow.operators.ego import check_paths
 from undertow.operators.features import FEATURES, summarise_scores
 from undertow.operators.graph import both_ways
 from undertow.operators.models import MEASURES, IsolationForest, boosting, model_grid, tree
@@ -20,15 +21,18 @@ from undertow.sources.stage import staged
 
 #: The cut-offs of the evaluation grid, and the labels of generated nodes.
 CUTOFFS = [0.1, 0.2, 0.3, 0.5, 0.9]
+#: Two-step paths that a file's measures may take: a network with more has to be reduced.
+MOST_PATHS = 10**12
 SYNTHETIC_TARGETS = ["laundering", "separate", "new_mules", "existing_mules"]
 
 
-def measure_file(spark: SparkSession, path: str, out: str, directed: bool, log: str | None = None, edge_list: bool = False, reduce: bool = True) -> DataFrame:
+def measure_file(spark: SparkSession, path: str, out: str, directed: bool, log: str | None = None, edge_list: bool = False, reduce: bool = True, most_paths: int = MOST_PATHS) -> DataFrame:
     """Measures of a transaction (or edge-list) file, written to out; the time, without the last write, goes to log."""
     began = time.time()
     v, e = (tables.graph_from_edge_list if edge_list else tables.graph_from_transactions)(spark, path, directed)
     if reduce:
         v, e = reduce_by_community(v, e)
+    check_paths(e, most_paths)
     found = staged(measures(v, e, directed), "measures")
     if log:
         tables.append_log(spark, log, path, f"{time.time() - began:.3f}")
