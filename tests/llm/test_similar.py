@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from undertow.llm import simhash
+from undertow.llm import ngrams, simhash, similar
 
 
 def shingles(text: str | None) -> frozenset:
@@ -75,3 +76,55 @@ def test_a_pair_is_found_among_any_number_of_others(spark):
     assert kept(spark, rows) == brute_kept(rows) == set(range(0, 400, 2))
     some = [row for row in rows if row[0] < 20]
     assert kept(spark, some) == set(range(0, 20, 2))
+
+
+def brute_differing(a: bytes, b: bytes) -> int:
+    return sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+
+
+def test_sketches_are_a_lower_bound():
+    """Two sketches differ in at most as many bits as their sets differ in shingles."""
+    rng = np.random.default_rng(0)
+    for n in (1, 20, 400, 3000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for changes in (0, 1, n // 10, n):
+            other = np.unique(np.concatenate([base[changes:], rng.integers(0, 2**63, changes).astype(np.uint64)]))
+            apart = len(np.setxor1d(base, other))
+            assert brute_differing(similar.sketch(np.unique(base)), similar.sketch(other)) <= apart
+
+
+@pytest.mark.parametrize("many", [1, 10**9])
+@pytest.mark.parametrize("parts", [1, 2])
+def test_rows_of_other_components_meet(monkeypatch, many, parts):
+    """Bit by bit and pair by pair, within one part and between two, against every pair."""
+    monkeypatch.setattr(similar, "MANY", many)
+    rng = np.random.default_rng(parts)
+    base = rng.integers(0, 2**63, 150).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(150) < 0.93], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(200)]
+    sets += [np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64)) for _ in range(3)]
+    n, root, own = np.array([len(s) for s in sets]), rng.choice([5, 5, 5, 6, 7], len(sets)), rng.integers(0, parts, len(sets))
+    words = np.array([np.frombuffer(similar.sketch(s), np.int64) for s in sets])
+    order = np.argsort(n, kind="stable")
+    rows = np.column_stack([np.full(len(n), 9), np.zeros(len(n)), np.full(len(n), parts - 1), own, np.arange(len(n)), n, root]).astype(np.int64)
+    rows = np.concatenate([rows, words], axis=1)[order]
+    got = {tuple(sorted((int(rows[i, 4]), int(rows[j, 4])))) for i, j in zip(*similar.across(rows), strict=True)}
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            near = 9 * brute_differing(similar.sketch(sets[i]), similar.sketch(sets[j])) <= n[i] + n[j]
+            if root[i] != root[j] and (parts == 1 or own[i] != own[j]) and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and near:
+                want.add((j, i))
+    assert got == want
+    assert want
+
+
+def test_shingles_of_a_block():
+    """All texts of a block at once: short ones whole, empty ones none, and equal runs of words alike."""
+    texts = [["a", "b", "c", "d", "e", "f"], [], ["a"], ["b", "c", "d", "e", "f"], ["a", "b", "c", "d"], ["a", "b", "c", "d"]]
+    code = {w: np.uint64(1000 + i) for i, w in enumerate("abcdef")}
+    h = np.array([x for t in texts for x in [*(code[w] for w in t), ngrams.END]], np.uint64)
+    found, n = similar.shingles(h, np.array([len(t) + 1 for t in texts]))
+    assert n.tolist() == [2, 0, 1, 1, 1, 1]
+    assert found[1] == found[3]
+    assert found[4] == found[5]
+    assert len(set(found.tolist())) == 4

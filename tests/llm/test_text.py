@@ -441,12 +441,12 @@ def brute_lm(rows, order):
     table = Counter()
     for t in (t for d, t in rows if at[d] == 3):
         for gs in grams(t):
-            table[tuple((min(63, 1 + math.floor(-2 * math.log2(r))) if r else 0, b) for r, b in estimates(gs, rest))] += 1
+            table[tuple((min(31, 1 + math.floor(-math.log2(r))) if r else 0, b) for r, b in estimates(gs, rest))] += 1
     weights = [[0.0] + [0.5] * 47 for _ in range(order)]
     for _ in range(40):
         taken, met = [[0.5] * 48 for _ in range(order)], [[1.0] * 48 for _ in range(order)]
         for cell, times in table.items():
-            parts = [(2 ** -max(0, (q - 0.5) / 2) if q else 0.0, b) for q, b in cell]
+            parts = [(2 ** -max(0, q - 0.5) if q else 0.0, b) for q, b in cell]
             p, mass = chances(parts, weights, 1 / (kinds[1] + 1)), float(times)
             for k in range(order - 1, -1, -1):
                 ratio, b = parts[k]
