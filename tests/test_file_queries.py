@@ -15,7 +15,7 @@ from undertow.sources import tables
 TABLES = ("customer", "orders", "events")
 
 
-@pytest.mark.parametrize("name", sorted({*file_queries.ORACLES, "model_order", "induced_edges", "connected_components"}))
+@pytest.mark.parametrize("name", sorted({*file_queries.ORACLES, "model_order", "induced_edges", "connected_components", "synthetic_assembled_counts", "erdos_renyi_complete", "watts_strogatz_ring", "loaded_measures"}))
 def test_matches_sql(spark, sf, name):
     with duckdb.connect() as c:
         for t in TABLES:

@@ -11,9 +11,10 @@ from undertow.operators import communities, synthetic
 from undertow.operators.blocks import measures
 from undertow.operators.models import MEASURES, IsolationForest
 from undertow.plans import workflows
-from undertow.plans.fixtures import CUTOFFS, DENSE, labelled, raw_graph, reduced_graph, sql_graph
+from undertow.plans.fixtures import CUTOFFS, DENSE, labelled, raw_graph, reduced_graph, sql_graph, sql_measures, sql_roles
 from undertow.plans.graph_queries import rounded
-from undertow.sources.stage import staged
+from undertow.sources import tables
+from undertow.sources.stage import stage_path, staged
 
 CELLS = [(c, t) for c in CUTOFFS for t in TARGETS if t != NOT_CLASSIFIED]
 N, M, PATTERNS_ = 2000, 2, 5
@@ -63,6 +64,21 @@ def _planted(spark, sf: str) -> DataFrame:
     return synthetic.planted(plan, spark.range(1000).select(F.col("id").alias("place"), F.col("id").alias("node")))
 
 
+def _assembled_counts(spark, sf: str) -> DataFrame:
+    """How many nodes of each label, planted edges and loops a network with 3 patterns of each kind and 4 mules has."""
+    nodes, edges = (staged(x, "network") for x in synthetic.synthetic_network(spark, synthetic.BARABASI, 1000, M, 0, 3, [4]))
+    flags = ["laundering", *synthetic.KINDS]
+    of_edges = edges.agg(F.count_if("laundering").alias("planted_edges"), F.count_if(F.col("source") == F.col("target")).alias("loops"))
+    return nodes.agg(F.count("*").alias("nodes"), *(F.count_if(f).alias(f) for f in flags)).join(of_edges)
+
+
+def _loaded_measures(spark, sf: str) -> DataFrame:
+    """The measures beside anomaly scores, read from the file that holds them."""
+    path = stage_path(spark, "measures")
+    tables.write_table(measures(*reduced_graph(spark, sf), True, include_size=False), path)
+    return rounded(workflows.anomaly_scores(spark, path).select("node", *MEASURES))
+
+
 def _grid(spark, sf: str) -> DataFrame:
     return spark.createDataFrame([(synthetic.dataset_name(*g),) for g in synthetic.parameter_grid()], "dataset string").select("dataset", *(c.alias(k) for k, c in labels.dataset_parts(F.col("dataset")).items()))
 
@@ -81,6 +97,10 @@ QUERIES = {
     "synthetic_erdos_renyi": lambda s, d: synthetic.erdos_renyi(s, N, 0.001, 1997),
     "synthetic_watts_strogatz": lambda s, d: synthetic.watts_strogatz(s, N, M, 0.01, 1997),
     "synthetic_benchmark_one_dataset": lambda s, d: workflows.synthetic_benchmark(s, [(synthetic.BARABASI, 100, 2, 0, 3)]),
+    "synthetic_assembled_counts": _assembled_counts,
+    "erdos_renyi_complete": lambda s, d: synthetic.erdos_renyi(s, 60, 1.0, 1997),
+    "watts_strogatz_ring": lambda s, d: synthetic.watts_strogatz(s, 200, 3, 0.0, 1997),
+    "loaded_measures": _loaded_measures,
     "planted_pattern_edges": _planted,
     "parameter_grid": _grid,
 }
@@ -89,6 +109,10 @@ ORACLES = {
         select node, min(other) as component from reach group by node""",
     "modularity": f"""with {sql_graph()}, pl as (select src % {DENSE} as a, dst % {DENSE} as b from e), dg as (select c, count(*)::double as d from (select a as c from pl union all select b from pl) x group by c)
         select round((select count(*) filter (a = b) / count(*) from pl) - (select sum(d * d) from dg) / (4.0 * power((select count(*) from pl), 2)), 6) + 0.0 as modularity""",
+    "synthetic_assembled_counts": "select 1000 + 3 * (6 + 4) as nodes, 54 as laundering, 18 as separate, 18 as new_mules, 18 as existing_mules, 3 * 3 * 8 as planted_edges, 0 as loops",
+    "erdos_renyi_complete": "select a.range as source, b.range as target from range(60) a join range(60) b on a.range < b.range",
+    "watts_strogatz_ring": "select a.range as source, (a.range + b.range + 1) % 200 as target from range(200) a, range(3) b",
+    "loaded_measures": f"with {sql_graph(DENSE)}, {sql_roles(True)}, {sql_measures(True)} select node, {', '.join(f'round({m}, 6) + 0.0 as {m}' for m in MEASURES)} from m",
     "planted_pattern_edges": """with p as (select unnest(range(3)) as i), m as (select unnest(range(4)) as j),
         s as (select 'separate' as kind, 1000 + 6 * i as source, 1000 + 6 * i + 5 as target, 1000 + 6 * i + j + 1 as mule from p, m
               union all select 'new_mules', 2 * i, 2 * i + 1, 1018 + 4 * i + j from p, m
