@@ -32,8 +32,8 @@ from undertow.llm.ngrams import APART, ASKING, BLOCK_TOKENS, COUNTED, END, RANGE
 #: Folds by CRC-32 of the doc_id: the held-out one, and the one deleted while the mixture weights are learned.
 FOLDS, HELD, DELETED = 7, 2, 3
 ORDER = 3
-#: Buckets of contexts, and levels of an estimate in the table for the weights (half octaves; 0 for an estimate of zero).
-BUCKETS, LEVELS = 48, 64
+#: Buckets of contexts, and levels of an estimate in the table for the weights (octaves; 0 for an estimate of zero).
+BUCKETS, LEVELS = 48, 32
 #: Stands for what comes before the first word; no word's hash is likely to equal it.
 BEGIN = np.uint64(0x51A7C0DE0BE60002)
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -93,7 +93,7 @@ def cells(parts) -> np.ndarray | int:
     """Numbers of the cells of the table for the weights."""
     out = 0
     for ratio, bucket in parts:
-        level = np.where(ratio > 0, 1 + np.floor(-2 * np.log2(np.where(ratio > 0, ratio, 1))), 0)
+        level = np.where(ratio > 0, 1 + np.floor(-np.log2(np.where(ratio > 0, ratio, 1))), 0)
         out = (out * BUCKETS + bucket) * LEVELS + np.clip(level, 0, LEVELS - 1).astype(np.int64)
     return out
 
@@ -106,7 +106,7 @@ def learn_weights(found: np.ndarray, times: np.ndarray, order: int, kinds: int,
     for _ in range(order):
         level, found = found % LEVELS, found // LEVELS
         bucket, found = found % BUCKETS, found // BUCKETS
-        ratios.insert(0, np.where(level > 0, 2.0 ** -np.maximum(0, (level - 0.5) / 2), 0.0))
+        ratios.insert(0, np.where(level > 0, 2.0 ** -np.maximum(0, level - 0.5), 0.0))
         buckets.insert(0, bucket)
     weights = np.full((order, BUCKETS), 0.5)
     weights[:, 0] = 0.0
