@@ -132,7 +132,10 @@ def test_factors_match_their_references(spark, documents):
 
 
 def test_longest_factors():
-    assert substring_dedup.longest([(5, 3, 1, 50), (0, 5, 1, 45), (8, 2, 1, 99), (20, 1, 1, 65), (30, 4, 2, 0), (31, 2, 2, 1)]) == [(0, 8, 1, 45), (8, 2, 1, 99), (20, 1, 1, 65), (30, 4, 2, 0)]
+    """Matches that go on at the same place join; others, and those of another document, do not."""
+    matches = [(0, 5, 3, 1, 50), (0, 0, 5, 1, 45), (0, 8, 2, 1, 99), (0, 20, 1, 1, 65), (0, 30, 4, 2, 0), (0, 31, 2, 2, 1), (1, 34, 2, 2, 4), (1, 36, 1, 2, 6)]
+    found = substring_dedup.longest(*np.array(matches)[::-1].T)
+    assert np.array(found).T.tolist() == [[0, 0, 8, 1, 45], [0, 8, 2, 1, 99], [0, 20, 1, 1, 65], [0, 30, 4, 2, 0], [1, 34, 3, 2, 4]]
 
 
 @pytest.mark.parametrize("remembered", [200_000, 3])
@@ -149,7 +152,7 @@ def test_one_passage_in_every_block(spark, monkeypatch, remembered):
         block = substring_dedup.Block(np.array([d for d, _ in some]), [t.encode().split() for _, t in some], 20)
         asked.add(substring_dedup.phrases(block, 8)[0])
         blocks += 1
-    probes = np.array(asked.rest())
+    probes = asked.rest()
     # Of phrases within the passage one row is left; without memory there would be one a block.
     assert max(Counter(map(tuple, probes[:, :2].tolist())).values()) == 1
     monkeypatch.setattr(substring_dedup, "REMEMBERED", remembered)

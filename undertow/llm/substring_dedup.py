@@ -38,7 +38,7 @@ from undertow.llm.ngrams import mix
 
 WINDOW, GRAM = 20, 8
 #: A minimiser that one task has asked for with more contents than this goes to the boundary check directly.
-MANY = 16
+MANY = 64
 #: Phrases and minimisers that a task remembers, and rows of a minimiser that its owner holds, at most.
 REMEMBERED, HELD = 100_000, 500_000
 PROBE, MARKER, COPY, BOUNDARY = 0, 1, 2, 3
@@ -173,41 +173,56 @@ def _spread(rows: np.ndarray) -> np.ndarray:
     return rows
 
 
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in an ascending table each key stands, and whether it does."""
+    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
 class Asked:
     """What a task has asked for: of each phrase the least place so far, and of each minimiser how many phrases. Bounded: when
     full, what is held is asked for, and the rest is forgotten, which costs rows but no result."""
 
     def __init__(self, many: int) -> None:
-        self.many, self.first, self.times = many, {}, {}
+        self.many = many
+        self.rest()
 
     def add(self, rows: np.ndarray) -> np.ndarray:
-        """Rows that can go now. Others are held until rest()."""
-        gone: list[tuple] = []
-        first, times, many = self.first, self.times, self.many
-        for row in map(tuple, rows.tolist()):
-            # Phrases of equal content have the same minimiser.
-            route, content = row[0], row[1]
-            held = first.get(content)
-            if held is not None:
-                # The later place matches the earlier one.
-                early, late = (held, row) if held[2:4] <= row[2:4] else (row, held)
-                gone.append((*late[:5], COPY, *early[2:4]))
-                first[content] = early
-                continue
-            n = times[route] = times.get(route, 0) + 1
-            if n <= many:
-                first[content] = row
-                continue
-            if n == many + 1:
-                gone.append((route, 0, 0, 0, 0, MARKER, 0, 0))
-            gone.append((*row[:5], BOUNDARY, 0, 0))
-        if len(first) > REMEMBERED:
-            gone += self.rest()
-        return np.array(gone, np.int64).reshape(-1, len(ROW))
-
-    def rest(self) -> list[tuple]:
-        found = list(self.first.values())
-        self.first, self.times = {}, {}
+        """Rows that can go now; others are held until rest(). rows: of one block, which asks for a phrase once."""
+        # Phrases of equal content have the same minimiser.
+        at, known = _found(self.first[:, 1], rows[:, 1])
+        new, old = rows[known], self.first[at[known]]
+        late = (new[:, 2] > old[:, 2]) | ((new[:, 2] == old[:, 2]) & (new[:, 3] > old[:, 3]))
+        early, later = np.where(late[:, None], old, new), np.where(late[:, None], new, old)
+        self.first[at[known]] = early
+        # The later place matches the earlier one.
+        gone = [np.column_stack([later[:, :5], np.full(len(later), COPY), early[:, 2:4]])]
+        rows = rows[~known]
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        begin = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(rows)))
+        at, known = _found(self.routes, rows[begin, 0])
+        before = np.where(known, self.times[at], 0) if len(self.times) else np.zeros(len(begin), np.int64)
+        nth = np.arange(len(rows)) + 1 + np.repeat(before - begin, size)
+        first_over, over = nth == self.many + 1, nth > self.many
+        marker = np.zeros((first_over.sum(), len(ROW)), np.int64)
+        marker[:, 0], marker[:, 5] = rows[first_over, 0], MARKER
+        checked = rows[over]
+        checked[:, 5] = BOUNDARY
+        gone += [marker, checked]
+        self.times[at[known]] += size[known]
+        routes, times = np.append(self.routes, rows[begin, 0][~known]), np.append(self.times, size[~known])
+        order = np.argsort(routes, kind="stable")
+        self.routes, self.times = routes[order], times[order]
+        held = np.concatenate([self.first, rows[~over]])
+        self.first = held[np.argsort(held[:, 1], kind="stable")]
+        if len(self.first) > REMEMBERED:
+            gone.append(self.rest())
+        return np.concatenate(gone)
+
+    def rest(self) -> np.ndarray:
+        found = getattr(self, "first", None)
+        self.first, self.routes, self.times = np.zeros((0, len(ROW)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return found
 
 
@@ -249,7 +264,7 @@ def spans(docs: DataFrame, window: int, gram: int, many: int) -> DataFrame:
             rows = np.concatenate([asked.add(rows), known])
             through = rows[:, 5] >= COPY
             yield _as_batch(list(np.concatenate([rows[~through], _spread(rows[through])]).T), ROW)
-        yield _as_batch(list(np.array(asked.rest(), np.int64).reshape(-1, len(ROW)).T), ROW)
+        yield _as_batch(list(asked.rest().T), ROW)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, len(ROW)), np.int64)
@@ -287,31 +302,48 @@ def _essence(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([marker, lead]) if shared else lead
 
 
-def longest(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Factors (start, length, ref, at), in windows: from left to right, each match extended by those that go on at the same
-    place of the reference."""
-    found: list[tuple[int, int, int, int]] = []
-    for start, length, ref, at in sorted(matches):
-        if found:
-            s, n, r, a = found[-1]
-            if r == ref and a - s == at - start and start <= s + n:
-                found[-1] = s, max(n, start + length - s), r, a
-                continue
-        found.append((start, length, ref, at))
-    return found
+def longest(doc: np.ndarray, start: np.ndarray, length: np.ndarray, ref: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Factors (the same columns), in windows: from left to right in each document, each match extended by those that go on at
+    the same place of the reference."""
+    order = np.lexsort((at, ref, length, start, doc))
+    doc, start, length, ref, at = (x[order] for x in (doc, start, length, ref, at))
+    if not len(doc):
+        return doc, start, length, ref, at
+    same = (doc[1:] == doc[:-1]) & (ref[1:] == ref[:-1]) & (at[1:] - start[1:] == at[:-1] - start[:-1])
+    chain = np.cumsum(np.append(True, ~same))
+    apart = int((start + length).max()) + 1
+    reached = np.maximum.accumulate(start + length + chain * apart)
+    begin = np.flatnonzero(np.append(True, ~same | (start[1:] + chain[1:] * apart > reached[:-1])))
+    end = np.append(begin[1:], len(doc)) - 1
+    return doc[begin], start[begin], reached[end] - chain[end] * apart - start[begin], ref[begin], at[begin]
+
+
+class Pieces:
+    """The spans of a batch's documents, as columns."""
+
+    def __init__(self, spans_: pa.ListArray) -> None:
+        lengths = np.diff(spans_.offsets.to_numpy())
+        lengths[np.array(spans_.is_null())] = 0
+        flat = spans_.flatten()
+        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.start, self.length, self.kind, self.ref, self.at = (flat.field(i).to_numpy().astype(np.int64) for i in range(5))
+
+    def of(self, kind: int) -> tuple[np.ndarray, ...]:
+        some = self.kind == kind
+        return tuple(x[some] for x in (self.doc, self.start, self.length, self.ref, self.at))
 
+    def factors(self) -> tuple[np.ndarray, ...]:
+        return longest(*self.of(COPY))
 
-def _marked(pieces: list[tuple], n: int) -> np.ndarray:
-    """Which of n windows lie in the pieces (start, length, ...)."""
-    edges = np.zeros(n + 1, np.int64)
-    for start, length, *_ in pieces:
-        edges[start] += 1
-        edges[start + length] -= 1
-    return np.cumsum(edges)[:n] > 0
+    def checked(self) -> tuple[np.ndarray, ...]:
+        return self.of(BOUNDARY)
 
 
-def _pieces(found: list | None, kind: int) -> list[tuple]:
-    return [(x["start"], x["length"], x["ref"], x["at"]) for x in found or () if x["kind"] == kind]
+def marked(pieces: tuple[np.ndarray, ...], first: np.ndarray, total: int) -> np.ndarray:
+    """Which windows lie in the pieces; first: the number of each document's first window, of total."""
+    at = first[pieces[0]] + pieces[1]
+    edges = np.bincount(at, minlength=total + 1) - np.bincount(at + pieces[2], minlength=total + 1)
+    return np.cumsum(edges)[:total] > 0
 
 
 def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, digests: bool = False) -> DataFrame:
@@ -321,13 +353,18 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, 1):
-            uids, texts, lists = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            some = [i for i, s in enumerate(lists) if any(x["kind"] == BOUNDARY for x in s or ())]
-            if not some:
+            pieces = Pieces(batch.column(2))
+            some = np.unique(pieces.checked()[0])
+            if not len(some):
                 continue
-            block = Block(uids[some], [split(texts[i]) for i in some], window)
-            by_uid = {int(uids[i]): lists[i] for i in some}
-            asked = np.concatenate([_marked(_pieces(by_uid[int(u)], BOUNDARY), c) & ~_marked(_pieces(by_uid[int(u)], COPY), c) for u, c in zip(block.uid, block.counts, strict=True)])
+            # Documents with spans have windows; a block holds them in the order of their numbers.
+            uids, texts = batch.column(0).to_numpy()[some], batch.column(1).take(pa.array(some)).to_pylist()
+            block = Block(uids, [split(t) for t in texts], window)
+            first = np.zeros(batch.num_rows, np.int64)
+            first[some[np.argsort(uids, kind="stable")]] = block.first
+            copies = pieces.factors()
+            here = np.isin(copies[0], some)
+            asked = marked(pieces.checked(), first, len(block.doc)) & ~marked(tuple(x[here] for x in copies), first, len(block.doc))
             yield _as_batch([_signed(block.hash1[asked]), _signed(block.hash2[asked]), block.uid[block.doc[asked]], block.start[asked]], ["h1", "h2", "uid", "start"])
 
     # The columns that are only carried go along here, too, so that both uses share one exchange of the texts.
@@ -337,25 +374,26 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, 1):
-            n_words, n_removed, kept = [], [], []
-            for text, span, first in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                words = split(text)
-                gone = None
-                if span:
-                    n = len(words) - window + 1
-                    asked = _marked(_pieces(span, BOUNDARY), n)
-                    asked[np.array(first or [], np.int64)] = False
-                    repeats = np.flatnonzero(asked | _marked(longest(_pieces(span, COPY)), n))
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, repeats, 1)
-                    np.add.at(edges, repeats + window, -1)
-                    gone = np.cumsum(edges)[:-1] > 0
-                removed = int(gone.sum()) if gone is not None else 0
-                left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words)
-                n_words.append(len(words))
-                n_removed.append(removed)
-                kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode() if removed else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[4:]], names=["uid", "n_words", "n_removed", "kept", *rest])
+            texts, pieces, firsts_ = batch.column(1).to_pylist(), Pieces(batch.column(2)), batch.column(3)
+            words = [split(t) for t in texts]
+            n = np.array([len(w) for w in words], np.int64)
+            windows = np.maximum(n - window + 1, 0)
+            first, total = np.cumsum(windows) - windows, int(windows.sum())
+            own = np.diff(firsts_.offsets.to_numpy())
+            own[np.array(firsts_.is_null())] = 0
+            asked = marked(pieces.checked(), first, total)
+            asked[np.repeat(first, own) + firsts_.flatten().to_numpy()] = False
+            repeats = np.flatnonzero(asked | marked(pieces.factors(), first, total))
+            # A window's number and its first word's differ by what its document's windows and words are apart.
+            begin = np.cumsum(n) - n
+            at = repeats + (begin - first)[np.repeat(np.arange(len(n)), windows)[repeats]]
+            gone = np.cumsum(np.bincount(at, minlength=n.sum() + 1) - np.bincount(at + window, minlength=n.sum() + 1))[: n.sum()] > 0
+            removed = np.bincount(np.repeat(np.arange(len(n)), n), gone, len(n)).astype(np.int64)
+            kept = []
+            for text, w, r, b in zip(texts, words, removed.tolist(), begin.tolist(), strict=True):
+                left = b" ".join([x for x, g in zip(w, gone[b : b + len(w)].tolist(), strict=True) if not g] if r else w) if r or digests else b""
+                kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode() if r else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(removed), pa.array(kept, pa.string()), *batch.columns[4:]], names=["uid", "n_words", "n_removed", "kept", *rest])
 
     found = joined.join(firsts, "uid", "left").select("uid", "text", "spans", "firsts", *rest)
     schema = StructType([*(StructField(n, LongType()) for n in ("uid", "n_words", "n_removed")), StructField("kept", StringType()), *(found.schema[r] for r in rest)])
@@ -368,8 +406,8 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(u, s, n + window - 1, r, a) for u, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s, n, r, a in longest(_pieces(x, COPY))]
-            yield _as_batch(list(np.array(rows, np.int64).reshape(-1, 5).T), ["uid", "start", "length", "ref", "at"])
+            doc, start, length, ref, at = Pieces(batch.column(1)).factors()
+            yield _as_batch([batch.column(0).to_numpy()[doc], start, length + window - 1, ref, at], ["uid", "start", "length", "ref", "at"])
 
     rows = spans(found, window, gram, many).mapInArrow(run, "uid long, start long, length long, ref long, at long")
     if ids is None:
