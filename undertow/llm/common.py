@@ -18,13 +18,14 @@ from undertow.sources.stage import stage_path
 BLOCK_BYTES = 2 << 20
 
 
-#: Rows of an Arrow batch, where the session has Spark's default: documents are long, and a worker holds one batch.
-BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+#: Bytes of an Arrow batch, where the session has Spark's default: a worker holds a batch, whatever the length of its rows.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:
-        spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
+    """A table's rows. The first call of a session with Spark's default size of Arrow batches lowers it."""
+    if spark.conf.get(BATCH_BYTES[0], BATCH_BYTES[1]) == BATCH_BYTES[1]:
+        spark.conf.set(BATCH_BYTES[0], BATCH_BYTES[2])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
