@@ -30,6 +30,33 @@ def test_long_chain_has_one_path(spark):
     assert rows.where("leaf <> 1000 or node <> 1000 - up").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_paths_match_brute_force(spark, seed):
+    """Random forests, deep and wide, with answers to missing messages and to cycles."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for t in range(6):
+        n = int(rng.integers(1, 40))
+        for i in range(n):
+            parent = int(rng.integers(max(0, i - (3 if t % 2 else 40)), i)) if i and rng.random() < 0.9 else [None, 99][int(rng.integers(2))]
+            rows.append((f"t{t}", i, parent))
+    rows += [("c", 1, 2), ("c", 2, 3), ("c", 3, 1), ("c", 4, 3), ("c", 5, 4), ("c", 6, None), ("c", 7, 6)]
+    parent = {(t, i): p for t, i, p in rows}
+    answered = {(t, p) for t, _, p in rows}
+    want = set()
+    for t, leaf, _ in rows:
+        if (t, leaf) not in answered:
+            path, at = [], leaf
+            while (t, at) in parent and len(path) <= len(rows):
+                path.append(at)
+                at = parent[(t, at)]
+            if len(path) <= len(rows):
+                want |= {(t, leaf, node, up) for up, node in enumerate(path)}
+    got = [tuple(r) for r in chat_format.paths(spark.createDataFrame(rows, "tree string, node long, parent long")).select("tree", "leaf", "node", "up").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+
+
 def test_hostile_texts_round_trip(spark):
     texts = [None, "", "\\", "\\\\", "</s>", "[/INST]", "[INST]x[/INST]", "a\nb", "[", "<", "/INST]", "<\\/s>", "end\\", "😀</s>\\[INST]"]
     roles = ["user", "assistant", None, "sys\ntem", "a%b c", "[INST]"]

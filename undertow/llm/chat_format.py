@@ -10,12 +10,14 @@ are read back exactly. Roles are percent-encoded. The loss mask covers the assis
 
 Defined results: a null text or role is empty; a null score is zero. Rows of a conversation stand in the order of (turn,
 role, text), a null turn first, so repeated rows are turns of their own. Rows with a null conv_id are one conversation.
-A message whose parent is missing is a root; messages on a cycle are on no path. Extra columns are ignored. An empty
+A message whose parent is missing is a root; messages on a cycle are on no path, nor are those that answer one. Extra columns are ignored. An empty
 table gives an empty result. A conversation is one row of the result, as a document is.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,20 +38,28 @@ def unescape(text: Column) -> Column:
 
 
 def paths(messages: DataFrame) -> DataFrame:
-    """From tree, node, parent: every root-to-leaf path as rows (tree, leaf, node, up), up counted from the leaf."""
+    """From tree, node, parent: every root-to-leaf path as rows (tree, leaf, node, up), up counted from the leaf.
+
+    Each round joins only the rows that still have an ancestor at the round's distance; the others are settled.
+    """
     parents = messages.select("tree", "node").withColumnRenamed("node", "parent")
     known = messages.select("tree", "node", "parent").join(parents, ["tree", "parent"], "left_semi")
     jump = written(known.select("tree", "node", F.col("parent").alias("to")), "jumps")
     leaves = messages.join(jump.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
-    rows, distance = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), 1
+    active, distance = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), 1
+    settled, names = [], ["tree", "leaf", "node", "up"]
     # Each round doubles the distance; a distance beyond the number of messages means a cycle.
     most = messages.count()
     while distance <= most and not jump.isEmpty():
-        on = rows.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + distance).alias("up"))
-        rows = written(rows.union(on), "paths")
+        met = written(active.join(jump, ["tree", "node"], "left").select(*names, "to"), "paths")
+        settled.append(met.where("to is null").select(*names))
+        both = F.array(F.struct("node", "up"), F.struct(F.col("to").alias("node"), (F.col("up") + distance).alias("up")))
+        active = met.where("to is not null").select("tree", "leaf", F.explode(both).alias("x")).select("tree", "leaf", "x.*")
         next_ = jump.select("tree", F.col("node").alias("from"), F.col("to").alias("node")).join(jump, ["tree", "node"]).select("tree", F.col("from").alias("node"), "to")
         jump, distance = written(next_, "jumps"), 2 * distance
-    return rows
+    rows = reduce(DataFrame.union, [*settled, active])
+    # What still has an ancestor beyond all messages goes round a cycle.
+    return rows if distance <= most else rows.join(active.join(jump, ["tree", "node"]).select("tree", "leaf").distinct(), ["tree", "leaf"], "left_anti")
 
 
 def formatted_trees(messages: DataFrame, keep: int | None = None) -> DataFrame:
