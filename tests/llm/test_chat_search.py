@@ -16,10 +16,23 @@ sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
 
 def test_reply_trees(spark):
-    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "good", 5.0), ("t", 3, 1, "assistant", "bad", 1.0), ("t", 4, 2, "user", "more", 0.0), ("t", 5, 4, "assistant", "yes", 9.0), ("u", 1, 99, "system", "alone", None), ("c", 1, 2, "user", "x", 0.0), ("c", 2, 1, "user", "y", 0.0)]
+    rows = [
+        ("t", 1, None, "user", "q", 0.0),
+        ("t", 2, 1, "assistant", "good", 5.0),
+        ("t", 3, 1, "assistant", "bad", 1.0),
+        ("t", 4, 2, "user", "more", 0.0),
+        ("t", 5, 4, "assistant", "yes", 9.0),
+        ("u", 1, 99, "system", "alone", None),
+        ("c", 1, 2, "user", "x", 0.0),
+        ("c", 2, 1, "user", "y", 0.0),
+    ]
     df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
     got = {(r.tree, r["rank"]): r.formatted for r in chat_format.formatted_trees(df).collect()}
-    assert got == {("t", 1): "[INST]user\nq[/INST]<s>good</s>[INST]user\nmore[/INST]<s>yes</s>", ("t", 2): "[INST]user\nq[/INST]<s>bad</s>", ("u", 1): "[INST]system\nalone[/INST]"}
+    assert got == {
+        ("t", 1): "[INST]user\nq[/INST]<s>good</s>[INST]user\nmore[/INST]<s>yes</s>",
+        ("t", 2): "[INST]user\nq[/INST]<s>bad</s>",
+        ("u", 1): "[INST]system\nalone[/INST]",
+    }
     assert [r["rank"] for r in chat_format.formatted_trees(df, keep=1).where("tree = 't'").collect()] == [1]
 
 
@@ -52,7 +65,11 @@ def test_paths_match_brute_force(spark, seed):
                 at = parent[(t, at)]
             if len(path) <= len(rows):
                 want |= {(t, leaf, node, up) for up, node in enumerate(path)}
-    got = [tuple(r) for r in chat_format.paths(spark.createDataFrame(rows, "tree string, node long, parent long")).select("tree", "leaf", "node", "up").collect()]
+    got = [
+        tuple(r) for r in chat_format.paths(
+            spark.createDataFrame(rows, "tree string, node long, parent long")
+        ).select("tree", "leaf", "node", "up").collect()
+    ]
     assert len(got) == len(set(got))
     assert set(got) == want
 
@@ -76,14 +93,24 @@ def test_hostile_texts_round_trip(spark):
 # Search
 
 
-@pytest.mark.parametrize("how", [{"pivots": 6, "query_part": 7, "data_part": 40}, {"pivots": 30, "query_part": 20, "data_part": 9}, {"pivots": 1}, {}])
+@pytest.mark.parametrize(
+    "how", [{"pivots": 6, "query_part": 7, "data_part": 40}, {"pivots": 30, "query_part": 20, "data_part": 9}, {"pivots": 1}, {}]
+)
 def test_top_k_matches_brute_force(spark, how):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 6)).round(2)
     x[100:200] = x[100]
     x[200:300] += rng.normal(size=6) * 8
     rows = [(i * 20, [float(c) for c in v], "k") for i, v in enumerate(x)]
-    rows += [(5, None, None), (6, [1.0, None], "k"), (7, [float("nan")], "k"), (None, [1.0], "k"), (8, [float("inf"), 0.0], "k"), (9, [3.0], "k"), (11, [], "k")]
+    rows += [
+        (5, None, None),
+        (6, [1.0, None], "k"),
+        (7, [float("nan")], "k"),
+        (None, [1.0], "k"),
+        (8, [float("inf"), 0.0], "k"),
+        (9, [3.0], "k"),
+        (11, [], "k"),
+    ]
     got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string"), **how).collect()
     part = [(i, np.floor(np.array(v + [0] * (6 - len(v))) * 1024).astype(int)) for i, v, _ in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     for q, v in part:
@@ -94,7 +121,9 @@ def test_top_k_matches_brute_force(spark, how):
 
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (100, [2.0]), (100, [2.0])], "vec_id long, embedding array<double>")
-    assert sorted((r.query_id, r["rank"], r.vec_id) for r in vector_search.top_k(df).collect()) == [(0, 1, 100), (0, 2, 100), (100, 1, 0), (100, 1, 0)]
+    assert sorted(
+        (r.query_id, r["rank"], r.vec_id) for r in vector_search.top_k(df).collect()
+    ) == [(0, 1, 100), (0, 2, 100), (100, 1, 0), (100, 1, 0)]
     assert vector_search.top_k(df.limit(0)).count() == 0
 
 
@@ -105,7 +134,16 @@ def test_large_components_stay_exact():
 
 def test_huge_components_take_part(spark):
     """Finite components of any size: exact while scores fit a long, then the nearest long."""
-    rows = [(0, [2.0**53, 1.0]), (100, [1.0, 2.0**-12]), (1, [2.0**-9, 3.0]), (2, [-(2.0**53), 1.0]), (3, [1e300, 0.0]), (4, [float("inf"), 0.0]), (5, [0.0, 7.0]), (200, [1.5e305, -1e308])]
+    rows = [
+        (0, [2.0**53, 1.0]),
+        (100, [1.0, 2.0**-12]),
+        (1, [2.0**-9, 3.0]),
+        (2, [-(2.0**53), 1.0]),
+        (3, [1e300, 0.0]),
+        (4, [float("inf"), 0.0]),
+        (5, [0.0, 7.0]),
+        (200, [1.5e305, -1e308]),
+    ]
     got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=2).collect()
     part = {i: [max(-(2**1000), min(2**1000, int(c * 1024 // 1))) if abs(c) < 1e300 else int(math.copysign(2**1000, c)) for c in v] for i, v in rows if i != 4}
     for q in (0, 100, 200):

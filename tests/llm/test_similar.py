@@ -100,7 +100,9 @@ def test_rows_of_other_components_meet(monkeypatch, many, parts):
     monkeypatch.setattr(similar, "MANY", many)
     rng = np.random.default_rng(parts)
     base = rng.integers(0, 2**63, 150).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[rng.random(150) < 0.93], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(200)]
+    sets = [
+        np.unique(np.concatenate([base[rng.random(150) < 0.93], rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(200)
+    ]
     sets += [np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64)) for _ in range(3)]
     n, root, own = np.array([len(s) for s in sets]), rng.choice([5, 5, 5, 6, 7], len(sets)), rng.integers(0, parts, len(sets))
     words = np.array([np.frombuffer(similar.sketch(s), np.int64) for s in sets])

@@ -21,7 +21,31 @@ from undertow.llm.components import components
 from undertow.llm.linear import Problem, fit, sigmoid
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-PIECES = [*" \n\t▁ab.É😀\x00 ́é,'1;", "  ", "\n\n", "the", " of", "<s>", "<|endoftext|>", "İ", "Σ", "ﬁ", "\x1c", "\x85", "it's", "CAN'T", "Ő", "ÿ", "ŉ", "ß.", "a.", "b!?", "*", "<|EndOfText|>", "|"]
+PIECES = [
+    *" \n\t▁ab.É😀\x00 ́é,'1;",
+    "  ",
+    "\n\n",
+    "the",
+    " of",
+    "<s>",
+    "<|endoftext|>",
+    "İ",
+    "Σ",
+    "ﬁ",
+    "\x1c",
+    "\x85",
+    "it's",
+    "CAN'T",
+    "Ő",
+    "ÿ",
+    "ŉ",
+    "ß.",
+    "a.",
+    "b!?",
+    "*",
+    "<|EndOfText|>",
+    "|",
+]
 
 
 def odd_texts(n=3000):
@@ -133,7 +157,16 @@ def test_factors_match_their_references(spark, documents):
 
 def test_longest_factors():
     """Matches that go on at the same place join; others, and those of another document, do not."""
-    matches = [(0, 5, 3, 1, 50), (0, 0, 5, 1, 45), (0, 8, 2, 1, 99), (0, 20, 1, 1, 65), (0, 30, 4, 2, 0), (0, 31, 2, 2, 1), (1, 34, 2, 2, 4), (1, 36, 1, 2, 6)]
+    matches = [
+        (0, 5, 3, 1, 50),
+        (0, 0, 5, 1, 45),
+        (0, 8, 2, 1, 99),
+        (0, 20, 1, 1, 65),
+        (0, 30, 4, 2, 0),
+        (0, 31, 2, 2, 1),
+        (1, 34, 2, 2, 4),
+        (1, 36, 1, 2, 6),
+    ]
     found = substring_dedup.longest(*np.array(matches)[::-1].T)
     assert np.array(found).T.tolist() == [[0, 0, 8, 1, 45], [0, 8, 2, 1, 99], [0, 20, 1, 1, 65], [0, 30, 4, 2, 0], [1, 34, 3, 2, 4]]
 
@@ -156,7 +189,11 @@ def test_one_passage_in_every_block(spark, monkeypatch, remembered):
     # Of phrases within the passage one row is left; without memory there would be one a block.
     assert max(Counter(map(tuple, probes[:, :2].tolist())).values()) == 1
     monkeypatch.setattr(substring_dedup, "REMEMBERED", remembered)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), digests=True).collect()}
+    got = {
+        r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_duplicates(
+            spark.createDataFrame(rows, "doc_id long, text string").repartition(7), digests=True
+        ).collect()
+    }
     assert got == brute_substrings(rows)
 
 
@@ -608,7 +645,11 @@ def test_neutral_mentions_of_groups_are_not_toxic(spark):
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     wrong, found, score = {}, {}, {}
     for penalty in (0.0, 1.0):
-        got = {r.doc_id: r for r in toxicity.toxicity(docs, known, pair_penalty=penalty, identities=(("norns", "elves", "dwarves"),)).collect() if r.held_out}
+        got = {
+            r.doc_id: r for r in toxicity.toxicity(
+                docs, known, pair_penalty=penalty, identities=(("norns", "elves", "dwarves"),)
+            ).collect() if r.held_out
+        }
         wrong[penalty] = sum(got[d].predicted for d in neutral if d in got)
         found[penalty] = np.mean([got[d].predicted for d, toxic in labels if toxic and d in got])
         score[penalty] = {d: r.score for d, r in got.items()}
@@ -654,7 +695,11 @@ def test_label_model_learns_accuracies():
     assert prior[-1] == pytest.approx(0.8, abs=0.02)
     # As good as the rule that knows the true chances.
     known = np.stack([np.prod(np.where(patterns == -1, c, np.where(patterns == 1, 1 - c, 1)), 1) for c in chance]) * np.array([[0.1], [0.1], [0.8]])
-    right = [np.mean([(of[tuple(v)] >= 0.5) == (k == 2) for v, k in zip(votes.tolist(), kind, strict=True)]) for of in (dict(zip(map(tuple, patterns.tolist()), x, strict=True)) for x in (posterior, known[2] / known.sum(0)))]
+    right = [
+        np.mean([(of[tuple(v)] >= 0.5) == (k == 2) for v, k in zip(votes.tolist(), kind, strict=True)]) for of in (
+            dict(zip(map(tuple, patterns.tolist()), x, strict=True)) for x in (posterior, known[2] / known.sum(0))
+        )
+    ]
     assert right[0] > right[1] - 0.01
 
 

@@ -55,17 +55,28 @@ def paths(messages: DataFrame) -> DataFrame:
         settled.append(met.where("to is null").select(*names))
         both = F.array(F.struct("node", "up"), F.struct(F.col("to").alias("node"), (F.col("up") + distance).alias("up")))
         active = met.where("to is not null").select("tree", "leaf", F.explode(both).alias("x")).select("tree", "leaf", "x.*")
-        next_ = jump.select("tree", F.col("node").alias("from"), F.col("to").alias("node")).join(jump, ["tree", "node"]).select("tree", F.col("from").alias("node"), "to")
+        next_ = jump.select(
+            "tree", F.col("node").alias("from"), F.col("to").alias("node")
+        ).join(jump, ["tree", "node"]).select("tree", F.col("from").alias("node"), "to")
         jump, distance = written(next_, "jumps"), 2 * distance
     rows = reduce(DataFrame.union, [*settled, active])
     # What still has an ancestor beyond all messages goes round a cycle.
-    return rows if distance <= most else rows.join(active.join(jump, ["tree", "node"]).select("tree", "leaf").distinct(), ["tree", "leaf"], "left_anti")
+    return rows if distance <= most else rows.join(
+        active.join(jump, ["tree", "node"]).select("tree", "leaf").distinct(), ["tree", "leaf"], "left_anti"
+    )
 
 
 def formatted_trees(messages: DataFrame, keep: int | None = None) -> DataFrame:
     """From tree, node, parent, role, text, score: per chosen path tree, leaf, rank, score, formatted, and loss_spans
     (array of begin and length, in code points). keep: how many branches of a tree, all if None."""
-    clean = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    clean = messages.select(
+        "tree",
+        "node",
+        "parent",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
+    )
     rows = paths(clean)
     steps = rows.join(clean.select("tree", "node", "score"), ["tree", "node"])
     branches = steps.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"), F.max("up").alias("depth"))
@@ -76,12 +87,39 @@ def formatted_trees(messages: DataFrame, keep: int | None = None) -> DataFrame:
     body = escape(F.col("text"))
     head = F.when(spoken, F.lit(BEGIN)).otherwise(F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n")))
     turns = rows.join(branches, ["tree", "leaf"]).join(clean.select("tree", "node", "role", "text"), ["tree", "node"])
-    turns = turns.select("tree", "leaf", "rank", "branch_score", (F.col("depth") - F.col("up")).alias("at"), spoken.alias("spoken"), head.alias("head"), body.alias("body"))
-    turns = turns.withColumn("turn", F.concat("head", "body", F.when(F.col("spoken"), F.lit(END)).otherwise(F.lit(CLOSE)))).withColumn("size", F.length("turn"))
+    turns = turns.select(
+        "tree",
+        "leaf",
+        "rank",
+        "branch_score",
+        (F.col("depth") - F.col("up")).alias("at"),
+        spoken.alias("spoken"),
+        head.alias("head"),
+        body.alias("body"),
+    )
+    turns = turns.withColumn(
+        "turn", F.concat("head", "body", F.when(F.col("spoken"), F.lit(END)).otherwise(F.lit(CLOSE)))
+    ).withColumn("size", F.length("turn"))
     before = F.sum("size").over(Window.partitionBy("tree", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    turns = turns.withColumn("span", F.when(F.col("spoken"), F.struct((F.coalesce(before, F.lit(0)) + F.length("head")).alias("begin"), F.length("body").cast("long").alias("length"))))
-    grouped = turns.groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.first("branch_score").alias("score"), F.sort_array(F.collect_list(F.struct("at", "turn", "span"))).alias("turns"))
-    return grouped.select("tree", "leaf", "rank", "score", F.array_join(F.col("turns.turn"), "").alias("formatted"), F.filter(F.col("turns.span"), lambda s: s.isNotNull()).alias("loss_spans"))
+    turns = turns.withColumn(
+        "span",
+        F.when(
+            F.col("spoken"), F.struct((F.coalesce(before, F.lit(0)) + F.length("head")).alias("begin"), F.length("body").cast("long").alias("length"))
+        ),
+    )
+    grouped = turns.groupBy("tree", "leaf").agg(
+        F.first("rank").alias("rank"),
+        F.first("branch_score").alias("score"),
+        F.sort_array(F.collect_list(F.struct("at", "turn", "span"))).alias("turns"),
+    )
+    return grouped.select(
+        "tree",
+        "leaf",
+        "rank",
+        "score",
+        F.array_join(F.col("turns.turn"), "").alias("formatted"),
+        F.filter(F.col("turns.span"), lambda s: s.isNotNull()).alias("loss_spans"),
+    )
 
 
 def turns_of(formatted: Column) -> Column:
@@ -94,7 +132,10 @@ def turns_of(formatted: Column) -> Column:
         said = F.substring(turn, F.lit(len(BEGIN) + 1), F.length(turn) - len(BEGIN) - len(END))
         asked = F.substring(inner, F.length(role) + 2, F.length(inner))
         spoken = turn.startswith(BEGIN)
-        return F.struct(F.when(spoken, F.lit(ASSISTANT)).otherwise(F.url_decode(role)).alias("role"), unescape(F.when(spoken, said).otherwise(asked)).alias("text"))
+        return F.struct(
+            F.when(spoken, F.lit(ASSISTANT)).otherwise(F.url_decode(role)).alias("role"),
+            unescape(F.when(spoken, said).otherwise(asked)).alias("text"),
+        )
 
     return F.transform(found, read)
 
@@ -102,7 +143,9 @@ def turns_of(formatted: Column) -> Column:
 def chains(conversations: DataFrame) -> DataFrame:
     """Conversations by turn as reply trees: each row answers the one before it."""
     tree = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))
-    node = F.row_number().over(Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))).cast("long")
+    node = F.row_number().over(
+        Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    ).cast("long")
     rows = conversations.select(tree.alias("tree"), "turn", "role", "text").withColumn("node", node)
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -110,15 +153,29 @@ def chains(conversations: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted chains: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     text = F.col("formatted")
-    back = formatted.select(F.when(F.col("tree").startswith("c"), F.substring("tree", 2, 30).cast("long")).alias("conv_id"), "formatted", turns_of(text).alias("turns"), F.transform("loss_spans", lambda s: unescape(F.substring(text, (s["begin"] + 1).cast("int"), s["length"].cast("int")))).alias("losses"))
+    back = formatted.select(
+        F.when(F.col("tree").startswith("c"), F.substring("tree", 2, 30).cast("long")).alias("conv_id"),
+        "formatted",
+        turns_of(text).alias("turns"),
+        F.transform("loss_spans", lambda s: unescape(F.substring(text, (s["begin"] + 1).cast("int"), s["length"].cast("int")))).alias("losses"),
+    )
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("losses", "")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(whole).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        sha(whole).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        sha(loss).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
 
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
-    real = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    real = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
     said = "</s>[INST] ok [/INST]"
     control = spark.sql(f"select -1L as conv_id, turn, role, '{said}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     return digests(formatted_trees(chains(real.unionByName(control))))

@@ -52,7 +52,9 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. The largest doc_id of a group stays."""
     table = written(recipes(docs, id_col, text_col, id_bits), "recipes")
-    store = table.select(F.explode("recipe").alias("c")).groupBy("c.h").agg(*(f(f"c.{v}").alias(f"{n}_{v}") for v in ("v1", "v2") for n, f in (("low", F.min), ("high", F.max))))
+    store = table.select(F.explode("recipe").alias("c")).groupBy("c.h").agg(
+        *(f(f"c.{v}").alias(f"{n}_{v}") for v in ("v1", "v2") for n, f in (("low", F.min), ("high", F.max)))
+    )
     verified = store.where("low_v1 <> high_v1 or low_v2 <> high_v2").isEmpty()
     ids = F.transform("recipe", lambda c: c["h"]) if verified else F.col("recipe")
     table = table.select("doc_id", "row", "text_sha256", ids.alias("ids"))
@@ -72,7 +74,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     same = F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("same")
-    found = written(exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id"), _digest_part(F.col("text_sha256"), 1).alias("hash"), same), "copies", narrow=True)
+    found = written(
+        exact_duplicates(docs, id_col, text_col).where("not kept").select(
+            F.col("doc_id").alias("id"), _digest_part(F.col("text_sha256"), 1).alias("hash"), same
+        ),
+        "copies",
+        narrow=True,
+    )
     own_hash = _digest_part(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1)
     return without(docs, found.where("not same"), id_col, own_hash, repeated=not found.where("same").isEmpty())
 

@@ -32,7 +32,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Problem:
     """Weighted log loss of labelled rows, and the mean squared difference of the scores of paired rows."""
 
-    def __init__(self, rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray]] | None, pair_penalty: float) -> None:
+    def __init__(
+        self,
+        rows: list[np.ndarray],
+        target: np.ndarray,
+        weight: np.ndarray,
+        pairs: tuple[list[np.ndarray], list[np.ndarray]] | None,
+        pair_penalty: float,
+    ) -> None:
         self.used = np.unique(np.concatenate([np.zeros(0, np.int64), *rows, *(pairs[0] + pairs[1] if pairs else [])]).astype(np.int64))
         place = lambda many: Sparse([np.searchsorted(self.used, r) for r in many])
         self.x, self.target, self.weight = place(rows), target, weight / max(weight.sum(), 1e-300)
@@ -56,7 +63,17 @@ class Problem:
         return found, float(error.sum())
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray]] | None = None, l1: float = 4e-4, pair_penalty: float = 1.0, steps: int = 200, rate: float = 0.3, unlearned: float = 0.0) -> tuple[np.ndarray, float]:
+def fit(
+    rows: list[np.ndarray],
+    target: np.ndarray,
+    weight: np.ndarray,
+    pairs: tuple[list[np.ndarray], list[np.ndarray]] | None = None,
+    l1: float = 4e-4,
+    pair_penalty: float = 1.0,
+    steps: int = 200,
+    rate: float = 0.3,
+    unlearned: float = 0.0,
+) -> tuple[np.ndarray, float]:
     """Weights and bias by proximal AdaGrad on weighted log loss, an L1 penalty on the weights, and pair_penalty times the
     mean squared difference of the scores of paired rows (a counterfactual pair should score alike). unlearned is the bias
     where there are no rows."""

@@ -130,7 +130,14 @@ def learn_weights(found: np.ndarray, times: np.ndarray, order: int, kinds: int,
     return weights
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
+def lm_scores(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    order: int = ORDER,
+    block_tokens: int = BLOCK_TOKENS,
+    range_keys: int = RANGE_KEYS,
+) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     part = fold(id_col)
     kind = F.when(part == HELD, ASKING).when(part == DELETED, APART).otherwise(COUNTED).alias("kind")
@@ -147,7 +154,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         cell, times = np.unique(cells(rest.parts(h, counts)), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(times)], names=["cell", "times"])
 
-    table = counts_of.use(seen, "cell long, times long", apart=True).groupBy("cell").agg(F.sum("times").alias("times")).toArrow()  # bounded by its bins
+    table = counts_of.use(
+        seen, "cell long, times long", apart=True
+    ).groupBy("cell").agg(F.sum("times").alias("times")).toArrow()  # bounded by its bins
     mixture = Mixture(tokens, kinds, texts, learn_weights(table["cell"].to_numpy(), table["times"].to_numpy(), order, rest_kinds))
     base = np.log10(tokens + kinds + 1)
 
@@ -155,9 +164,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         lengths = np.array(block["lengths"], np.int64)
         for mixed in mixture.probabilities(mixture.parts(h, counts)):
             chance = mixed
-        per = [np.add.reduceat(x, np.cumsum(lengths) - lengths) for x in ((counts[0] > 0).astype(np.int64), np.log10(counts[0] + 1) - base, np.log10(chance))]
+        per = [
+            np.add.reduceat(x, np.cumsum(lengths) - lengths) for x in (
+                (counts[0] > 0).astype(np.int64), np.log10(counts[0] + 1) - base, np.log10(chance)
+            )
+        ]
         n = len(lengths)
-        arrays = [pa.array(block["doc_id"], pa.int64()), pa.array([block["kind"] == ASKING] * n), pa.array(lengths), pa.array(per[0]), pa.array(np.full(n, tokens)), pa.array(per[1]), pa.array(per[2])]
+        arrays = [
+            pa.array(block["doc_id"], pa.int64()),
+            pa.array([block["kind"] == ASKING] * n),
+            pa.array(lengths),
+            pa.array(per[0]),
+            pa.array(np.full(n, tokens)),
+            pa.array(per[1]),
+            pa.array(per[2]),
+        ]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return counts_of.use(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -76,7 +76,15 @@ class Building:
         longs = pa.list_(pa.int64())
         lists = [pa.array([list(x)], longs) for x in zip(*self.carried, strict=True)]
         one, two = packed(np.diff(distinct, prepend=np.uint64(0))), packed(numbers.astype(np.uint64))
-        arrays = [pa.array([kind], pa.int32()), pa.array([self.tokens]), pa.array([[len(w) for w in self.words]], longs), pa.array([len(distinct)]), pa.array([one]), pa.array([two]), *lists]
+        arrays = [
+            pa.array([kind], pa.int32()),
+            pa.array([self.tokens]),
+            pa.array([[len(w) for w in self.words]], longs),
+            pa.array([len(distinct)]),
+            pa.array([one]),
+            pa.array([two]),
+            *lists,
+        ]
         return pa.RecordBatch.from_arrays(arrays, names=["kind", "tokens", "lengths", "n", "one", "two", *names])
 
 

@@ -65,7 +65,9 @@ class WordTokens:
             return self.table[core] + self.table[word[len(core) :]]
         text = word.decode().lower()
         if self.PLAIN.fullmatch(text):
-            return array("I", [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            return array(
+                "I", [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.letters))]
+            ).tobytes()
         return self._whole(word.decode())
 
     def __call__(self, text: str | None) -> bytes:
@@ -76,7 +78,15 @@ class WordTokens:
         return b"".join(map(self.table.__getitem__, words))
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pieces(
+    docs: DataFrame,
+    tokenizer_file: str,
+    window: int = WINDOW,
+    end_id: int = END_ID,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = True,
+) -> DataFrame:
     """doc_id, start, length, payload (the ids' bytes, or their CRC-32), doc_tokens; full windows first, then the rest."""
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = f.read()  # a fixed two megabytes, sent with the tasks
@@ -94,10 +104,14 @@ def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: i
                     for column, value in zip(rows, (doc, start, len(part) // 4, part if with_ids else zlib.crc32(part), n), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_ids else pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "start", "length", "payload", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "start", "length", "payload", "doc_tokens"]
+            )
 
     kind = "binary" if with_ids else "long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, start long, length long, payload {kind}, doc_tokens long")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(run, f"doc_id long, start long, length long, payload {kind}, doc_tokens long")
 
 
 class CapacityTree:
@@ -146,7 +160,11 @@ def best_fit_decreasing(histogram: dict[int, int], window: int = WINDOW) -> np.n
             full = min(n, left // each)
             rest = min(left - full * each, each) if full < n else 0
             plan.append((length, rank, run, each, window - capacity))
-            for first, windows, after in ((run, full, capacity - each * length), (run + full, int(rest > 0), capacity - rest * length), (run + full + (rest > 0), n - full - (rest > 0), capacity)):
+            for first, windows, after in (
+                (run, full, capacity - each * length),
+                (run + full, int(rest > 0), capacity - rest * length),
+                (run + full + (rest > 0), n - full - (rest > 0), capacity),
+            ):
                 if windows > 0 and after > 0:
                     open_windows.setdefault(after, []).append((first, windows))
                     tree.add(after, windows)
@@ -155,16 +173,30 @@ def best_fit_decreasing(histogram: dict[int, int], window: int = WINDOW) -> np.n
     return np.array(sorted(plan), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer_file: str,
+    window: int = WINDOW,
+    end_id: int = END_ID,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = True,
+) -> DataFrame:
     """Per piece: doc_id, start, length, payload, doc_tokens, sequence_id, offset."""
-    table = written(pieces(docs, tokenizer_file, window, end_id, id_col, text_col, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    table = written(
+        pieces(docs, tokenizer_file, window, end_id, id_col, text_col, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces"
+    )
     buckets = max(BUCKETS, table.count() // BUCKET_PIECES)
     keyed = table.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    plan = best_fit_decreasing({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, window)  # at most `window` rows
+    plan = best_fit_decreasing(
+        {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, window
+    )  # at most `window` rows
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
-    ranked = keyed.join(firsts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1)
+    ranked = keyed.join(firsts, ["length", "bucket"]).withColumn(
+        "rank", F.col("first") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
+    )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (plan[:, 0] << 48) + plan[:, 1]
@@ -175,11 +207,16 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
             row = plan[np.searchsorted(keys, (length << 48) + rank, "right") - 1]
             nth = rank - row[:, 1]
             columns = [batch.column(name) for name in ("doc_id", "start", "length", "payload", "doc_tokens")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * length)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * length)],
+                names=[*names, "sequence_id", "offset"],
+            )
 
     names = ["doc_id", "start", "length", "payload", "doc_tokens"]
     kind = "binary" if with_ids else "long"
-    return ranked.select(*names, "rank").mapInArrow(place, f"doc_id long, start long, length long, payload {kind}, doc_tokens long, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(
+        place, f"doc_id long, start long, length long, payload {kind}, doc_tokens long, sequence_id long, offset long"
+    )
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

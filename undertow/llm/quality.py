@@ -65,7 +65,18 @@ class Profile:
         self.letters = sum(map(len, _LETTERS.findall(text or ""))) / max(1, sum(map(len, words)))
 
     def statistics(self) -> dict[str, float]:
-        return {"upper": self.upper, "symbols": self.symbols, "ends": self.ends, "digits": self.digits, "repeats": self.repeats, "distinct": self.distinct, "most": self.most, "length": self.length / 10, "plain": self.plain, "letters": self.letters}
+        return {
+            "upper": self.upper,
+            "symbols": self.symbols,
+            "ends": self.ends,
+            "digits": self.digits,
+            "repeats": self.repeats,
+            "distinct": self.distinct,
+            "most": self.most,
+            "length": self.length / 10,
+            "plain": self.plain,
+            "letters": self.letters,
+        }
 
 
 #: The labellers: each maps a profile to 1 (good), -1 (bad) or 0 (no vote).
@@ -146,7 +157,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
             lists = batch.column(2)
             lengths = np.diff(lists.offsets.to_numpy())
             z = bias + np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights[lists.flatten().to_numpy()], len(lengths))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known[tuple(v)] for v in batch.column(1).to_pylist()], pa.float64()), pa.array(sigmoid(z))], names=["doc_id", "posterior", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([known[tuple(v)] for v in batch.column(1).to_pylist()], pa.float64()), pa.array(sigmoid(z))],
+                names=["doc_id", "posterior", "score"],
+            )
 
     good = F.col("score") >= 0.5
     return table.mapInArrow(score, "doc_id long, posterior double, score double").select("*", good.cast("int").alias("predicted"), good.alias("kept"))

@@ -100,7 +100,10 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
             if digests:
                 rest = [pa.array([sha(i) for i, _ in found], pa.string()), pa.array([sha(d) for _, d in found], pa.string())]
             else:
-                rest = [pa.array([[int(x) for x in i.split(",")] if i else [] for i, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.string())]
+                rest = [
+                    pa.array([[int(x) for x in i.split(",")] if i else [] for i, _ in found], pa.list_(pa.int32())),
+                    pa.array([d for _, d in found], pa.string()),
+                ]
             yield pa.RecordBatch.from_arrays([block.column(0), counts, *rest], names=names)
 
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]

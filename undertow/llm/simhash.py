@@ -110,10 +110,20 @@ def links(classes: DataFrame, keys: list[Column], node: str, words: list[str], r
     else:
         h = F.xxhash64("t", "b").alias("h")
         sizes = large.select("*", h)
-        shared = dealt.select("*", h).join(F.broadcast(sizes) if most <= FEW_LARGE else sizes, ["h", "t", "b"], "left").withColumn("parts", F.ceil(F.coalesce("size", F.lit(1)) / part))
+        shared = dealt.select("*", h).join(
+            F.broadcast(sizes) if most <= FEW_LARGE else sizes, ["h", "t", "b"], "left"
+        ).withColumn("parts", F.ceil(F.coalesce("size", F.lit(1)) / part))
     shared = shared.withColumn("own", F.pmod(F.xxhash64(node), F.col("parts")))
     other = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    pairs = shared.withColumn("other", F.explode(other)).select("t", "b", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.col(node).alias("node"), *(F.col(w).alias(f"word{i}") for i, w in enumerate(words)))
+    pairs = shared.withColumn("other", F.explode(other)).select(
+        "t",
+        "b",
+        F.least("own", "other").alias("low"),
+        F.greatest("own", "other").alias("high"),
+        "own",
+        F.col(node).alias("node"),
+        *(F.col(w).alias(f"word{i}") for i, w in enumerate(words)),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -148,7 +158,9 @@ def _compared(rows: np.ndarray, radius: int) -> pa.RecordBatch:
         part = slice(start[at], start[at] + size[at])
         names, values, side = node[part], fp[part], own[part] == rows[start[at], 2]
         same = rows[start[at], 2] == rows[start[at], 3]
-        a, b = forest(names, values, None, radius) if same else forest(np.concatenate([names[side], names[~side]]), values[side], values[~side], radius)
+        a, b = forest(names, values, None, radius) if same else forest(
+            np.concatenate([names[side], names[~side]]), values[side], values[~side], radius
+        )
         u.append(a)
         v.append(b)
     columns = [pa.array(np.concatenate(x) if x else np.array([], np.int64)) for x in (u, v)]
@@ -165,12 +177,18 @@ def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 1):
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(fingerprints(block.column(1).to_pylist(), shingle).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0), pa.array(fingerprints(block.column(1).to_pylist(), shingle).view(np.int64))], names=["doc_id", "fp"]
+            )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, fp long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, part: int = PART, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     table = written(fingerprinted(docs, shingle, id_col, text_col), "fingerprints")
     classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes", narrow=True)
@@ -192,7 +210,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents that stay, with all their columns: the least doc_id of each group of similar texts."""
-    found = written(similar_groups(docs, id_col, text_col, **how).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "first"), "grouped", narrow=True)
+    found = written(
+        similar_groups(docs, id_col, text_col, **how).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "first"),
+        "grouped",
+        narrow=True,
+    )
     repeated = not found.where("first").groupBy("id", "hash").count().where("count > 1").isEmpty()
     return without(docs, found.where("not first"), id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), repeated)
 

@@ -286,7 +286,9 @@ def spans(docs: DataFrame, window: int, gram: int, many: int) -> DataFrame:
     long = lambda names: ", ".join(f"{n} long" for n in names)
     asked = docs.mapInArrow(parse, long(ROW))
     met = asked.repartition("route").sortWithinPartitions("route", "content", "uid", "start").mapInArrow(meet, long(SPAN))
-    one = F.struct(*(F.col(c).cast(kind).alias(c) for c, kind in (("start", "int"), ("length", "int"), ("kind", "int"), ("ref", "long"), ("at", "int"))))
+    one = F.struct(
+        *(F.col(c).cast(kind).alias(c) for c, kind in (("start", "int"), ("length", "int"), ("kind", "int"), ("ref", "long"), ("at", "int")))
+    )
     return met.groupBy("uid").agg(F.collect_list(one).alias("spans"))
 
 
@@ -365,12 +367,17 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
             copies = pieces.factors()
             here = np.isin(copies[0], some)
             asked = marked(pieces.checked(), first, len(block.doc)) & ~marked(tuple(x[here] for x in copies), first, len(block.doc))
-            yield _as_batch([_signed(block.hash1[asked]), _signed(block.hash2[asked]), block.uid[block.doc[asked]], block.start[asked]], ["h1", "h2", "uid", "start"])
+            yield _as_batch(
+                [_signed(block.hash1[asked]), _signed(block.hash2[asked]), block.uid[block.doc[asked]], block.start[asked]],
+                ["h1", "h2", "uid", "start"],
+            )
 
     # The columns that are only carried go along here, too, so that both uses share one exchange of the texts.
     rest = ["rest"] if "rest" in docs.columns else []
     windows = joined.select("uid", "text", "spans", *rest).mapInArrow(boundaries, "h1 long, h2 long, uid long, start long")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("uid", F.col("start").cast("int").alias("start"))).alias("first")).select("first.*").groupBy("uid").agg(F.collect_list("start").alias("firsts"))
+    firsts = windows.groupBy("h1", "h2").agg(
+        F.min(F.struct("uid", F.col("start").cast("int").alias("start"))).alias("first")
+    ).select("first.*").groupBy("uid").agg(F.collect_list("start").alias("firsts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, 1):
@@ -393,10 +400,15 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
             for text, w, r, b in zip(texts, words, removed.tolist(), begin.tolist(), strict=True):
                 left = b" ".join([x for x, g in zip(w, gone[b : b + len(w)].tolist(), strict=True) if not g] if r else w) if r or digests else b""
                 kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode() if r else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(removed), pa.array(kept, pa.string()), *batch.columns[4:]], names=["uid", "n_words", "n_removed", "kept", *rest])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), pa.array(removed), pa.array(kept, pa.string()), *batch.columns[4:]],
+                names=["uid", "n_words", "n_removed", "kept", *rest],
+            )
 
     found = joined.join(firsts, "uid", "left").select("uid", "text", "spans", "firsts", *rest)
-    schema = StructType([*(StructField(n, LongType()) for n in ("uid", "n_words", "n_removed")), StructField("kept", StringType()), *(found.schema[r] for r in rest)])
+    schema = StructType(
+        [*(StructField(n, LongType()) for n in ("uid", "n_words", "n_removed")), StructField("kept", StringType()), *(found.schema[r] for r in rest)]
+    )
     return found.mapInArrow(remove, schema)
 
 
@@ -416,7 +428,9 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
     return rows.join(ids, "uid").join(refs, "ref").select("doc_id", "start", "length", "ref_id", F.col("at").alias("ref_start"))
 
 
-def substring_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def substring_duplicates(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
+) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and kept (its text without the spans, or that text's SHA-256).
 
     A text that loses words is its remaining words joined by one space; another text stays as it is.
@@ -437,12 +451,24 @@ def _by_uid(own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return table.select(F.coalesce("uid", F.lit(0).cast("long")).alias("uid"), "text", *rest), table.select("uid", "doc_id")
 
 
-def without_duplicates(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def without_duplicates(
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars"
+) -> DataFrame:
     """The documents, with all their columns, without the words of repeated windows. A length column follows the text."""
-    found, _ = _by_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("rest")))
+    found, _ = _by_uid(
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            F.col(text_col).cast("string").alias("text"),
+            F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("rest"),
+        )
+    )
     cut = parsed(found, window)
-    length = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col(f"rest.{length_col}")).alias(length_col) if length_col in docs.columns else None
-    return cut.select(*(F.col("kept").alias(c) if c == text_col else length if c == length_col else F.col(f"rest.{c}").alias(c) for c in docs.columns))
+    length = F.when(
+        F.col("n_removed") > 0, F.length("kept").cast("long")
+    ).otherwise(F.col(f"rest.{length_col}")).alias(length_col) if length_col in docs.columns else None
+    return cut.select(
+        *(F.col("kept").alias(c) if c == text_col else length if c == length_col else F.col(f"rest.{c}").alias(c) for c in docs.columns)
+    )
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -89,13 +89,26 @@ def remainder(id_col: str = "doc_id", folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(HELD))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, pair_penalty: float = PAIR_PENALTY, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> tuple[np.ndarray, float]:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    sample: int = SAMPLE,
+    pair_penalty: float = PAIR_PENALTY,
+    identities: tuple[tuple[str, ...], ...] = IDENTITIES,
+) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled documents outside the held-out fold."""
-    known = labels.where(F.col(label_col).cast("int").isin(0, 1) & F.col(id_col).isNotNull() & (remainder(id_col) != HELD)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    known = labels.where(
+        F.col(label_col).cast("int").isin(0, 1) & F.col(id_col).isNotNull() & (remainder(id_col) != HELD)
+    ).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     known = known.join(docs.select(F.col(id_col).cast("long").alias("_id")).distinct(), "_id", "left_semi")
     counts = dict(known.groupBy("_label").count().collect())
     order = F.xxhash64("_id"), F.col("_id")
-    chosen = known.where("_label = 0").orderBy(*order).limit(sample).union(known.where("_label = 1").orderBy(*order).limit(sample))  # at most 2 * sample rows
+    chosen = known.where("_label = 0").orderBy(*order).limit(sample).union(
+        known.where("_label = 1").orderBy(*order).limit(sample)
+    )  # at most 2 * sample rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swaps, lists = Swaps(identities), pa.list_(pa.list_(pa.int32()))
@@ -103,11 +116,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             texts = block.column(1).to_pylist()
             pairs = [swaps.pairs(t) for t in texts]
             sides = [pa.array([[features(p[k]).tolist() for p in found] for found in pairs], lists) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([features(words(t)).tolist() for t in texts], pa.list_(pa.int32())), *sides], names=["label", "features", "plain", "swapped"])
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0), pa.array([features(words(t)).tolist() for t in texts], pa.list_(pa.int32())), *sides],
+                names=["label", "features", "plain", "swapped"],
+            )
 
     drawn_texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
     one_each = drawn_texts.groupBy("_id").agg(F.first("_label").alias("_label"), F.min("text").alias("text"))  # an id may be that of many rows
-    rows = one_each.select("_label", "text").mapInArrow(run, "label int, features array<int>, plain array<array<int>>, swapped array<array<int>>").toArrow()
+    rows = one_each.select("_label", "text").mapInArrow(
+        run, "label int, features array<int>, plain array<array<int>>, swapped array<array<int>>"
+    ).toArrow()
     label = rows["label"].to_numpy().astype(float)
     lists = [np.array(x, np.int64) for x in rows["features"].to_pylist()]
     pairs = tuple([np.array(x, np.int64) for found in rows[side].to_pylist() for x in found] for side in ("plain", "swapped"))
@@ -122,7 +140,9 @@ def scorer(weights: np.ndarray, bias: float):
     model = dict(zip(used.tolist(), weights[used].tolist(), strict=True))
     # A word's buckets that have a weight; most words have none.
     weighted = Lookup(lambda raw: tuple(f for f in word_features(raw.strip(EDGES)) if f in model))
-    return lambda texts: sigmoid(np.array([sum(map(model.__getitem__, set().union(*map(weighted.__getitem__, set((t or "").lower().split())))), bias) for t in texts], float))
+    return lambda texts: sigmoid(
+        np.array([sum(map(model.__getitem__, set().union(*map(weighted.__getitem__, set((t or "").lower().split())))), bias) for t in texts], float)
+    )
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +153,9 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc
         for block in text_blocks(batches, 1):
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(score(block.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, score double")
 
 
 def kept(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str = "text") -> DataFrame:
@@ -151,7 +173,9 @@ def kept(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str = "tex
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     weights, bias = train(docs, labels, id_col, text_col, **how)
-    return scored(docs, weights, bias, id_col, text_col).select("doc_id", (remainder("doc_id") == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, weights, bias, id_col, text_col).select(
+        "doc_id", (remainder("doc_id") == HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

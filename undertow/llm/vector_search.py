@@ -44,8 +44,12 @@ def quantised(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", ve
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     # floor gives a long; doubles from 2 ** 52 on are whole numbers.
-    whole = lambda c: F.when(F.abs(c) < F.lit(2.0**52), F.floor(c).cast("double")).otherwise(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), c)))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite).select("vec_id", F.transform("x", lambda c: whole(c * scale)).alias("v"))
+    whole = lambda c: F.when(
+        F.abs(c) < F.lit(2.0**52), F.floor(c).cast("double")
+    ).otherwise(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), c)))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite).select(
+        "vec_id", F.transform("x", lambda c: whole(c * scale)).alias("v")
+    )
 
 
 def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -125,7 +129,9 @@ def query_groups(queries: np.ndarray, pivots: np.ndarray, most: int) -> tuple[np
     group, parts = np.zeros(len(queries), np.int64), np.maximum(1, -(-queries // most))
     centred = pivots - pivots.mean(0)
     # Neighbouring cells follow each other along the direction in which the pivots differ most.
-    order = np.append(np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0]) if centred.any() else np.arange(len(pivots)), len(pivots))
+    order = np.append(
+        np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0]) if centred.any() else np.arange(len(pivots)), len(pivots)
+    )
     now = held = 0
     for cell in order:
         if held and held + queries[cell] > most:
@@ -171,10 +177,14 @@ def solved(queries: DataFrame, data: DataFrame, pairs: DataFrame, dim: int, k: i
     pairs = small(pairs)
     keys = ["group", "part", "cell", "ring", "data_part"]
     sent = queries.withColumnRenamed("cell", "own").join(pairs, ["group", "part"])
-    sent = sent.where("own = cell" if own_cell else "own <> cell").withColumn("data_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sent = sent.where("own = cell" if own_cell else "own <> cell").withColumn(
+        "data_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    )
     spread = data.join(pairs, ["cell", "ring"]).withColumn("data_part", F.pmod("salt", "parts"))
     columns = [*(F.col(c).cast("long") for c in keys), F.col("side"), "row", "vec_id", "v", "least"]
-    sent, spread = sent.withColumn("side", F.lit(0)).select(columns), spread.withColumns({"side": F.lit(1), "least": F.lit(None).cast("long")}).select(columns)
+    sent, spread = sent.withColumn("side", F.lit(0)).select(columns), spread.withColumns(
+        {"side": F.lit(1), "least": F.lit(None).cast("long")}
+    ).select(columns)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, None
@@ -200,13 +210,26 @@ def solved(queries: DataFrame, data: DataFrame, pairs: DataFrame, dim: int, k: i
                             held[3][i] = int(s[i, f[-1]])
                     who = np.repeat(np.arange(len(s)), [len(f) for f in found])
                     which = np.concatenate([np.zeros(0, np.int64), *found])
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][who]), pa.array(held[1][who]), pa.array(ids[which]), pa.array(s[who, which])], names=["row", "query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(held[0][who]), pa.array(held[1][who]), pa.array(ids[which]), pa.array(s[who, which])],
+                        names=["row", "query_id", "vec_id", "score"],
+                    )
 
     both = sent.unionByName(spread).repartition(*keys).sortWithinPartitions(*keys, "side")
     return both.mapInArrow(solve, "row long, query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None, query_part: int = QUERY_PART, data_part: int = DATA_PART) -> DataFrame:
+def top_k(
+    vectors: DataFrame,
+    k: int = K,
+    every: int = EVERY,
+    scale: int = SCALE,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    pivots: int | None = None,
+    query_part: int = QUERY_PART,
+    data_part: int = DATA_PART,
+) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each query, a row whose vec_id is divisible by every."""
     spark = vectors.sparkSession
     plain = written(quantised(vectors, scale, id_col, vector_col), "vectors")
@@ -216,20 +239,34 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     sample = sample[~huge(sample)]
     centres = draw_pivots(sample, min(PIVOTS, max(1, int(n**0.5) // 2)) if pivots is None else pivots)
     cell, _, across = placed(sample, centres)
-    edges = np.array([np.quantile(across[cell == c], np.arange(1, RINGS) / RINGS) if (cell == c).any() else np.zeros(RINGS - 1) for c in range(len(centres) + 1)])
+    edges = np.array(
+        [np.quantile(across[cell == c], np.arange(1, RINGS) / RINGS) if (cell == c).any() else np.zeros(RINGS - 1) for c in range(len(centres) + 1)]
+    )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, along, across = placed(matrix(batch.column(1), dim), centres)
             ring = (across[:, None] > edges[cell]).sum(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in (cell, ring, along, across))], names=["vec_id", "v", "cell", "ring", "along", "across"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(x) for x in (cell, ring, along, across))], names=["vec_id", "v", "cell", "ring", "along", "across"]
+            )
 
-    rows = plain.mapInArrow(assign, "vec_id long, v array<double>, cell long, ring long, along double, across double").withColumn("row", F.monotonically_increasing_id())
+    rows = plain.mapInArrow(
+        assign, "vec_id long, v array<double>, cell long, ring long, along double, across double"
+    ).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(1 << 20))), "cells")
     is_query = F.col("vec_id") % every == 0
     # At most (PIVOTS + 1) * RINGS rows.
-    summary = rows.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.count_if(is_query).alias("queries"), F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("across")).collect()
-    group, parts = query_groups(np.bincount([r.cell for r in summary], [r.queries for r in summary], len(centres) + 1).astype(np.int64), centres, query_part)
+    summary = rows.groupBy("cell", "ring").agg(
+        F.count("*").alias("n"),
+        F.count_if(is_query).alias("queries"),
+        F.min("along").alias("low"),
+        F.max("along").alias("high"),
+        F.max("across").alias("across"),
+    ).collect()
+    group, parts = query_groups(
+        np.bincount([r.cell for r in summary], [r.queries for r in summary], len(centres) + 1).astype(np.int64), centres, query_part
+    )
     table = lambda rows_, schema: F.broadcast(spark.createDataFrame(rows_, schema))  # noqa: E731  bounded like the summary
     in_parts = lambda count: -(-int(count) // data_part)
     by_cell = np.bincount([r.cell for r in summary], [r.n for r in summary], len(centres) + 1)
@@ -240,7 +277,17 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     queries = rows.where(is_query).join(place, "cell").select("row", "vec_id", "v", "cell", "group", F.pmod("salt", "splits").alias("part"))
     data = rows.select("row", "vec_id", "v", "cell", "ring", "salt")
     none = F.lit(None).cast("long").alias("least")
-    own = written(solved(queries.select("*", none), data.withColumn("ring", F.lit(-1).cast("long")), queries.select("group", "part", "cell").distinct().join(cells, "cell"), dim, k, True), "own")
+    own = written(
+        solved(
+            queries.select("*", none),
+            data.withColumn("ring", F.lit(-1).cast("long")),
+            queries.select("group", "part", "cell").distinct().join(cells, "cell"),
+            dim,
+            k,
+            True,
+        ),
+        "own",
+    )
     ordered = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = own.withColumn("rank", F.row_number().over(ordered))
     asked = written(queries.join(ranked.where(F.col("rank") == k).select("row", F.col("score").alias("least")), "row", "left"), "queries")
@@ -251,13 +298,17 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
             if batch.num_rows:
                 least = np.array([-np.inf if x is None else float(x) for x in batch.column(4).to_pylist()])
                 who, which = np.nonzero(bounds.needed(matrix(batch.column(3), dim), least) & (batch.column(2).to_numpy()[:, None] != bounds.cell))
-                found = np.unique(np.stack([batch.column(0).to_numpy()[who], batch.column(1).to_numpy()[who], bounds.cell[which], bounds.ring[which]], 1), axis=0)
+                found = np.unique(
+                    np.stack([batch.column(0).to_numpy()[who], batch.column(1).to_numpy()[who], bounds.cell[which], bounds.ring[which]], 1), axis=0
+                )
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], names=["group", "part", "cell", "ring"])
 
     pairs = asked.select("group", "part", "cell", "v", "least").mapInArrow(need, "`group` long, part long, cell long, ring long").distinct()
     pairs = written(pairs.join(rings, ["cell", "ring"]), "pairs", narrow=True)
     answers = own.union(solved(asked, data, pairs, dim, k, False))
-    return answers.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return answers.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+    )
 
 
 def op9_vector_search(spark, sf_dir: str) -> DataFrame:
