@@ -48,5 +48,9 @@ def undirected_measures(a: np.ndarray, x: int) -> dict[str, tuple[float, int]]:
     near = set(np.flatnonzero(u[x]))
     far = sorted({int(z) for y in near for z in np.flatnonzero(u[y])} - near - {x})
     near = sorted(near)
-    blocks = {"1": (u[np.ix_(far, far)].sum(), len(far) * (len(far) - 1), 0.0), "2": (u[np.ix_(near, far)].sum(), len(near) * len(far), 1.0), "3": (u[np.ix_(near, near)].sum(), len(near) * (len(near) - 1), 0.0)}
+    blocks = {
+        "1": (u[np.ix_(far, far)].sum(), len(far) * (len(far) - 1), 0.0),
+        "2": (u[np.ix_(near, far)].sum(), len(near) * len(far), 1.0),
+        "3": (u[np.ix_(near, near)].sum(), len(near) * (len(near) - 1), 0.0),
+    }
     return {k: (c / z if z > 0 else d, z) for k, (c, z, d) in blocks.items()}

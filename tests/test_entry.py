@@ -7,7 +7,18 @@ import __spark_entry__ as driver
 from undertow.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["edges_undirected", "degree", "scores_directed_basic_sparse", "scores_undirected_weighted", "auc_pr_grid", "lift_topk", "score_histogram", "stratified_split", "planted_pattern_edges", "friedman_stat"]
+QUICK = [
+    "edges_undirected",
+    "degree",
+    "scores_directed_basic_sparse",
+    "scores_undirected_weighted",
+    "auc_pr_grid",
+    "lift_topk",
+    "score_histogram",
+    "stratified_split",
+    "planted_pattern_edges",
+    "friedman_stat",
+]
 
 
 def test_entry(spark):

@@ -15,7 +15,21 @@ from undertow.sources import tables
 TABLES = ("customer", "orders", "events")
 
 
-@pytest.mark.parametrize("name", sorted({*file_queries.ORACLES, "model_order", "induced_edges", "connected_components", "synthetic_assembled_counts", "erdos_renyi_complete", "watts_strogatz_ring", "loaded_measures"}))
+@pytest.mark.parametrize(
+    "name",
+    sorted(
+        {
+            *file_queries.ORACLES,
+            "model_order",
+            "induced_edges",
+            "connected_components",
+            "synthetic_assembled_counts",
+            "erdos_renyi_complete",
+            "watts_strogatz_ring",
+            "loaded_measures",
+        }
+    ),
+)
 def test_matches_sql(spark, sf, name):
     with duckdb.connect() as c:
         for t in TABLES:
@@ -45,7 +59,9 @@ def test_nemenyi_p_agrees_with_the_critical_difference(spark):
 
 
 def test_order_of_models_with_ties(spark):
-    rows = spark.createDataFrame([("d", "x", 1.0), ("d", "y", 2.0), ("d", "z", 1.0), ("d", "other", 9.0)], "dataset string, method string, score double")
+    rows = spark.createDataFrame(
+        [("d", "x", 1.0), ("d", "y", 2.0), ("d", "z", 1.0), ("d", "other", 9.0)], "dataset string, method string, score double"
+    )
     got = {r.method: r["rank"] for r in metrics.model_order(rows, ["z", "y", "x"]).collect()}
     assert got == {"y": 1, "z": 2, "x": 3}
 

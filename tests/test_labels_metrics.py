@@ -13,7 +13,9 @@ from undertow.sources import tables
 
 def test_money_text(spark):
     given = ["1.5", "3.0", "1234.567", "2e-05", "1.5e-05", "100", None]
-    rows = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, m string").select("i", labels.money(F.col("m")).alias("m")).orderBy("i").collect()
+    rows = spark.createDataFrame(
+        [(i, g) for i, g in enumerate(given)], "i int, m string"
+    ).select("i", labels.money(F.col("m")).alias("m")).orderBy("i").collect()
     assert [r.m for r in rows][:6] == ["1.50", "3.00", "1234.567", "0.00", "1.5e-05", "100.00"]
 
 
@@ -28,7 +30,9 @@ def test_pattern_file(spark):
 
 def test_files_round_trip(spark, tmp_path):
     path = tmp_path / "trans.csv"
-    path.write_text("Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n2022/09/01 00:20,010,00A,03,00B,3.5,USD,3.5,USD,Wire,1\n2022/09/01 00:21,010,00A,03,00A,4,USD,4,USD,Wire,0\n")
+    path.write_text(
+        "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n2022/09/01 00:20,010,00A,03,00B,3.5,USD,3.5,USD,Wire,1\n2022/09/01 00:21,010,00A,03,00A,4,USD,4,USD,Wire,0\n"
+    )
     rows = tables.read_transactions(spark, str(path)).collect()
     assert (rows[0].from_bank, rows[0].from_account, rows[0].to_account, rows[0].is_laundering) == ("010", "00A", "00B", 1)
     v, e = tables.graph_from_transactions(spark, str(path), directed=True)
@@ -47,7 +51,9 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ["a: 1", "b: 2"]
     flags = tmp_path / "flags.csv"
     flags.write_text("separate,new_mules,existing_mules,laundering\nFalse,False,False,False\nTrue,False,False,True\n")
-    assert {r.node: (r.separate, r.laundering) for r in tables.read_synthetic_labels(spark, str(flags)).collect()} == {0: (False, False), 1: (True, True)}
+    assert {
+        r.node: (r.separate, r.laundering) for r in tables.read_synthetic_labels(spark, str(flags)).collect()
+    } == {0: (False, False), 1: (True, True)}
 
 
 def brute_areas(y, s):

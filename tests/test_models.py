@@ -50,7 +50,9 @@ def test_moves_over_all_tasks_are_as_good_as_sequential_ones(spark, resolution):
         if a != b and (group[a] == group[b] or rng.random() < 0.03):
             pairs.add((a, b))
     v, e = spark.range(240).withColumnRenamed("id", "node"), spark.createDataFrame(sorted(pairs), "src long, dst long")
-    found = [communities.modularity(e, staged(communities.louvain(v, e, resolution, local_edges=n), "test"), resolution).first()[0] for n in (1, 10_000)]
+    found = [
+        communities.modularity(e, staged(communities.louvain(v, e, resolution, local_edges=n), "test"), resolution).first()[0] for n in (1, 10_000)
+    ]
     assert found[0] > 0.95 * found[1] > 0
 
 
@@ -120,7 +122,9 @@ def test_stream_scores_accounts_without_community(spark, tmp_path):
     """They are communities of their own; a batch without an edge inside a community does no harm."""
     for i, pairs in enumerate(([(0, 1), (50, 0)], [(50, 60), (1, 0)])):
         spark.createDataFrame(pairs, "from_account long, to_account long").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    stream = spark.readStream.schema("from_account long, to_account long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(
+        "from_account long, to_account long"
+    ).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     place = spark.createDataFrame([(0, 7), (1, 7), (2, 50)], "node long, community long")
     ingest.run(stream, place, str(tmp_path / "edges"), str(tmp_path / "scores"), str(tmp_path / "checkpoint")).awaitTermination(120)
     got = {r.node: r.score for r in ingest.latest_scores(spark, str(tmp_path / "scores")).collect()}

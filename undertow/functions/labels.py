@@ -29,7 +29,9 @@ def with_patterns(transactions: DataFrame, patterns: DataFrame, laundering: str
     """Transactions (with a column identifier) and their pattern flags; repeated identifiers fan out."""
     found = transactions.join(patterns, "identifier", "left").fillna(0, PATTERNS)
     any_pattern = sum((F.col(p) for p in PATTERNS[1:]), F.col(PATTERNS[0]))
-    return found.withColumn(NOT_CLASSIFIED, F.when((F.col(laundering) == 1) & (any_pattern == 0), 1).otherwise(0)).withColumn(LAUNDERING, F.col(laundering).cast("int"))
+    return found.withColumn(
+        NOT_CLASSIFIED, F.when((F.col(laundering) == 1) & (any_pattern == 0), 1).otherwise(0)
+    ).withColumn(LAUNDERING, F.col(laundering).cast("int"))
 
 
 def account_rates(labelled: DataFrame, side: str = "combined", sender: str = "from_account", receiver: str = "to_account") -> DataFrame:
@@ -63,7 +65,9 @@ def threshold_labels(rates: DataFrame, cutoffs: list[float], targets: list[str]
     wanted = targets or TARGETS
     stacked = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(f"`{t}`").cast("double").alias("rate")) for t in wanted))).alias("t")
     others = [c for c in rates.columns if c not in wanted]
-    return rates.select(*others, stacked).select(*others, "t.*", F.explode(F.array(*map(F.lit, cutoffs))).alias("cutoff")).select(*others, "cutoff", "target", (F.col("rate") > F.col("cutoff")).cast("int").alias("label"))
+    return rates.select(*others, stacked).select(*others, "t.*", F.explode(F.array(*map(F.lit, cutoffs))).alias("cutoff")).select(
+        *others, "cutoff", "target", (F.col("rate") > F.col("cutoff")).cast("int").alias("label")
+    )
 
 
 def rates_by_bin(scored: DataFrame, score: str = "score") -> DataFrame:
@@ -73,7 +77,10 @@ def rates_by_bin(scored: DataFrame, score: str = "score") -> DataFrame:
 
 def account_banks(transactions: DataFrame) -> DataFrame:
     """Distinct account and bank of either side."""
-    ends = F.array(F.struct(F.col("from_account").alias("account"), F.col("from_bank").alias("bank")), F.struct(F.col("to_account").alias("account"), F.col("to_bank").alias("bank")))
+    ends = F.array(
+        F.struct(F.col("from_account").alias("account"), F.col("from_bank").alias("bank")),
+        F.struct(F.col("to_account").alias("account"), F.col("to_bank").alias("bank")),
+    )
     return transactions.select(F.explode(ends).alias("e")).select("e.*").distinct()
 
 
@@ -84,14 +91,22 @@ def outlier_label(prediction: Column) -> Column:
 
 def node_kind() -> Column:
     """The first of separate, new_mules, existing_mules that holds, else regular."""
-    return F.when(F.col("separate"), "separate").when(F.col("new_mules"), "new_mules").when(F.col("existing_mules"), "existing_mules").otherwise("regular")
+    return F.when(F.col("separate"), "separate").when(F.col("new_mules"), "new_mules").when(
+        F.col("existing_mules"), "existing_mules"
+    ).otherwise("regular")
 
 
 def dataset_parts(name: Column) -> dict[str, Column]:
     """The parameters in a generated dataset's name."""
     parts = F.split(name, "_")
     at = lambda i: F.try_element_at(parts, F.lit(i))
-    return {"generator": at(2), "n_nodes": at(3).try_cast("int"), "m_edges": at(4).try_cast("int"), "p_edges": at(5).try_cast("double"), "n_patterns": at(6).try_cast("int")}
+    return {
+        "generator": at(2),
+        "n_nodes": at(3).try_cast("int"),
+        "m_edges": at(4).try_cast("int"),
+        "p_edges": at(5).try_cast("double"),
+        "n_patterns": at(6).try_cast("int"),
+    }
 
 
 def dataset_kind(name: str) -> str:

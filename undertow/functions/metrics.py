@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 def _score_counts(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    return rows.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    return rows.groupBy(*by, F.col(score).alias("score")).agg(
+        F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n")
+    )
 
 
 #: Equal-width score ranges that a cell's running totals are split into.
@@ -38,11 +40,32 @@ def curves(rows: DataFrame, by: list[str] | None = None, label: str = "label", s
     above = Window.partitionBy(*cell).orderBy(F.desc("range_")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*cell)
     totals = counts.groupBy(*cell, "range_").agg(F.sum("p").alias("p_"), F.sum("n").alias("n_"))
-    totals = totals.select(*cell, "range_", F.coalesce(F.sum("p_").over(above), F.lit(0)).alias("tp_"), F.coalesce(F.sum("n_").over(above), F.lit(0)).alias("fp_"), F.sum("p_").over(whole).alias("pos"), F.sum("n_").over(whole).alias("neg"))
+    totals = totals.select(
+        *cell,
+        "range_",
+        F.coalesce(F.sum("p_").over(above), F.lit(0)).alias("tp_"),
+        F.coalesce(F.sum("n_").over(above), F.lit(0)).alias("fp_"),
+        F.sum("p_").over(whole).alias("pos"),
+        F.sum("n_").over(whole).alias("neg"),
+    )
     down = Window.partitionBy(*cell, "range_").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = counts.join(totals, [*cell, "range_"]).withColumn("tp", F.col("tp_") + F.sum("p").over(down)).withColumn("fp", F.col("fp_") + F.sum("n").over(down))
+    c = counts.join(totals, [*cell, "range_"]).withColumn(
+        "tp", F.col("tp_") + F.sum("p").over(down)
+    ).withColumn("fp", F.col("fp_") + F.sum("n").over(down))
     ratio = lambda a, b: F.when(b > 0, a / b)
-    return c.select(*by, "score", "p", "n", "tp", "fp", "pos", "neg", ratio(F.col("tp"), F.col("pos")).alias("tpr"), ratio(F.col("fp"), F.col("neg")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    return c.select(
+        *by,
+        "score",
+        "p",
+        "n",
+        "tp",
+        "fp",
+        "pos",
+        "neg",
+        ratio(F.col("tp"), F.col("pos")).alias("tpr"),
+        ratio(F.col("fp"), F.col("neg")).alias("fpr"),
+        ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+    )
 
 
 def areas(rows: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score") -> DataFrame:
@@ -82,11 +105,20 @@ def lift_top(rows: DataFrame, tie: str, by: list[str] | None = None, label: str
     order = Window.partitionBy(*by).orderBy(F.desc(score), F.col(tie))
     whole = Window.partitionBy(*by)
     y = F.col(label).cast("long")
-    c = rows.select(*by, y.alias("y"), F.row_number().over(order).alias("seen"), F.sum(y).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"), F.sum(y).over(whole).alias("pos"), F.sum(1 - y).over(whole).alias("neg"))
+    c = rows.select(
+        *by,
+        y.alias("y"),
+        F.row_number().over(order).alias("seen"),
+        F.sum(y).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"),
+        F.sum(y).over(whole).alias("pos"),
+        F.sum(1 - y).over(whole).alias("neg"),
+    )
     n = F.col("pos") + F.col("neg")
     # The steps that end at this row; usually none, and their number is bounded by steps.
     first, last = F.floor((F.col("seen") - 1) * steps / n).cast("int") + 1, F.floor(F.col("seen") * steps / n).cast("int")
-    found = c.withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))).where((F.col("k") >= 1) & (F.col("k") <= steps) & (_at(F.col("k"), n, steps) == F.col("seen")))
+    found = c.withColumn(
+        "k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+    ).where((F.col("k") >= 1) & (F.col("k") <= steps) & (_at(F.col("k"), n, steps) == F.col("seen")))
     return found.select(*by, (F.col("k") / steps).alias("step"), _lift(F.col("tp"), F.col("seen")).alias("lift"))
 
 
@@ -103,7 +135,11 @@ def histogram(rows: DataFrame, by: list[str] | None = None, label: str = "label"
     by = by or []
     ends = rows.groupBy(*by).agg(F.min(score).cast("double").alias("low"), F.max(score).cast("double").alias("high"))
     # A range of one value is widened by half on both sides.
-    ends = ends.select(*by, F.when(F.col("low") == F.col("high"), F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(F.col("low") == F.col("high"), F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
+    ends = ends.select(
+        *by,
+        F.when(F.col("low") == F.col("high"), F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
+        F.when(F.col("low") == F.col("high"), F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
+    )
     spread = rows.join(ends, by) if by else rows.join(F.broadcast(ends))
     bin_ = F.least(F.floor((F.col(score) - F.col("low")) * bins / (F.col("high") - F.col("low"))) + 1, F.lit(bins)).cast("int")
     counts = spread.groupBy(*by, F.col(label).alias("label"), bin_.alias("bin"), "low", "high").agg(F.count("*").alias("n"))
@@ -141,10 +177,16 @@ def friedman(rows: DataFrame, dataset: str = "dataset", method: str = "method",
     """One row: datasets, methods, statistic (with tie correction)."""
     ranked = average_ranks(rows, dataset, score)
     ties = ranked.groupBy(dataset, score).agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    sums = ranked.groupBy(method).agg(F.sum("rank").alias("r"), F.count("*").alias("b")).agg(F.sum(F.col("r") * F.col("r")).alias("squares"), F.count("*").alias("k"), F.max("b").alias("b"))
+    sums = ranked.groupBy(method).agg(F.sum("rank").alias("r"), F.count("*").alias("b")).agg(
+        F.sum(F.col("r") * F.col("r")).alias("squares"), F.count("*").alias("k"), F.max("b").alias("b")
+    )
     b, k = F.col("b").cast("double"), F.col("k").cast("double")
     plain = F.col("squares") * 12 / (b * k * (k + 1)) - 3 * b * (k + 1)
-    return sums.join(ties).select(F.col("b").cast("long").alias("datasets"), F.col("k").cast("long").alias("methods"), (plain / (1 - F.col("ties") / (b * (k * k * k - k)))).alias("statistic"))
+    return sums.join(ties).select(
+        F.col("b").cast("long").alias("datasets"),
+        F.col("k").cast("long").alias("methods"),
+        (plain / (1 - F.col("ties") / (b * (k * k * k - k)))).alias("statistic"),
+    )
 
 
 def chi_square_tail(x: float, degrees: int) -> float:
@@ -213,7 +255,9 @@ def nemenyi(mean_rank: DataFrame, methods: int, datasets: int, method: str = "me
         return gaps.map(lambda g: range_tail(g / step, methods))
 
     pairs = a.join(b, F.col("method_a") < F.col("method_b"))
-    return pairs.select("method_a", "method_b", gap.alias("difference"), (gap >= critical_difference(methods, datasets)).alias("significant"), tail(gap).alias("p"))
+    return pairs.select(
+        "method_a", "method_b", gap.alias("difference"), (gap >= critical_difference(methods, datasets)).alias("significant"), tail(gap).alias("p")
+    )
 
 
 def correlation_test(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -237,4 +281,6 @@ def t_tail(t: float, degrees: int) -> float:
 def box_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, mean and range per cell."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*by).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"), F.avg(value).alias("mean")).select(*by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "mean")
+    return rows.groupBy(*by).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"), F.avg(value).alias("mean")).select(
+        *by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "mean"
+    )

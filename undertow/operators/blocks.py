@@ -27,7 +27,9 @@ def _edges_by_role(r: DataFrame, e: DataFrame) -> DataFrame:
 def _counted(r: DataFrame, e: DataFrame) -> DataFrame:
     """One row per ego: s0, s1, s2 and c00 ... c22."""
     sizes = r.groupBy("ego").agg(*(F.count_if(F.col("role") == k).cast("long").alias(f"s{k}") for k in range(3)))
-    counts = _edges_by_role(r, e).groupBy("ego").agg(*(F.count_if((F.col("role_u") == int(p[0])) & (F.col("role_v") == int(p[1]))).cast("long").alias(f"c{p}") for p in PAIRS))
+    counts = _edges_by_role(r, e).groupBy("ego").agg(
+        *(F.count_if((F.col("role_u") == int(p[0])) & (F.col("role_v") == int(p[1]))).cast("long").alias(f"c{p}") for p in PAIRS)
+    )
     return sizes.join(counts, "ego", "left").select("ego", "s0", "s1", "s2", *(F.coalesce(f"c{p}", F.lit(0)).alias(f"c{p}") for p in PAIRS))
 
 
@@ -77,7 +79,9 @@ def _measures(r: DataFrame, e: DataFrame, blocks: dict[str, tuple[Column, Column
     return _counted(r, e).select(F.col("ego").alias("node"), *columns)
 
 
-def measures_directed(v: DataFrame, e: DataFrame, include_size: bool = True, compat: bool = True, strategy: str = "relational", communities: DataFrame | None = None) -> DataFrame:
+def measures_directed(
+    v: DataFrame, e: DataFrame, include_size: bool = True, compat: bool = True, strategy: str = "relational", communities: DataFrame | None = None
+) -> DataFrame:
     """node, measure_00 ... measure_22 and size_00 ... size_22 for every node.
 
     strategy "pandas" computes each community (node, community) as dense matrices in one task; it needs edges within
@@ -114,7 +118,14 @@ def matrix_measures(adjacency, roles_of, compat: bool = True) -> dict[str, tuple
     at = [np.flatnonzero(roles_of == k) for k in range(3)]
     c = {p: int(adjacency[np.ix_(at[int(p[0])], at[int(p[1])])].sum()) for p in PAIRS}
     s0, s1, s2 = (len(x) for x in at)
-    pairs = {"00": (c["00"], (s0 - 1) * (s0 - 2)), "01": (c["01"], s0 * s1), "02": (c["02"], (s0 - 1) * s2), "10": (c["10"], s0 * s1), "11": (c["11"], s1 * (s1 - 1)), "12": (c["12"], s1 * s2)}
+    pairs = {
+        "00": (c["00"], (s0 - 1) * (s0 - 2)),
+        "01": (c["01"], s0 * s1),
+        "02": (c["02"], (s0 - 1) * s2),
+        "10": (c["10"], s0 * s1),
+        "11": (c["11"], s1 * (s1 - 1)),
+        "12": (c["12"], s1 * s2),
+    }
     if s2 or not compat:
         pairs |= {"20": (c["20"], (s0 - 1) * s2), "21": (c["21"], s1 * s2), "22": (c["22"], s2 * (s2 - 1))}
         if not s2:

@@ -22,7 +22,9 @@ SETTLED, ROUNDS, LEVELS = 0.001, 100, 50
 
 def connected_components(v: DataFrame, e: DataFrame) -> DataFrame:
     """node, component: the least node that it reaches. Large-star and small-star steps until nothing changes."""
-    edges, before = staged(e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components"), None
+    edges, before = staged(
+        e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components"
+    ), None
 
     def least(links: DataFrame) -> DataFrame:
         # The second key has both sides dealt anew, so that a hub can be split.
@@ -37,8 +39,15 @@ def connected_components(v: DataFrame, e: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         small = least(large)
-        edges = staged(small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v"))).distinct(), "components")
-    return v.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+        edges = staged(
+            small.where("v <> least").select(
+                F.col("v").alias("u"), F.col("least").alias("v")
+            ).union(small.select("u", F.col("least").alias("v"))).distinct(),
+            "components",
+        )
+    return v.join(
+        edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left"
+    ).select("node", F.coalesce("root", "node").alias("component"))
 
 
 def modularity(e: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -46,8 +55,12 @@ def modularity(e: DataFrame, communities: DataFrame, resolution: float = 1.0) ->
     of = lambda end: communities.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
     placed = e.join(of("src"), "src").join(of("dst"), "dst")
     inside = placed.agg(F.sum((F.col("c_src") == F.col("c_dst")).cast("long")).alias("inside"), F.count("*").alias("m"))
-    degrees = placed.select(F.explode(F.array("c_src", "c_dst")).alias("c")).groupBy("c").count().agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"))
-    return inside.join(degrees).select((F.col("inside") / F.col("m") - resolution * F.col("squares") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
+    degrees = placed.select(F.explode(F.array("c_src", "c_dst")).alias("c")).groupBy("c").count().agg(
+        F.sum(F.col("count").cast("double") * F.col("count")).alias("squares")
+    )
+    return inside.join(degrees).select(
+        (F.col("inside") / F.col("m") - resolution * F.col("squares") / (4.0 * F.col("m") * F.col("m"))).alias("modularity")
+    )
 
 
 def louvain_local(edges: list[tuple], weights: list[float], m: float, resolution: float, seed: int) -> dict:
@@ -120,22 +133,40 @@ def _distributed(edges: DataFrame, m: float, resolution: float, seed: int) -> Da
         for turn in range(ROUNDS):
             totals = state.groupBy("community").agg(F.sum("k").alias("total"))
             # A link of a contracted node to itself moves with the node.
-            near = links.where("src <> dst").join(state.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
+            near = links.where("src <> dst").join(
+                state.select(F.col("node").alias("dst"), "community"), "dst"
+            ).groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
             choice = state.select("node", "community").withColumn("w", F.lit(0.0)).union(near).groupBy("node", "community").agg(F.sum("w").alias("w")).join(totals, "community")
             own = state.select("node", "k", F.col("community").alias("own"))
-            gain = F.col("w") / m - resolution * F.col("k") * (F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * m * m)
-            best = choice.join(own, "node").withColumn("gain", gain).groupBy("node", "k", "own").agg(F.max(F.struct("gain", (F.col("community") == F.col("own")).alias("stay"), "community")).alias("best"))
+            gain = F.col("w") / m - resolution * F.col("k") * (
+                F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+            ) / (2 * m * m)
+            best = choice.join(own, "node").withColumn("gain", gain).groupBy("node", "k", "own").agg(
+                F.max(F.struct("gain", (F.col("community") == F.col("own")).alias("stay"), "community")).alias("best")
+            )
             active = F.pmod(F.xxhash64("node", F.lit(seed + turn)), F.lit(2)) == 0
-            after = staged(best.select("node", "k", "own", F.when(active, F.col("best.community")).otherwise(F.col("own")).alias("community")), "louvain")
+            after = staged(
+                best.select("node", "k", "own", F.when(active, F.col("best.community")).otherwise(F.col("own")).alias("community")), "louvain"
+            )
             state = after.drop("own")
             if turn and after.where("own <> community").count() <= few:
                 break
         found = state.select("node", "community")
-        member = found if member is None else staged(member.join(found.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "louvain")
+        member = found if member is None else staged(
+            member.join(
+                found.select(F.col("node").alias("community"), F.col("community").alias("next")), "community"
+            ).select("node", F.col("next").alias("community")),
+            "louvain",
+        )
         if level and found.where("node <> community").isEmpty():
             break
         ends = lambda end: found.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: B023, E731
-        links = staged(links.join(ends("src"), "src").join(ends("dst"), "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")), "louvain")
+        links = staged(
+            links.join(ends("src"), "src").join(ends("dst"), "dst").groupBy(
+                F.col("c_src").alias("src"), F.col("c_dst").alias("dst")
+            ).agg(F.sum("w").alias("w")),
+            "louvain",
+        )
     return member
 
 

@@ -14,7 +14,9 @@ def _steps(e: DataFrame) -> DataFrame:
     one = u.select(F.col("src").alias("ego"), F.col("dst").alias("node"), F.lit(True).alias("near"), F.lit(False).alias("path"))
     first = u.select(F.col("src").alias("ego"), F.col("dst").alias("via"), F.col("fwd").alias("f1"), F.col("bwd").alias("b1"))
     second = u.select(F.col("src").alias("via"), F.col("dst").alias("node"), F.col("fwd").alias("f2"), F.col("bwd").alias("b2"))
-    two = first.join(second, "via").where("ego <> node").select("ego", "node", F.lit(False).alias("near"), ((F.col("f1") & F.col("f2")) | (F.col("b1") & F.col("b2"))).alias("path"))
+    two = first.join(second, "via").where("ego <> node").select(
+        "ego", "node", F.lit(False).alias("near"), ((F.col("f1") & F.col("f2")) | (F.col("b1") & F.col("b2"))).alias("path")
+    )
     return one.union(two).groupBy("ego", "node").agg(F.max("near").alias("near"), F.max("path").alias("path"))
 
 
@@ -50,7 +52,9 @@ def reach(e: DataFrame, backward: bool = False) -> DataFrame:
     """ego, node: what lies within two directed steps out of the ego (or into it), without the ego."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = e.select(F.col(a).alias("ego"), F.col(b).alias("node"))
-    two = step.select("ego", F.col("node").alias("via")).join(step.select(F.col("ego").alias("via"), "node"), "via").where("ego <> node").select("ego", "node")
+    two = step.select("ego", F.col("node").alias("via")).join(
+        step.select(F.col("ego").alias("via"), "node"), "via"
+    ).where("ego <> node").select("ego", "node")
     return step.union(two).distinct()
 
 

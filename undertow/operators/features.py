@@ -22,9 +22,18 @@ def neighbour_summary(v: DataFrame, e: DataFrame, values: DataFrame, value: str,
     links = e if directed else both_ways(e)
     own = F.col("value")
     if strict:
-        own = F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit("no value for neighbour "), F.col("dst").cast("string")))).otherwise(own).cast("double")
-    found = links.join(values.select(F.col("node").alias("dst"), F.col(value).cast("double").alias("value"), F.lit(1).alias("found")), "dst", "left").select("src", own.alias("value"))
-    stats = found.groupBy(F.col("src").alias("node")).agg(F.min("value").alias(f"{value}_min"), F.avg("value").alias(f"{value}_mean"), F.max("value").alias(f"{value}_max"), F.stddev_pop("value").alias(f"{value}_std"))
+        own = F.when(
+            F.col("found").isNull(), F.raise_error(F.concat(F.lit("no value for neighbour "), F.col("dst").cast("string")))
+        ).otherwise(own).cast("double")
+    found = links.join(
+        values.select(F.col("node").alias("dst"), F.col(value).cast("double").alias("value"), F.lit(1).alias("found")), "dst", "left"
+    ).select("src", own.alias("value"))
+    stats = found.groupBy(F.col("src").alias("node")).agg(
+        F.min("value").alias(f"{value}_min"),
+        F.avg("value").alias(f"{value}_mean"),
+        F.max("value").alias(f"{value}_max"),
+        F.stddev_pop("value").alias(f"{value}_std"),
+    )
     return v.join(stats, "node", "left").fillna(0.0, [f"{value}_{s}" for s in STATISTICS])
 
 
@@ -32,7 +41,9 @@ def summarise_scores(v: DataFrame, e: DataFrame, scored: DataFrame, columns: lis
     """node and the feature columns of scored nodes: score, degree, and their summaries over neighbours."""
     d = degree(v, e)
     known = scored.select("node")
-    table = scored.select("node", "score").join(neighbour_summary(known, e, scored, "score", directed), "node").join(d, "node").join(neighbour_summary(known, e, d, "degree", directed), "node")
+    table = scored.select("node", "score").join(
+        neighbour_summary(known, e, scored, "score", directed), "node"
+    ).join(d, "node").join(neighbour_summary(known, e, d, "degree", directed), "node")
     return table.select("node", *(columns or FEATURES))
 
 

@@ -25,7 +25,9 @@ def reverse(e: DataFrame) -> DataFrame:
 
 def both_ways(e: DataFrame) -> DataFrame:
     """Each edge in both directions, once."""
-    return e.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct()
+    return e.select(
+        F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
+    ).select("e.*").distinct()
 
 
 def directions(e: DataFrame) -> DataFrame:

@@ -35,7 +35,9 @@ def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows.withColumn("label", F.col("label").cast("double")))
 
 
-def fit_evaluate(rows: DataFrame, columns: list[str], model, path: str | None = None, probabilities: bool = False, test: float = 0.3, seed: int = SEED):
+def fit_evaluate(
+    rows: DataFrame, columns: list[str], model, path: str | None = None, probabilities: bool = False, test: float = 0.3, seed: int = SEED
+):
     """The fitted model, and one row (roc, pr) on the held-out rows of a stratified split: of hard predictions, or of
     probabilities. path: where the model is saved."""
     split = stratified_split(rows, test=test, seed=seed)
@@ -55,7 +57,14 @@ def fit_evaluate(rows: DataFrame, columns: list[str], model, path: str | None =
     return fitted, (result.roc, result.pr)
 
 
-def model_grid(labels: DataFrame, columns: list[str], cells: list[tuple[float, str]], model, on_failure: float | None = float("nan"), by: tuple[str, str] = ("cutoff", "target")) -> list[tuple]:
+def model_grid(
+    labels: DataFrame,
+    columns: list[str],
+    cells: list[tuple[float, str]],
+    model,
+    on_failure: float | None = float("nan"),
+    by: tuple[str, str] = ("cutoff", "target"),
+) -> list[tuple]:
     """(cutoff, target, imbalance, roc, pr) per cell. labels: the features beside cutoff, target and label. A cell that can't be
     fitted, because it has one class or since fitting raises an error, gets on_failure; the error is told in a warning."""
     found = []
@@ -114,11 +123,15 @@ class IsolationForest:
 
     def fit(self, rows: DataFrame, node: str = "node") -> IsolationForest:
         """Grow from at most trees * sample rows, chosen by hash."""
-        chosen = rows.select(node, *self.columns).orderBy(F.xxhash64(node, F.lit(self.seed)), node).limit(self.trees * self.sample).select(*self.columns).toPandas().to_numpy(float)
+        chosen = rows.select(node, *self.columns).orderBy(
+            F.xxhash64(node, F.lit(self.seed)), node
+        ).limit(self.trees * self.sample).select(*self.columns).toPandas().to_numpy(float)
         rng = np.random.default_rng(self.seed)
         self.size = min(self.sample, len(chosen))
         limit = int(np.ceil(np.log2(max(2, self.size))))
-        self.forest = [grow_isolation_tree(chosen[rng.choice(len(chosen), self.size, replace=False)], rng, limit) for _ in range(self.trees)] if len(chosen) else []
+        self.forest = [
+            grow_isolation_tree(chosen[rng.choice(len(chosen), self.size, replace=False)], rng, limit) for _ in range(self.trees)
+        ] if len(chosen) else []
         return self
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -150,4 +163,6 @@ class IsolationForest:
         if contamination is None:
             return scored.withColumn("prediction", F.when(F.col("anomaly_score") < -0.5, -1).otherwise(1))
         limit = scored.agg(F.percentile("anomaly_score", contamination).alias("limit_"))
-        return scored.join(F.broadcast(limit)).withColumn("prediction", F.when(F.col("anomaly_score") < F.col("limit_"), -1).otherwise(1)).drop("limit_")
+        return scored.join(F.broadcast(limit)).withColumn(
+            "prediction", F.when(F.col("anomaly_score") < F.col("limit_"), -1).otherwise(1)
+        ).drop("limit_")

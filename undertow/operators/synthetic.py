@@ -95,7 +95,9 @@ def mule_counts(n: int, mules: list[int] | None, seed: int) -> list[int]:
     return mules * n if len(mules) == 1 else mules
 
 
-def plan_patterns(spark: SparkSession, n: int, patterns: int, mules: list[int] | None = None, seed: int = 1997, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+def plan_patterns(
+    spark: SparkSession, n: int, patterns: int, mules: list[int] | None = None, seed: int = 1997, kinds: tuple[str, ...] = tuple(KINDS)
+) -> DataFrame:
     """One row per pattern: kind, mules, first_new (its first new node), first_existing (its first place in the order of
     existing nodes), and how many of both it takes. The table has one row a pattern."""
     rows, new, used = [], n, 0
@@ -126,8 +128,15 @@ def planted(plan: DataFrame, order: DataFrame) -> DataFrame:
     }
     found = slots.select("kind", *(c[0].alias(f"{e}_new") for e, c in ends.items()), *(c[1].alias(f"{e}_at") for e, c in ends.items()))
     for end in ends:
-        found = found.join(order.select(F.col("place").alias(f"{end}_at"), F.col("node").alias(f"{end}_old")), f"{end}_at", "left").withColumn(end, F.coalesce(f"{end}_new", f"{end}_old"))
-    step = F.explode(F.array(F.struct(F.col("source").alias("source"), F.col("mule").alias("target")), F.struct(F.col("mule").alias("source"), F.col("target").alias("target")))).alias("e")
+        found = found.join(
+            order.select(F.col("place").alias(f"{end}_at"), F.col("node").alias(f"{end}_old")), f"{end}_at", "left"
+        ).withColumn(end, F.coalesce(f"{end}_new", f"{end}_old"))
+    step = F.explode(
+        F.array(
+            F.struct(F.col("source").alias("source"), F.col("mule").alias("target")),
+            F.struct(F.col("mule").alias("source"), F.col("target").alias("target")),
+        )
+    ).alias("e")
     return found.select("kind", step).select("kind", "e.source", "e.target")
 
 
@@ -137,15 +146,21 @@ def shuffled(nodes: DataFrame, seed: int) -> DataFrame:
     return row_numbers(keyed, "key", "node").select(F.col("row_index").alias("place"), "node")
 
 
-def synthetic_network(spark: SparkSession, generator: str, n: int, m: int, p: float, patterns: int, mules: list[int] | None = None, seed: int = 1997) -> tuple[DataFrame, DataFrame]:
+def synthetic_network(
+    spark: SparkSession, generator: str, n: int, m: int, p: float, patterns: int, mules: list[int] | None = None, seed: int = 1997
+) -> tuple[DataFrame, DataFrame]:
     """nodes (node, laundering, and a flag per kind) and edges (source, target, laundering), without loops and repeats."""
     plan = plan_patterns(spark, n, patterns, mules, seed)
     extra = planted(plan, shuffled(spark.range(n).select(F.col("id").alias("node")), seed))
     edges = base_graph(spark, generator, n, m, p, seed).withColumn("laundering", F.lit(False)).union(extra.select("source", "target", F.lit(True)))
     edges = edges.where("source <> target").groupBy("source", "target").agg(F.max("laundering").alias("laundering"))
     total = n + plan.agg(F.sum("fresh")).first()[0]
-    marks = extra.select("kind", F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(*(F.max(F.col("kind") == k).alias(k) for k in KINDS))
-    nodes = spark.range(total).select(F.col("id").alias("node")).join(marks, "node", "left").select("node", F.col("separate").isNotNull().alias("laundering"), *(F.coalesce(k, F.lit(False)).alias(k) for k in KINDS))
+    marks = extra.select(
+        "kind", F.explode(F.array("source", "target")).alias("node")
+    ).groupBy("node").agg(*(F.max(F.col("kind") == k).alias(k) for k in KINDS))
+    nodes = spark.range(total).select(F.col("id").alias("node")).join(marks, "node", "left").select(
+        "node", F.col("separate").isNotNull().alias("laundering"), *(F.coalesce(k, F.lit(False)).alias(k) for k in KINDS)
+    )
     return nodes, edges
 
 
@@ -153,7 +168,12 @@ def dataset_name(generator: str, n: int, m: int, p: float, patterns: int) -> str
     return f"synthetic_{generator}_{n}_{m}_{p}_{patterns}"
 
 
-def parameter_grid(sizes: tuple[int, ...] = (100, 10_000, 100_000), patterns: tuple[int, ...] = (3, 5), links: tuple[int, ...] = (1, 2, 5), chances: tuple[float, ...] = (0.001, 0.01)) -> list[tuple[str, int, int, float, int]]:
+def parameter_grid(
+    sizes: tuple[int, ...] = (100, 10_000, 100_000),
+    patterns: tuple[int, ...] = (3, 5),
+    links: tuple[int, ...] = (1, 2, 5),
+    chances: tuple[float, ...] = (0.001, 0.01),
+) -> list[tuple[str, int, int, float, int]]:
     """The benchmark's datasets: generator, nodes, links, chance, patterns."""
     shapes = [(BARABASI, m, 0) for m in links] + [(ERDOS, 0, p) for p in chances] + [(WATTS, m, p) for m, p in product(links, chances)]
     return [(g, n, m, p, k) for n, k in product(sizes, patterns) if k <= 0.06 * n for g, m, p in shapes]

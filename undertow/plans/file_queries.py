@@ -18,7 +18,19 @@ from undertow.sources import tables
 from undertow.sources.stage import stage_path, staged
 
 #: The header of a transaction file, with its repeated name.
-HEADER = ["Timestamp", "From Bank", "Account", "To Bank", "Account", "Amount Received", "Receiving Currency", "Amount Paid", "Payment Currency", "Payment Format", "Is Laundering"]
+HEADER = [
+    "Timestamp",
+    "From Bank",
+    "Account",
+    "To Bank",
+    "Account",
+    "Amount Received",
+    "Receiving Currency",
+    "Amount Paid",
+    "Payment Currency",
+    "Payment Format",
+    "Is Laundering",
+]
 #: Which customers carry the labels of a generated network in the label files below.
 FLAGS = {"laundering": 5, "separate": 15, "new_mules": 10, "existing_mules": 25}
 
@@ -43,7 +55,9 @@ def _with_header(frames):
 
 
 def _transaction_rows(spark, sf: str) -> DataFrame:
-    return tables.read_transactions(spark, _transaction_file(spark, sf)).select("from_bank", "from_account", "to_bank", "to_account", "amount_paid", "payment_format", "is_laundering")
+    return tables.read_transactions(spark, _transaction_file(spark, sf)).select(
+        "from_bank", "from_account", "to_bank", "to_account", "amount_paid", "payment_format", "is_laundering"
+    )
 
 
 def _transaction_graph(spark, sf: str) -> DataFrame:
@@ -52,12 +66,18 @@ def _transaction_graph(spark, sf: str) -> DataFrame:
 
 def _edge_list_graph(spark, sf: str) -> DataFrame:
     path = stage_path(spark, "edge-list")
-    transactions(spark, sf).select(F.col("from_account").cast("int").alias("source"), F.col("to_account").cast("int").alias("target")).write.option("header", True).csv(path)
-    return tables.graph_from_edge_list(spark, path, directed=False)[1].select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    transactions(spark, sf).select(
+        F.col("from_account").cast("int").alias("source"), F.col("to_account").cast("int").alias("target")
+    ).write.option("header", True).csv(path)
+    return tables.graph_from_edge_list(spark, path, directed=False)[1].select(
+        F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")
+    )
 
 
 def _customer_flags(spark, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("node"), *((F.col("c_nationkey") == k).alias(f) for f, k in FLAGS.items()))
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("long").alias("node"), *((F.col("c_nationkey") == k).alias(f) for f, k in FLAGS.items())
+    )
 
 
 def _label_file(spark, sf: str) -> DataFrame:
@@ -98,7 +118,9 @@ def _append_log(spark, sf: str) -> DataFrame:
 def _synthetic_log(spark, sf: str) -> DataFrame:
     lines = ["synthetic_a [AUC-ROC, AUC-PR]: [[0.5, 0.25], [1.0, 0.75]]", "", "synthetic_b [AUC-ROC, AUC-PR]: [[0.125, 0.0]]"]
     found = tables.synthetic_result_log(spark.createDataFrame([(x,) for x in lines], "value string"))
-    return found.select("dataset", F.posexplode("values").alias("place", "pair")).select("dataset", "place", F.col("pair")[0].alias("roc"), F.col("pair")[1].alias("pr"))
+    return found.select("dataset", F.posexplode("values").alias("place", "pair")).select(
+        "dataset", "place", F.col("pair")[0].alias("roc"), F.col("pair")[1].alias("pr")
+    )
 
 
 def _merged_results(spark, sf: str) -> DataFrame:
@@ -113,7 +135,9 @@ def _dataset_kinds(spark, sf: str) -> DataFrame:
 
 def _outlier_labels(spark, sf: str) -> DataFrame:
     """Of predictions as an outlier model gives them: -1 for the values over a bound, else 1."""
-    found = table(spark, sf, "events").select("event_id", F.when(F.col("value") > 100, -1).otherwise(1).alias("prediction"), (-F.col("value")).alias("anomaly"))
+    found = table(spark, sf, "events").select(
+        "event_id", F.when(F.col("value") > 100, -1).otherwise(1).alias("prediction"), (-F.col("value")).alias("anomaly")
+    )
     return found.select("event_id", labels.outlier_label(F.col("prediction")).alias("outlier"), F.round(F.abs("anomaly"), 6).alias("anomaly"))
 
 
@@ -130,7 +154,9 @@ def _supervised_table(spark, sf: str) -> DataFrame:
 
 def _synthetic_targets(spark, sf: str) -> DataFrame:
     """Areas of the four targets over customers, some of which have no score."""
-    scored = table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("long").alias("node"), F.round("c_acctbal", -2).alias("score"))
+    scored = table(spark, sf, "customer").where("c_acctbal >= 0").select(
+        F.col("c_custkey").cast("long").alias("node"), F.round("c_acctbal", -2).alias("score")
+    )
     return rounded(workflows.evaluate_synthetic(scored, _customer_flags(spark, sf)))
 
 

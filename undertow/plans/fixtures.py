@@ -105,8 +105,19 @@ def sql_counts(links: str = "e") -> str:
 def sql_measures(directed: bool) -> str:
     """CTE m: node, measures and sizes."""
     if directed:
-        blocks = {"00": ("c00", "(s0-1)*(s0-2)", 0), "01": ("c01", "s0*s1", 1), "02": ("c02", "(s0-1)*s2", 0), "10": ("c10", "s0*s1", 0), "11": ("c11", "s1*(s1-1)", 0), "12": ("c12", "s1*s2", 1)}
-        for b, part, size, whole, whole_size in (("20", "c20", "(s0-1)*s2", "c00+c10", "(s0+s1)*s0"), ("21", "c21", "s1*s2", "c01+c11", "(s0+s1)*s1"), ("22", "c22", "s2*(s2-1)", "c00+c01+c10+c11", "(s0+s1)*(s0+s1)")):
+        blocks = {
+            "00": ("c00", "(s0-1)*(s0-2)", 0),
+            "01": ("c01", "s0*s1", 1),
+            "02": ("c02", "(s0-1)*s2", 0),
+            "10": ("c10", "s0*s1", 0),
+            "11": ("c11", "s1*(s1-1)", 0),
+            "12": ("c12", "s1*s2", 1),
+        }
+        for b, part, size, whole, whole_size in (
+            ("20", "c20", "(s0-1)*s2", "c00+c10", "(s0+s1)*s0"),
+            ("21", "c21", "s1*s2", "c01+c11", "(s0+s1)*s1"),
+            ("22", "c22", "s2*(s2-1)", "c00+c01+c10+c11", "(s0+s1)*(s0+s1)"),
+        ):
             blocks[b] = (f"case when s2 = 0 then {whole} else {part} end", f"case when s2 = 0 then {whole_size} else {size} end", 0)
         counts = sql_counts()
     else:

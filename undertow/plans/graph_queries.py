@@ -163,7 +163,9 @@ def _add(suffix: str, k: int) -> None:
 
     with_ = f"{sql_graph(k)}, {sql_roles(True)}"
     QUERIES[f"block_counts_directed{suffix}"] = counts
-    ORACLES[f"block_counts_directed{suffix}"] = f"with {with_} select a.ego, a.role as role_u, b.role as role_v, count(*) as n from r a join e on e.src = a.node join r b on b.ego = a.ego and b.node = e.dst group by all"
+    ORACLES[
+        f"block_counts_directed{suffix}"
+    ] = f"with {with_} select a.ego, a.role as role_u, b.role as role_v, count(*) as n from r a join e on e.src = a.node join r b on b.ego = a.ego and b.node = e.dst group by all"
     QUERIES[f"induced_edges{suffix}"] = inside
     ORACLES[f"induced_edges{suffix}"] = f"with {with_} select a.ego, e.src, e.dst from r a join e on e.src = a.node join r b on b.ego = a.ego and b.node = e.dst"
 

@@ -34,7 +34,9 @@ def _money(spark, sf: str) -> DataFrame:
 
 
 def _identifiers(spark, sf: str) -> DataFrame:
-    return transactions(spark, sf).select("tx_id", labels.identifier("tx_id", "from_account", "to_account", "pattern", "is_laundering").alias("identifier"))
+    return transactions(spark, sf).select(
+        "tx_id", labels.identifier("tx_id", "from_account", "to_account", "pattern", "is_laundering").alias("identifier")
+    )
 
 
 def _joined(how: str):
@@ -60,7 +62,9 @@ def _area(column: str):
 
 def _methods(spark, sf: str) -> DataFrame:
     """Days as datasets, event types as methods, the mean value as performance."""
-    return table(spark, sf, "events").groupBy(F.to_date("ts").cast("string").alias("dataset"), F.col("event_type").alias("method")).agg(F.round(F.avg("value"), 6).alias("score"))
+    return table(spark, sf, "events").groupBy(
+        F.to_date("ts").cast("string").alias("dataset"), F.col("event_type").alias("method")
+    ).agg(F.round(F.avg("value"), 6).alias("score"))
 
 
 def _nemenyi(spark, sf: str) -> DataFrame:
@@ -99,7 +103,12 @@ def _log(spark, lines: list[str]) -> DataFrame:
 
 #: An order of event types, as models are listed.
 MODELS = ["view", "purchase", "click", "signup", "error"]
-RESULT_LINES = ["HI-Small_Is Laundering_0.1 [AUC-ROC, AUC-PR]: [0.75, 0.5]", "LI-Large_CYCLE_0.9 [AUC-ROC, AUC-PR]: [nan, nan]", "HI-Small_FAN-IN_0.5 [AUC-ROC, AUC-PR]: [1, 0.25]", ""]
+RESULT_LINES = [
+    "HI-Small_Is Laundering_0.1 [AUC-ROC, AUC-PR]: [0.75, 0.5]",
+    "LI-Large_CYCLE_0.9 [AUC-ROC, AUC-PR]: [nan, nan]",
+    "HI-Small_FAN-IN_0.5 [AUC-ROC, AUC-PR]: [1, 0.25]",
+    "",
+]
 TIME_LINES = ["HI-Small: 12.5", "synthetic_Barabasi-Albert_10000_5_0.01_5: 3.25", "LI-Large: 1e3"]
 PATTERN_TEXT = "note\nBEGIN LAUNDERING ATTEMPT - FAN-OUT:  Max 3\n1,2,3\n1,2,4\nEND LAUNDERING ATTEMPT\n9,9,9\n\nBEGIN LAUNDERING ATTEMPT - CYCLE\n5,6\nEND\n"
 
@@ -130,7 +139,11 @@ ONE = f"one as (select node, score, label from lg where target = '{LAUNDERING}'
 
 def _outer_sql(kind: str) -> str:
     flags = lambda miss: ", ".join(f'coalesce(a."{t}", {miss}) as "{t}"' if miss is not None else f'a."{t}"' for t in TARGETS)
-    body = {"outer": f"select coalesce(a.node, b.node) as node, {flags(-1)}, coalesce(b.score, -1) + 0.0 as score from lf a full join rg b on b.node = a.node", "lookup": f"select a.node, {flags(None)}, coalesce(b.score, -2) + 0.0 as score from lf a left join rg b on b.node = a.node", "inner": f"select a.node, {flags(None)}, b.score + 0.0 as score from lf a join rg b on b.node = a.node"}[kind]
+    body = {
+        "outer": f"select coalesce(a.node, b.node) as node, {flags(-1)}, coalesce(b.score, -1) + 0.0 as score from lf a full join rg b on b.node = a.node",
+        "lookup": f"select a.node, {flags(None)}, coalesce(b.score, -2) + 0.0 as score from lf a left join rg b on b.node = a.node",
+        "inner": f"select a.node, {flags(None)}, b.score + 0.0 as score from lf a join rg b on b.node = a.node",
+    }[kind]
     return f"with {BASE}, lf as ({_mean_by('sender')}), rg as (select * from sr) {body}"
 
 

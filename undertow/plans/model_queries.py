@@ -49,7 +49,10 @@ def _supervised(method: str):
     def query(spark, sf: str) -> DataFrame:
         v, e = reduced_graph(spark, sf)
         table = workflows.supervised_table(v, e, measures(v, e, True), labels.account_rates(labelled(spark, sf)))
-        return spark.createDataFrame(workflows.supervised_grid(staged(table, "supervised"), CELLS, method), "cutoff double, target string, imbalance double, roc double, pr double")
+        return spark.createDataFrame(
+            workflows.supervised_grid(staged(table, "supervised"), CELLS, method),
+            "cutoff double, target string, imbalance double, roc double, pr double",
+        )
 
     return query
 
@@ -80,7 +83,9 @@ def _loaded_measures(spark, sf: str) -> DataFrame:
 
 
 def _grid(spark, sf: str) -> DataFrame:
-    return spark.createDataFrame([(synthetic.dataset_name(*g),) for g in synthetic.parameter_grid()], "dataset string").select("dataset", *(c.alias(k) for k, c in labels.dataset_parts(F.col("dataset")).items()))
+    return spark.createDataFrame(
+        [(synthetic.dataset_name(*g),) for g in synthetic.parameter_grid()], "dataset string"
+    ).select("dataset", *(c.alias(k) for k, c in labels.dataset_parts(F.col("dataset")).items()))
 
 
 QUERIES = {

@@ -26,7 +26,16 @@ MOST_PATHS = 10**12
 SYNTHETIC_TARGETS = ["laundering", "separate", "new_mules", "existing_mules"]
 
 
-def measure_file(spark: SparkSession, path: str, out: str, directed: bool, log: str | None = None, edge_list: bool = False, reduce: bool = True, most_paths: int = MOST_PATHS) -> DataFrame:
+def measure_file(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    directed: bool,
+    log: str | None = None,
+    edge_list: bool = False,
+    reduce: bool = True,
+    most_paths: int = MOST_PATHS,
+) -> DataFrame:
     """Measures of a transaction (or edge-list) file, written to out; the time, without the last write, goes to log."""
     began = time.time()
     v, e = (tables.graph_from_edge_list if edge_list else tables.graph_from_transactions)(spark, path, directed)
@@ -44,7 +53,9 @@ def labelled_transactions(spark: SparkSession, transactions: str, patterns: str)
     """A transaction file with the flags of its pattern file."""
     rows = tables.read_transactions(spark, transactions)
     money = rows.select(*(labels.money(F.col(c)).alias(c) if c in ("amount_received", "amount_paid") else F.col(c) for c in rows.columns))
-    return labels.with_patterns(money.withColumn("identifier", labels.identifier(*tables.TRANSACTIONS.fieldNames())), tables.read_patterns(spark, patterns))
+    return labels.with_patterns(
+        money.withColumn("identifier", labels.identifier(*tables.TRANSACTIONS.fieldNames())), tables.read_patterns(spark, patterns)
+    )
 
 
 def score_source(found: DataFrame, kind: str, directed: bool = True, score_type: str = BASIC) -> DataFrame:
@@ -56,7 +67,9 @@ def score_source(found: DataFrame, kind: str, directed: bool = True, score_type:
     raise ValueError(f"unknown score source: {kind}")
 
 
-def evaluate(rates: DataFrame, scored: DataFrame, how: str = "outer", cutoffs: list[float] | None = None, targets: list[str] | None = None) -> DataFrame:
+def evaluate(
+    rates: DataFrame, scored: DataFrame, how: str = "outer", cutoffs: list[float] | None = None, targets: list[str] | None = None
+) -> DataFrame:
     """cutoff, target, imbalance, roc, pr, divergence for every cell, in one job over all cells."""
     by = ["cutoff", "target"]
     long = labels.threshold_labels(staged(labels.join_scores(rates, scored, how), "rated"), cutoffs or CUTOFFS, targets)
@@ -76,10 +89,14 @@ def evaluate_synthetic(scored: DataFrame, nodes: DataFrame) -> DataFrame:
     return metrics.areas(joined.select("score", stacked).select("score", "t.*"), ["target"])
 
 
-def supervised_table(v: DataFrame, e: DataFrame, found: DataFrame, rates: DataFrame, directed: bool = True, undirected_summaries: bool = True) -> DataFrame:
+def supervised_table(
+    v: DataFrame, e: DataFrame, found: DataFrame, rates: DataFrame, directed: bool = True, undirected_summaries: bool = True
+) -> DataFrame:
     """node, the ten features and the rates of every labelled node; features of unscored nodes are -2."""
     links, way = (both_ways(e), False) if undirected_summaries else (e, directed)
-    return labels.join_scores(rates, summarise_scores(v, links if way else links.where("src < dst"), score_source(found, "direct", directed), directed=way), "lookup")
+    return labels.join_scores(
+        rates, summarise_scores(v, links if way else links.where("src < dst"), score_source(found, "direct", directed), directed=way), "lookup"
+    )
 
 
 def supervised_grid(table: DataFrame, cells: list[tuple[float, str]], method: str = "tree", synthetic: bool = False) -> list[tuple]:
@@ -93,7 +110,9 @@ def supervised_grid(table: DataFrame, cells: list[tuple[float, str]], method: st
 def anomaly_scores(spark: SparkSession, path: str | None, v: DataFrame | None = None, e: DataFrame | None = None, seed: int = 1997) -> DataFrame:
     """node, the nine measures and anomaly_score; measures are read from path if it holds them, else computed."""
     rows = None
-    if path and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+    if path and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(
+        spark._jvm.org.apache.hadoop.fs.Path(path)
+    ):
         rows = tables.read_measures(spark, path, ["node", *MEASURES])
     if rows is None:
         rows = staged(measures(v, e, True, include_size=False), "measures")

@@ -63,8 +63,12 @@ def read_synthetic_labels(spark: SparkSession, path: str) -> DataFrame:
         text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("at", "line"))
         names = rows.columns
         cells = F.split("line", ",")
-        rows = text.where("at > 0 and trim(line) <> ''").select((F.col("at") - 1).alias("node"), *(F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)))
-    return rows.select(F.col("node").cast("long").alias("node"), *(F.coalesce(F.lower(F.trim(f)).isin("true", "1"), F.lit(False)).alias(f) for f in flags))
+        rows = text.where("at > 0 and trim(line) <> ''").select(
+            (F.col("at") - 1).alias("node"), *(F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names))
+        )
+    return rows.select(
+        F.col("node").cast("long").alias("node"), *(F.coalesce(F.lower(F.trim(f)).isin("true", "1"), F.lit(False)).alias(f) for f in flags)
+    )
 
 
 def pattern_rows(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -79,7 +83,9 @@ def pattern_rows(texts: DataFrame, column: str = "value") -> DataFrame:
     lines = F.split(F.regexp_replace("block", r"(?s)\r?\nEND.*$", ""), r"\r?\n")
     found = body.select(F.trim(head).alias("pattern"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"))
     # A final line feed of the file is no line of an unclosed block.
-    known = F.when(F.col("pattern").isin(PATTERNS), F.col("pattern")).otherwise(F.raise_error(F.concat(F.lit("unknown pattern: "), "pattern")).cast("string"))
+    known = F.when(F.col("pattern").isin(PATTERNS), F.col("pattern")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown pattern: "), "pattern")).cast("string")
+    )
     return found.select(F.trim("line").alias("identifier"), known.alias("pattern"))
 
 
@@ -96,7 +102,9 @@ def read_measures(spark: SparkSession, path: str, columns: list[str] | None = No
     """A measures table, Parquet or CSV; only the wanted columns are read."""
     if path.rstrip("/").endswith(".csv"):
         names = spark.read.option("header", True).csv(path).columns
-        kinds = StructType([StructField(n, StringType() if n == "node" else DoubleType() if n.startswith(("measure", "score")) else IntegerType()) for n in names])
+        kinds = StructType(
+            [StructField(n, StringType() if n == "node" else DoubleType() if n.startswith(("measure", "score")) else IntegerType()) for n in names]
+        )
         rows = spark.read.schema(kinds).option("header", True).csv(path)
     else:
         rows = spark.read.parquet(path)
@@ -131,20 +139,32 @@ def result_log(lines: DataFrame) -> DataFrame:
     key = F.split(F.trim(v), "_")
     pair = F.from_json(F.regexp_extract(v, r":\s*(\[[^\]]*\])\s*$", 1), "array<double>")
     number = lambda i: F.coalesce(F.try_element_at(pair, F.lit(i)), F.lit(0.0))
-    return lines.where(F.trim(v) != "").select(key[0].alias("dataset"), F.try_element_at(key, F.lit(2)).alias("pattern"), F.split(F.try_element_at(key, F.lit(3)), " ")[0].try_cast("double").alias("cutoff"), number(1).alias("roc"), number(2).alias("pr"))
+    return lines.where(F.trim(v) != "").select(
+        key[0].alias("dataset"),
+        F.try_element_at(key, F.lit(2)).alias("pattern"),
+        F.split(F.try_element_at(key, F.lit(3)), " ")[0].try_cast("double").alias("cutoff"),
+        number(1).alias("roc"),
+        number(2).alias("pr"),
+    )
 
 
 def synthetic_result_log(lines: DataFrame) -> DataFrame:
     """dataset and values (an array per target) from lines ``dataset ...: [[roc, pr], ...]``."""
     parts = F.split("value", ":", 2)
-    return lines.where(F.trim("value") != "").select(F.split(parts[0], r"\s+")[0].alias("dataset"), F.from_json(F.trim(F.get(parts, F.lit(1))), "array<array<double>>").alias("values"))
+    return lines.where(F.trim("value") != "").select(
+        F.split(parts[0], r"\s+")[0].alias("dataset"), F.from_json(F.trim(F.get(parts, F.lit(1))), "array<array<double>>").alias("values")
+    )
 
 
 def time_log(lines: DataFrame) -> DataFrame:
     """dataset, size (of a generated dataset, else null), seconds from lines ``dataset: seconds``."""
     words = F.split(F.trim("value"), r"\s+")
     name = F.regexp_replace(words[0], ":$", "")
-    return lines.where(F.trim("value") != "").select(name.alias("dataset"), F.try_element_at(F.split(name, "_"), F.lit(3)).try_cast("int").alias("size"), F.element_at(words, -1).try_cast("double").alias("seconds"))
+    return lines.where(F.trim("value") != "").select(
+        name.alias("dataset"),
+        F.try_element_at(F.split(name, "_"), F.lit(3)).try_cast("int").alias("size"),
+        F.element_at(words, -1).try_cast("double").alias("seconds"),
+    )
 
 
 def row_numbers(rows: DataFrame, *order: str | Column, buckets: int = 512) -> DataFrame:
@@ -154,7 +174,9 @@ def row_numbers(rows: DataFrame, *order: str | Column, buckets: int = 512) -> Da
     local = part.withColumn("in_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1)
     before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = local.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", before.alias("start_"))
-    return local.join(F.broadcast(starts), "range_").withColumn("row_index", (F.col("start_") + F.col("in_")).cast("long")).drop("range_", "in_", "start_")  # one row a range is broadcast
+    return local.join(F.broadcast(starts), "range_").withColumn(
+        "row_index", (F.col("start_") + F.col("in_")).cast("long")
+    ).drop("range_", "in_", "start_")  # one row a range is broadcast
 
 
 def chunks(rows: DataFrame, *order: str, k: int = CHUNKS) -> DataFrame:

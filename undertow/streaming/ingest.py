@@ -18,7 +18,9 @@ FOLDERS = 256
 def new_edges(transactions: DataFrame, watermark: str | None = None, time: str = "ts") -> DataFrame:
     """The edges of a stream. With a watermark, repeats are left out for that long; without, they stay, and no state grows:
     each batch's edges are made distinct, and so are those that are read."""
-    pairs = transactions.select(F.col("from_account").alias("src"), F.col("to_account").alias("dst"), *([time] if watermark else [])).where("src <> dst")
+    pairs = transactions.select(
+        F.col("from_account").alias("src"), F.col("to_account").alias("dst"), *([time] if watermark else [])
+    ).where("src <> dst")
     return pairs.withWatermark(time, watermark).dropDuplicatesWithinWatermark(["src", "dst"]) if watermark else pairs
 
 
@@ -47,7 +49,9 @@ def run(transactions: DataFrame, communities: DataFrame, edge_path: str, score_p
         ends = placed(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), communities)
         of = lambda end: ends.select(F.col("node").alias(end), F.col("place").alias(f"{end}_place"))
         inside = pairs.join(of("src"), "src").join(of("dst"), "dst").where("src_place = dst_place")
-        inside.select("src", "dst", F.col("src_place").alias("place")).withColumn("folder", _folder()).write.mode("overwrite").partitionBy("folder").parquet(f"{edge_path}/batch={number}")
+        inside.select(
+            "src", "dst", F.col("src_place").alias("place")
+        ).withColumn("folder", _folder()).write.mode("overwrite").partitionBy("folder").parquet(f"{edge_path}/batch={number}")
         touched = staged(ends.select("place").distinct(), "touched")
         folders = [r.folder for r in touched.select(_folder().alias("folder")).distinct().collect()]  # at most FOLDERS
         # The schema is given, since a batch may hold no edge within a community.
@@ -57,7 +61,9 @@ def run(transactions: DataFrame, communities: DataFrame, edge_path: str, score_p
         members = placed(everyone, communities).join(touched, "place", "left_semi")
         rescore(edges, members).write.mode("overwrite").parquet(f"{score_path}/batch={number}")
 
-    return new_edges(transactions).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return new_edges(transactions).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})
+    ).start()
 
 
 def latest_scores(spark, score_path: str) -> DataFrame:
