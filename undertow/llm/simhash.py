@@ -10,8 +10,9 @@ it; a task returns a spanning forest of the links it found, never all pairs. Com
 ``drop_near_duplicates`` takes ``similar_groups`` instead: an exact join of the sets of five-word shingles at a similarity of
 0.8, by the same bit-sliced comparison of sketches that can't miss, see ``similar``.
 
-Defined results: a null text counts as empty; a text without words has fingerprint zero, which is linked like any other.
-Rows are documents, repeated doc_ids too. component_id is the least doc_id that isn't null; a document without doc_id
+Defined results: a null text counts as empty; a text without words has fingerprint zero, which is linked like any other. A text
+of any length is fingerprinted whole. A bit that half of the shingles' hashes set, and half do not, is 0. Rows are documents,
+repeated doc_ids too; the least of equal doc_ids names a component like any other. component_id is the least doc_id that isn't null; a document without doc_id
 that is linked to nothing has none. Extra columns are ignored. An empty table gives an empty result.
 """
 
