@@ -167,10 +167,10 @@ def time_log(lines: DataFrame) -> DataFrame:
     )
 
 
-def row_numbers(rows: DataFrame, *order: str | Column, buckets: int = 512) -> DataFrame:
+def row_numbers(rows: DataFrame, *order: str | Column) -> DataFrame:
     """Rows with a global row index from 0 in the given order, without sorting all in one task: rows are dealt by ranges,
     and each range starts where the counts of those before it end."""
-    part = staged(rows.repartitionByRange(buckets, *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    part = staged(rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
     local = part.withColumn("in_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1)
     before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = local.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", before.alias("start_"))
