@@ -1,6 +1,7 @@
 """Counts of all n-grams of a corpus, and each text's n-grams with their counts.
 
-1. Texts are written as blocks of about a million and a half tokens: the numbers of their words and the hashes of the distinct words.
+1. Texts are written as blocks of about a million and a half tokens: the numbers of their words and the hashes of the distinct
+   words.
 2. Each block sorts the keys of its distinct n-grams, cuts them into ranges and sends each range with its counts to the
    range's owner: an n-gram travels once a block, however frequent it is, so none makes a hot group.
 3. An owner adds up the counts and answers in the order of the keys it got, so that an answer is counts alone. A block that
@@ -9,6 +10,9 @@
 Keys are hashes whose number of bits follows the corpus (24 more than the logarithm of its tokens, 64 at most): an n-gram
 shares its key with another with a chance under 2 ** -24, whatever the size. Words are told apart by 64 bits.
 
+What an n-gram costs to move depends on how many of a block's keys fall into one range: at 10 ** 10 tokens about 140, at 10 ** 12
+two. Up to the former a key takes about four bytes; towards the latter rows of single keys, of about 70 bytes.
+
 Words are runs of anything but ASCII white space, A-Z lowered; a text ends in an end token. A text is part of one block, so
 a block is longer than others only where one text is.
 """
@@ -30,6 +34,8 @@ COUNTED, APART, ASKING = 0, 1, 2
 BLOCK_TOKENS, RANGE_KEYS = 1_500_000, 1 << 21
 #: Bits of a key beyond the logarithm of the number of tokens.
 SPARE_BITS = 24
+#: Stand for blocks in the rows that count distinct keys.
+ALL, REST = -1, -2
 #: Stands for the end of a text; no word's hash is likely to equal it.
 END = np.uint64(0x51A7C0DE0E4D0001)
 BLOCK = "kind int, tokens long, lengths array<long>, n long, one binary, two binary"
@@ -135,14 +141,12 @@ class Counts:
 
     def distinct(self) -> tuple[int, int]:
         """How many n-grams of the first list are counted, in all texts and without those that stand apart."""
-        found = [0, 0]
-        for row in self.replies.where("block = -1").select("one", "two").collect():  # a short row for each range
-            found = [k + int(unpacked(x, 1)[0]) for k, x in zip(found, row, strict=True)]
-        return found[0], found[1]
+        found = {r.block: r.n for r in self.replies.where("block < 0").groupBy("block").agg(F.sum("n").alias("n")).collect()}  # two rows
+        return found.get(ALL, 0), found.get(REST, 0)
 
     def _answers(self) -> DataFrame:
         """For each block and range: n, one (the counts), two (without the texts that stand apart, for a block of theirs).
-        Rows of block -1 hold the number of distinct keys of a range of the first list in the same way."""
+        Rows of the blocks ALL and REST hold, as n, how many keys of a range of the first list are counted in either way."""
         shift, ranges, grams = self.shift, self.ranges, self.grams
         low = np.uint64(64 - int(shift) - (ranges - 1).bit_length())
 
@@ -239,11 +243,11 @@ def _added(rows: list[dict], ranges: int) -> pa.RecordBatch:
         spread = np.empty(len(order), np.uint64)
         spread[order] = np.repeat(total, size)
         sums.append(spread)
-        distinct.append(packed(np.array([(total > 0).sum()], np.uint64)))
+        distinct.append(int((total > 0).sum()))
     end = np.cumsum(n)
     one = [packed(sums[0][b - c : b]) for b, c in zip(end, n, strict=True)]
     two = [packed(sums[1][b - c : b]) if r["kind"] == APART else b"" for r, b, c in zip(rows, end, n, strict=True)]
     block, kind = [r["block"] for r in rows], [r["kind"] for r in rows]
     if range_ < ranges:
-        block, kind, n, one, two = [*block, -1], [*kind, COUNTED], np.append(n, 1), [*one, distinct[0]], [*two, distinct[1]]
+        block, kind, n, one, two = [*block, ALL, REST], [*kind, COUNTED, COUNTED], [*n, *distinct], [*one, b"", b""], [*two, b"", b""]
     return _batch([range_] * len(n), block, kind, n, one, two)
