@@ -58,7 +58,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _word_table() -> Lookup:
     from xxhash import xxh64_intdigest
 
-    return Lookup(xxh64_intdigest, limit=300_000)
+    return Lookup(xxh64_intdigest, limit=150_000)
 
 
 class Building:
