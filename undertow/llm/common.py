@@ -29,14 +29,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    narrow: the table is small beside the texts, so one file for each core of the cluster is enough.
+    per_core: how many files, made by a task each, the table has for each core of the cluster at most; for tables that are
+    small beside the texts.
     """
     spark = df.sparkSession
-    if narrow:
-        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
+    if per_core:
+        df = df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism))
     path = stage_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

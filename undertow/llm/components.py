@@ -90,4 +90,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         small = _with_least(large)
         links = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v")))
-        edges = written(contracted(links.distinct().repartition("u")).distinct(), "edges", narrow=True)
+        edges = written(contracted(links.distinct().repartition("u")).distinct(), "edges", per_core=1)

@@ -79,7 +79,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             F.col("doc_id").alias("id"), _digest_part(F.col("text_sha256"), 1).alias("hash"), same
         ),
         "copies",
-        narrow=True,
+        per_core=1,
     )
     own_hash = _digest_part(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1)
     return without(docs, found.where("not same"), id_col, own_hash, repeated=not found.where("same").isEmpty())

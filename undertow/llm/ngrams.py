@@ -137,7 +137,7 @@ class Counts:
         self.shift = np.uint64(64 - min(64, tokens.bit_length() + SPARE_BITS))
         #: Ranges of each list; they are cut by the leading bits of a key.
         self.ranges = 1 << max(0, (tokens // range_keys).bit_length())
-        self.replies = written(self._answers(), "answers")
+        self.replies = written(self._answers(), "answers", per_core=4)
 
     def distinct(self) -> tuple[int, int]:
         """How many n-grams of the first list are counted, in all texts and without those that stand apart."""

@@ -51,7 +51,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.model, self.letters = self.tokenizer.model, str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
-        self.table = Lookup(self._ids, limit=300_000)
+        self.table = Lookup(self._ids, limit=120_000)
         for probe in ("Ab, c\u00c9d's\t\n x1  <|", "erorly. na\u00efve!? \u00df\u00fc\u0151 it's.", "x-y, 12ab. ..."):
             if self(probe) != self._whole(probe):
                 raise ValueError("this tokenizer does not treat words one by one")

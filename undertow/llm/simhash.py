@@ -192,7 +192,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     table = written(fingerprinted(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes", narrow=True)
+    classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes", per_core=1)
     roots = components(links(classes, block_keys("fp", radius), "fp", ["fp"], radius, part))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"), F.sum("size").alias("size")).where("size > 1")
@@ -214,7 +214,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = written(
         similar_groups(docs, id_col, text_col, **how).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "first"),
         "grouped",
-        narrow=True,
+        per_core=1,
     )
     repeated = not found.where("first").groupBy("id", "hash").count().where("count > 1").isEmpty()
     return without(docs, found.where("not first"), id_col, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), repeated)

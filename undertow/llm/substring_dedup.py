@@ -350,7 +350,7 @@ def marked(pieces: tuple[np.ndarray, ...], first: np.ndarray, total: int) -> np.
 
 def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, digests: bool = False) -> DataFrame:
     """From uid (unique, in the order of documents, never null), text and maybe rest: uid, n_words, n_removed, kept, rest."""
-    found = written(spans(docs, window, gram, many), "spans")
+    found = written(spans(docs, window, gram, many), "spans", per_core=4)
     joined = docs.join(found, "uid", "left")
 
     def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

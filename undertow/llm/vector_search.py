@@ -304,7 +304,7 @@ def top_k(
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], names=["group", "part", "cell", "ring"])
 
     pairs = asked.select("group", "part", "cell", "v", "least").mapInArrow(need, "`group` long, part long, cell long, ring long").distinct()
-    pairs = written(pairs.join(rings, ["cell", "ring"]), "pairs", narrow=True)
+    pairs = written(pairs.join(rings, ["cell", "ring"]), "pairs", per_core=1)
     answers = own.union(solved(asked, data, pairs, dim, k, False))
     return answers.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
