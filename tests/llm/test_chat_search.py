@@ -185,7 +185,7 @@ def test_rings_that_matter(clustered):
 
 def test_oracles(spark, sf):
     with duckdb.connect() as c:
-        for t in ("documents", "conversations", "embeddings"):
+        for t in ("documents", "conversations", "embeddings", "benchmark"):
             c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
         for name, sql in registry.oracle_sql().items():
             want, got = c.sql(sql).df(), registry.queries()[name](spark, sf).toPandas()

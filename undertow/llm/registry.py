@@ -16,6 +16,9 @@ MODULES = {
     "op8_chat_format": "chat_format",
     "op9_vector_search": "vector_search",
     "op10_quality": "quality",
+    "op11_sharding": "sharding",
+    "op12_whitening": "whitening",
+    "op13_lexical_search": "lexical_search",
 }
 
 
