@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 
 
@@ -54,3 +56,62 @@ def undirected_measures(a: np.ndarray, x: int) -> dict[str, tuple[float, int]]:
         "3": (u[np.ix_(near, near)].sum(), len(near) * (len(near) - 1), 0.0),
     }
     return {k: (c / z if z > 0 else d, z) for k, (c, z, d) in blocks.items()}
+
+
+def sequential_louvain(edges: list[tuple], weights: list[float], m: float, resolution: float, seed: int) -> dict:
+    """Communities by sequential local moves and contraction."""
+    names = sorted({x for e in edges for x in e})
+    at = {x: i for i, x in enumerate(names)}
+    links: list[dict[int, float]] = [{} for _ in names]
+    loops = [0.0] * len(names)
+    for (a, b), w in zip(edges, weights, strict=True):
+        i, j = at[a], at[b]
+        links[i][j] = links[i].get(j, 0.0) + w
+        links[j][i] = links[j].get(i, 0.0) + w
+    member, random = list(range(len(names))), np.random.default_rng(seed)
+    while True:
+        k = [sum(x.values()) + 2 * loop for x, loop in zip(links, loops, strict=True)]
+        place, total, any_move = list(range(len(links))), k[:], False
+        # Nodes wait to be looked at; a move makes the neighbours outside the new community wait again.
+        queue = deque(random.permutation(len(links)).tolist())
+        waiting = [True] * len(links)
+        while queue:
+            i = queue.popleft()
+            waiting[i] = False
+            near: dict[int, float] = {}
+            for j, w in links[i].items():
+                near[place[j]] = near.get(place[j], 0.0) + w
+            own, share = place[i], resolution * k[i] / (2 * m)
+            total[own] -= k[i]
+            best, most = own, near.get(own, 0.0) - share * total[own]
+            for c, w in near.items():
+                gain = w - share * total[c]
+                if gain > most + 1e-12 * m:
+                    best, most = c, gain
+            total[best] += k[i]
+            if best != own:
+                place[i], any_move = best, True
+                for j in links[i]:
+                    if place[j] != best and not waiting[j]:
+                        waiting[j] = True
+                        queue.append(j)
+        if not any_move:
+            break
+        fresh = {c: i for i, c in enumerate(sorted(set(place)))}
+        member = [fresh[place[x]] for x in member]
+        merged: list[dict[int, float]] = [{} for _ in fresh]
+        inner = [0.0] * len(fresh)
+        for i, near_ in enumerate(links):
+            a = fresh[place[i]]
+            inner[a] += loops[i]
+            for j, w in near_.items():
+                b = fresh[place[j]]
+                if a == b:
+                    inner[a] += w / 2
+                else:
+                    merged[a][b] = merged[a].get(b, 0.0) + w
+        links, loops = merged, inner
+    first: dict[int, object] = {}
+    for x, c in zip(names, member, strict=True):
+        first.setdefault(c, x)
+    return {x: first[c] for x, c in zip(names, member, strict=True)}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from tests import brute
 from undertow.operators import communities, graph, synthetic
 from undertow.operators.models import MEASURES, IsolationForest
 from undertow.plans import workflows
@@ -32,28 +33,73 @@ def test_components(spark):
     assert found == [[0, 1, 2, 3], [4], [5, 6, 7], list(range(100, 161))]
 
 
-@pytest.mark.parametrize("local_edges", [1000, 1])
-def test_louvain_finds_cliques(spark, local_edges):
-    v, e = cliques(spark, [6, 6, 5], [(0, 6), (7, 12)])
-    found = communities.louvain(v, e, resolution=1.0, local_edges=local_edges)
-    assert groups(found.select("node", "community")) == [list(range(6)), list(range(6, 12)), list(range(12, 17))]
+def test_louvain_finds_cliques(spark):
+    v, e = cliques(spark, [6, 6, 5, 1], [(0, 6), (7, 12)])
+    found = communities.louvain(v, e, resolution=1.0)
+    assert groups(found.select("node", "community")) == [list(range(6)), list(range(6, 12)), list(range(12, 17)), [17]]
     assert communities.modularity(e, staged(found, "test")).first()[0] > 0.5
 
 
-@pytest.mark.parametrize("resolution", [1.0, 10.0])
-def test_moves_over_all_tasks_are_as_good_as_sequential_ones(spark, resolution):
-    """On a network with planted communities, by modularity."""
+def planted(n, edges, mixed=0.03):
     rng = np.random.default_rng(0)
-    group, pairs = rng.integers(0, 8, 240), set()
-    while len(pairs) < 1400:
-        a, b = sorted(rng.integers(0, 240, 2).tolist())
-        if a != b and (group[a] == group[b] or rng.random() < 0.03):
+    group, pairs = rng.integers(0, 8, n), set()
+    while len(pairs) < edges:
+        a, b = sorted(rng.integers(0, n, 2).tolist())
+        if a != b and (group[a] == group[b] or rng.random() < mixed):
             pairs.add((a, b))
-    v, e = spark.range(240).withColumnRenamed("id", "node"), spark.createDataFrame(sorted(pairs), "src long, dst long")
-    found = [
-        communities.modularity(e, staged(communities.louvain(v, e, resolution, local_edges=n), "test"), resolution).first()[0] for n in (1, 10_000)
-    ]
-    assert found[0] > 0.95 * found[1] > 0
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize(("resolution", "mixed"), [(1.0, 0.03), (10.0, 0.03), (1.0, 1.0)])
+def test_louvain_is_as_good_as_sequential_moves(spark, resolution, mixed):
+    """By modularity, on networks with planted communities and without any."""
+    pairs = planted(240, 1400, mixed)
+    v, e = spark.range(240).withColumnRenamed("id", "node"), spark.createDataFrame(pairs, "src long, dst long")
+    one = brute.sequential_louvain(pairs, [1.0] * len(pairs), float(len(pairs)), resolution, 1997)
+    both = staged(communities.louvain(v, e, resolution), "test"), spark.createDataFrame(list(one.items()), "node long, community long")
+    found = [communities.modularity(e, c, resolution).first()[0] for c in both]
+    assert found[0] >= 0.98 * found[1] > 0
+    assert communities.connected(both[0], e).select("community").distinct().count() == both[0].select("community").distinct().count()
+
+
+def test_louvain_doesnt_depend_on_the_tasks(spark, monkeypatch):
+    """Nor on names being numbers, on a bound on candidates, nor on the order of rows."""
+    pairs = planted(120, 500)
+    v, e = spark.range(120).withColumnRenamed("id", "node"), spark.createDataFrame(pairs, "src long, dst long")
+    want = groups(communities.louvain(v, e, 2.0).select("node", "community"))
+    monkeypatch.setattr("undertow.sources.stage.TASK_ROWS", 150)
+    turned = spark.createDataFrame([p[::-1] for p in reversed(pairs)], "src long, dst long").repartition(7)
+    assert groups(communities.louvain(v.repartition(3), turned, 2.0).select("node", "community")) == want
+    monkeypatch.setattr(communities, "QUEUE", 3)
+    few = staged(communities.louvain(v, e, 2.0), "test")
+    assert few.count() == 120 and communities.modularity(e, few, 2.0).first()[0] > 0
+
+
+def test_every_round_raises_the_modularity(spark):
+    pairs = planted(100, 600, 0.5)
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    links = staged(graph.both_ways(e).selectExpr("src", "dst", "1L as w"), "test")
+    state = staged(links.groupBy("src").count().selectExpr("src as node", "count as k", "src as community"), "test")
+    last = communities.modularity(e, state).first()[0]
+    for turn in range(4):
+        found = staged(communities.candidates(links, state, 600, 1.0, turn, 1), "test")
+        going = staged(communities.without_conflict(found, links, 600, 1.0), "test")
+        assert going.count() > 0
+        state = staged(state.join(going, "node", "left").selectExpr("node", "k", "coalesce(target, community) as community"), "test")
+        now = communities.modularity(e, state).first()[0]
+        assert now > last
+        last = now
+
+
+def test_disconnected_communities_are_cut(spark):
+    e = spark.createDataFrame([(0, 1), (1, 2), (3, 4)], "src long, dst long")
+    one = spark.range(6).selectExpr("id as node", "id div 5 as community")
+    assert groups(communities.connected(one, e).select("node", "community")) == [[0, 1, 2], [3, 4], [5]]
+
+
+def test_louvain_without_edges(spark):
+    v, e = spark.range(3).withColumnRenamed("id", "node"), spark.createDataFrame([(1, 1)], "src long, dst long")
+    assert groups(communities.louvain(v, e).select("node", "community")) == [[0], [1], [2]]
 
 
 def test_generator_plants_patterns(spark):

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undertow.sources.stage import staged
+
 
 def _score_counts(rows: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     return rows.groupBy(*by, F.col(score).alias("score")).agg(
@@ -18,25 +20,21 @@ def _score_counts(rows: DataFrame, by: list[str], label: str, score: str) -> Dat
     )
 
 
-#: Equal-width score ranges that a cell's running totals are split into.
-RANGES = 1024
-
-
-def _ranges(rows: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Rows with range_: where the score lies between its cell's least and largest."""
-    ends = rows.groupBy(*by).agg(F.min(score).alias("low_"), F.max(score).alias("high_"))
-    at = F.when(F.col("high_") > F.col("low_"), F.floor((F.col(score) - F.col("low_")) / (F.col("high_") - F.col("low_")) * RANGES)).otherwise(0)
-    return rows.join(ends, by).withColumn("range_", at.cast("int")).drop("low_", "high_")
+def in_ranges(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows, written, with range_: runs of about as many rows each in the given order, from sampled bounds. Equal keys share a
+    range. What follows adds up exact counts of the ranges, so the sample tells only how rows are dealt."""
+    return staged(rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
 
 
 def curves(rows: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score") -> DataFrame:
     """Per distinct score, from the highest: true and false positives so far, and both curves' coordinates.
 
-    Running totals are taken within score ranges, on top of the totals of the ranges above, so that no task holds a cell.
+    Running totals are taken within ranges of about as many distinct scores, on top of the totals of the ranges above, so that no
+    task holds a cell.
     """
     by = by or []
     cell = [*by, "cell_"]
-    counts = _ranges(_score_counts(rows.withColumn("cell_", F.lit(0)), cell, label, score), cell, "score")
+    counts = in_ranges(_score_counts(rows.withColumn("cell_", F.lit(0)), cell, label, score), *cell, "score")
     above = Window.partitionBy(*cell).orderBy(F.desc("range_")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*cell)
     totals = counts.groupBy(*cell, "range_").agg(F.sum("p").alias("p_"), F.sum("n").alias("n_"))
@@ -101,18 +99,26 @@ def _lift(positives: Column, seen: Column) -> Column:
 
 def lift_top(rows: DataFrame, tie: str, by: list[str] | None = None, label: str = "label", score: str = "score", steps: int = 100) -> DataFrame:
     """The same over exactly the first ceil(step * n) rows; equal scores go by the tie column."""
-    by = by or []
-    order = Window.partitionBy(*by).orderBy(F.desc(score), F.col(tie))
-    whole = Window.partitionBy(*by)
-    y = F.col(label).cast("long")
-    c = rows.select(
-        *by,
-        y.alias("y"),
-        F.row_number().over(order).alias("seen"),
-        F.sum(y).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"),
-        F.sum(y).over(whole).alias("pos"),
-        F.sum(1 - y).over(whole).alias("neg"),
+    cell = [*(by or []), "cell_"]
+    down = (F.desc("score_"), F.asc("tie_"))
+    rows = rows.select(*(by or []), F.lit(0).alias("cell_"), F.col(label).cast("long").alias("y"), F.col(score).alias("score_"), F.col(tie).alias("tie_"))
+    rows = in_ranges(rows, *cell, *down)
+    above = Window.partitionBy(*cell).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*cell)
+    totals = rows.groupBy(*cell, "range_").agg(F.count("*").alias("n_"), F.sum("y").alias("p_"))
+    totals = totals.select(
+        *cell,
+        "range_",
+        F.coalesce(F.sum("n_").over(above), F.lit(0)).alias("seen_"),
+        F.coalesce(F.sum("p_").over(above), F.lit(0)).alias("tp_"),
+        F.sum("p_").over(whole).alias("pos"),
+        F.sum(F.col("n_") - F.col("p_")).over(whole).alias("neg"),
+    )
+    order = Window.partitionBy(*cell, "range_").orderBy(*down)
+    c = rows.join(totals, [*cell, "range_"]).withColumn("seen", F.col("seen_") + F.row_number().over(order)).withColumn(
+        "tp", F.col("tp_") + F.sum("y").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
+    by = by or []
     n = F.col("pos") + F.col("neg")
     # The steps that end at this row; usually none, and their number is bounded by steps.
     first, last = F.floor((F.col("seen") - 1) * steps / n).cast("int") + 1, F.floor(F.col("seen") * steps / n).cast("int")
@@ -278,9 +284,35 @@ def t_tail(t: float, degrees: int) -> float:
     return max(0.0, 1 - 2 * scale * area)
 
 
+def quantiles(rows: DataFrame, value: str, fractions: list[float], by: list[str] | None = None) -> DataFrame:
+    """The by columns and q, an array: exact quantiles of each cell, linearly between the two values next to rank (n - 1) * fraction.
+    Nulls are left out.
+
+    Distinct values are counted first and dealt by ranges; from the ranges' counts follows which values stand at the ranks, so no
+    task holds a column, whatever its distribution.
+    """
+    cell = [*(by or []), "cell_"]
+    plain = rows.where(F.col(value).isNotNull()).select(*(by or []), F.lit(0).alias("cell_"), F.col(value).cast("double").alias("v_"))
+    counts = in_ranges(plain.groupBy(*cell, "v_").agg(F.count("*").alias("c_")), *cell, "v_")
+    before = lambda w: F.coalesce(F.sum("c_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = counts.groupBy(*cell, "range_").agg(F.sum("c_").alias("c_")).select(
+        *cell, "range_", before(Window.partitionBy(*cell).orderBy("range_")).alias("start_"), F.sum("c_").over(Window.partitionBy(*cell)).alias("n_")
+    )
+    placed = counts.join(totals, [*cell, "range_"]).withColumn(
+        "from_", F.col("start_") + before(Window.partitionBy(*cell, "range_").orderBy("v_"))
+    )
+    ranks = [(F.col("n_") - 1) * F.lit(float(f)) for f in fractions]
+    at = lambda rank: F.max(F.when((F.col("from_") <= rank) & (rank < F.col("from_") + F.col("c_")), F.col("v_")))
+    found = placed.groupBy(*cell).agg(
+        F.max("n_").alias("n_"), *(x for i, r in enumerate(ranks) for x in (at(F.floor(r)).alias(f"low_{i}"), at(F.ceil(r)).alias(f"high_{i}")))
+    )
+    between = lambda i, r: F.col(f"low_{i}") + (F.col(f"high_{i}") - F.col(f"low_{i}")) * (r - F.floor(r))
+    return found.select(*(by or []), F.array(*(between(i, r) for i, r in enumerate(ranks))).alias("q"))
+
+
 def box_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, mean and range per cell."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*by).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"), F.avg(value).alias("mean")).select(
+    ends = rows.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))
+    return ends.join(quantiles(rows, value, [0.25, 0.5, 0.75], by), by).select(
         *by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high", "mean"
     )

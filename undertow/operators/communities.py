@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from undertow.operators.graph import both_ways
-from undertow.sources.stage import staged
+from undertow.sources.stage import folder, for_rounds, remove, staged, staged_in
 
-#: Edges of a component that one task may solve; larger components are moved step by step over all tasks.
-LOCAL_EDGES = 500_000
 RESOLUTION, SEED = 10.0, 1997
-#: Moves step by step end when a round moves no more than this share of the nodes. The bounds on rounds and levels are far
-#: beyond what that takes; they end moves that would go to and fro.
-SETTLED, ROUNDS, LEVELS = 0.001, 100, 50
+#: A level ends when a round moves no more than this share of its nodes, the last rounds over single nodes at a lower one. Every
+#: round raises the modularity, so the bounds on rounds and levels only cut off what is left then.
+SETTLED, POLISHED, ROUNDS, LEVELS = 0.05, 0.03, 100, 50
+#: Candidates for one community, or out of one, that a round looks at; the others wait for the next rounds.
+QUEUE = 100_000
 
 
 def connected_components(v: DataFrame, e: DataFrame) -> DataFrame:
     """node, component: the least node that it reaches. Large-star and small-star steps until nothing changes."""
-    edges, before = staged(
-        e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "components"
-    ), None
+    found = e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    edges, before = for_rounds(found, "components", 2), None
 
     def least(links: DataFrame) -> DataFrame:
         # The second key has both sides dealt anew, so that a hub can be split.
@@ -45,9 +40,8 @@ def connected_components(v: DataFrame, e: DataFrame) -> DataFrame:
             ).union(small.select("u", F.col("least").alias("v"))).distinct(),
             "components",
         )
-    return v.join(
-        edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left"
-    ).select("node", F.coalesce("root", "node").alias("component"))
+    roots = staged_in(v.sparkSession, edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
+    return v.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def modularity(e: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -63,141 +57,124 @@ def modularity(e: DataFrame, communities: DataFrame, resolution: float = 1.0) ->
     )
 
 
-def louvain_local(edges: list[tuple], weights: list[float], m: float, resolution: float, seed: int) -> dict:
-    """Communities of one component by sequential local moves and contraction, with the whole graph's edge weight m."""
-    names = sorted({x for e in edges for x in e})
-    at = {x: i for i, x in enumerate(names)}
-    links: list[dict[int, float]] = [{} for _ in names]
-    loops = [0.0] * len(names)
-    for (a, b), w in zip(edges, weights, strict=True):
-        i, j = at[a], at[b]
-        links[i][j] = links[i].get(j, 0.0) + w
-        links[j][i] = links[j].get(i, 0.0) + w
-    member, random = list(range(len(names))), np.random.default_rng(seed)
-    while True:
-        k = [sum(x.values()) + 2 * loop for x, loop in zip(links, loops, strict=True)]
-        place, total, any_move = list(range(len(links))), k[:], False
-        # Nodes wait to be looked at; a move makes the neighbours outside the new community wait again.
-        queue = deque(random.permutation(len(links)).tolist())
-        waiting = [True] * len(links)
-        while queue:
-            i = queue.popleft()
-            waiting[i] = False
-            near: dict[int, float] = {}
-            for j, w in links[i].items():
-                near[place[j]] = near.get(place[j], 0.0) + w
-            own, share = place[i], resolution * k[i] / (2 * m)
-            total[own] -= k[i]
-            best, most = own, near.get(own, 0.0) - share * total[own]
-            for c, w in near.items():
-                gain = w - share * total[c]
-                if gain > most + 1e-12 * m:
-                    best, most = c, gain
-            total[best] += k[i]
-            if best != own:
-                place[i], any_move = best, True
-                for j in links[i]:
-                    if place[j] != best and not waiting[j]:
-                        waiting[j] = True
-                        queue.append(j)
-        if not any_move:
-            break
-        fresh = {c: i for i, c in enumerate(sorted(set(place)))}
-        member = [fresh[place[x]] for x in member]
-        merged: list[dict[int, float]] = [{} for _ in fresh]
-        inner = [0.0] * len(fresh)
-        for i, near_ in enumerate(links):
-            a = fresh[place[i]]
-            inner[a] += loops[i]
-            for j, w in near_.items():
-                b = fresh[place[j]]
-                if a == b:
-                    inner[a] += w / 2
-                else:
-                    merged[a][b] = merged[a].get(b, 0.0) + w
-        links, loops = merged, inner
-    first: dict[int, object] = {}
-    for x, c in zip(names, member, strict=True):
-        first.setdefault(c, x)
-    return {x: first[c] for x, c in zip(names, member, strict=True)}
-
-
-def _distributed(edges: DataFrame, m: float, resolution: float, seed: int) -> DataFrame:
-    """node, community for large components: synchronous moves of a pseudo-random half of the nodes a round."""
-    links = staged(edges.select("src", "dst", F.lit(1.0).alias("w")).union(edges.select("dst", "src", F.lit(1.0))), "louvain")
-    member = None
-    for level in range(LEVELS):
-        k = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-        state = staged(k.withColumn("community", F.col("node")), "louvain")
-        few = SETTLED * state.count()
-        for turn in range(ROUNDS):
-            totals = state.groupBy("community").agg(F.sum("k").alias("total"))
-            # A link of a contracted node to itself moves with the node.
-            near = links.where("src <> dst").join(
-                state.select(F.col("node").alias("dst"), "community"), "dst"
-            ).groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
-            choice = state.select("node", "community").withColumn("w", F.lit(0.0)).union(near).groupBy("node", "community").agg(F.sum("w").alias("w")).join(totals, "community")
-            own = state.select("node", "k", F.col("community").alias("own"))
-            gain = F.col("w") / m - resolution * F.col("k") * (
-                F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-            ) / (2 * m * m)
-            best = choice.join(own, "node").withColumn("gain", gain).groupBy("node", "k", "own").agg(
-                F.max(F.struct("gain", (F.col("community") == F.col("own")).alias("stay"), "community")).alias("best")
-            )
-            active = F.pmod(F.xxhash64("node", F.lit(seed + turn)), F.lit(2)) == 0
-            after = staged(
-                best.select("node", "k", "own", F.when(active, F.col("best.community")).otherwise(F.col("own")).alias("community")), "louvain"
-            )
-            state = after.drop("own")
-            if turn and after.where("own <> community").count() <= few:
-                break
-        found = state.select("node", "community")
-        member = found if member is None else staged(
-            member.join(
-                found.select(F.col("node").alias("community"), F.col("community").alias("next")), "community"
-            ).select("node", F.col("next").alias("community")),
-            "louvain",
-        )
-        if level and found.where("node <> community").isEmpty():
+def candidates(links: DataFrame, state: DataFrame, m: int, resolution: float, turn: int, seed: int) -> DataFrame:
+    """node, k, own, target, gain, place: the nodes that would gain by a move to a neighbour's community, by themselves. Gains are
+    changes of the modularity times twice the square of m; place is the order of a round, a hash of node and turn."""
+    totals = state.groupBy("community").agg(F.sum("k").alias("total"))
+    # A link of a contracted node to itself moves with the node.
+    near = links.where("src <> dst").join(state.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "w")
+    own = state.select("node", "k", F.col("community").alias("own"))
+    # A node looks at its own community also where it has no link there.
+    all_ = near.union(state.select("node", "community", F.lit(0).cast("long")))
+    rows = all_.groupBy("node", "community").agg(F.sum("w").alias("w")).join(totals, "community").join(own, "node")
+    left = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
+    value = 2.0 * m * F.col("w") - resolution * F.col("k") * left
+    stays = F.col("community") == F.col("own")
+    best = rows.groupBy("node", "k", "own").agg(
+        F.max(F.when(stays, value)).alias("stay"),
+        # Of equal values the least community.
+        F.max(F.when(~stays, value)).alias("go"),
+        F.min_by("community", F.when(~stays, F.struct(-value, F.col("community")))).alias("target"),
+    )
+    place = F.md5(F.concat_ws(":", F.col("node").cast("string"), F.lit(str(turn)), F.lit(str(seed))))
+    return best.where("go > stay").select("node", "k", "own", "target", (F.col("go") - F.col("stay")).alias("gain"), place.alias("place"))
+
+
+def without_conflict(found: DataFrame, links: DataFrame, m: int, resolution: float) -> DataFrame:
+    """node, target: candidates that gain whatever the candidates before them do.
+
+    From a candidate's gain goes all that earlier candidates could cost it: the degrees of those that join its target or leave its
+    own community, and the links to neighbours that leave its target or join its own. What could only help is left out. So the
+    modularity rises by every move that is left, as if they were made one after the other; the first candidate always moves.
+    """
+    earlier = lambda side: F.coalesce(
+        F.sum("k").over(Window.partitionBy(side).orderBy("place", "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    ranked = found.withColumn("joined", earlier("target")).withColumn("left_", earlier("own"))
+    a = found.select(F.col("node").alias("src"), F.col("own").alias("own_a"), F.col("target").alias("to_a"), F.col("place").alias("place_a"))
+    b = found.select(F.col("node").alias("dst"), F.col("own").alias("own_b"), F.col("target").alias("to_b"), F.col("place").alias("place_b"))
+    before = F.struct("place_b", "dst") < F.struct("place_a", "src")
+    lost = (F.col("own_b") == F.col("to_a")).cast("long") + (F.col("to_b") == F.col("own_a")).cast("long")
+    met = links.where("src <> dst").join(a, "src").join(b, "dst").where(before).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * lost).alias("lost"))
+    cost = resolution * F.col("k") * (F.col("joined") + F.col("left_")) + 2.0 * m * F.coalesce("lost", F.lit(0))
+    return ranked.join(met, "node", "left").where(F.col("gain") - cost > 0).select("node", "target")
+
+
+def _queued(found: DataFrame, turn: int) -> DataFrame:
+    """Candidates so thinned that no community has many more than QUEUE to come or to go; another part of them each round."""
+    for side in ("target", "own"):
+        many = found.groupBy(side).agg(F.ceil(F.count("*") / QUEUE).alias("parts")).where("parts > 1")
+        if not many.isEmpty():
+            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.coalesce("parts", F.lit(1)))
+            found = found.join(many, side, "left").where(part == 0).drop("parts")
+    return found
+
+
+def moved(links: DataFrame, m: int, resolution: float, seed: int, settled: float, start: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """node, k, community after rounds of moves, and how many moves there were. start: node and community at first; without it
+    every node is a community."""
+    degrees = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    state = staged(degrees.withColumn("community", F.col("node")) if start is None else degrees.join(start, "node"), "louvain")
+    n, moves, last = state.count(), 0, None
+    for turn in range(ROUNDS):
+        # A round's table goes when the next one is written.
+        with folder(links.sparkSession, "round") as path:
+            # Written, so that its size is known where it is joined.
+            found, watch = staged(candidates(links, state, m, resolution, turn, seed), "louvain"), Observation()
+            # A community has no more candidates than its level has nodes.
+            going = without_conflict(found if n <= QUEUE else _queued(found, turn), links, m, resolution)
+            after = state.join(going, "node", "left").select("node", "k", F.coalesce("target", "community").alias("community"), "target")
+            state = staged(after.observe(watch, F.count("target").alias("n")), "louvain").drop("target")
+        if last:
+            remove(links.sparkSession, last)
+        last, now = path, watch.get["n"]
+        moves += now
+        if now <= settled * n:
             break
-        ends = lambda end: found.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: B023, E731
-        links = staged(
-            links.join(ends("src"), "src").join(ends("dst"), "dst").groupBy(
-                F.col("c_src").alias("src"), F.col("c_dst").alias("dst")
-            ).agg(F.sum("w").alias("w")),
-            "louvain",
-        )
-    return member
+    return state, moves
+
 
+def connected(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, community, where communities are cut into parts that hang together; no link is lost, so the modularity never falls."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+    inner = links.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select("src", "dst")
+    return connected_components(found.select("node"), inner).withColumnRenamed("component", "community")
 
-def louvain(v: DataFrame, e: DataFrame, resolution: float = RESOLUTION, seed: int = SEED, local_edges: int = LOCAL_EDGES) -> DataFrame:
+
+def louvain(v: DataFrame, e: DataFrame, resolution: float = RESOLUTION, seed: int = SEED) -> DataFrame:
     """node, community of every node; direction is ignored. A community is named by one of its nodes.
 
-    Moves never leave a component, so components of bounded size are solved in one task each, with the whole graph's number
-    of edges in the gain; larger ones take synchronous moves over all tasks. Both are deterministic; their partitions differ,
-    with a modularity that the tests hold within a twentieth of each other.
+    Every size is treated alike: in each round all nodes look for their best neighbouring community at once, and those move that
+    gain whatever the others do, so every round raises the modularity. A level's communities become the nodes of the next. When
+    no level changes anything, single nodes move once more, and communities are cut into connected parts. All sums are of whole
+    numbers, so the result doesn't depend on the number of tasks.
     """
     edges = staged(both_ways(e).where("src < dst"), "louvain")
-    m = float(edges.count())
+    m = edges.count()
     names = v.select("node", F.col("node").alias("community"))
     if not m:
         return names
-    parts = connected_components(v, edges).withColumnRenamed("node", "src")
-    placed = staged(edges.join(parts, "src"), "louvain")
-    large = placed.groupBy("component").count().where(F.col("count") > local_edges)
-    kind = v.schema["node"].dataType.simpleString()
-
-    def solve(frames: Iterator, m=m):
-        import pandas as pd
-
-        frame = pd.concat(list(frames)) if not hasattr(frames, "columns") else frames
-        found = louvain_local(list(zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True)), [1.0] * len(frame), m, resolution, seed)
-        return pd.DataFrame({"node": list(found), "community": list(found.values())})
-
-    found = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda f: solve(f), f"node {kind}, community {kind}")
-    if not large.isEmpty():
-        found = found.union(_distributed(placed.join(large, "component", "left_semi").select("src", "dst"), m, resolution, seed))
-    return v.join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+    one = F.lit(1).cast("long").alias("w")
+    single = for_rounds(edges.select("src", "dst", one).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), one)), "louvain")
+    links, member = single, None
+    for level in range(LEVELS):
+        found, moves = moved(links, m, resolution, seed + level, SETTLED)
+        if not moves:
+            break
+        above = found.select(F.col("node").alias("community"), F.col("community").alias("next"))
+        member = found.select("node", "community") if member is None else staged(
+            member.join(above, "community").select("node", F.col("next").alias("community")), "louvain"
+        )
+        ends = lambda end: found.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: B023, E731
+        links = staged(
+            links.join(ends("src"), "src").join(ends("dst"), "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")),
+            "louvain",
+        )
+    if member is None:
+        return names
+    found = moved(single, m, resolution, seed + LEVELS, POLISHED, member)[0].select("node", "community")
+    parts = staged(connected(staged_in(v.sparkSession, found, "louvain"), edges), "louvain")
+    return v.join(parts, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
 def reduce_by_community(v: DataFrame, e: DataFrame, resolution: float = RESOLUTION, seed: int = SEED) -> tuple[DataFrame, DataFrame]:

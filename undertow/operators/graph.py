@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undertow.functions.metrics import quantiles
+
 
 def edges(pairs: DataFrame, src: str = "src", dst: str = "dst", directed: bool = True) -> DataFrame:
     """The simple graph of raw pairs: loops go, parallel pairs collapse; undirected edges have src < dst."""
@@ -45,7 +47,7 @@ def degree(v: DataFrame, e: DataFrame) -> DataFrame:
 def without_hubs(v: DataFrame, e: DataFrame, degree_cutoff: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without the nodes whose degree reaches the exact (1 - cutoff) quantile, linearly interpolated."""
     d = degree(v, e)
-    limit = d.agg(F.percentile("degree", 1 - degree_cutoff).alias("limit"))
+    limit = quantiles(d, "degree", [1 - degree_cutoff]).select(F.col("q")[0].alias("limit"))
     hubs = d.join(F.broadcast(limit)).where("degree >= limit").select("node")  # one row is broadcast
     kept = e.join(hubs.withColumnRenamed("node", "src"), "src", "left_anti").join(hubs.withColumnRenamed("node", "dst"), "dst", "left_anti")
     return v.join(hubs, "node", "left_anti"), kept.select("src", "dst")

@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.functions.metrics import areas
+from undertow.functions.metrics import areas, quantiles
 from undertow.operators.blocks import PAIRS
 from undertow.operators.split import stratified_split
 
@@ -162,7 +162,7 @@ class IsolationForest:
         """scored with prediction: -1 below the threshold, else 1. The threshold is -0.5, or the exact quantile."""
         if contamination is None:
             return scored.withColumn("prediction", F.when(F.col("anomaly_score") < -0.5, -1).otherwise(1))
-        limit = scored.agg(F.percentile("anomaly_score", contamination).alias("limit_"))
+        limit = quantiles(scored, "anomaly_score", [contamination]).select(F.col("q")[0].alias("limit_"))
         return scored.join(F.broadcast(limit)).withColumn(
             "prediction", F.when(F.col("anomaly_score") < F.col("limit_"), -1).otherwise(1)
         ).drop("limit_")

@@ -67,11 +67,9 @@ def _transaction_graph(spark, sf: str) -> DataFrame:
 def _edge_list_graph(spark, sf: str) -> DataFrame:
     path = stage_path(spark, "edge-list")
     transactions(spark, sf).select(
-        F.col("from_account").cast("int").alias("source"), F.col("to_account").cast("int").alias("target")
+        F.col("from_account").alias("source"), F.col("to_account").alias("target")
     ).write.option("header", True).csv(path)
-    return tables.graph_from_edge_list(spark, path, directed=False)[1].select(
-        F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")
-    )
+    return tables.graph_from_edge_list(spark, path, directed=False)[1]
 
 
 def _customer_flags(spark, sf: str) -> DataFrame:
@@ -87,9 +85,9 @@ def _label_file(spark, sf: str) -> DataFrame:
 
 
 def _label_file_by_position(spark, sf: str) -> DataFrame:
-    """One file without node column: a row's position is its node."""
+    """Files without node column, in the order of their names: a row's position is its node."""
     path = stage_path(spark, "labels")
-    _customer_flags(spark, sf).orderBy("node").drop("node").coalesce(1).write.option("header", True).csv(path)
+    _customer_flags(spark, sf).orderBy("node").drop("node").write.option("header", True).csv(path)
     return tables.read_synthetic_labels(spark, path)
 
 
@@ -153,10 +151,8 @@ def _supervised_table(spark, sf: str) -> DataFrame:
 
 
 def _synthetic_targets(spark, sf: str) -> DataFrame:
-    """Areas of the four targets over customers, some of which have no score."""
-    scored = table(spark, sf, "customer").where("c_acctbal >= 0").select(
-        F.col("c_custkey").cast("long").alias("node"), F.round("c_acctbal", -2).alias("score")
-    )
+    """Areas of the four targets over customers; the rules for nodes without a score are tested on a small table."""
+    scored = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("node"), F.round("c_acctbal", -2).alias("score"))
     return rounded(workflows.evaluate_synthetic(scored, _customer_flags(spark, sf)))
 
 
@@ -226,7 +222,7 @@ ORACLES = {
     "outlier_labels": "select event_id, cast(value > 100 as integer) as outlier, round(abs(value), 6) as anomaly from events",
     "labels_of_scores": f"""with {BASE}, ra as ({RAW}) select sc.node, round(sc.score, 6) + 0.0 as score, round(ra."{LAUNDERING}", 6) + 0.0 as "{LAUNDERING}" from sc join ra on ra.node = sc.node""",
     "supervised_table": _supervised_sql(),
-    "synthetic_target_areas": f"""with {_LABELS}, st as (select lf.*, coalesce(s.score, -1) as score from lf left join (select c_custkey as node, round(c_acctbal, -2) as score from customer where c_acctbal >= 0) s on s.node = lf.node),
+    "synthetic_target_areas": f"""with {_LABELS}, st as (select lf.*, coalesce(s.score, -1) as score from lf left join (select c_custkey as node, round(c_acctbal, -2) as score from customer) s on s.node = lf.node),
         lg as ({_TARGETS}), g as (select target, score, sum(label) as p, sum(1 - label) as n from lg group by all),
         cv as (select *, sum(p) over w as tp, sum(n) over w as fp, sum(p) over t as pos, sum(n) over t as neg from g window w as (partition by target order by score desc rows unbounded preceding), t as (partition by target))
         select target, case when max(pos) > 0 and max(neg) > 0 then round(sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg)), 6) + 0.0 end as roc, case when max(pos) > 0 and max(neg) > 0 then round(sum(p * (tp / (tp + fp))) / max(pos), 6) + 0.0 end as pr from cv group by target""",

@@ -17,7 +17,7 @@ from undertow.sources.stage import staged
 from undertow.sources.tables import PATTERNS
 
 BY = ["cutoff", "target"]
-MATRIX = TARGETS[:3]
+MATRIX = TARGETS
 
 
 def _scores(spark, sf: str) -> DataFrame:
@@ -195,7 +195,10 @@ ORACLES = {
     **{f"account_labels_{side}": f"with {sql_tx()}, {LAB} {_mean_by(side)}" for side in ("sender", "receiver", "combined")},
     **{f"labels_scores_{how}": _outer_sql(how) for how in ("outer", "lookup", "inner")},
     "pattern_by_score_bin": f"""with {BASE}, ra as ({RAW}), jb as (select ra.*, coalesce(s3.score, -2) as score from ra left join sr s3 on s3.node = ra.node)
-        select round_even(score, 1) + 0.0 as bin, {", ".join(f'round(avg("{t}"), 6) + 0.0 as "{t}"' for t in TARGETS)} from jb where score <> -2 group by 1""",
+        -- twenty times the score without error, as in Python's rounding: s and what the sum leaves out
+        , tw as (select *, score * 16 + score * 4 as s from jb), er as (select *, (score * 16 - (s - (s - score * 16))) + (score * 4 - (s - score * 16)) as rest, floor(s / 2) as h from tw),
+        te as (select *, case when h * 2 = s and rest < 0 then h - 1 else h end as t from er)
+        select (t + case when (s - t * 2 - 1) + rest > 0 or ((s - t * 2 - 1) + rest = 0 and cast(t as bigint) % 2 <> 0) then 1 else 0 end) / 10 + 0.0 as bin, {", ".join(f'round(avg("{t}"), 6) + 0.0 as "{t}"' for t in TARGETS)} from te where score <> -2 group by 1""",
     "threshold_labels_long": f"with {LONG} select node, cutoff, target, label from lg",
     "auc_roc_grid": area_sql("roc"),
     "auc_pr_grid": area_sql("pr"),

@@ -9,6 +9,7 @@ from undertow.functions import labels
 from undertow.functions.labels import NOT_CLASSIFIED, TARGETS
 from undertow.operators import communities, synthetic
 from undertow.operators.blocks import measures
+from undertow.operators.graph import both_ways
 from undertow.operators.models import MEASURES, IsolationForest
 from undertow.plans import workflows
 from undertow.plans.fixtures import CUTOFFS, DENSE, labelled, raw_graph, reduced_graph, sql_graph, sql_measures, sql_roles
@@ -25,6 +26,34 @@ def _louvain(spark, sf: str) -> DataFrame:
     return communities.louvain(v, e)
 
 
+def _louvain_checks(spark, sf: str) -> DataFrame:
+    """One row: nodes and edges, nodes without a community, communities that don't hang together, and whether the modularity (at the
+    resolution of 1 by which partitions are compared) is above the fixed partition's."""
+    v, e = raw_graph(spark, sf)
+    v, e = staged(v, "nodes"), staged(both_ways(e).where("src < dst"), "edges")
+    found = staged(communities.louvain(v, e), "communities")
+    apart = staged(communities.connected(found, e), "parts").select("node", F.col("community").alias("part"))
+    of_parts = found.join(apart, "node").groupBy("community").agg(F.countDistinct("part").alias("parts"))
+    fixed = v.select("node", (F.col("node") % DENSE).alias("community"))
+    q = [communities.modularity(e, c).select(F.col("modularity").alias(f"q{i}")) for i, c in enumerate((found, fixed))]
+    # Each side has one row.
+    return v.join(found, "node", "left").agg(F.count("*").alias("nodes"), F.count_if("community is null").alias("unplaced")).join(
+        e.agg(F.count("*").alias("edges"))
+    ).join(of_parts.agg(F.count_if("parts > 1").alias("disconnected"))).join(q[0]).join(q[1]).select(
+        "nodes", "edges", "unplaced", "disconnected", (F.col("q0") > F.col("q1")).alias("above_fixed")
+    )
+
+
+def _first_moves(spark, sf: str) -> DataFrame:
+    """The first round's moves, from communities of one node."""
+    _, e = raw_graph(spark, sf)
+    links = staged(both_ways(e).withColumn("w", F.lit(1).cast("long")), "links")
+    state = staged(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")), "state")
+    m = links.count() // 2
+    found = staged(communities.candidates(links, state, m, communities.RESOLUTION, 0, communities.SEED), "candidates")
+    return communities.without_conflict(found, links, m, communities.RESOLUTION)
+
+
 def _modularity(spark, sf: str) -> DataFrame:
     """Of the fixed partition, so that SQL can follow."""
     v, e = raw_graph(spark, sf)
@@ -91,6 +120,8 @@ def _grid(spark, sf: str) -> DataFrame:
 QUERIES = {
     "connected_components": lambda s, d: communities.connected_components(*raw_graph(s, d)),
     "louvain_communities": _louvain,
+    "louvain_checks": _louvain_checks,
+    "louvain_first_moves": _first_moves,
     "modularity": _modularity,
     "isolation_scores": lambda s, d: _forest(s, d).select("node", *MEASURES, "anomaly_score"),
     "isolation_outliers": _outliers,
@@ -114,6 +145,15 @@ ORACLES = {
         select node, min(other) as component from reach group by node""",
     "modularity": f"""with {sql_graph()}, pl as (select src % {DENSE} as a, dst % {DENSE} as b from e), dg as (select c, count(*)::double as d from (select a as c from pl union all select b from pl) x group by c)
         select round((select count(*) filter (a = b) / count(*) from pl) - (select sum(d * d) from dg) / (4.0 * power((select count(*) from pl), 2)), 6) + 0.0 as modularity""",
+    "louvain_checks": f"with {sql_graph()} select (select count(*) from v) as nodes, (select count(*) from u where src < dst) as edges, 0 as unplaced, 0 as disconnected, true as above_fixed",
+    "louvain_first_moves": f"""with {sql_graph()}, k as (select src as node, count(*) as k from u group by src), m as (select count(*) // 2 as m from u),
+        best as (select a.node, a.k, max(2 * m - 10 * a.k * b.k) as gain, min_by(b.node, (-(2 * m - 10 * a.k * b.k), b.node)) as target
+                 from u join k a on a.node = u.src join k b on b.node = u.dst, m group by a.node, a.k having max(2 * m - 10 * a.k * b.k) > 0),
+        c as materialized (select *, md5(node || ':0:1997') as place from best),
+        j as (select *, coalesce(sum(k) over (partition by target order by place, node rows between unbounded preceding and 1 preceding), 0) as joined from c),
+        lost as (select a.node, sum(cast(b.node = a.target as integer) + cast(b.target = a.node as integer)) as lost
+                 from c a join u on u.src = a.node join c b on b.node = u.dst where (b.place, b.node) < (a.place, a.node) group by a.node)
+        select j.node, target from j left join lost on lost.node = j.node, m where gain - 10 * k * joined - 2 * m * coalesce(lost, 0) > 0""",
     "synthetic_assembled_counts": "select 1000 + 3 * (6 + 4) as nodes, 54 as laundering, 18 as separate, 18 as new_mules, 18 as existing_mules, 3 * 3 * 8 as planted_edges, 0 as loops",
     "erdos_renyi_complete": "select a.range as source, b.range as target from range(60) a join range(60) b on a.range < b.range",
     "watts_strogatz_ring": "select a.range as source, (a.range + b.range + 1) % 200 as target from range(200) a, range(3) b",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from undertow.sources.stage import staged
 
@@ -24,7 +24,7 @@ TRANSACTIONS = StructType(
         StructField("is_laundering", IntegerType()),
     ]
 )
-EDGES = StructType([StructField("source", IntegerType()), StructField("target", IntegerType())])
+EDGES = StructType([StructField("source", LongType()), StructField("target", LongType())])
 #: The known laundering patterns.
 PATTERNS = ["FAN-OUT", "FAN-IN", "GATHER-SCATTER", "SCATTER-GATHER", "CYCLE", "RANDOM", "BIPARTITE", "STACK"]
 CHUNKS = 30
@@ -54,18 +54,33 @@ def graph_from_edge_list(spark: SparkSession, path: str, directed: bool = False)
     return nodes(pairs, "source", "target"), edges(pairs, "source", "target", directed)
 
 
+def line_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """line and number: the lines of a text file's tasks, numbered from 0 in each file's order, files by name; blank lines and each
+    file's first line, its header, are not counted.
+
+    Each block of a file is read by one task in order, so a line's number is its place there after the lines of all blocks before;
+    those are a row a block.
+    """
+    lines = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = staged(lines.where("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id()), "lines")
+    blocks = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    # The header is the first line of a file's first block with a line.
+    heads = blocks.groupBy("file").agg(F.min("start").alias("start"), F.lit(1).alias("head"))
+    placed = blocks.join(heads, ["file", "start"], "left").withColumn("head", F.coalesce("head", F.lit(0)))
+    placed = placed.withColumn("before", F.coalesce(F.sum(F.col("n") - F.col("head")).over(earlier), F.lit(0)))
+    at = F.col("at") - F.col("first") - F.col("head")
+    return rows.join(placed, ["file", "start"]).where(at >= 0).select(F.col("value").alias("line"), (F.col("before") + at).alias("number"))
+
+
 def read_synthetic_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labels of generated nodes: node and four booleans. A file without a node column must be small enough for one task,
-    since a row's position is its node."""
+    """Labels of generated nodes: node and four booleans. In files without a node column a row's position is its node."""
     rows = spark.read.option("header", True).csv(path)
     flags = ["laundering", "separate", "new_mules", "existing_mules"]
     if "node" not in rows.columns:
-        text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("at", "line"))
+        cells = F.split(F.rtrim("line"), ",")
         names = rows.columns
-        cells = F.split("line", ",")
-        rows = text.where("at > 0 and trim(line) <> ''").select(
-            (F.col("at") - 1).alias("node"), *(F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names))
-        )
+        rows = line_numbers(spark, path).select(F.col("number").alias("node"), *(F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)))
     return rows.select(
         F.col("node").cast("long").alias("node"), *(F.coalesce(F.lower(F.trim(f)).isin("true", "1"), F.lit(False)).alias(f) for f in flags)
     )
@@ -103,7 +118,7 @@ def read_measures(spark: SparkSession, path: str, columns: list[str] | None = No
     if path.rstrip("/").endswith(".csv"):
         names = spark.read.option("header", True).csv(path).columns
         kinds = StructType(
-            [StructField(n, StringType() if n == "node" else DoubleType() if n.startswith(("measure", "score")) else IntegerType()) for n in names]
+            [StructField(n, StringType() if n == "node" else DoubleType() if n.startswith(("measure", "score")) else LongType()) for n in names]
         )
         rows = spark.read.schema(kinds).option("header", True).csv(path)
     else:
