@@ -37,9 +37,9 @@ def _louvain_checks(spark, sf: str) -> DataFrame:
     fixed = v.select("node", (F.col("node") % DENSE).alias("community"))
     q = [communities.modularity(e, c).select(F.col("modularity").alias(f"q{i}")) for i, c in enumerate((found, fixed))]
     # Each side has one row.
-    return v.join(found, "node", "left").agg(F.count("*").alias("nodes"), F.count_if("community is null").alias("unplaced")).join(
+    return v.join(found, "node", "left").agg(F.count("*").alias("nodes"), F.count_if(F.col("community").isNull()).alias("unplaced")).join(
         e.agg(F.count("*").alias("edges"))
-    ).join(of_parts.agg(F.count_if("parts > 1").alias("disconnected"))).join(q[0]).join(q[1]).select(
+    ).join(of_parts.agg(F.count_if(F.col("parts") > 1).alias("disconnected"))).join(q[0]).join(q[1]).select(
         "nodes", "edges", "unplaced", "disconnected", (F.col("q0") > F.col("q1")).alias("above_fixed")
     )
 
