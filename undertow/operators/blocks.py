@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.operators.ego import roles_directed, roles_undirected
-from undertow.operators.graph import both_ways
+from undertow.operators.ego import roles_directed, roles_undirected, twins
+from undertow.operators.graph import both_ways, directions, neighbour_links
 from undertow.sources.stage import staged
 
 PAIRS = [f"{i}{j}" for i in range(3) for j in range(3)]
@@ -70,13 +70,18 @@ def density(count: Column, size: Column, empty: float) -> Column:
     return F.when(size > 0, count / size).otherwise(F.lit(empty))
 
 
-def _measures(r: DataFrame, e: DataFrame, blocks: dict[str, tuple[Column, Column, float]], include_size: bool) -> DataFrame:
+def _measures(v: DataFrame, e: DataFrame, roles, blocks: dict[str, tuple[Column, Column, float]], include_size: bool) -> DataFrame:
+    """Of one of each node's twins, and from there of all."""
+    same = staged(v.join(twins(v, e), "node"), "twins")
+    # The least twin may lie outside v.
+    one = same.groupBy("twin").agg(F.min("node").alias("ego"))
     # The roles are read three times: for the sizes and for both ends of the edges.
-    r = staged(r, "roles")
+    r = staged(roles(v, e, one.select(F.col("ego").alias("node"))), "roles")
     columns = [density(*b).cast("double").alias(f"measure_{k}") for k, b in blocks.items()]
     if include_size:
         columns += [b[1].cast("long").alias(f"size_{k}") for k, b in blocks.items()]
-    return _counted(r, e).select(F.col("ego").alias("node"), *columns)
+    found = _counted(r, e).select("ego", *columns).join(one, "ego").drop("ego")
+    return same.join(found, "twin").drop("twin")
 
 
 def measures_directed(
@@ -95,22 +100,33 @@ def measures_directed(
             return dense
         many = v.join(few, "node", "left_anti")
         links = e.join(many.withColumnRenamed("node", "src"), "src", "left_semi")
-        return dense.unionByName(_measures(roles_directed(many, links), links, directed_blocks(compat), include_size))
+        return dense.unionByName(_measures(many, links, roles_directed, directed_blocks(compat), include_size))
     if strategy != "relational":
         raise ValueError(f"unknown strategy: {strategy}")
-    return _measures(roles_directed(v, e), e, directed_blocks(compat), include_size)
+    return _measures(v, e, roles_directed, directed_blocks(compat), include_size)
 
 
 def measures_undirected(v: DataFrame, e: DataFrame, include_size: bool = True) -> DataFrame:
     """node, measure_1 ... measure_3 and size_1 ... size_3; e may hold either or both directions of an edge."""
     both = both_ways(e)
-    return _measures(roles_undirected(v, both), both, undirected_blocks(), include_size)
+    return _measures(v, both, roles_undirected, undirected_blocks(), include_size)
 
 
 def measures(v: DataFrame, e: DataFrame, directed: bool, include_size: bool = True) -> DataFrame:
     return measures_directed(v, e, include_size) if directed else measures_undirected(v, e, include_size)
 
 
+def first_order_measures(v: DataFrame, e: DataFrame, directed: bool = True) -> DataFrame:
+    """node, measure_11 and size_11 (directed), or measure_3 and size_3: the density among a node's neighbours. It needs no roles of
+    second-order nodes: edges between neighbours close triangles."""
+    e, name = (e, "11") if directed else (both_ways(e), "3")
+    near = directions(e).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    found = v.select("node").join(near, "node", "left").join(neighbour_links(e), "node", "left")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    links, size = F.coalesce("links", F.lit(0)), n * (n - 1)
+    return found.select("node", density(links, size, 0.0).cast("double").alias(f"measure_{name}"), size.cast("long").alias(f"size_{name}"))
+
+
 def matrix_measures(adjacency, roles_of, compat: bool = True) -> dict[str, tuple[float, int]]:
     """The nine blocks of one ego from its 0/1 matrix and its nodes' roles, by summing the blocks."""
     import numpy as np

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.functions.metrics import quantiles
+from undertow.sources.stage import staged
 
 
 def edges(pairs: DataFrame, src: str = "src", dst: str = "dst", directed: bool = True) -> DataFrame:
@@ -59,6 +60,37 @@ def within_communities(e: DataFrame, communities: DataFrame) -> DataFrame:
     return e.join(of("src"), "src").join(of("dst"), "dst").where("src_community = dst_community").select("src", "dst")
 
 
-def wedges(e: DataFrame) -> DataFrame:
-    """One row: how many two-step paths the neighbourhood joins will make (the sum of squared degrees)."""
-    return directions(e).groupBy("src").count().agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0)).cast("long").alias("wedges"))
+def wedges(e: DataFrame, egos: DataFrame | None = None) -> DataFrame:
+    """One row: how many two-step paths the neighbourhood joins will make (the sum of squared degrees, or of the egos' neighbours'
+    degrees)."""
+    u = directions(e)
+    degrees = u.groupBy("src").agg(F.count("*").alias("n"))
+    if egos is None:
+        return degrees.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).cast("long").alias("wedges"))
+    first = u.join(egos.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("egos"))
+    return first.join(degrees, "src").agg(F.coalesce(F.sum(F.col("n") * F.col("egos")), F.lit(0)).cast("long").alias("wedges"))
+
+
+def triangles(e: DataFrame) -> DataFrame:
+    """a, b, c of each triangle of neighbours, once, and how many edges (1 or 2) join a to b, a to c and b to c: w_ab, w_ac, w_bc.
+
+    Pairs point from the end with fewer neighbours to the other, so a hub's pairs are not paired with each other: rows grow with
+    the edges to the power of 1.5 at most, whatever the degrees.
+    """
+    u = directions(e)
+    degrees = u.groupBy("src").agg(F.count("*").alias("n"))
+    rank = lambda end: degrees.select(F.col("src").alias(end), F.struct("n", F.col("src").alias("id")).alias(f"r_{end}"))
+    pairs = u.where("src < dst").select("src", "dst", (F.col("fwd").cast("int") + F.col("bwd").cast("int")).alias("w"))
+    ranked = pairs.join(rank("src"), "src").join(rank("dst"), "dst")
+    low, high = F.least("r_src", "r_dst"), F.greatest("r_src", "r_dst")
+    o = staged(ranked.select(low["id"].alias("a"), high["id"].alias("b"), high.alias("rank"), "w"), "oriented")
+    ab = o.select("a", "b", F.col("rank").alias("rank_b"), F.col("w").alias("w_ab"))
+    ac = o.select("a", F.col("b").alias("c"), F.col("rank").alias("rank_c"), F.col("w").alias("w_ac"))
+    bc = o.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("w_bc"))
+    return ab.join(ac, "a").where("rank_b < rank_c").join(bc, ["b", "c"]).select("a", "b", "c", "w_ab", "w_ac", "w_bc")
+
+
+def neighbour_links(e: DataFrame) -> DataFrame:
+    """node, links: how many edges join two of its neighbours; nodes with none are left out."""
+    ends = F.array(*(F.struct(F.col(x).alias("node"), F.col(w).alias("w")) for x, w in (("a", "w_bc"), ("b", "w_ac"), ("c", "w_ab"))))
+    return triangles(e).select(F.explode(ends).alias("t")).groupBy("t.node").agg(F.sum("t.w").alias("links"))

@@ -88,6 +88,12 @@ QUERIES = {
     "whole_graph_undirected": lambda s, d: _whole_graph(s, d, False),
     "top_bottom_nodes": _extremes,
     "extreme_egos": _extreme_egos,
+    "triangles": lambda s, d: graph.triangles(raw_graph(s, d)[1]).select(
+        F.sort_array(F.array("a", "b", "c")).alias("nodes"), F.expr("w_ab + w_ac + w_bc").cast("long").alias("edges")
+    ).select(F.col("nodes")[0].alias("a"), F.col("nodes")[1].alias("b"), F.col("nodes")[2].alias("c"), "edges"),
+    "first_order_directed": lambda s, d: rounded(blocks.first_order_measures(*raw_graph(s, d))),
+    "first_order_undirected": lambda s, d: rounded(blocks.first_order_measures(*raw_graph(s, d), directed=False)),
+    "twins": lambda s, d: ego.twins(*reduced_graph(s, d, SPARSE)),
 }
 
 
@@ -133,6 +139,16 @@ ORACLES = {
     "whole_graph_undirected": undirected_features_sql(),
     "top_bottom_nodes": f"""with {CHAIN} select * from (select 'highest' as which, node, round(score, 6) + 0.0 as score from sc order by sc.score desc, node limit 1) a
         union all select * from (select 'lowest', node, round(score, 6) + 0.0 from sc order by sc.score, node limit 1) b""",
+    "triangles": f"""with {sql_graph()}, n as (select x.src as a, x.dst as b from u x where x.src < x.dst),
+        t as (select x.a, x.b, y.b as c from n x join n y on y.a = x.b join n z on z.a = x.a and z.b = y.b)
+        select a, b, c, (select count(*) from e where src in (a, b, c) and dst in (a, b, c)) as edges from t""",
+    **{f"first_order_{name}": f"""with {sql_graph()}, s as (select v.node, count(u.dst) as n from v left join u on u.src = v.node group by v.node),
+        k as (select x.src as node, count(*) as c from u x join {links} l on l.src = x.dst join u y on y.src = x.src and y.dst = l.dst group by x.src)
+        select s.node, round(case when n > 1 then coalesce(c, 0) / (n * (n - 1)) else 0 end, 6) + 0.0 as measure_{b}, n * (n - 1) as size_{b} from s left join k on k.node = s.node"""
+       for name, links, b in (("directed", "e", "11"), ("undirected", "u", "3"))},
+    "twins": f"""with {sql_graph(SPARSE)}, nb as (select v.node, count(u.dst) as n, list((u.dst, exists (select 1 from e where e.src = v.node and e.dst = u.dst), exists (select 1 from e where e.dst = v.node and e.src = u.dst)) order by u.dst) filter (u.dst is not null) as near
+            from v left join u on u.src = v.node group by v.node)
+        select node, case when n > 16 then node else min(node) over (partition by coalesce(cast(near as varchar), ''), n > 16) end as twin from nb""",
     "extreme_egos": f"""with {CHAIN}, t as (select * from (select 'highest' as which, node as ego from sc order by score desc, node limit 1) a
         union all select * from (select 'lowest', node from sc order by score, node limit 1) b) select which, t.ego, r.node, r.role from t join r on r.ego = t.ego""",
 }

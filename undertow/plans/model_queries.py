@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.functions import labels
 from undertow.functions.labels import NOT_CLASSIFIED, TARGETS
-from undertow.operators import communities, synthetic
+from undertow.operators import communities, synthetic, tree_grid
 from undertow.operators.blocks import measures
+from undertow.operators.features import FEATURES
 from undertow.operators.graph import both_ways
-from undertow.operators.models import MEASURES, IsolationForest
+from undertow.operators.models import FACTOR, HASHES, MEASURES, SAMPLE, SEED, STEP, TREES, IsolationForest
 from undertow.plans import workflows
-from undertow.plans.fixtures import CUTOFFS, DENSE, labelled, raw_graph, reduced_graph, sql_graph, sql_measures, sql_roles
-from undertow.plans.graph_queries import rounded
+from undertow.plans.fixtures import CUTOFFS, DENSE, labelled, raw_graph, reduced_graph, sql_graph, sql_measures, sql_roles, sql_tx
+from undertow.plans.graph_queries import CHAIN, rounded, undirected_features_sql
 from undertow.sources import tables
 from undertow.sources.stage import stage_path, staged
 
@@ -62,7 +64,37 @@ def _modularity(spark, sf: str) -> DataFrame:
 
 def _forest(spark, sf: str) -> DataFrame:
     rows = staged(measures(*reduced_graph(spark, sf), True), "measures")
-    return IsolationForest().fit(rows).transform(rows)
+    return IsolationForest().fit(rows, key=F.col("node")).transform(rows)
+
+
+def _forest_sql() -> str:
+    """CTEs that follow the forest over m: the sample, the trees level by level, every row's way down, and sc (node, anomaly_score)."""
+    take = lambda shift: f"(node % {HASHES} * {FACTOR} + cast({shift} as bigint) * {STEP * FACTOR % HASHES}) % {HASHES}"
+    values = f"[{', '.join(MEASURES)}]"
+    depth = int(np.ceil(np.log2(SAMPLE)))
+    path = "case when n <= 1 then 0 when n = 2 then 1 else 2 * (ln(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n end"
+    parts = [
+        f"rw as (select node, {values} as x from m)",
+        f"ch as (select * from rw order by {take(SEED)}, node limit {TREES * SAMPLE})",
+        f"l0 as materialized (select tree, x, 1 as code from (select tree, x, row_number() over (partition by tree order by {take(f'tree + {SEED}')}, node) as r from ch, (select unnest(range({TREES})) as tree)) q where r <= {SAMPLE})",
+        f"lim as (select least({depth}, ceil(log2(greatest(2, least({SAMPLE}, (select count(*) from ch)))))) as lim, least({SAMPLE}, (select count(*) from ch)) as n)",
+    ]
+    for i in range(depth):
+        ends = ", ".join(f"{{'i': {c + 1}, 'low': min(x[{c + 1}]), 'high': max(x[{c + 1}])}}" for c in range(len(MEASURES)))
+        parts.append(f"""n{i} as materialized (select tree, code, n, d, u, vary[u % greatest(1, len(vary)) + 1] as f from (
+            select tree, code, count(*) as n, {i} as d, (cast(tree as bigint) * {STEP} + code) * {FACTOR} % {HASHES} as u, list_filter([{ends}], lambda e: e.high > e.low) as vary from l{i} group by tree, code) q)""")
+        parts.append(f"c{i} as materialized (select tree, code, f.i as i, f.low + u / {HASHES}.0::double * (f.high - f.low) as cut from n{i}, lim where f is not null and d < lim.lim)")
+        parts.append(f"l{i + 1} as materialized (select l.tree, x, 2 * l.code + cast(x[c.i] > c.cut as integer) as code from l{i} l join c{i} c on c.tree = l.tree and c.code = l.code)")
+    parts.append(f"n{depth} as (select tree, code, count(*) as n, {depth} as d from l{depth} group by tree, code)")
+    cuts = " union all ".join(f"select tree, code, i, cut from c{i}" for i in range(depth))
+    ends = " union all ".join([*(f"select n.tree, n.code, n.n, n.d from n{i} n left join c{i} c on c.tree = n.tree and c.code = n.code where c.tree is null" for i in range(depth)), f"select tree, code, n, d from n{depth}"])
+    parts += [f"ct as materialized ({cuts})", f"lf as materialized (select tree, code, d + {path} as path from ({ends}) q)", f"w0 as (select node, x, tree, 1 as code from rw, (select unnest(range({TREES})) as tree))"]
+    for i in range(depth):
+        parts.append(f"w{i + 1} as materialized (select node, x, w.tree, case when ct.i is null then w.code else 2 * w.code + cast(x[ct.i] > ct.cut as integer) end as code from w{i} w left join ct on ct.tree = w.tree and ct.code = w.code)")
+    scale = f"greatest((select {path} from lim), 1e-12) * {TREES}"
+    # The empty side of a cut at the upper end is a leaf of no rows.
+    parts.append(f"sc as (select node, -power(2.0, -sum(coalesce(path, floor(log2(w.code)))) / ({scale})) as anomaly_score from w{depth} w left join lf on lf.tree = w.tree and lf.code = w.code group by node)")
+    return ", ".join(parts)
 
 
 def _anomaly_areas(spark, sf: str) -> DataFrame:
@@ -70,7 +102,7 @@ def _anomaly_areas(spark, sf: str) -> DataFrame:
 
 
 def _outliers(spark, sf: str) -> DataFrame:
-    found = IsolationForest().predict(_forest(spark, sf))
+    found = IsolationForest().predict(rounded(_forest(spark, sf)))
     return found.select("node", "anomaly_score", labels.outlier_label(F.col("prediction")).alias("outlier"), F.abs("anomaly_score").alias("anomaly"))
 
 
@@ -86,6 +118,17 @@ def _supervised(method: str):
     return query
 
 
+def _first_cuts(spark, sf: str) -> DataFrame:
+    """Every cell's first cut over all rows, with its share of positives."""
+    v, e = reduced_graph(spark, sf)
+    rates = labels.account_rates(labelled(spark, sf))
+    table = staged(rounded(workflows.supervised_table(v, e, measures(v, e, True), rates).select("node", *FEATURES)), "supervised")
+    bins = table.select("node", tree_grid.binned(table, tree_grid.bin_edges(table, FEATURES), FEATURES).alias("bins"))
+    long = labels.threshold_labels(rates, CUTOFFS).join(bins, "node").withColumn("code", F.lit(1).cast("long"))
+    cuts = tree_grid.best_cuts(staged(long, "grid"), ["cutoff", "target"])
+    return rounded(cuts.select("cutoff", "target", F.get(F.array(*map(F.lit, FEATURES)), F.col("f")).alias("feature"), F.col("b").alias("bin"), "gain"))
+
+
 def _synthetic(part: int):
     return lambda s, d: synthetic.synthetic_network(s, synthetic.BARABASI, N, M, 0, PATTERNS_)[part]
 
@@ -123,10 +166,11 @@ QUERIES = {
     "louvain_checks": _louvain_checks,
     "louvain_first_moves": _first_moves,
     "modularity": _modularity,
-    "isolation_scores": lambda s, d: _forest(s, d).select("node", *MEASURES, "anomaly_score"),
+    "isolation_scores": lambda s, d: rounded(_forest(s, d).select("node", *MEASURES, "anomaly_score")),
     "isolation_outliers": _outliers,
     "isolation_areas": _anomaly_areas,
     "tree_auc": _supervised("tree"),
+    "tree_first_cuts": _first_cuts,
     "boosting_auc": _supervised("boosting"),
     "synthetic_graph": _synthetic(1),
     "synthetic_labels": _synthetic(0),
@@ -140,7 +184,31 @@ QUERIES = {
     "planted_pattern_edges": _planted,
     "parameter_grid": _grid,
 }
+
+
+def _first_cuts_sql() -> str:
+    from undertow.plans.label_queries import LAB, RAW, UNPIVOT
+
+    features = f"ft as ({undirected_features_sql(CHAIN)})"
+    columns = ", ".join(f"coalesce(ft.{c}, -2) + 0.0 as {c}" for c in FEATURES)
+    values = " union all ".join(f"select node, {i} as f, {c}::double as x from tb" for i, c in enumerate(FEATURES))
+    at = ", ".join(f"{i} / 32.0" for i in range(1, 32))
+    gini = lambda p, n: f"2 * ({p}::double / {n}) * (1 - {p}::double / {n})"
+    return f"""with {sql_tx()}, {LAB}, ra as ({RAW}), {features}, tb as (select ra.node, {columns} from ra left join ft on ft.node = ra.node),
+        vl as materialized ({values}), ed as (select f, quantile_cont(x, [{at}]) as q from vl group by f),
+        bn as materialized (select node, vl.f, len(list_filter(list_distinct(q), lambda e: vl.x > e)) as b from vl join ed on ed.f = vl.f),
+        j as (select *, 0 as score from ra), lg as (select node, target, cutoff, cast(rate > cutoff as integer) as label from ({UNPIVOT}) y, (select unnest([{", ".join(map(str, CUTOFFS))}]::double[]) as cutoff) z),
+        ct as (select cutoff, target, f, b, count(*) as n, sum(label) as p from lg join bn on bn.node = lg.node group by all),
+        sm as (select *, sum(n) over w as n1, sum(p) over w as p1, sum(n) over t as n0, sum(p) over t as p0 from ct window w as (partition by cutoff, target, f order by b rows unbounded preceding), t as (partition by cutoff, target, f)),
+        gn as (select cutoff, target, f, b, round({gini("p0", "n0")} - n1::double / n0 * {gini("p1", "n1")} - (n0 - n1)::double / n0 * {gini("(p0 - p1)", "(n0 - n1)")}, 12) as gain from sm where n1 >= 10 and n0 - n1 >= 10)
+        select cutoff, target, ([{", ".join(f"'{c}'" for c in FEATURES)}])[f + 1] as feature, b as bin, round(gain, 6) + 0.0 as gain from gn where gain > 0
+        qualify row_number() over (partition by cutoff, target order by gain desc, f, b) = 1"""
+
+
+_FOREST = f"with {sql_graph(DENSE)}, {sql_roles(True)}, {sql_measures(True)}, {_forest_sql()}"
 ORACLES = {
+    "isolation_scores": f"{_FOREST} select m.node, {', '.join(f'round({m}, 6) + 0.0 as {m}' for m in MEASURES)}, round(anomaly_score, 6) + 0.0 as anomaly_score from m join sc on sc.node = m.node",
+    "isolation_outliers": f"{_FOREST} select node, round(anomaly_score, 6) as anomaly_score, cast(round(anomaly_score, 6) < -0.5 as integer) as outlier, abs(round(anomaly_score, 6)) as anomaly from sc",
     "connected_components": f"""with recursive {sql_graph()}, reach(node, other) as (select node, node from v union select reach.node, u.dst from reach join u on u.src = reach.other)
         select node, min(other) as component from reach group by node""",
     "modularity": f"""with {sql_graph()}, pl as (select src % {DENSE} as a, dst % {DENSE} as b from e), dg as (select c, count(*)::double as d from (select a as c from pl union all select b from pl) x group by c)
@@ -154,6 +222,7 @@ ORACLES = {
         lost as (select a.node, sum(cast(b.node = a.target as integer) + cast(b.target = a.node as integer)) as lost
                  from c a join u on u.src = a.node join c b on b.node = u.dst where (b.place, b.node) < (a.place, a.node) group by a.node)
         select j.node, target from j left join lost on lost.node = j.node, m where gain - 10 * k * joined - 2 * m * coalesce(lost, 0) > 0""",
+    "tree_first_cuts": _first_cuts_sql(),
     "synthetic_assembled_counts": "select 1000 + 3 * (6 + 4) as nodes, 54 as laundering, 18 as separate, 18 as new_mules, 18 as existing_mules, 3 * 3 * 8 as planted_edges, 0 as loops",
     "erdos_renyi_complete": "select a.range as source, b.range as target from range(60) a join range(60) b on a.range < b.range",
     "watts_strogatz_ring": "select a.range as source, (a.range + b.range + 1) % 200 as target from range(200) a, range(3) b",
