@@ -148,7 +148,9 @@ def test_huge_components_take_part(spark):
     part = {i: [max(-(2**1000), min(2**1000, int(c * 1024 // 1))) if abs(c) < 1e300 else int(math.copysign(2**1000, c)) for c in v] for i, v in rows if i != 4}
     for q in (0, 100, 200):
         clip = lambda s: max(-(2**63), min(2**63 - 1, s))
-        want = sorted((-clip(sum(a * b for a, b in zip(part[q], w, strict=True))), i) for i, w in part.items() if i != q)
+        # Exact scores rank; what is returned lies within a long.
+        exact = sorted((-sum(a * b for a, b in zip(part[q], w, strict=True)), i) for i, w in part.items() if i != q)
+        want = [(-clip(-s), i) for s, i in exact]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
 
 
@@ -180,6 +182,36 @@ def test_rings_that_matter(clustered):
     assert share < 0.15 if clustered else share <= 1
 
 
+@pytest.mark.parametrize("most", [2**10, 2**25, 2**28, 2**39, 2**45])
+def test_scores_are_exact(most):
+    """In each way of multiplying; rows of different lengths."""
+    rng = np.random.default_rng(most % 97)
+    q, x = rng.integers(-most, most, (5, 70)).astype(float), rng.integers(-most, most, (9, 64)).astype(float)
+    want = [[sum(int(a) * int(b) for a, b in zip(r, s, strict=False)) for s in x] for r in q]
+    assert [[int(v) for v in row] for row in vector_search.scores(q, x)] == want
+
+
+def test_scores_beyond_a_long_are_ranked_exactly(spark):
+    rows = [(100, [2.0**40]), (1, [2.0**30]), (2, [2.0**31]), (3, [2.0**32]), (4, [-(2.0**32)]), (5, [-(2.0**30)]), (6, [0.0]), (200, [-(2.0**41)])]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), query_part=1, data_part=1, pivots=2).collect()
+    by_score = {100: [3, 2, 1, 6, 5, 4, 200], 200: [4, 5, 6, 1, 2, 3, 100]}
+    for q, want in by_score.items():
+        found = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in found] == want
+        assert found[0].score == 2**63 - 1 and found[-1].score == -(2**63)
+
+
+def test_one_long_vector(spark):
+    """It lengthens no other row, and its own components all count."""
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(1000, rng.normal(size=300_000).tolist()), (1001, [0.0] * 299_999 + [50.0]), (1100, [])]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=3).collect()
+    whole = {i: [math.floor(1024 * c) for c in v] for i, v in rows}
+    for q in (0, 100, 300, 1000, 1100):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q)[:3]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
 # Queries
 
 
