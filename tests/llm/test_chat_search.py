@@ -223,5 +223,6 @@ def test_oracles(spark, sf):
             want, got = c.sql(sql).df(), registry.queries()[name](spark, sf).toPandas()
             columns = sorted(want.columns)
             assert sorted(got.columns) == columns
-            one, two = (sorted(map(tuple, d[columns].astype(str).to_numpy())) for d in (got, want))
+            # A column of nulls alone has another type in either.
+            one, two = (sorted(map(tuple, d[columns].astype(object).where(d[columns].notna(), None).astype(str).to_numpy())) for d in (got, want))
             assert one == two, name
