@@ -708,27 +708,34 @@ def test_label_model_matches_brute_force():
     rng = np.random.default_rng(1)
     patterns = np.unique(rng.integers(-1, 2, (40, 3)), axis=0)
     counts = rng.integers(1, 50, len(patterns)).astype(float)
-    member = []
-    for p in patterns:
-        share = (sum(v == 1 for v in p) + 1) / (sum(v != 0 for v in p) + 2)
-        faults = sum(v == -1 for v in p)
-        member.append([*((1 - share) * ((v == -1) / faults if faults else 1 / 3) for v in p), share])
+    chance, prior = rng.random((2, 3)).tolist(), [0.3, 0.7]
+    got = quality.expectation_maximisation(
+        (patterns == -1).astype(float), (patterns == 1).astype(float), counts, np.array(chance), np.array(prior), 7
+    )
     for _ in range(7):
-        prior = [(sum(c * m[k] for c, m in zip(counts, member, strict=True)) + 1) / (counts.sum() + 4) for k in range(4)]
-        chance = [[0.0] * 3 for _ in range(4)]
-        for k in range(4):
+        member, logs = [], []
+        for p in patterns:
+            likely = [prior[k] * math.prod([chance[k][j] if v == -1 else 1 - chance[k][j] for j, v in enumerate(p) if v]) for k in range(2)]
+            member.append([x / sum(likely) for x in likely])
+            logs.append(math.log(sum(likely)))
+        for k in range(2):
+            prior[k] = (sum(c * m[k] for c, m in zip(counts, member, strict=True)) + 1) / (counts.sum() + 2)
             for j in range(3):
                 bad_votes = sum(c * m[k] for c, m, p in zip(counts, member, patterns, strict=True) if p[j] == -1)
                 all_votes = sum(c * m[k] for c, m, p in zip(counts, member, patterns, strict=True) if p[j] != 0)
-                chance[k][j] = min(max((bad_votes + (0.1 if k == 3 else 1)) / (all_votes + 2), 1e-4), 1 - 1e-4)
-        member = []
-        for p in patterns:
-            likely = [prior[k] * math.prod([chance[k][j] if v == -1 else 1 - chance[k][j] for j, v in enumerate(p) if v]) for k in range(4)]
-            member.append([x / sum(likely) for x in likely])
-    posterior, found, got = quality.label_model(patterns, counts, rounds=7)
-    assert posterior == pytest.approx([m[3] for m in member])
-    assert found == pytest.approx(np.array(chance))
-    assert got == pytest.approx(prior)
+                chance[k][j] = (bad_votes + 0.5) / (all_votes + 1)
+    for one, two in zip(got, (member, chance, prior, logs), strict=True):
+        assert one == pytest.approx(np.array(two))
+
+
+def test_one_bad_vote_alone_may_be_overruled(spark):
+    """A labeller that often votes bad alone is doubted; votes that come together are believed. The order of patterns doesn't matter."""
+    patterns = np.array([[1, 1, 1, 1], [-1, 1, 1, 1], [-1, -1, -1, 1], [1, -1, -1, 1], [0, 0, 0, 0]])
+    counts = np.array([800.0, 60, 70, 60, 10])
+    posterior, _, _ = quality.label_model(patterns, counts)
+    assert (posterior >= 0.5).tolist() == [True, True, False, False, True]
+    turned = quality.label_model(patterns[::-1], counts[::-1])[0]
+    assert turned[::-1] == pytest.approx(posterior)
 
 
 def test_quality_scores_match_brute_force(spark, documents):

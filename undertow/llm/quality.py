@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from undertow.llm.common import Lookup, kept_in_worker, read_table, text_blocks, written
 from undertow.llm.linear import BUCKETS, fit, sigmoid
 
-#: Documents of the sample that trains the scorer.
-SAMPLE = 4000
+#: Documents of the sample that trains the scorer, and most classes that the label model tries.
+SAMPLE, CLASSES = 4000, 8
 #: Shapes of plain words, but for one mark of punctuation at the end.
 PLAIN = {"a", "Aa", "A", "0", "Aa'a", "a'a", "a-a"}
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
@@ -105,30 +105,50 @@ def features(profile: Profile) -> list[int]:
     return sorted({crc32(n.encode()) % BUCKETS for n in names})
 
 
+def expectation_maximisation(
+    bad: np.ndarray, good: np.ndarray, counts: np.ndarray, chance: np.ndarray, prior: np.ndarray, rounds: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """After so many rounds, each pattern's share in the classes, the chance of a bad vote (class, labeller), the classes' shares, and
+    the logarithm of each pattern's likelihood before the last estimates. Given the class, votes are independent; no vote says nothing."""
+    for _ in range(rounds):
+        logs = np.log(prior) + bad @ np.log(chance).T + good @ np.log(1 - chance).T
+        top = logs.max(1, keepdims=True, initial=-1e300)
+        member = np.exp(logs - top)
+        total = member.sum(1, keepdims=True)
+        member /= total
+        weight = member * counts[:, None]
+        prior = (weight.sum(0) + 1) / (counts.sum() + len(prior))
+        chance = (weight.T @ bad + 0.5) / (weight.T @ (bad + good) + 1)
+    return member, chance, prior, (np.log(total) + top)[:, 0]
+
+
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of the patterns, the chance that each labeller votes bad when it votes (class, labeller), and the classes'
-    shares. patterns: rows of votes in -1, 0, 1. The last class is that of good texts; before it stands a class of bad texts
-    for each labeller.
+    """The chance that a text of each pattern is good, the chance that each labeller votes bad when it votes (class, labeller), and
+    the classes' shares; the largest good class stands last. patterns: rows of votes in -1, 0, 1.
 
-    No vote says nothing. A fault shows to the labellers that look for its kind and to no others, so there is a class for each
-    kind, and a labeller's votes are independent given the class. All chances are estimated, for good texts as for each kind
-    of bad ones. At the start a text is as good as the share of its good votes, and its faults are of the kinds voted for.
+    How many classes there are goes by the likelihood, less the logarithm of the texts for each two estimates (Schwarz's rule). A
+    class is added where the classes so far explain most texts worst, and then all are estimated again; nothing ties a class to a
+    labeller, so labellers witness each other's classes. A class is one of bad texts if some labeller votes bad on most of it.
     """
-    bad, good = (patterns == -1).astype(float), (patterns == 1).astype(float)
-    kinds = patterns.shape[1]
-    share = (good.sum(1, keepdims=True) + 1) / (good.sum(1, keepdims=True) + bad.sum(1, keepdims=True) + 2)
-    voted = np.where(bad.any(1, keepdims=True), bad / np.maximum(1, bad.sum(1, keepdims=True)), 1 / kinds)
-    member = np.column_stack([(1 - share) * voted, share])
-    for _ in range(rounds):
-        weight = member * counts[:, None]
-        prior = (weight.sum(0) + 1) / (counts.sum() + kinds + 1)
-        # Prior counts: a labeller that rarely votes is no judge of bad texts and raises few false alarms.
-        chance = (weight.T @ bad + np.append(np.ones(kinds), 0.1)[:, None]) / (weight.T @ (bad + good) + 2)
-        chance = np.clip(chance, 1e-4, 1 - 1e-4)
-        logs = np.log(prior) + bad @ np.log(chance).T + good @ np.log(1 - chance).T
-        member = np.exp(logs - logs.max(1, keepdims=True, initial=-1e300))
-        member /= member.sum(1, keepdims=True)
-    return member[:, -1], chance, prior
+    if not len(patterns):
+        return np.zeros(0), np.zeros((0, patterns.shape[1])), np.zeros(0)
+    order = np.lexsort(patterns.T)
+    bad, good, sizes, n = (patterns[order] == -1).astype(float), (patterns[order] == 1).astype(float), counts[order], counts.sum()
+    chance, prior, best = np.full((1, patterns.shape[1]), 0.05), np.ones(1), None
+    for classes in range(1, CLASSES + 1):
+        found = expectation_maximisation(bad, good, sizes, chance, prior, rounds)
+        cost = classes * (patterns.shape[1] + 1) * np.log(n) - 2 * (sizes * found[3]).sum()
+        if best is None or cost < best[0]:
+            best = cost, found
+        worst = int(np.argmax(sizes * (np.log(sizes / n) - found[3])))
+        new = np.where(bad[worst] > 0, 0.9, np.where(good[worst] > 0, 0.1, 0.5))
+        chance, prior = np.vstack([found[1], new]), np.append(found[2] * 0.9, 0.1)
+    member, chance, prior, _ = best[1]
+    clean = (chance <= 0.5).all(1)
+    posterior = np.empty(len(patterns))
+    posterior[order] = member[:, clean].sum(1)
+    last = np.lexsort((prior, clean))
+    return posterior, chance[last], prior[last]
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
