@@ -760,3 +760,28 @@ def test_quality_on_messy_tables(messy, empty):
     assert len(rows) == len(TEXTS)
     assert all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in rows)
     assert quality.quality(empty).count() == 0
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    """The scores of the query are those of the linear model over each text's features, in plain loops."""
+    bad, good = "you stupid idiot go away now", "the river runs past the old mill"
+    rows = [(i, f"{bad if i % 4 == 0 else good} {i % 13} {'women' if i % 3 else 'men'} say so.", int(i % 4 == 0)) for i in range(240)] + [(999, None, None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    weights, bias = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        z = bias + sum(weights[f] for f in set(toxicity.features(toxicity.words(text or "")).tolist()))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+        assert got[i].predicted == int(got[i].score >= 0.5)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_sentences_of_a_text_are_bounded():
+    swaps = toxicity.Swaps(toxicity.IDENTITIES)
+    text = ". ".join(f"women number{i} walk" for i in range(1000))
+    found = swaps.pairs(text)
+    assert len(found) == toxicity.PAIRS
+    numbers = sorted(int(w[6:]) for s, _ in found for w in s if w.startswith("number"))
+    assert numbers[0] < 50 and numbers[-1] > 950

@@ -9,7 +9,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.sources.stage import stage_path
@@ -32,12 +32,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str, per_core: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    per_core: how many files, made by a task each, the table has for each core of the cluster at most; for tables that are
-    small beside the texts.
+    per_core: how many files, made by a task each, the table has for each core of the cluster at most, for tables that are small
+    beside the texts; but never less than an eighth of the partitions that the session shuffles to, since a cluster may have few
+    cores when a plan is made and more when it runs.
     """
     spark = df.sparkSession
     if per_core:
-        df = df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism))
+        least = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8
+        df = df.coalesce(max(1, least, per_core * spark.sparkContext.defaultParallelism))
     path = stage_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,8 +60,10 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_hash: Column, re
     kept = keyed.join(named, keyed[own_id].eqNullSafe(named["gone_id_"]) & (keyed[own_hash] == named["gone_hash_"]), "left_anti")
     if not repeated:
         return kept.select(*docs.columns)
-    once = Window.partitionBy(own_id, own_hash).orderBy(F.lit(1))
-    return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
+    # Equal rows meet within the tasks first; of each group the first row's number there is left, and goes to its row.
+    numbered = written(kept.withColumn(nth, F.monotonically_increasing_id()), "kept")
+    first = numbered.groupBy(own_id, own_hash).agg(F.min(nth).alias(nth)).select(nth)
+    return numbered.join(first, nth, "left_semi").select(*docs.columns)
 
 
 def public_tokenizer(name: str) -> str:

@@ -33,6 +33,8 @@ from undertow.llm.linear import BUCKETS, fit, sigmoid
 SAMPLE = 3000
 #: How much a squared change of score between counterfactuals counts beside the log loss.
 PAIR_PENALTY = 1.0
+#: Sentences with an identity term that a text of the training sample gives at most.
+PAIRS = 64
 FOLDS, HELD = 5, 0
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»“”„…"
 #: Identity terms, by kind and language; a term is swapped for another of its kind and language. The default of a parameter.
@@ -81,8 +83,10 @@ class Swaps:
         """The words of each sentence that has an identity term, as they are and with its terms swapped."""
         if not text or not self.kind.keys() & words(text):
             return []
-        sentences = map(words, _SENTENCE_END.split(text))
-        return [(s, {self.other(w) if w in self.kind else w for w in s}) for s in sentences if s & self.kind.keys()]
+        named = [s for s in map(words, _SENTENCE_END.split(text)) if s & self.kind.keys()]
+        # Of a text that names groups throughout, sentences from all over it.
+        some = named if len(named) <= PAIRS else [named[i * len(named) // PAIRS] for i in range(PAIRS)]
+        return [(s, {self.other(w) if w in self.kind else w for w in s}) for s in some]
 
 
 def remainder(id_col: str = "doc_id", folds: int = FOLDS):
