@@ -3,8 +3,8 @@
 The reference is the whole corpus, in blocks, indexed by content: the windows of ``window`` words that share a minimiser (the
 least hash among their eight-word grams) make one phrase, and the index holds the phrases of all blocks by minimiser. So a
 phrase of a document meets exactly those reference blocks that can hold any of its windows, instead of being scanned against
-all. A phrase that an earlier place of the reference holds whole is a match with that place. A document is parsed from left to
-right: a factor starts at a match and is extended, greedily, by the matches that go on at the same place of the reference.
+all. A phrase that an earlier place of the reference holds whole is a match with that place; matches that go on at the same place
+are one. What may go is what they cover. The factors that are told (factors()) are parsed from left to right and don't overlap.
 Phrases without a match are literals as a whole, but where another phrase shares their minimiser they may still overlap it:
 such factor boundaries are checked window by window, over whole windows, against all other boundary phrases. What factors and
 repeated boundary windows cover are the duplicate spans.
@@ -412,16 +412,75 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int =
     return found.mapInArrow(remove, schema)
 
 
+#: A run of windows: where it starts and ends, and where the reference holds its start.
+RUN = ["uid", "start", "end", "ref", "place"]
+
+
+def along(own: np.ndarray, theirs: np.ndarray, shift: int, window: int) -> list[tuple[int, int]]:
+    """Runs of windows (start, end) of words that stand in theirs shift words further, as long as they are."""
+    low, high = max(0, -shift), min(len(own), len(theirs) - shift)
+    if high - low < window:
+        return []
+    same = np.concatenate([[False], own[low:high] == theirs[low + shift : high + shift], [False]])
+    edges = np.flatnonzero(same[1:] != same[:-1])
+    return [(low + x, low + y - window + 1) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if y - x >= window]
+
+
+def furthest(runs: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """Factors (start, length in words, ref, place) from left to right: at each word the run (start, end, ref, place of start) that
+    goes on furthest from there, ties to the least place; the next factor begins behind its last word."""
+    found, at, open_, next_ = [], 0, [], 0
+    runs = sorted(runs)
+    while True:
+        while next_ < len(runs) and runs[next_][0] <= at:
+            open_.append(runs[next_])
+            next_ += 1
+        open_ = [r for r in open_ if r[1] > at]
+        if not open_:
+            if next_ == len(runs):
+                return found
+            at = runs[next_][0]
+            continue
+        start, end, ref, place = min(open_, key=lambda r: (-r[1], r[2], r[3] + at - r[0]))
+        found.append((at, end - at + window - 1, ref, place + at - start))
+        at = end + window - 1
+
+
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many: int = MANY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ref_id, ref_start: each factor of a document, in words, and the earlier place that holds it."""
+    """doc_id, start, length, ref_id, ref_start: each factor of a document, in words, and the earlier place that holds it.
+
+    Factors don't overlap. Candidates are the places that some phrase matches: the texts are compared word by word along each of
+    them, and at each word the run that goes on furthest is the factor. A longer match is missed only where none of its phrases
+    has its first place in the document that holds it, or where it holds no whole phrase.
+    """
     found, ids = _by_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    matches = spans(found, window, gram, many).select("uid", F.explode("spans").alias("s")).where(F.col("s.kind") == COPY)
+    places = written(
+        matches.select("uid", "s.ref", (F.col("s.at") - F.col("s.start")).alias("shift")).groupBy("uid", "ref").agg(F.collect_set("shift").alias("shifts")),
+        "places",
+    )
+    texts = found.select("uid", "text")
+    pairs = places.join(texts, "uid").join(texts.select(F.col("uid").alias("ref"), F.col("text").alias("theirs")), "ref")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uid, ref, shifts, own, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, two = (word_hashes(split(t)) for t in (own, theirs))
+                rows += [(uid, a, b, ref, a + shift) for shift in shifts for a, b in along(one, two, shift, window)]
+            if rows:
+                yield _as_batch([np.array(c) for c in zip(*rows, strict=True)], RUN)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, start, length, ref, at = Pieces(batch.column(1)).factors()
-            yield _as_batch([batch.column(0).to_numpy()[doc], start, length + window - 1, ref, at], ["uid", "start", "length", "ref", "at"])
+            for uid, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [(uid, *f) for f in furthest([tuple(r[c] for c in RUN[1:]) for r in runs], window)]
+                yield _as_batch([np.array(c) for c in zip(*rows, strict=True)], ["uid", "start", "length", "ref", "at"])
 
-    rows = spans(found, window, gram, many).mapInArrow(run, "uid long, start long, length long, ref long, at long")
+    runs = pairs.select("uid", "ref", "shifts", "text", "theirs").mapInArrow(follow, ", ".join(f"{n} long" for n in RUN))
+    rows = runs.groupBy("uid").agg(F.collect_list(F.struct(*RUN[1:])).alias("runs")).mapInArrow(
+        choose, "uid long, start long, length long, ref long, at long"
+    )
     if ids is None:
         return rows.select(F.col("uid").alias("doc_id"), "start", "length", F.col("ref").alias("ref_id"), F.col("at").alias("ref_start"))
     refs = ids.select(F.col("uid").alias("ref"), F.col("doc_id").alias("ref_id"))
