@@ -14,7 +14,7 @@ from undertow.operators import models
 from undertow.plans import file_queries, registry, workflows
 from undertow.sources import tables
 
-TABLES = ("customer", "orders", "events")
+TABLES = ("customer", "orders", "events", "region")
 
 
 @pytest.mark.parametrize(
@@ -24,10 +24,17 @@ TABLES = ("customer", "orders", "events")
             *file_queries.ORACLES,
             "model_order",
             "induced_edges",
+            "result_log",
+            "time_log",
+            "pattern_file_rows",
+            "louvain_checks",
+            "louvain_first_moves",
+            "isolation_scores",
+            "tree_first_cuts",
+            "triangles",
+            "twins",
             "connected_components",
             "synthetic_assembled_counts",
-            "erdos_renyi_complete",
-            "watts_strogatz_ring",
             "loaded_measures",
         }
     ),

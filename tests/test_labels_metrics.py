@@ -19,13 +19,29 @@ def test_money_text(spark):
     assert [r.m for r in rows][:6] == ["1.50", "3.00", "1234.567", "0.00", "1.5e-05", "100.00"]
 
 
-def test_pattern_file(spark):
+def pattern_rows(spark, path, *texts):
+    path.mkdir()
+    for i, text in enumerate(texts):
+        (path / f"{i}.txt").write_text(text)
+    return tables.pattern_rows(spark, str(path))
+
+
+@pytest.mark.parametrize("block", [None, 8])
+def test_pattern_file(spark, tmp_path, block):
+    """Read whole, or in blocks that end anywhere."""
     text = "x\nBEGIN A - STACK: 3\n1,2\n\n3,4\nEND A\n5,6\nBEGIN - FAN-IN\n7,8\nEND"
-    rows = tables.pattern_rows(spark.createDataFrame([(text,)], "value string")).collect()
-    assert sorted((r.identifier, r.pattern) for r in rows) == [("", "STACK"), ("1,2", "STACK"), ("3,4", "STACK"), ("7,8", "FAN-IN")]
-    with pytest.raises(Exception, match="unknown pattern"):
-        tables.pattern_rows(spark.createDataFrame([("BEGIN A - ODD\n1\nEND",)], "value string")).collect()
-    assert tables.pattern_rows(spark.createDataFrame([("BEGIN A - ODD\nEND",), ("",)], "value string")).count() == 0
+    conf = {"spark.sql.files.maxPartitionBytes": str(block), "spark.sql.files.openCostInBytes": "1"} if block else {}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = pattern_rows(spark, tmp_path / "one", text, "1,1\nBEGIN - CYCLE\n9,9\n").collect()
+        with pytest.raises(Exception, match="unknown pattern"):
+            pattern_rows(spark, tmp_path / "odd", "BEGIN A - ODD\n1\nEND").collect()
+        assert pattern_rows(spark, tmp_path / "none", "BEGIN A - ODD\nEND", "").count() == 0
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted((r.identifier, r.pattern) for r in rows) == [("", "STACK"), ("1,2", "STACK"), ("3,4", "STACK"), ("7,8", "FAN-IN"), ("9,9", "CYCLE")]
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -107,9 +107,10 @@ def _merged_money(spark, sf: str) -> DataFrame:
 
 
 def _append_log(spark, sf: str) -> DataFrame:
+    """A line for each region, one after the other."""
     path = stage_path(spark, "log")
-    for key, value in (("one", "1.5"), ("two", "[0.5, 0.25]")):
-        tables.append_log(spark, path, key, value)
+    for r in table(spark, sf, "region").select("r_name", "r_regionkey").collect():  # five rows
+        tables.append_log(spark, path, r.r_name, str(r.r_regionkey))
     return spark.read.text(path)
 
 
@@ -210,7 +211,7 @@ ORACLES = {
     "measure_table_parquet": _MEASURES,
     "measure_table_csv": _MEASURES,
     "merged_money": f"with {sql_tx()} select tx_id, printf('%.2f', amount) as money from tx",
-    "appended_log": "select * from (values ('one: 1.5'), ('two: [0.5, 0.25]')) t(value)",
+    "appended_log": "select r_name || ': ' || r_regionkey as value from region",
     "synthetic_result_log": "select * from (values ('synthetic_a', 0, 0.5::double, 0.25::double), ('synthetic_a', 1, 1.0, 0.75), ('synthetic_b', 0, 0.125, 0.0)) t(dataset, place, roc, pr)",
     "merged_result_tables": f"""with a as ({area_sql("roc")}), b as ({area_sql("pr")})
         select cutoff, {", ".join(f'max(roc) filter (target = {chr(39)}{t}{chr(39)}) as "{t}_x"' for t in MATRIX)}, {", ".join(f'max(pr) filter (target = {chr(39)}{t}{chr(39)}) as "{t}_y"' for t in MATRIX)}

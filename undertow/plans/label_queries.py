@@ -13,7 +13,7 @@ from undertow.operators.split import stratified_split
 from undertow.plans.fixtures import CUTOFFS, DENSE, labelled, reduced_graph, sql_graph, sql_measures, sql_roles, sql_scores, sql_tx, table, transactions
 from undertow.plans.graph_queries import rounded
 from undertow.sources import tables
-from undertow.sources.stage import staged
+from undertow.sources.stage import stage_path, staged
 from undertow.sources.tables import PATTERNS
 
 BY = ["cutoff", "target"]
@@ -97,20 +97,42 @@ def area_matrix(spark, sf: str, metric: str = "roc") -> DataFrame:
     return tables.metric_matrix(long, metric, TARGETS)
 
 
-def _log(spark, lines: list[str]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in lines], "value string")
+def _lines(df: DataFrame, name: str) -> DataFrame:
+    """A text file of the table's lines (column value), read again."""
+    path = stage_path(df.sparkSession, name)
+    df.select("value").write.text(path)
+    return df.sparkSession.read.text(path)
+
+
+def _result_log(spark, sf: str) -> DataFrame:
+    """Every cell's areas through a log; missing ones are nan there."""
+    text = lambda c: F.coalesce(F.round(c, 6).cast("string"), F.lit("nan"))
+    found = metrics.areas(_long(spark, sf), BY)
+    key = F.concat_ws("_", F.lit("tables"), "target", F.col("cutoff").cast("string"))
+    lines = found.select(F.concat(key, F.lit(" [AUC-ROC, AUC-PR]: ["), text("roc"), F.lit(", "), text("pr"), F.lit("]")).alias("value"))
+    return tables.result_log(_lines(lines, "log"))
+
+
+def _time_log(spark, sf: str) -> DataFrame:
+    """Each event type's mean value through a log of times."""
+    found = table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("x"))
+    lines = found.select(F.concat("event_type", F.lit(": "), F.col("x").cast("string")).alias("value"))
+    return tables.time_log(_lines(lines, "log")).fillna(-1, ["size"])
+
+
+def _pattern_file(spark, sf: str) -> DataFrame:
+    """The laundering transactions of a pattern and a bank as an attempt in a pattern file."""
+    tx = transactions(spark, sf).where("is_laundering = 1 and pattern < 8").withColumn("identifier", F.concat_ws(",", "tx_id", "from_account", "to_account"))
+    name = F.get(F.array(*map(F.lit, PATTERNS)), F.col("pattern"))
+    attempts = tx.groupBy("pattern", "from_bank").agg(F.array_join(F.sort_array(F.collect_list("identifier")), "\n").alias("rows"))
+    lines = F.concat(F.lit("BEGIN LAUNDERING ATTEMPT - "), name, F.lit(":  Max 3\n"), "rows", F.lit("\nEND LAUNDERING ATTEMPT\n"), "rows")
+    path = stage_path(spark, "patterns")
+    attempts.select(lines.alias("value")).write.text(path)
+    return tables.read_patterns(spark, path)
 
 
 #: An order of event types, as models are listed.
 MODELS = ["view", "purchase", "click", "signup", "error"]
-RESULT_LINES = [
-    "HI-Small_Is Laundering_0.1 [AUC-ROC, AUC-PR]: [0.75, 0.5]",
-    "LI-Large_CYCLE_0.9 [AUC-ROC, AUC-PR]: [nan, nan]",
-    "HI-Small_FAN-IN_0.5 [AUC-ROC, AUC-PR]: [1, 0.25]",
-    "",
-]
-TIME_LINES = ["HI-Small: 12.5", "synthetic_Barabasi-Albert_10000_5_0.01_5: 3.25", "LI-Large: 1e3"]
-PATTERN_TEXT = "note\nBEGIN LAUNDERING ATTEMPT - FAN-OUT:  Max 3\n1,2,3\n1,2,4\nEND LAUNDERING ATTEMPT\n9,9,9\n\nBEGIN LAUNDERING ATTEMPT - CYCLE\n5,6\nEND\n"
 
 
 def _mean_by(side: str) -> str:
@@ -184,9 +206,9 @@ QUERIES = {
     "box_statistics": lambda s, d: rounded(metrics.box_statistics(table(s, d, "events"), ["event_type"], "value")),
     "row_chunks": _chunks,
     "stratified_split": _split,
-    "result_log": lambda s, d: tables.result_log(_log(s, RESULT_LINES)),
-    "time_log": lambda s, d: tables.time_log(_log(s, TIME_LINES)).fillna(-1, ["size"]),
-    "pattern_file_rows": lambda s, d: tables.one_hot(tables.pattern_rows(_log(s, [PATTERN_TEXT]))),
+    "result_log": _result_log,
+    "time_log": _time_log,
+    "pattern_file_rows": _pattern_file,
 }
 ORACLES = {
     "tx_identifiers": f"with {sql_tx()} select tx_id, concat_ws(',', tx_id, from_account, to_account, coalesce(cast(pattern as varchar), 'nan'), is_laundering) as identifier from tx",
@@ -232,7 +254,7 @@ ORACLES = {
     "row_chunks": f"with {sql_tx()}, o as (select tx_id, row_number() over (order by tx_id) - 1 as i, count(*) over () // 30 as z from tx) select tx_id, cast(least(i // z, 29) as integer) as chunk from o",
     "stratified_split": f"""with {LONG}, {ONE}, o as (select node, label, row_number() over (partition by label order by (node * 2654435761 + 1997 * 40503) % 2147483648, node) as rn, count(*) over (partition by label) as n from one)
         select node, label, rn <= round(0.3 * n) as is_test from o""",
-    "result_log": "select * from (values ('HI-Small', 'Is Laundering', 0.1::double, 0.75::double, 0.5::double), ('LI-Large', 'CYCLE', 0.9, 0.0, 0.0), ('HI-Small', 'FAN-IN', 0.5, 1.0, 0.25)) t(dataset, pattern, cutoff, roc, pr)",
-    "time_log": "select * from (values ('HI-Small', -1, 12.5::double), ('synthetic_Barabasi-Albert_10000_5_0.01_5', 10000, 3.25), ('LI-Large', -1, 1000.0)) t(dataset, size, seconds)",
-    "pattern_file_rows": f"""select i as identifier, {", ".join(f"cast(p = '{p}' as integer) as " + chr(34) + p + chr(34) for p in PATTERNS)} from (values ('1,2,3', 'FAN-OUT'), ('1,2,4', 'FAN-OUT'), ('5,6', 'CYCLE')) t(i, p)""",
+    "result_log": f"""with a as ({area_sql("roc")}), b as ({area_sql("pr")}) select 'tables' as dataset, target as pattern, cutoff, coalesce(roc, 0) as roc, coalesce(pr, 0) as pr from a join b using (cutoff, target)""",
+    "time_log": "select event_type as dataset, -1 as size, round(avg(value), 6) as seconds from events group by event_type",
+    "pattern_file_rows": f"""with {sql_tx()} select concat_ws(',', tx_id, from_account, to_account) as identifier, {", ".join(f"cast(pattern = {i} as integer) as " + chr(34) + p + chr(34) for i, p in enumerate(PATTERNS))} from tx where is_laundering = 1 and pattern < 8""",
 }

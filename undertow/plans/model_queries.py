@@ -178,8 +178,6 @@ QUERIES = {
     "synthetic_watts_strogatz": lambda s, d: synthetic.watts_strogatz(s, N, M, 0.01, 1997),
     "synthetic_benchmark_one_dataset": lambda s, d: workflows.synthetic_benchmark(s, [(synthetic.BARABASI, 100, 2, 0, 3)]),
     "synthetic_assembled_counts": _assembled_counts,
-    "erdos_renyi_complete": lambda s, d: synthetic.erdos_renyi(s, 60, 1.0, 1997),
-    "watts_strogatz_ring": lambda s, d: synthetic.watts_strogatz(s, 200, 3, 0.0, 1997),
     "loaded_measures": _loaded_measures,
     "planted_pattern_edges": _planted,
     "parameter_grid": _grid,
@@ -224,8 +222,6 @@ ORACLES = {
         select j.node, target from j left join lost on lost.node = j.node, m where gain - 10 * k * joined - 2 * m * coalesce(lost, 0) > 0""",
     "tree_first_cuts": _first_cuts_sql(),
     "synthetic_assembled_counts": "select 1000 + 3 * (6 + 4) as nodes, 54 as laundering, 18 as separate, 18 as new_mules, 18 as existing_mules, 3 * 3 * 8 as planted_edges, 0 as loops",
-    "erdos_renyi_complete": "select a.range as source, b.range as target from range(60) a join range(60) b on a.range < b.range",
-    "watts_strogatz_ring": "select a.range as source, (a.range + b.range + 1) % 200 as target from range(200) a, range(3) b",
     "loaded_measures": f"with {sql_graph(DENSE)}, {sql_roles(True)}, {sql_measures(True)} select node, {', '.join(f'round({m}, 6) + 0.0 as {m}' for m in MEASURES)} from m",
     "planted_pattern_edges": """with p as (select unnest(range(3)) as i), m as (select unnest(range(4)) as j),
         s as (select 'separate' as kind, 1000 + 6 * i as source, 1000 + 6 * i + 5 as target, 1000 + 6 * i + j + 1 as mule from p, m

@@ -54,15 +54,20 @@ def graph_from_edge_list(spark: SparkSession, path: str, directed: bool = False)
     return nodes(pairs, "source", "target"), edges(pairs, "source", "target", directed)
 
 
+def _text_lines(spark: SparkSession, path: str, blank: bool) -> DataFrame:
+    """value, file, start (of the block that a task read) and at (ascending within a block), with or without blank lines."""
+    lines = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return staged((lines if blank else lines.where("trim(value) <> ''")).withColumn("at", F.monotonically_increasing_id()), "lines")
+
+
 def line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """line and number: the lines of a text file's tasks, numbered from 0 in each file's order, files by name; blank lines and each
-    file's first line, its header, are not counted.
+    """line and number: the lines of text files, numbered from 0 in each file's order, files by name; blank lines and each file's
+    first line, its header, are not counted.
 
     Each block of a file is read by one task in order, so a line's number is its place there after the lines of all blocks before;
     those are a row a block.
     """
-    lines = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    rows = staged(lines.where("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id()), "lines")
+    rows = _text_lines(spark, path, blank=False)
     blocks = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
     # The header is the first line of a file's first block with a line.
@@ -86,22 +91,29 @@ def read_synthetic_labels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pattern_rows(texts: DataFrame, column: str = "value") -> DataFrame:
-    """identifier and pattern of each transaction line between BEGIN and END lines, from whole pattern files.
+def pattern_rows(spark: SparkSession, path: str) -> DataFrame:
+    """identifier and pattern of each transaction line between BEGIN and END lines of pattern files.
 
-    The text is cut at BEGIN lines; what follows a block's END line is outside. Blank lines inside a block are kept. An
-    unknown pattern is an error when it has a line.
+    Files are read in blocks: a line belongs to the last BEGIN or END line before it in its block, or else to the last one of the
+    file's blocks before, which are a row a block. Blank lines inside an attempt are kept. An unknown pattern is an error when it
+    has a line.
     """
-    block = F.explode(F.slice(F.split(F.concat(F.lit("\n"), F.col(column)), r"\r?\nBEGIN"), 2, 1 << 30)).alias("block")
-    body = texts.select(block)
-    head = F.regexp_extract("block", r"^[^\n]*? - ([^:\n]*)", 1)
-    lines = F.split(F.regexp_replace("block", r"(?s)\r?\nEND.*$", ""), r"\r?\n")
-    found = body.select(F.trim(head).alias("pattern"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"))
-    # A final line feed of the file is no line of an unclosed block.
-    known = F.when(F.col("pattern").isin(PATTERNS), F.col("pattern")).otherwise(
-        F.raise_error(F.concat(F.lit("unknown pattern: "), "pattern")).cast("string")
+    name = F.trim(F.regexp_extract("value", r"^BEGIN.*? - ([^:]*)", 1))
+    mark = F.when(F.col("value").startswith("BEGIN"), F.struct(F.lit(True).alias("inside"), name.alias("pattern"))).when(
+        F.col("value").startswith("END"), F.struct(F.lit(False).alias("inside"), F.lit("").alias("pattern"))
+    )
+    rows = _text_lines(spark, path, blank=True).withColumn("mark", mark)
+    last = rows.where("mark is not null").groupBy("file", "start").agg(F.max_by("mark", "at").alias("mark"))
+    blocks = rows.select("file", "start").distinct().join(last, ["file", "start"], "left")
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("file", "start", F.last("mark", ignorenulls=True).over(before).alias("carried"))
+    within = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("own", F.last("mark", ignorenulls=True).over(within)).join(carried, ["file", "start"])
+    found = placed.where("mark is null").withColumn("of", F.coalesce("own", "carried")).where("of.inside")
+    known = F.when(F.col("of.pattern").isin(PATTERNS), F.col("of.pattern")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown pattern: "), "of.pattern")).cast("string")
     )
-    return found.select(F.trim("line").alias("identifier"), known.alias("pattern"))
+    return found.select(F.trim("value").alias("identifier"), known.alias("pattern"))
 
 
 def one_hot(rows: DataFrame) -> DataFrame:
@@ -110,7 +122,7 @@ def one_hot(rows: DataFrame) -> DataFrame:
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    return one_hot(pattern_rows(spark.read.text(path, wholetext=True)))
+    return one_hot(pattern_rows(spark, path))
 
 
 def read_measures(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
