@@ -183,7 +183,8 @@ def _add(suffix: str, k: int) -> None:
         f"block_counts_directed{suffix}"
     ] = f"with {with_} select a.ego, a.role as role_u, b.role as role_v, count(*) as n from r a join e on e.src = a.node join r b on b.ego = a.ego and b.node = e.dst group by all"
     QUERIES[f"induced_edges{suffix}"] = inside
-    ORACLES[f"induced_edges{suffix}"] = f"with {with_} select a.ego, e.src, e.dst from r a join e on e.src = a.node join r b on b.ego = a.ego and b.node = e.dst"
+    ORACLES[f"induced_edges{suffix}"] = f"""with {with_}, far as materialized (select a.ego, e.src, e.dst from r a join e on e.src = a.node)
+        select far.ego, src, dst from far join r on r.ego = far.ego and r.node = far.dst"""
 
     def dense(s, d) -> DataFrame:
         v, e = reduced_graph(s, d, k)

@@ -98,7 +98,7 @@ def _forest_sql() -> str:
 
 
 def _anomaly_areas(spark, sf: str) -> DataFrame:
-    return workflows.anomaly_areas(labels.account_rates(labelled(spark, sf)), _forest(spark, sf), CUTOFFS)
+    return rounded(workflows.anomaly_areas(labels.account_rates(labelled(spark, sf)), rounded(_forest(spark, sf)), CUTOFFS))
 
 
 def _outliers(spark, sf: str) -> DataFrame:
@@ -203,6 +203,18 @@ def _first_cuts_sql() -> str:
         qualify row_number() over (partition by cutoff, target order by gain desc, f, b) = 1"""
 
 
+def _anomaly_areas_sql() -> str:
+    from undertow.plans.label_queries import CURVE, LAB, RAW, UNPIVOT
+
+    area = lambda x: f"case when max(pos) > 0 and max(neg) > 0 then round({x}, 6) + 0.0 end"
+    return f"""{_FOREST}, {LAB}, rt as ({RAW}), j as (select rt.*, -(round(anomaly_score, 6) + 0.0) as score from rt join sc on sc.node = rt.node),
+        lg as (select node, score, target, cutoff, cast(rate > cutoff as integer) as label from ({UNPIVOT}) y, (select unnest([{", ".join(map(str, CUTOFFS))}]::double[]) as cutoff) z), {CURVE},
+        ar as (select cutoff, target, {area("sum(p * (neg - fp + n / 2)) / (max(pos) * max(neg))")} as roc, {area("sum(p * (tp / (tp + fp))) / max(pos)")} as pr from cv group by cutoff, target),
+        dv as (select cutoff, target, round(avg(label), 6) + 0.0 as imbalance, round(power(avg(score) filter (label = 0) - avg(score) filter (label = 1), 2)
+            + (var_pop(score) filter (label = 0) + var_pop(score) filter (label = 1)) / 2, 6) + 0.0 as divergence from lg group by all)
+        select cutoff, target, roc, pr, divergence, imbalance from ar join dv using (cutoff, target)"""
+
+
 _FOREST = f"with {sql_graph(DENSE)}, {sql_roles(True)}, {sql_measures(True)}, {_forest_sql()}"
 ORACLES = {
     "isolation_scores": f"{_FOREST} select m.node, {', '.join(f'round({m}, 6) + 0.0 as {m}' for m in MEASURES)}, round(anomaly_score, 6) + 0.0 as anomaly_score from m join sc on sc.node = m.node",
@@ -221,6 +233,7 @@ ORACLES = {
                  from c a join u on u.src = a.node join c b on b.node = u.dst where (b.place, b.node) < (a.place, a.node) group by a.node)
         select j.node, target from j left join lost on lost.node = j.node, m where gain - 10 * k * joined - 2 * m * coalesce(lost, 0) > 0""",
     "tree_first_cuts": _first_cuts_sql(),
+    "isolation_areas": _anomaly_areas_sql(),
     "synthetic_assembled_counts": "select 1000 + 3 * (6 + 4) as nodes, 54 as laundering, 18 as separate, 18 as new_mules, 18 as existing_mules, 3 * 3 * 8 as planted_edges, 0 as loops",
     "loaded_measures": f"with {sql_graph(DENSE)}, {sql_roles(True)}, {sql_measures(True)} select node, {', '.join(f'round({m}, 6) + 0.0 as {m}' for m in MEASURES)} from m",
     "planted_pattern_edges": """with p as (select unnest(range(3)) as i), m as (select unnest(range(4)) as j),
