@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from undertow.functions import labels, metrics
 from undertow.functions.scores import BASIC, scores
 from undertow.operators.blocks import measures
+from undertow.operators.boosting_grid import boosting_grid
 from undertow.operators.communities import reduce_by_community
 from undertow.operators.ego import check_paths, twins
 from undertow.operators.features import FEATURES, summarise_scores
 from undertow.operators.graph import both_ways
-from undertow.operators.models import MEASURES, IsolationForest, boosting, model_grid
+from undertow.operators.models import MEASURES, IsolationForest
 from undertow.operators.synthetic import dataset_name, parameter_grid, synthetic_network
 from undertow.operators.tree_grid import tree_grid
 from undertow.sources import tables
@@ -101,18 +102,16 @@ def supervised_table(
 
 
 def supervised_grid(table: DataFrame, cells: list[tuple[float, str]], method: str = "tree", synthetic: bool = False) -> list[tuple]:
-    """(cutoff, target, imbalance, roc, pr) of a tree (all cells side by side) or of boosting (one cell after the other); a cell
-    that can't be fitted is NaN (0 for synthetic data)."""
+    """(cutoff, target, imbalance, roc, pr) of a tree or of boosting, all cells side by side; a cell that can't be fitted is NaN (0 for
+    synthetic data)."""
     targets = sorted({t for _, t in cells})
     table = staged(table.select("node", *FEATURES, *targets), "supervised")
     missing = 0.0 if synthetic else float("nan")
-    if method == "tree":
-        # All cells at once; a row a cell is collected.
-        found = tree_grid(table, FEATURES, labels.threshold_labels(table.select("node", *targets), sorted({c for c, _ in cells}), targets)).collect()
-        at = {(r.cutoff, r.target): (r.imbalance, *(missing if x is None else x for x in (r.roc, r.pr))) for r in found}
-        return [(c, t, *at.get((c, t), (None, missing, missing))) for c, t in cells]
-    long = labels.threshold_labels(table, sorted({c for c, _ in cells}), targets)
-    return model_grid(staged(long, "grid"), FEATURES, cells, boosting(), missing)
+    grid = tree_grid if method == "tree" else boosting_grid
+    # A row a cell is collected.
+    found = grid(table, FEATURES, labels.threshold_labels(table.select("node", *targets), sorted({c for c, _ in cells}), targets)).collect()
+    at = {(r.cutoff, r.target): (r.imbalance, *(missing if x is None else x for x in (r.roc, r.pr))) for r in found}
+    return [(c, t, *at.get((c, t), (None, missing, missing))) for c, t in cells]
 
 
 def anomaly_scores(spark: SparkSession, path: str | None, v: DataFrame | None = None, e: DataFrame | None = None, seed: int = 1997) -> DataFrame:
