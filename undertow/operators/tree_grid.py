@@ -3,18 +3,23 @@
 Features are binned once for all cells, at exact quantiles. A level's histogram counts rows and positives by cell, tree node, feature
 and bin, with map-side combine; running totals over the bins give every cut's Gini gain, and the best cut of each node sends its rows
 to the next level. Rows of nodes that are not cut any more leave the rounds. What a round holds is a table, never a cell in a task.
+A node of few rows leaves the rounds too: what grows under it is grown by one task, by the same rule.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.functions.metrics import areas, quantiles
 from undertow.operators.split import stratified_split
-from undertow.sources.stage import for_rounds, staged, staged_in
+from undertow.sources.stage import for_rounds, stage_path, staged, staged_in
 
 BINS, LEAF, DEPTH, SEED = 32, 10, 30, 1997
+#: Most rows, held out ones too, of a node that one task grows on from.
+FEW = 20_000
 
 
 def bin_edges(table: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, list[float]]:
@@ -51,21 +56,71 @@ def best_cuts(rows: DataFrame, by: list[str], leaf: int = LEAF) -> DataFrame:
     )
 
 
-def fitted(rows: DataFrame, by: list[str], leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def grown(bins: np.ndarray, label: np.ndarray, learnt: np.ndarray, code: int, leaf: int, depth: int) -> np.ndarray:
+    """The codes of the leaves that one node's rows reach, by the same cuts as best_cuts. learnt: which rows count."""
+    codes = np.full(len(label), code, np.int64)
+    nodes = [(np.arange(len(label)), code, depth)]
+    width = int(bins.max(initial=0)) + 1
+    while nodes:
+        at, code, depth = nodes.pop()
+        train = at[learnt[at]]
+        if not depth or len(train) < 2 * leaf or not 0 < label[train].sum() < len(train):
+            continue
+        place = bins[train] + np.arange(bins.shape[1]) * width
+        n1, p1 = (
+            np.bincount(place.ravel(), w, bins.shape[1] * width).reshape(-1, width).cumsum(axis=1)
+            for w in (None, np.repeat(label[train], bins.shape[1]))
+        )
+        n0, p0 = len(train), float(label[train].sum())
+        n2, p2 = n0 - n1, p0 - p1
+        fair = (n1 >= leaf) & (n2 >= leaf)
+        impurity = lambda p, n: 2 * (p / n) * (1 - p / n)
+        a, b = np.where(fair, n1, 1), np.where(fair, n2, 1)
+        gain = np.where(fair, np.round(impurity(p0, n0) - n1 / n0 * impurity(p1, a) - n2 / n0 * impurity(p2, b), 12), 0.0)
+        f, cut = divmod(int(gain.argmax()), width)
+        if gain[f, cut] <= 0:
+            continue
+        over = bins[at, f] > cut
+        codes[at] = 2 * code + over
+        nodes += [(at[~over], 2 * code, depth - 1), (at[over], 2 * code + 1, depth - 1)]
+    return codes
+
+
+def finished(rows: DataFrame, by: list[str], leaf: int, depth: int) -> DataFrame:
+    """rows, of nodes of few rows each, with the codes of the leaves they reach. depth: most levels under the root."""
+
+    def run(table: pa.Table) -> pa.Table:
+        code = table["code"][0].as_py()
+        bins = table["bins"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).astype(np.int64)
+        label, learnt = table["label"].to_numpy().astype(np.int64), ~table["is_test"].to_numpy()
+        codes = grown(bins, label, learnt, code, leaf, depth - (code.bit_length() - 1))
+        at = table.column_names.index("code")
+        return table.set_column(at, table.schema.field(at), pa.array(codes))
+
+    return rows.groupBy(*by, "code").applyInArrow(run, rows.schema)
+
+
+def fitted(rows: DataFrame, by: list[str], leaf: int = LEAF, depth: int = DEPTH, few: int = FEW) -> DataFrame:
     """rows (by, node, label, is_test, bins) with the code of their leaf, in the trees that the rows grow that are not is_test."""
-    session, done = rows.sparkSession, None
     # A level's histogram has a row for each feature.
-    now = for_rounds(rows.withColumn("code", F.lit(1).cast("long")), "level", 10)
+    session, now = rows.sparkSession, for_rounds(rows.withColumn("code", F.lit(1).cast("long")), "level", 10)
+    own, columns, node = now.sparkSession, now.columns, [*by, "code"]
+    paths: list[str] = []
     for _ in range(depth):
-        cuts = staged(best_cuts(now.where("not is_test"), by, leaf).drop("gain"), "cuts")
+        sizes = staged(now.groupBy(*node).agg((F.count("*") <= few).alias("small")), "sizes")
+        rest = now.join(sizes.where("not small"), node, "left_semi")
+        cuts = staged(best_cuts(rest.where("not is_test"), by, leaf).select(*node, F.col("f").cast("int"), F.col("b").cast("int")), "cuts")
+        paths.append(stage_path(own, "level"))
+        marked = now.join(sizes, node, "left").join(cuts, node, "left").select(*columns, "small", "f", "b")
+        marked.write.parquet(paths[-1])
         if cuts.isEmpty():
             break
-        placed = staged(now.join(cuts, [*by, "code"], "left"), "level")
-        rest = placed.where("f is null").drop("f", "b")
-        done = rest if done is None else done.unionByName(rest)
         over = (F.get("bins", F.col("f")) > F.col("b")).cast("long")
-        now = placed.where("f is not null").withColumn("code", F.col("code") * 2 + over).drop("f", "b")
-    return staged_in(session, now if done is None else done.unionByName(now), "leaves")
+        now = own.read.schema(marked.schema).parquet(paths[-1]).where("f is not null").withColumn("code", F.col("code") * 2 + over).select(*columns)
+    # Rows that are cut go on in the next level's table, and after the last level they are leaves.
+    left = own.read.schema(marked.schema).parquet(*paths).where("f is null")
+    done = left.where("not coalesce(small, false)").select(*columns).unionByName(finished(left.where("small").select(*columns), by, leaf, depth))
+    return staged_in(session, done if len(paths) < depth or cuts.isEmpty() else done.unionByName(now), "leaves")
 
 
 def tree_grid(
