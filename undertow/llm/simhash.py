@@ -7,8 +7,9 @@ carry-save counter adds the differing bits of many pairs at once, and a block is
 the radius. A bucket of any size is dealt as pairs of bounded parts, so it is compared in full and no task grows with
 it; a task returns a spanning forest of the links it found, never all pairs. Components join the forests.
 
-``drop_near_duplicates`` takes ``similar_groups`` instead: an exact join of the sets of five-word shingles at a similarity of
-0.8, by the same bit-sliced comparison of sketches that can't miss, see ``similar``.
+``drop_near_duplicates`` takes ``similar_groups``: the fingerprints of the sets of five-word shingles are linked in the same way, an
+exact check leaves the links at a similarity of 0.8 or more, and an exact join finds the pairs whose fingerprints lie further apart,
+see ``similar``.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which is linked like any other. A text
 of any length is fingerprinted whole. A bit that half of the shingles' hashes set, and half do not, is 0. Rows are documents,
@@ -203,10 +204,15 @@ def near_duplicates(
     )
 
 
+def close_links(classes: DataFrame) -> DataFrame:
+    """u, v: links that span the nodes (node, fp) whose fingerprints differ in at most RADIUS bits."""
+    return links(classes, block_keys("fp", RADIUS), "node", ["fp"], RADIUS)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """doc_id, text_hash, group (a number that similar texts share), first (whether it is the group's least in doc_id and
     text_hash), for each document but those that are surely alone."""
-    return similar.groups(docs, id_col, text_col, **how)
+    return similar.groups(docs, majorities, close_links, id_col, text_col, **how)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -10,15 +10,16 @@ sketches differ in at most as many bits as the sets differ in shingles, and more
 Large parts of a bucket are compared bit by bit, many pairs at once. What is left is verified on the whole sets before it becomes a link.
 Shingles are compared by hashes of 64 bits, equal sets by 128.
 
-A large group of copies isn't paired in full. In a first step each text meets the few that follow it in a bucket, in an order
-by size and then by a hash that differs from bucket to bucket; buckets are cut anywhere between tasks. In a second step texts
+A large group of copies isn't paired in full. In a first step the texts' SimHash fingerprints are linked (``simhash``), and each
+text meets the few that follow it in a bucket, in an order by size and then by a hash that differs from bucket to bucket; buckets
+are cut anywhere between tasks. In a second step, for what fingerprints can't find, texts
 that share a bucket but still lie in different components meet: those of other components than the bucket's most frequent one
 meet all, in pairs of bounded parts of the bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,9 +83,11 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def live(docs: DataFrame, id_col: str, text_col: str, block_tokens: int, range_keys: int) -> DataFrame:
-    """Of each text that may have a partner: doc_id, text_hash, name_a and name_b (a hash of its set), n, set, keys (the shared
-    shingles of its prefix) and sketch."""
+def live(
+    docs: DataFrame, id_col: str, text_col: str, block_tokens: int, range_keys: int, fingerprint: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> DataFrame:
+    """Of each text that may have a partner: doc_id, text_hash, name_a and name_b (a hash of its set), n, fp (its fingerprint), set,
+    keys (the shared shingles of its prefix) and sketch."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     made = blocks(
         docs.select(
@@ -107,15 +110,16 @@ def live(docs: DataFrame, id_col: str, text_col: str, block_tokens: int, range_k
                 continue
             first = np.lexsort((s, times))[:most]
             name = np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64).tolist()
-            rows.append((doc_id, text_hash, *name, len(s), packed(np.diff(s, prepend=np.uint64(0))), s[first[times[first] > 1]].tobytes(), sketch(s)))
-        kinds = [pa.int64()] * 5 + [pa.binary()] * 3
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            fp = int(fingerprint(s, np.array([len(s)])).view(np.int64)[0]) if len(s) else 0
+            rows.append((doc_id, text_hash, *name, len(s), fp, packed(np.diff(s, prepend=np.uint64(0))), s[first[times[first] > 1]].tobytes(), sketch(s)))
+        kinds = [pa.int64()] * 6 + [pa.binary()] * 3
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 9
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["doc_id", "text_hash", "name_a", "name_b", "n", "set", "keys", "sketch"],
+            names=["doc_id", "text_hash", "name_a", "name_b", "n", "fp", "set", "keys", "sketch"],
         )
 
-    schema = "doc_id long, text_hash long, name_a long, name_b long, n long, set binary, keys binary, sketch binary"
+    schema = "doc_id long, text_hash long, name_a long, name_b long, n long, fp long, set binary, keys binary, sketch binary"
     return written(counts_of.use(take, schema), "live", per_core=4)
 
 
@@ -254,17 +258,26 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS
+    docs: DataFrame,
+    fingerprint: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    close: Callable[[DataFrame], DataFrame],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    part: int = PART,
+    block_tokens: int = BLOCK_TOKENS,
+    range_keys: int = RANGE_KEYS,
 ) -> DataFrame:
-    """doc_id, text_hash, group (a number that similar texts share) and first (whether it is the group's least in doc_id and
+    """fingerprint: of hashes and how many each text has; close: u, v, the links between the nodes whose fp lie close. The result:
+    doc_id, text_hash, group (a number that similar texts share) and first (whether it is the group's least in doc_id and
     text_hash) of each text that may have a partner; texts that surely have none are left out."""
     names = ["name_a", "name_b"]
-    table = live(docs, id_col, text_col, block_tokens, range_keys)
+    table = live(docs, id_col, text_col, block_tokens, range_keys, fingerprint)
     classes = table.groupBy(*names).agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("least"), *(F.first(c).alias(c) for c in ("n", "set", "keys", "sketch"))
+        F.min(F.struct("doc_id", "text_hash")).alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "set", "keys", "sketch"))
     )
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", per_core=1)
-    links = verified(written(met_at_once(classes), "near", per_core=1), classes)
+    found = close(classes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(met_at_once(classes)).distinct()
+    links = verified(written(found, "near", per_core=1), classes)
     roots = components(links)
     rest = written(met_across(classes, roots, part), "across", per_core=1)
     if not rest.isEmpty():
