@@ -1,25 +1,29 @@
-"""Decision trees of many cells at once: one aggregation a level for all cells, nodes, features and bins.
+"""Decision trees of many cells at once.
 
-Features are binned once for all cells, at exact quantiles. A level's histogram counts rows and positives by cell, tree node, feature
-and bin, with map-side combine; running totals over the bins give every cut's Gini gain, and the best cut of each node sends its rows
-to the next level. Rows of nodes that are not cut any more leave the rounds. What a round holds is a table, never a cell in a task.
-A node of few rows leaves the rounds too: what grows under it is grown by one task, by the same rule.
+Features are binned once for all cells, at exact quantiles. A node of few rows, be it a whole cell, is grown to its leaves by one task,
+and nodes of more rows take rounds: a level's histogram counts rows and positives by cell, tree node, feature and bin, with map-side
+combine; running totals over the bins give every cut's Gini gain, and the best cut of each node sends its rows to the next level.
+No round writes anything. What is collected are cuts and sizes of nodes of more than FEW rows, so a few numbers for FEW rows; each
+round follows them anew over the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructType
 
-from undertow.functions.metrics import areas, quantiles
+from undertow.functions.metrics import quantiles
 from undertow.operators.split import stratified_split
-from undertow.sources.stage import for_rounds, stage_path, staged, staged_in
+from undertow.sources.stage import staged
 
 BINS, LEAF, DEPTH, SEED = 32, 10, 30, 1997
 #: Most rows, held out ones too, of a node that one task grows on from.
-FEW = 20_000
+FEW = 200_000
 
 
 def bin_edges(table: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, list[float]]:
@@ -66,10 +70,9 @@ def grown(bins: np.ndarray, label: np.ndarray, learnt: np.ndarray, code: int, le
         train = at[learnt[at]]
         if not depth or len(train) < 2 * leaf or not 0 < label[train].sum() < len(train):
             continue
-        place = bins[train] + np.arange(bins.shape[1]) * width
         n1, p1 = (
-            np.bincount(place.ravel(), w, bins.shape[1] * width).reshape(-1, width).cumsum(axis=1)
-            for w in (None, np.repeat(label[train], bins.shape[1]))
+            np.stack([np.bincount(bins[of, f], minlength=width) for f in range(bins.shape[1])]).cumsum(axis=1)
+            for of in (train, train[label[train] > 0])
         )
         n0, p0 = len(train), float(label[train].sum())
         n2, p2 = n0 - n1, p0 - p1
@@ -91,7 +94,7 @@ def finished(rows: DataFrame, by: list[str], leaf: int, depth: int) -> DataFrame
 
     def run(table: pa.Table) -> pa.Table:
         code = table["code"][0].as_py()
-        bins = table["bins"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).astype(np.int64)
+        bins = table["bins"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         label, learnt = table["label"].to_numpy().astype(np.int64), ~table["is_test"].to_numpy()
         codes = grown(bins, label, learnt, code, leaf, depth - (code.bit_length() - 1))
         at = table.column_names.index("code")
@@ -100,27 +103,70 @@ def finished(rows: DataFrame, by: list[str], leaf: int, depth: int) -> DataFrame
     return rows.groupBy(*by, "code").applyInArrow(run, rows.schema)
 
 
+def reached(bins: np.ndarray, codes: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The codes of the nodes that rows of one cell reach by cuts. codes: of the nodes that are cut, ascending."""
+    code = np.ones(len(bins), np.int64)
+    rows = np.arange(len(bins))
+    while len(codes):
+        place = np.searchsorted(codes, code).clip(max=len(codes) - 1)
+        cut = codes[place] == code
+        if not cut.any():
+            break
+        code = np.where(cut, 2 * code + (bins[rows, f[place]] > b[place]), code)
+    return code
+
+
+def walked(rows: DataFrame, cuts: dict[tuple[int, int], tuple[int, int]], nodes: set[tuple[int, int]]) -> DataFrame:
+    """rows (cell_ and bins) with code, the node they reach by the cuts, and among_, whether that is one of nodes. cuts and nodes: by
+    cell_ and code; a cell_ of null has none."""
+    trees = {c: [np.array(x, np.int64) for x in zip(*sorted((code, *cut) for (d, code), cut in cuts.items() if d == c), strict=True)] for c in {c for c, _ in cuts}}
+    wanted = {c: np.array([code for d, code in nodes if d == c], np.int64) for c in {c for c, _ in nodes}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bins = batch.column("bins").flatten().to_numpy().reshape(n, -1)
+            cell = batch.column("cell_").fill_null(-1).to_numpy()
+            code, among = np.ones(n, np.int64), np.zeros(n, bool)
+            for c in np.unique(cell).tolist():
+                at = np.flatnonzero(cell == c)
+                if c in trees:
+                    code[at] = reached(bins[at], *trees[c])
+                if c in wanted:
+                    among[at] = np.isin(code[at], wanted[c])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code), pa.array(among)], names=[*batch.schema.names, "code", "among_"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("code", LongType()).add("among_", BooleanType()))
+
+
 def fitted(rows: DataFrame, by: list[str], leaf: int = LEAF, depth: int = DEPTH, few: int = FEW) -> DataFrame:
-    """rows (by, node, label, is_test, bins) with the code of their leaf, in the trees that the rows grow that are not is_test."""
-    # A level's histogram has a row for each feature.
-    session, now = rows.sparkSession, for_rounds(rows.withColumn("code", F.lit(1).cast("long")), "level", 10)
-    own, columns, node = now.sparkSession, now.columns, [*by, "code"]
-    paths: list[str] = []
+    """rows (by, label, is_test, bins and others) with the code of their leaf, in the trees that the rows grow that are not is_test. rows
+    are read in every round, so they should lie in a table."""
+    # A row a cell is collected.
+    large = [r for r in rows.groupBy(*by).agg(F.count("*").alias("n_")).collect() if r.n_ > few]
+    if not large:
+        return finished(rows.withColumn("code", F.lit(1).cast("long")), by, leaf, depth)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    cells = F.broadcast(rows.sparkSession.createDataFrame([(*(r[c] for c in by), i) for i, r in enumerate(large)], f"{kinds}, cell_ int"))
+    own = rows.join(cells, by).select("cell_", "label", "is_test", "bins")
+    cuts: dict[tuple[int, int], tuple[int, int]] = {}
+    # Nodes of more than few rows: those of this level, and those that are leaves.
+    now, ends = {(i, 1) for i in range(len(large))}, set()
     for _ in range(depth):
-        sizes = staged(now.groupBy(*node).agg((F.count("*") <= few).alias("small")), "sizes")
-        rest = now.join(sizes.where("not small"), node, "left_semi")
-        cuts = staged(best_cuts(rest.where("not is_test"), by, leaf).select(*node, F.col("f").cast("int"), F.col("b").cast("int")), "cuts")
-        paths.append(stage_path(own, "level"))
-        marked = now.join(sizes, node, "left").join(cuts, node, "left").select(*columns, "small", "f", "b")
-        marked.write.parquet(paths[-1])
-        if cuts.isEmpty():
+        train = walked(own, cuts, now).where("among_ and not is_test").select("cell_", "code", "label", "bins")
+        new = {(r.cell_, r.code): (r.f, r.b) for r in best_cuts(train, ["cell_"], leaf).select("cell_", "code", "f", "b").collect()}
+        cuts |= new
+        ends |= now - new.keys()
+        under = {(c, 2 * code + over) for c, code in new for over in (0, 1)}
+        sizes = walked(own, cuts, under).where("among_").groupBy("cell_", "code").agg(F.count("*").alias("n_")).where(F.col("n_") > few)
+        now = {(r.cell_, r.code) for r in sizes.collect()} if under else set()
+        if not now:
             break
-        over = (F.get("bins", F.col("f")) > F.col("b")).cast("long")
-        now = own.read.schema(marked.schema).parquet(paths[-1]).where("f is not null").withColumn("code", F.col("code") * 2 + over).select(*columns)
-    # Rows that are cut go on in the next level's table, and after the last level they are leaves.
-    left = own.read.schema(marked.schema).parquet(*paths).where("f is null")
-    done = left.where("not coalesce(small, false)").select(*columns).unionByName(finished(left.where("small").select(*columns), by, leaf, depth))
-    return staged_in(session, done if len(paths) < depth or cuts.isEmpty() else done.unionByName(now), "leaves")
+    codes = walked(rows.join(cells, by, "left").select(*rows.columns, "cell_"), cuts, ends | now)
+    some, whole = (codes.where(x).select(*rows.columns, "code") for x in ("not among_", "among_"))
+    return finished(some, by, leaf, depth).unionByName(whole)
 
 
 def tree_grid(
@@ -128,13 +174,33 @@ def tree_grid(
 ) -> DataFrame:
     """The by columns, imbalance, roc, pr: each cell's tree, by its hard predictions on the held-out rows of a stratified split. table:
     node and the features; labels: node, the by columns and label. Areas are null where a class is missing."""
-    cells = list(by)
-    bins = table.select("node", binned(table, bin_edges(table, columns), columns).alias("bins"))
-    stratum = F.concat_ws(":", *(F.col(c).cast("string") for c in cells), F.col("label").cast("string"))
-    long = staged(labels.select("node", *cells, "label").join(bins, "node").withColumn("stratum", stratum), "grid")
-    rows = fitted(stratified_split(long, label="stratum", test=test, seed=seed).drop("stratum"), cells, leaf)
-    node = [*cells, "code"]
-    leaves = rows.where("not is_test").groupBy(*node).agg((F.sum(2 * F.col("label") - 1) > 0).cast("int").alias("score"))
-    scored = rows.where("is_test").join(leaves, node)
-    share = long.groupBy(*cells).agg(F.avg("label").alias("imbalance"))
-    return share.join(areas(staged(scored.select(*cells, "label", "score"), "scored"), cells), cells, "left").select(*cells, "imbalance", "roc", "pr")
+    spark, names = table.sparkSession, list(by)
+    # A row a cell is collected.
+    found = labels.groupBy(*names).agg(F.avg("label").alias("imbalance"), F.sum("label").alias("p"), F.count("label").alias("n")).orderBy(*names).collect()
+    two = [r for r in found if r.n and 0 < r.p < r.n]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in labels.select(*names).schema)
+    share = spark.createDataFrame([(*(r[c] for c in names), r.imbalance) for r in found], f"{kinds}, imbalance double")
+    if not two:
+        return share.select("*", *(F.lit(None).cast("double").alias(x) for x in ("roc", "pr")))
+    cells = F.broadcast(spark.createDataFrame([(*(r[c] for c in names), i) for i, r in enumerate(two)], f"{kinds}, cell int"))
+    stratum = (F.col("cell") * 2 + F.col("label")).alias("stratum")
+    long = staged(labels.join(cells, names).select("node", "cell", "label", stratum), "grid")
+    split = stratified_split(long, label="stratum", test=test, seed=seed)
+    bins = table.select("node", binned(table, bin_edges(table, columns), columns).cast("array<tinyint>").alias("bins"))
+    rows = fitted(staged(split.join(bins, "node").select("cell", "label", "is_test", "bins"), "rows"), ["cell"], leaf)
+    return share.join(hard_areas(rows).join(cells, "cell"), names, "left").select(*names, "imbalance", "roc", "pr")
+
+
+def hard_areas(rows: DataFrame) -> DataFrame:
+    """cell, roc, pr, as metrics.areas has them, of the held-out rows by their leaf's majority. rows: cell, code, label, is_test."""
+    held = lambda label: F.count_if(F.col("is_test") & (F.col("label") == label)).alias("np"[label])
+    high = (F.sum(F.when(~F.col("is_test"), 2 * F.col("label") - 1)) > 0).alias("high")
+    leaves = rows.groupBy("cell", "code").agg(high, held(0), held(1)).where("high is not null")
+    of = lambda c, high: F.coalesce(F.sum(F.when(F.col("high") == high, F.col(c))), F.lit(0))
+    sums = leaves.groupBy("cell").agg(*(of(c, high).alias(f"{c}{int(high)}") for c in "np" for high in (False, True)))
+    pos, neg = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
+    roc = (F.col("p1") * (neg - F.col("n1") + F.col("n1") / 2) + F.col("p0") * (F.col("n0") / 2)) / (pos * neg)
+    top = F.when(F.col("p1") > 0, F.col("p1") * (F.col("p1") / (F.col("p1") + F.col("n1")))).otherwise(0.0)
+    pr = (top + F.col("p0") * (pos / (pos + neg))) / pos
+    two = (pos > 0) & (neg > 0)
+    return sums.select("cell", F.when(two, roc).alias("roc"), F.when(two, pr).alias("pr"))
