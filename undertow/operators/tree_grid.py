@@ -22,8 +22,8 @@ from undertow.operators.split import stratified_split
 from undertow.sources.stage import staged
 
 BINS, LEAF, DEPTH, SEED = 32, 10, 30, 1997
-#: Most rows, held out ones too, of a node that one task grows on from.
-FEW = 200_000
+#: Most rows, held out ones too, of a node that one task grows on from: some dozen bytes each in a Python worker.
+FEW = 1_000_000
 
 
 def bin_edges(table: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, list[float]]:
